@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op9_quality_rules": rules.query,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
