@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import mixing, rules, secrets
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_secret_scan": secrets.query,
     "op9_quality_rules": rules.query,
 }
 ORACLE_SQL = {
