@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, secrets
+from . import mixing, personal, rules, secrets
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_secret_scan": secrets.query,
+    "op4_personal_data": personal.query,
     "op9_quality_rules": rules.query,
 }
 ORACLE_SQL = {
