@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, personal, rules, secrets
+from . import mixing, personal, pieces, rules, secrets
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_secret_scan": secrets.query,
     "op4_personal_data": personal.query,
+    "op8_sentence_pieces": pieces.query,
     "op9_quality_rules": rules.query,
 }
 ORACLE_SQL = {
