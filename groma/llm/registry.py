@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, personal, pieces, rules, secrets
+from . import mixing, personal, pieces, repeats, rules, secrets, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_secret_scan": secrets.query,
     "op4_personal_data": personal.query,
+    "op7_warc_bundles": warc.query,
     "op8_sentence_pieces": pieces.query,
     "op9_quality_rules": rules.query,
+    "op10_repeated_lines": repeats.query,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
+    "op7_warc_bundles": warc.SQL,
+    "op10_repeated_lines": repeats.SQL,
 }
