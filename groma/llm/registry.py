@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, personal, pieces, repeats, rules, secrets, warc
+from . import discriminant, mixing, nearest, personal, pieces, repeats, rules, secrets, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_secret_scan": secrets.query,
     "op4_personal_data": personal.query,
+    "op5_quality_discriminant": discriminant.query,
+    "op6_nearest_neighbours": nearest.query,
     "op7_warc_bundles": warc.query,
     "op8_sentence_pieces": pieces.query,
     "op9_quality_rules": rules.query,
