@@ -119,14 +119,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, doc_id: str = "
     return fit(joined.select(features(F.col(text)).alias("x"), "label").toPandas(), counts)
 
 
+def verdict(text: Column, model: tuple[Gaussian, Gaussian] | None) -> Column:
+    """A text's score, from 0 to 1."""
+    if model is None:
+        return F.lit(0.5)
+    odds = let(features(text), lambda x: (model[1].log_density(x) - model[0].log_density(x)) / TEMPERATURE)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
+
+
 def score(docs: DataFrame, model: tuple[Gaussian, Gaussian] | None, *, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    kept = without(docs, ["score", "predicted"])
-    if model is None:
-        scored = kept.withColumn("score", F.lit(0.5))
-    else:
-        odds = let(features(F.col(text)), lambda x: (model[1].log_density(x) - model[0].log_density(x)) / TEMPERATURE)
-        scored = kept.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
+    scored = without(docs, ["score", "predicted"]).withColumn("score", verdict(F.col(text), model))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

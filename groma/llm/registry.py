@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import discriminant, mixing, nearest, personal, pieces, repeats, rules, secrets, warc
+from . import discriminant, mixing, neardup, nearest, personal, pieces, repeats, rules, secrets, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_secret_scan": secrets.query,
+    "op3_near_duplicates": neardup.query,
     "op4_personal_data": personal.query,
     "op5_quality_discriminant": discriminant.query,
     "op6_nearest_neighbours": nearest.query,
