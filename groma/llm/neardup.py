@@ -115,8 +115,25 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, cls long, n long, postings array<long>")
 
 
+def packed(postings: np.ndarray) -> list[int]:
+    """The low eight bits of each minimum, eight to a number: equal minima have equal bits."""
+    return [int(x) for x in (postings & 0xFF).astype(np.uint8).view(np.int64)]
+
+
+def agreeing(a: str, b: str) -> Column:
+    """Coordinates in which two packed signatures have equal bits: at least those with equal minima."""
+    total = F.lit(0)
+    for i in range(COORDINATES // 8):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """cls, s: the sets of the classes in wanted. Only documents that stand for one of them are read again."""
+    """cls, s, sig: sets and packed signatures of the classes in wanted. Only documents that stand for one of them are read again."""
+    wanted = scratch(wanted, "wanted")
     stand_in = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("one"))
     ids = scratch(stand_in.select(F.col("one.id").alias("_id")).distinct(), "stand-ins")
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))
@@ -127,9 +144,14 @@ def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, doc_id: str,
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 sets = [s for x in batch.column(0).slice(start, 500) if len(s := own.shingles(x.as_py() or ""))]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "s"])
+                columns = [
+                    pa.array([class_of(s) for s in sets], pa.int64()),
+                    pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([packed(own.postings(s)) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "s", "sig"])
 
-    found = some.select("text").mapInArrow(work, "cls long, s array<long>")
+    found = some.select("text").mapInArrow(work, "cls long, s array<long>, sig array<long>")
     return scratch(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
@@ -148,13 +170,13 @@ def starred(lists: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """cls, pivot -> also na, np, both (size of the intersection) and delta (the tokens in one of the sets only); MEMBER pairs only."""
+    """cls, pivot -> also sig, na, np, both (size of the intersection) and delta (the tokens in one of the sets only); MEMBER pairs only."""
     a = pairs.join(sets, "cls")
     b = a.join(sets.select(F.col("cls").alias("pivot"), F.col("s").alias("ps")), "pivot")
     sized = b.withColumn("na", F.size("s")).withColumn("np", F.size("ps")).filter(F.least("na", "np") >= F.greatest("na", "np") * MEMBER)
     met = sized.withColumn("both", F.size(F.array_intersect("s", "ps")))
     near = met.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * MEMBER)
-    return near.select("cls", "pivot", "na", "np", "both", F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("delta"))
+    return near.select("cls", "pivot", "sig", "na", "np", "both", F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("delta"))
 
 
 def linked(both: Column, a: Column, b: Column) -> Column:
@@ -169,16 +191,24 @@ def components(edges: DataFrame) -> DataFrame:
         if ways.isEmpty():
             break
         up = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
-        up = scratch(up, "up")
         twice = scratch(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select(F.col("a").alias("node"), F.col("top").alias("root")), "roots")
-        if mapping is None:
-            mapping = twice
-        else:
-            mapping = scratch(mapping.join(twice.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "mapping")
-        rest = ways.join(twice.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(twice.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        mapping = twice if mapping is None else followed(mapping, twice)
+        rest = renamed(ways, twice)
     return mapping if mapping is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
+def followed(mapping: DataFrame, roots: DataFrame) -> DataFrame:
+    """mapping's roots replaced by what roots maps them to."""
+    return mapping.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def renamed(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges a, b between the roots of their ends."""
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+
+
 def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
     """Further links a, b within pivots' neighbourhoods, between different components so far.
 
@@ -186,27 +216,30 @@ def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
     differences from a pivot p share at least (|Da| + |Db| - c(|a| + |b|)) / 2 tokens. If b
     is not linked to p, |Db| > c(|b| + |p|), which bounds that number from below for each
     side alone, and so the length of the prefix of rarest tokens under which both must meet.
+    Those that meet are compared in full if their packed signatures agree often enough.
     """
     c = (100 - PERCENT) / (100 + PERCENT)
     member = near.filter(F.size("delta") > 0).withColumn("far", ~linked(F.col("both"), F.col("na"), F.col("np"))).withColumn("d", F.size("delta"))
     mixed = member.groupBy("pivot").agg(F.bool_or("far").alias("any"), F.count(F.lit(1)).alias("m")).filter("any and m > 1").select("pivot")
-    member = member.join(mixed, "pivot", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    tokens = member.select("pivot", "cls", "root", "na", "np", "d", "far", F.explode("delta").alias("token"))
-    counted = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(counted, ["pivot", "token"])
-    own = Window.partitionBy("pivot", "cls")
-    # tokens that no other member has are the rarest and fill the prefix first
-    placed = shared.withColumn("place", F.row_number().over(own.orderBy("df", "token")) + F.col("d") - F.count(F.lit(1)).over(own))
+    member = member.join(mixed, "pivot", "left_semi").withColumn("member", F.xxhash64("pivot", "cls"))
+    # a token of a neighbourhood and a member are one number each
+    tokens = member.select("member", "pivot", F.explode("delta").alias("t")).select("member", F.xxhash64("pivot", "t").alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = tokens.join(counted, "token")
+    facts = member.select("member", "pivot", "cls", "sig", "na", "np", "d", "far").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # tokens that no other member has are the rarest and fill the prefix first: places count from the end
+    placed = shared.withColumn("left", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("df"), F.desc("token")))).drop("df").join(facts, "member")
     at_least = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1))
-    any_side = F.col("place") <= F.col("d") - at_least((F.col("d") + c * (F.col("np") - F.col("na"))) / 2) + 1
-    far_side = F.col("far") & (F.col("place") <= F.col("d") - at_least((F.col("d") - c * (F.col("na") + F.col("np")) + 1 - c) / 2) + 1)
-    placed = scratch(placed.withColumn("any_side", any_side).withColumn("far_side", far_side).filter("any_side or far_side").drop("place"), "prefixes")
-    x = placed.filter("any_side").select("pivot", "token", *[F.col(k).alias(f"x_{k}") for k in ("cls", "root", "na", "d", "far")])
-    y = placed.filter("far_side").select("pivot", "token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "root", "na", "d")])
+    any_side = F.col("left") >= at_least((F.col("d") + c * (F.col("np") - F.col("na"))) / 2)
+    far_side = F.col("far") & (F.col("left") >= at_least((F.col("d") - c * (F.col("na") + F.col("np")) + 1 - c) / 2))
+    placed = scratch(placed.withColumn("any_side", any_side).withColumn("far_side", far_side).filter("any_side or far_side").drop("left", "np", "member"), "prefixes")
+    x = placed.filter("any_side").select("token", *[F.col(k).alias(f"x_{k}") for k in ("pivot", "cls", "root", "sig", "na", "d", "far")])
+    y = placed.filter("far_side").select("token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "root", "sig", "na", "d")])
     need = (F.col("x_d") + F.col("y_d") - c * (F.col("x_na") + F.col("y_na"))) / 2
     once = ~F.col("x_far") | (F.col("x_cls") < F.col("y_cls"))
-    met = x.join(y, ["pivot", "token"]).filter((F.col("x_root") != F.col("y_root")) & once & (need <= F.least("x_d", "y_d")))
-    pairs = met.groupBy(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).agg(F.min("pivot").alias("pivot"))
+    alike = (F.least("x_na", "y_na") * 100 >= F.greatest("x_na", "y_na") * PERCENT) & (agreeing("x_sig", "y_sig") >= MATCHES)
+    met = x.join(y, "token").filter((F.col("x_root") != F.col("y_root")) & once & (need <= F.least("x_d", "y_d")) & alike)
+    pairs = met.groupBy(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).agg(F.min("x_pivot").alias("pivot"))
     side = lambda n: member.select("pivot", F.col("cls").alias(n), F.col("na").alias(f"n{n}"), F.col("delta").alias(f"d{n}"))
     both = pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
@@ -216,29 +249,27 @@ def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows = scratch(signed(docs, doc_id, text), "signed")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("postings").alias("postings"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.first("postings").alias("postings"))
     lists = scratch(busy(classes.select("cls", F.explode("postings").alias("token"))), "lists")
+    members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     near, sets = None, None
     while not lists.isEmpty():
+        sets = full_sets(docs, rows, lists.select("cls").distinct(), doc_id, text) if sets is None else sets
         stars = scratch(starred(lists), "stars")
-        pairs = scratch(stars.filter("cls != pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= MEMBER_MATCHES).select("cls", "pivot"), "candidates")
-        wanted = pairs.select("cls").unionByName(pairs.select(F.col("pivot").alias("cls"))).distinct()
-        wanted = scratch(wanted if sets is None else wanted.join(sets.select("cls"), "cls", "left_anti"), "wanted")
-        more = full_sets(docs, rows, wanted, doc_id, text)
-        sets = more if sets is None else sets.unionByName(more)
+        pairs = stars.filter("cls != pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= MEMBER_MATCHES).select("cls", "pivot")
         found = scratch(confirmed(pairs, sets), "confirmed")
         near = found if near is None else near.unionByName(found)
         deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "pivot")
         rest = stars.filter("cls != pivot").join(deep, ["cls", "pivot"], "left_anti")
         lists = scratch(busy(rest), "lists")
-    members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
     else:
         stars_linked = near.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-        more = scratch(completed(near, components(stars_linked)), "completed")
-        roots = components(stars_linked.unionByName(more))
-        rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        roots = components(stars_linked)
+        more = renamed(scratch(completed(near, roots), "completed"), roots)
+        tops = components(more)
+        rooted = followed(followed(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")), roots), tops).withColumnRenamed("node", "cls").join(members, "cls")
         least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
         names = rooted.join(least, "root").select("cls", "component_id")
     joined = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(names, "cls", "left")
