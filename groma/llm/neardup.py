@@ -250,18 +250,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows = scratch(signed(docs, doc_id, text), "signed")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.first("postings").alias("postings"))
-    lists = scratch(busy(classes.select("cls", F.explode("postings").alias("token"))), "lists")
+    stars = scratch(starred(busy(classes.select("cls", F.explode("postings").alias("token")))), "stars")
     members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     near, sets = None, None
-    while not lists.isEmpty():
-        sets = full_sets(docs, rows, lists.select("cls").distinct(), doc_id, text) if sets is None else sets
-        stars = scratch(starred(lists), "stars")
+    while not stars.isEmpty():
+        sets = full_sets(docs, rows, stars.select("cls").distinct(), doc_id, text) if sets is None else sets
         pairs = stars.filter("cls != pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= MEMBER_MATCHES).select("cls", "pivot")
         found = scratch(confirmed(pairs, sets), "confirmed")
         near = found if near is None else near.unionByName(found)
         deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "pivot")
         rest = stars.filter("cls != pivot").join(deep, ["cls", "pivot"], "left_anti")
-        lists = scratch(busy(rest), "lists")
+        stars = scratch(starred(busy(rest)), "stars")
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
     else:
