@@ -144,7 +144,8 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
     if short.isEmpty():
         return first
     blocks = max(1, -(-stored.filter("t = 0").count() // BLOCK_VECTORS))
-    dealt = good.select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("bucket"), "vec_id", "v")
+    # written, so that the two sides to be compared are different tables
+    dealt = scratch(good.select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("bucket"), "vec_id", "v"), "blocks")
     everywhere = short.select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), F.col("vec_id").alias("query_id"))
     counted = dealt.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"))
     again = best(dealt, counted, everywhere, queries, k)
