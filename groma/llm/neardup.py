@@ -1,17 +1,19 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Documents with equal shingle sets form a class. Each class is posted under every pair of
-coordinate and minimum of its signature. Linked sets agree in so many coordinates that a
+coordinate and minimum of its signature. Linked sets agree in so many coordinates that they
+meet under the shortest lists of both (prefix filter): the longest ones are skipped, and a
 class with fewer than ``MATCHES`` lists of two or more is out at once. In each list the most
-central class is the pivot; collisions are counted between a class and its pivots only,
-never among all members, and pairs with enough of them are confirmed on full shingle sets.
+central class is the pivot; a class is merged with its pivots only, never with all members,
+and compared with them on full shingle sets.
 
 What a star of pivots cannot show is completed exactly. Two sets that are both close to a
 pivot are compared by their differences from it: if they are linked and not both linked to
 the pivot, they must share a given number of difference tokens, so they meet under one of
 their rarest ones (prefix filter), and only those pairs are confirmed. Lists are skipped in
 later rounds for classes deep in their pivot's neighbourhood, whose links the triangle
-inequality keeps inside it; the others choose new pivots until no list is left.
+inequality keeps inside it; the others choose new pivots. Once a round leaves most lists as
+they were, the classes left in them are joined on the rarest shingles of their full sets.
 
 The chance that a link at the threshold shows fewer than MATCHES of COORDINATES equal
 minima is 6e-7; all other steps are exact, but for 64-bit hashes of shingles and classes.
@@ -36,11 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, scratch, table
 
-SHINGLE, COORDINATES, MATCHES, MEMBER_MATCHES = 5, 32, 16, 2
+SHINGLE, COORDINATES, MATCHES = 5, 32, 16
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Members of a pivot's neighbourhood, and those deep in it: with d = 1 - similarity, what is linked to one with d <= 0.7 has d <= 0.85.
 MEMBER, DEEP = 0.15, 0.30
+#: Rounds go on while each leaves at most this part of the lists; pivots that many others are close to are used up then.
+STALLED = 0.5
 SEED = 5
 #: A list of at most this many numbers (some 16 MB) is broadcast; a longer one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
@@ -155,18 +159,42 @@ def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, doc_id: str,
     return scratch(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
-def busy(lists: DataFrame) -> DataFrame:
-    """cls, token of lists of two or more, for classes in at least MATCHES of them, with the list's length n."""
+def posted(lists: DataFrame) -> DataFrame:
+    """cls, token, pop: the lists under which a class must meet whatever it is linked to.
+
+    Linked classes share MATCHES of COORDINATES lists. Lists of one are the shortest of all and
+    come first in every class's order, so k longer ones leave the k - MATCHES + 1 shortest of them
+    as the prefix; the longest lists (passages that many documents quote) are skipped. pop, the
+    length of all lists of a class together, tells how central it is.
+    """
     lengths = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = lists.select("cls", "token").join(lengths, "token")
-    return shared.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("cls"))).filter(F.col("k") >= MATCHES).select("cls", "token", "n")
+    own = Window.partitionBy("cls")
+    shared = lists.join(lengths, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("n").over(own))
+    placed = shared.withColumn("place", F.row_number().over(own.orderBy("n", "token")))
+    return placed.filter(F.col("place") <= F.col("k") - MATCHES + 1).select("cls", "token", "pop")
 
 
 def starred(lists: DataFrame) -> DataFrame:
-    """cls, token, pivot: the class of each list whose own lists are longest altogether."""
-    central = lists.withColumn("pop", F.sum("n").over(Window.partitionBy("cls")))
-    pivots = central.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("pivot"))
-    return central.select("cls", "token").join(pivots, "token")
+    """cls, token, pop, pivot: the most central class of each list of two or more."""
+    pivots = lists.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return lists.join(pivots, "token").select("cls", "token", "pop", "pivot")
+
+
+def leftover(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """cls, pivot: pairs of these classes that meet under one of the shingles of their prefixes and may be linked.
+
+    Linked sets share at least PERCENT of the larger one, so they meet among the rarest
+    shingles of both that are left when that many are taken off. Places count from the
+    most frequent shingle on: those that no other class has are the rarest.
+    """
+    own = classes.join(sets, "cls").withColumn("n", F.size("s"))
+    tokens = own.select("cls", "n", F.explode("s").alias("token"))
+    shared = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "token")
+    placed = shared.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("token"))))
+    prefix = scratch(placed.filter(F.col("place") * 100 >= F.col("n") * PERCENT).join(own.select("cls", "sig"), "cls").select("cls", "token", "n", "sig"), "prefixes")
+    x, y = prefix, prefix.select("token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "n", "sig")])
+    alike = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * PERCENT) & (agreeing("sig", "y_sig") >= MATCHES)
+    return x.join(y, "token").filter((F.col("cls") < F.col("y_cls")) & alike).select("cls", F.col("y_cls").alias("pivot")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,21 +278,26 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows = scratch(signed(docs, doc_id, text), "signed")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.first("postings").alias("postings"))
-    stars = scratch(starred(busy(classes.select("cls", F.explode("postings").alias("token")))), "stars")
+    stars = scratch(starred(posted(classes.select("cls", F.explode("postings").alias("token")))), "stars")
     members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    near, sets = None, None
-    while not stars.isEmpty():
+    near, sets, last = None, None, None
+    left, before = stars.count(), None
+    while left:
         sets = full_sets(docs, rows, stars.select("cls").distinct(), doc_id, text) if sets is None else sets
-        pairs = stars.filter("cls != pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= MEMBER_MATCHES).select("cls", "pivot")
-        found = scratch(confirmed(pairs, sets), "confirmed")
+        if before is not None and left > before * STALLED:
+            last = scratch(confirmed(leftover(stars.select("cls").distinct(), sets), sets), "last")
+            break
+        found = scratch(confirmed(stars.filter("cls != pivot").select("cls", "pivot").distinct(), sets), "confirmed")
         near = found if near is None else near.unionByName(found)
         deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "pivot")
-        rest = stars.filter("cls != pivot").join(deep, ["cls", "pivot"], "left_anti")
-        stars = scratch(starred(busy(rest)), "stars")
+        rest = stars.filter("cls != pivot").join(deep, ["cls", "pivot"], "left_anti").select("cls", "token", "pop")
+        stars = scratch(starred(rest), "stars")
+        left, before = stars.count(), left
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
     else:
-        stars_linked = near.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+        met = near if last is None else near.unionByName(last)
+        stars_linked = met.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
         roots = components(stars_linked)
         more = renamed(scratch(completed(near, roots), "completed"), roots)
         tops = components(more)
