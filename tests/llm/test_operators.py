@@ -77,6 +77,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_by_hand(docs)
 
 
+def test_near_duplicates_around_a_shared_passage(spark, monkeypatch):
+    """Documents that quote one passage are close to no pivot: rounds stall, and their links must be found all the same."""
+    seen, whole = [], neardup.leftover
+    monkeypatch.setattr(neardup, "leftover", lambda *a: seen.append(1) or whole(*a))
+    rng = random.Random(12)
+    passage, docs = [f"p{i}" for i in range(64)], []
+    for i in range(60):
+        body = passage + [f"u{i}x{j}" for j in range(72)]
+        docs.append((2 * i, " ".join(body)))
+        if i % 3 == 0:
+            body[rng.randrange(len(body))] = "other"
+            docs.append((2 * i + 1, " ".join(body)))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_by_hand(docs)
+    assert sum(not r.kept for r in got) == 20 and seen
+
+
 def test_near_duplicates_of_awkward_and_no_rows(spark, awkward, nothing):
     got = rows_of(neardup.near_duplicates(awkward))
     assert len(got) == awkward.count()
