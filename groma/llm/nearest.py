@@ -7,9 +7,15 @@ usual distance of neighbours, learned from a bounded sample. Buckets are visited
 order of the product of these chances until they add up to ``success``. What the tables find
 is merged and ranked by exact distance.
 
+The usual distance only says where to begin: it is small where many vectors are copies of each
+other, whatever the distances of the rest. So each query then goes by its own k-th candidate:
+if that is farther than the usual distance, the buckets that hold ``success`` of the vectors at
+the candidate's distance are visited too.
+
 Buckets are split into blocks of bounded size on both sides, so a bucket with a third of all
 vectors is many tasks, and only each block's best k of a query leave it. A query for which
-fewer than k are found is compared with all vectors, in blocks.
+fewer than k are found, or whose k-th candidate is too far for the buckets in reach, is compared
+with all vectors, in blocks.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite components take no part; ties go to the smaller id; repeated rows count
@@ -53,6 +59,7 @@ class Hashes:
         spread = float(np.mean([np.std(sample @ a) for a in self.a])) or 1.0
         self.w = width * spread
         self.b = rng.uniform(0, self.w, (tables, functions)) - np.stack([np.median(sample @ a, axis=0) for a in self.a])
+        sample = np.unique(sample, axis=0)  # copies say nothing of the distance between others
         squares = (sample**2).sum(1)
         away = np.sqrt(np.maximum(0, squares[:, None] + squares[None] - 2 * sample @ sample.T))
         self.near = max(float(np.median(np.sort(away, axis=1)[:, min(k, len(sample) - 1)])), 1e-3 * self.w)
@@ -76,11 +83,11 @@ class Hashes:
                 mixed = mixed * np.int64(1_000_003) + numbers[..., j]
         return mixed
 
-    def probes(self, x: np.ndarray, t: int) -> list[np.ndarray]:
-        """Buckets to visit for each query, best first."""
+    def probes(self, x: np.ndarray, t: int, far: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+        """Buckets to visit for each query, best first, for neighbours at the query's distance ``far``; and whether they hold enough of them."""
         numbers, places = self.place(x, t)
         phi = np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)))
-        scale = self.near / self.w
+        scale = (far / self.w)[:, None, None]
         edges = np.arange(-self.reach, self.reach + 2)
         below = phi((edges[None, None, :] - places[:, :, None]) / scale)
         chance = np.diff(below, axis=2)
@@ -90,7 +97,7 @@ class Hashes:
             order = np.argsort(-product, kind="stable")
             enough = int(np.searchsorted(np.cumsum(product[order]), self.success)) + 1
             moved = numbers[i] + self.steps[self.moves[order[:enough]]]
-            found.append(self.bucket(moved))
+            found.append((self.bucket(moved), enough <= len(order)))
         return found
 
 
@@ -131,16 +138,32 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
                 part = batch.slice(start, 256)
                 x = np.stack(part.column(1).to_numpy(zero_copy_only=False))
                 for t in range(tables):
-                    for i, found in enumerate(held.value.probes(x, t)):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t, np.int32)), pa.array(found), part.column(0).take(pa.array([i] * len(found)))], ["t", "bucket", "query_id"])
+                    for i, (found, _) in enumerate(held.value.probes(x, t, np.full(len(x), held.value.near))):
+                        yield visits_of(part, i, t, found)
+
+    def probe_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets that the query's own distance adds; table -1 for a query that has too few in reach."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                x, far = np.stack(part.column(1).to_numpy(zero_copy_only=False)), part.column(2).to_numpy(zero_copy_only=False)
+                for t in range(tables):
+                    before = held.value.probes(x, t, np.full(len(x), held.value.near))
+                    for i, (found, enough) in enumerate(held.value.probes(x, t, far)):
+                        yield visits_of(part, i, t, np.setdiff1d(found, before[i][0])) if enough else visits_of(part, i, -1, np.zeros(1, np.int64))
 
     stored = scratch(good.mapInArrow(index, "t int, bucket long, vec_id long, v array<double>"), "buckets")
     queries = good.filter(is_query).select("vec_id", "v")
     sizes = scratch(stored.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
     visits = queries.mapInArrow(probe, "t int, bucket long, query_id long")
     first = best(stored, sizes, visits, queries, k)
-    short = queries.join(first.groupBy(F.col("query_id").alias("vec_id")).agg(F.max("rank").alias("n")), "vec_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("vec_id")
-    short = scratch(short, "short")
+    kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("far"))
+    on = queries.join(kth.filter(F.col("far") > held.value.near), "vec_id").select("vec_id", "v", "far")
+    on = scratch(on.mapInArrow(probe_on, "t int, bucket long, query_id long"), "visits-on")
+    short = scratch(queries.join(kth, "vec_id", "left_anti").select("vec_id").union(on.filter("t < 0").select("query_id")).distinct(), "short")
+    more = best(stored, sizes, on.filter("t >= 0").join(short, on["query_id"] == short["vec_id"], "left_anti"), queries, k)
+    merged = first.drop("rank").unionByName(more.drop("rank")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    first = ranked(merged, k)
     if short.isEmpty():
         return first
     blocks = max(1, -(-stored.filter("t = 0").count() // BLOCK_VECTORS))
@@ -152,6 +175,15 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
     return first.join(short, first["query_id"] == short["vec_id"], "left_anti").unionByName(again)
 
 
+def visits_of(part: pa.RecordBatch, i: int, t: int, buckets: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), t, np.int32)), pa.array(buckets), part.column(0).take(pa.array([i] * len(buckets), pa.int64()))], ["t", "bucket", "query_id"])
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return scratch(order.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+
+
 def best(stored: DataFrame, sizes: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query in the buckets it visits."""
     visits = scratch(visits.join(sizes, ["t", "bucket"]), "visits")
@@ -171,9 +203,7 @@ def best(stored: DataFrame, sizes: DataFrame, visits: DataFrame, queries: DataFr
 
     keys = ["t", "bucket", "p", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, FOUND)
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return scratch(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,26 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_where_half_the_vectors_are_copies(spark):
+    """Copies and near copies make the usual distance vanish; queries outside their groups need their own."""
+    rng = np.random.default_rng(3)
+    single = rng.standard_normal((1400, 64)) + rng.standard_normal((14, 64))[np.arange(1400) % 14]
+    groups = np.concatenate([np.repeat(single[:1], 1000, axis=0), single[1] + 1e-6 * rng.standard_normal((600, 64))])
+    a = np.concatenate([single, groups])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(a)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, (F.col("vec_id") % 35 == 5) | (F.col("vec_id") == 2000)).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    recalls = {}
+    for q, found in got.items():
+        d = np.sqrt(((a - a[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert len(found) == 10
+        recalls[q] = np.mean([s <= np.sort(d)[9] + 1e-6 for _, s in found])
+    outside = [v for q, v in recalls.items() if q < 1400]
+    assert len(outside) == 40 and np.mean(outside) >= 0.9 and recalls[2000] == 1
+
+
 def test_neighbours_of_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in nearest.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
