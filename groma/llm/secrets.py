@@ -32,19 +32,20 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET)
 #: Log-likelihood ratio, in nats: at least this much in all, and per pair of neighbours.
 LEAST_TOTAL, LEAST_MEAN = 15.0, 1.0
-#: Bounds of the labelled samples: random strings made, and corpus rows from which identifiers are read.
-RANDOM_ROWS, IDENTIFIER_ROWS = 6000, 500
+#: Random strings made for the labelled sample.
+RANDOM_ROWS = 6000
 
 
-def labelled_samples(docs: DataFrame, *, text: str = "text", random_rows: int = RANDOM_ROWS, identifier_rows: int = IDENTIFIER_ROWS) -> DataFrame:
+def labelled_samples(docs: DataFrame, *, text: str = "text", random_rows: int = RANDOM_ROWS) -> DataFrame:
     """token, label (1: random string, 0: ordinary identifier). Random strings come from hashes of numbers, in
-    hexadecimal, base 64 and upper-case forms; identifiers are the words of at most ``identifier_rows`` documents, with words of names joined as in code."""
+    hexadecimal, base 64 and upper-case forms; identifiers are the distinct words of all documents, with words of names joined as in code.
+    Neither the order of rows nor copies matter. Long tokens, which may be keys themselves, are left out of the words."""
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")).cast("binary"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     form = F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 3 == 1, base64).otherwise(F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 1, 32)))
     made = docs.sparkSession.range(random_rows).select(form.alias("token"), F.lit(1).alias("label"))
-    some = docs.select(F.col(text).alias("text")).filter("text is not null").limit(identifier_rows)
-    word = some.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("word")).filter(F.length("word") >= 4).distinct()
+    shorter = docs.select(F.regexp_replace(text, TOKEN, " ").alias("text"))
+    word = shorter.select(F.explode(F.array_distinct(F.split("text", r"[^A-Za-z]+"))).alias("word")).filter(F.length("word") >= 4).distinct()
     shapes = F.array(F.col("word"), F.lower("word"), F.concat(F.lower("word"), F.lit("_"), F.lower("word")), F.concat(F.initcap(F.lower("word")), F.initcap(F.lower("word"))), F.concat(F.lit("/"), F.lower("word"), F.lit("-"), F.lower("word")))
     names = word.select(F.explode(shapes).alias("token"), F.lit(0).alias("label"))
     known = docs.sparkSession.range(1000).select(F.concat(F.lit("page_"), F.col("id").cast("string"), F.lit("-item"), (F.col("id") % 97).cast("string")).alias("token"), F.lit(0).alias("label"))

@@ -155,6 +155,18 @@ def test_secrets_beyond_the_patterns(spark, awkward, nothing):
     assert secrets.scan(awkward, model).count() == awkward.count() and secrets.scan(nothing, model).count() == 0
 
 
+def test_secrets_model_when_copies_come_first(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
+    texts = ["all seven words come from one copy"] * 800 + [" ".join(word() for _ in range(200)) for _ in range(100)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    model = secrets.train(secrets.labelled_samples(docs))
+    assert model == secrets.train(secrets.labelled_samples(docs.distinct().orderBy(F.desc("text"))))
+    keys = [base64.b64encode(hashlib.sha256(b"%d" % i).digest()).decode().rstrip("=") for i in range(60)]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys)], "doc_id long, text string")
+    assert sum([s.kind for s in r.found] == ["random"] for r in secrets.scan(df, model).collect()) >= 50
+
+
 def test_personal_contexts_find_new_identifiers(spark, awkward, nothing):
     texts = [(i, f"please call my number +1 415 55{i:02d} 77{i:02d} soon") for i in range(12)]
     texts += [(100 + i, f"the member id {i}{i}{i}-44-{i}12{i} was mailed from a{i}@example.org today") for i in range(9)]
