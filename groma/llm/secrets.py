@@ -46,7 +46,7 @@ def labelled_samples(docs: DataFrame, *, text: str = "text", random_rows: int =
     made = docs.sparkSession.range(random_rows).select(form.alias("token"), F.lit(1).alias("label"))
     shorter = docs.select(F.regexp_replace(text, TOKEN, " ").alias("text"))
     word = shorter.select(F.explode(F.array_distinct(F.split("text", r"[^A-Za-z]+"))).alias("word")).filter(F.length("word") >= 4).distinct()
-    shapes = F.array(F.col("word"), F.lower("word"), F.concat(F.lower("word"), F.lit("_"), F.lower("word")), F.concat(F.initcap(F.lower("word")), F.initcap(F.lower("word"))), F.concat(F.lit("/"), F.lower("word"), F.lit("-"), F.lower("word")))
+    shapes = F.array(F.col("word"), F.lower("word"), F.upper("word"), F.concat(F.lower("word"), F.lit("_"), F.lower("word")), F.concat(F.upper("word"), F.lit("_"), F.upper("word")), F.concat(F.initcap(F.lower("word")), F.initcap(F.lower("word"))), F.concat(F.lit("/"), F.lower("word"), F.lit("-"), F.lower("word")))
     names = word.select(F.explode(shapes).alias("token"), F.lit(0).alias("label"))
     known = docs.sparkSession.range(1000).select(F.concat(F.lit("page_"), F.col("id").cast("string"), F.lit("-item"), (F.col("id") % 97).cast("string")).alias("token"), F.lit(0).alias("label"))
     return made.unionByName(names).unionByName(known)
@@ -70,12 +70,13 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def likelihood_ratio(token: Column, model: list[float]) -> Column:
-    """Sum over the token's pairs of neighbours of log P(random) - log P(ordinary)."""
+    """Sum over the token's distinct pairs of neighbours of log P(random) - log P(ordinary). A pair said again, as in a rule of dashes, is no new evidence."""
     table_of_pairs = F.from_json(F.lit(json.dumps(model)), "array<double>")
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), code)
 
     def total(numbers: Column) -> Column:
-        terms = F.transform(numbers, lambda c, i: F.coalesce(F.get(table_of_pairs, F.get(numbers, i - 1) * SIZE + c), F.lit(0.0)))
+        pairs = F.array_distinct(F.transform(numbers, lambda c, i: F.get(numbers, i - 1) * SIZE + c))
+        terms = F.transform(pairs, lambda x: F.coalesce(F.get(table_of_pairs, x), F.lit(0.0)))
         return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
     return let(codes, total)
@@ -88,12 +89,12 @@ def base_spans(text: Column) -> Column:
 
 def random_spans(text: Column, base: Column, model: list[float]) -> Column:
     """Tokens for which the random model is the likelier, unless a base span has them already."""
-    mixed = F.filter(spans(text, TOKEN, "random"), lambda s: s["piece"].rlike("[0-9]") & s["piece"].rlike("[A-Za-z]") | s["piece"].rlike("[a-z][A-Z].*[a-z][A-Z]"))
+    lettered = F.filter(spans(text, TOKEN, "random"), lambda s: s["piece"].rlike("[A-Za-z]"))  # without letters: rules, dates, numbers
 
     def likely(s: Column) -> Column:
         return let(likelihood_ratio(s["piece"], model), lambda x: (x >= LEAST_TOTAL) & (x >= LEAST_MEAN * F.length(s["piece"])))
 
-    return F.filter(mixed, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & likely(s))
+    return F.filter(lettered, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & likely(s))
 
 
 def scan(docs: DataFrame, model: list[float], *, text: str = "text") -> DataFrame:

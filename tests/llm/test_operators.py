@@ -167,6 +167,19 @@ def test_secrets_model_when_copies_come_first(spark):
     assert sum([s.kind for s in r.found] == ["random"] for r in secrets.scan(df, model).collect()) >= 50
 
 
+def test_secrets_of_letters_only(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
+    model = secrets.train(secrets.labelled_samples(spark.createDataFrame([(" ".join(word() for _ in range(200)),) for _ in range(100)], "text string")))
+    keys = ["".join(rng.choice(letters) for _ in range(24)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)]
+    plain = [f(word() + word() + word() + word()) for f in (str.lower, str.upper) for _ in range(20)] + [f"{word()}_{word()}_{word()}_{word()}".upper() for _ in range(20)]
+    plain += ["-" * 40, "=" * 24, "a" * 20, "x" + "-" * 30, "-=" * 12, "2024-01-15-10-30-00", "4539-1488-0343-6467"]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.found] for r in secrets.scan(df, model).collect()}
+    assert all(sum(got[i] == ["random"] for i in part) >= 35 for part in (range(40), range(40, 80)))
+    assert not any(got[80 + i] for i in range(len(plain)))
+
+
 def test_personal_contexts_find_new_identifiers(spark, awkward, nothing):
     texts = [(i, f"please call my number +1 415 55{i:02d} 77{i:02d} soon") for i in range(12)]
     texts += [(100 + i, f"the member id {i}{i}{i}-44-{i}12{i} was mailed from a{i}@example.org today") for i in range(9)]
