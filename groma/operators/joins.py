@@ -40,26 +40,31 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def sign_bits(vector: Column) -> Column:
-    """The signs of at most 63 numbers as one number."""
-    return F.aggregate(F.slice(vector, 1, 63), F.lit(0).cast("long"), lambda s, x: s * 2 + (x > 0).cast("long"))
+    """The signs of at most 64 numbers as one number; the first of 64 is its sign bit."""
+    return F.aggregate(F.slice(vector, 1, 64), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR((x > 0).cast("long")))
 
 
-def hamming_pairs(df: DataFrame, *, key: str, bits: str, most: int, width: int = 63) -> DataFrame:
+def hamming_pairs(df: DataFrame, *, key: str, bits: str, most: int, width: int = 64) -> DataFrame:
     """a, b, distance: pairs of keys that differ in at most ``most`` bits.
 
     The bits are cut into most + 1 bands; such a pair is equal in one of them at least, so
-    only rows with a band in common are compared, each pair under its first common band.
+    only patterns with a band in common are compared, each pair under its first common band.
+    Distinct patterns are compared, and their pairs joined with the keys that have them.
     """
     n = most + 1
     cuts = [width * i // n for i in range(n + 1)]
     band = lambda c, i: F.shiftright(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    posted = df.select(F.col(key), F.col(bits), F.posexplode(F.array(*[band(F.col(bits), i) for i in range(n)])).alias("_band", "_value"))
-    x = posted.select(F.col(key).alias("a"), F.col(bits).alias("_x"), "_band", "_value")
-    y = posted.select(F.col(key).alias("b"), F.col(bits).alias("_y"), "_band", "_value")
-    met = x.join(y, ["_band", "_value"]).filter("a < b").withColumn("distance", F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))))
+    rows = df.select(F.col(key).alias("_key"), F.col(bits).alias("_bits"))
+    posted = rows.select("_bits").distinct().select("_bits", F.posexplode(F.array(*[band(F.col("_bits"), i) for i in range(n)])).alias("_band", "_value"))
+    x, y = (posted.select(F.col("_bits").alias(c), "_band", "_value") for c in ("_x", "_y"))
     differs = F.col("_x").bitwiseXOR(F.col("_y"))
     first = F.coalesce(*[F.when(band(differs, i) == 0, i) for i in range(n)])
-    return met.filter((F.col("distance") <= most) & (F.col("_band") == first)).select("a", "b", "distance")
+    met = x.join(y, ["_band", "_value"]).filter("_x <= _y").withColumn("distance", F.bit_count(differs))
+    near = met.filter((F.col("distance") <= most) & (F.col("_band") == first)).select("_x", "_y", "distance")
+    left, right = (rows.select(F.col("_key").alias(k), F.col("_bits").alias(c)) for k, c in (("_p", "_x"), ("_q", "_y")))
+    # of equal patterns each pair comes from both sides
+    pairs = near.join(left, "_x").join(right, "_y").filter((F.col("_p") < F.col("_q")) | (F.col("_p") > F.col("_q")) & (F.col("_x") != F.col("_y")))
+    return pairs.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "distance")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:

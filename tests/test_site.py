@@ -25,6 +25,21 @@ def test_hamming_pairs_against_brute_force(spark):
     assert got == {(a, b): d for a, x in rows for b, y in rows if a < b and (d := (x ^ y).bit_count()) <= 4}
 
 
+def test_hamming_pairs_of_all_64_signs(spark):
+    rng = random.Random(6)
+    base = [[rng.choice([-1.0, 1.0]) for _ in range(64)] for _ in range(6)]
+    rows = []
+    for i in range(120):
+        v = list(base[i % 6])
+        for at in rng.sample([0, 1, 30, 62, 63], rng.randint(0, 4)):
+            v[at] = -v[at]
+        rows.append((i, v))
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", joins.sign_bits(F.col("v")).alias("bits"))
+    got = [(r.a, r.b, r.distance) for r in joins.hamming_pairs(df, key="id", bits="bits", most=4).collect()]
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    assert sorted(got) == sorted((a, b, apart(x, y)) for a, x in rows for b, y in rows if a < b and apart(x, y) <= 4)
+
+
 def test_polygons(spark):
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.0, 0.5)]
     zone = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in square])
