@@ -1,22 +1,25 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Documents with equal shingle sets form a class. Each class is posted under every pair of
-coordinate and minimum of its signature. Linked sets agree in so many coordinates that they
-meet under the shortest lists of both (prefix filter): the longest ones are skipped, and a
-class with fewer than ``MATCHES`` lists of two or more is out at once. In each list the most
-central class is the pivot; a class is merged with its pivots only, never with all members,
-and compared with them on full shingle sets.
-
-What a star of pivots cannot show is completed exactly. Two sets that are both close to a
-pivot are compared by their differences from it: if they are linked and not both linked to
-the pivot, they must share a given number of difference tokens, so they meet under one of
-their rarest ones (prefix filter), and only those pairs are confirmed. Lists are skipped in
-later rounds for classes deep in their pivot's neighbourhood, whose links the triangle
-inequality keeps inside it; the others choose new pivots. Once a round leaves most lists as
-they were, the classes left in them are joined on the rarest shingles of their full sets.
+coordinate and minimum of its signature. Linked sets agree in at least ``MATCHES``
+coordinates, so they meet under the shortest lists of both (prefix); the longest lists
+(passages that many documents quote) are skipped, and what a pair shares in them is counted
+by merging the two signatures. A class with fewer than ``MATCHES`` lists of two or more is
+out at once.
+
+A long list is not expanded into all its pairs. In each of ``ROUNDS`` rounds the most
+central class of a list is its hub, and the others meet the hub only; those deep in its
+neighbourhood leave the list. Links between two members of a neighbourhood are found by
+their differences from the hub: linked sets share a known number of difference tokens, so
+they meet under one of the rarest of them (prefix again, by bands of the difference's size,
+so that a group of near copies costs its members and not its pairs). Lists that still hold
+two classes after the rounds are joined pair by pair. Pairs are retained from ``MATCHES``
+collisions on, and confirmed on full sets.
 
 The chance that a link at the threshold shows fewer than MATCHES of COORDINATES equal
-minima is 6e-7; all other steps are exact, but for 64-bit hashes of shingles and classes.
+minima is 6e-7; all other steps are exact, but for 64-bit hashes of shingles and classes:
+what is linked to a class deep in a hub's neighbourhood is, by the triangle inequality of
+the Jaccard distance, inside the neighbourhood.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts
 of fewer words than a shingle are one shingle; equal ids are one node's name, each of their
@@ -41,10 +44,12 @@ from .common import LOWER, UPPER, scratch, table
 SHINGLE, COORDINATES, MATCHES = 5, 32, 16
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Members of a pivot's neighbourhood, and those deep in it: with d = 1 - similarity, what is linked to one with d <= 0.7 has d <= 0.85.
-MEMBER, DEEP = 0.15, 0.30
-#: Rounds go on while each leaves at most this part of the lists; pivots that many others are close to are used up then.
-STALLED = 0.5
+#: Members of a hub's neighbourhood, and those deep in it: with d = 1 - similarity, what is linked to one with d <= 0.8 has d <= 0.95.
+MEMBER, DEEP = 0.05, 0.20
+#: Rounds of hubs before the lists that are left are joined pair by pair.
+ROUNDS = 3
+#: Width of a band of difference sizes, as a part of the hub's size.
+BAND = 0.04
 SEED = 5
 #: A list of at most this many numbers (some 16 MB) is broadcast; a longer one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
@@ -175,36 +180,27 @@ def posted(lists: DataFrame) -> DataFrame:
 
 
 def starred(lists: DataFrame) -> DataFrame:
-    """cls, token, pop, pivot: the most central class of each list of two or more."""
-    pivots = lists.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return lists.join(pivots, "token").select("cls", "token", "pop", "pivot")
+    """cls, token, pop, hub: the most central class of each list of two or more."""
+    hubs = lists.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return lists.join(hubs, "token").select("cls", "token", "pop", "hub")
 
 
-def leftover(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """cls, pivot: pairs of these classes that meet under one of the shingles of their prefixes and may be linked.
-
-    Linked sets share at least PERCENT of the larger one, so they meet among the rarest
-    shingles of both that are left when that many are taken off. Places count from the
-    most frequent shingle on: those that no other class has are the rarest.
-    """
-    own = classes.join(sets, "cls").withColumn("n", F.size("s"))
-    tokens = own.select("cls", "n", F.explode("s").alias("token"))
-    shared = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "token")
-    placed = shared.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("token"))))
-    prefix = scratch(placed.filter(F.col("place") * 100 >= F.col("n") * PERCENT).join(own.select("cls", "sig"), "cls").select("cls", "token", "n", "sig"), "prefixes")
-    x, y = prefix, prefix.select("token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "n", "sig")])
+def colliding(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """cls, hub: all pairs of the lists with at least MATCHES collisions over the whole signatures."""
+    side = lists.select("cls", "token").join(sets.select("cls", F.size("s").alias("n"), "sig"), "cls")
+    x, y = side, side.select("token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "n", "sig")])
     alike = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * PERCENT) & (agreeing("sig", "y_sig") >= MATCHES)
-    return x.join(y, "token").filter((F.col("cls") < F.col("y_cls")) & alike).select("cls", F.col("y_cls").alias("pivot")).distinct()
+    return x.join(y, "token").filter((F.col("cls") < F.col("y_cls")) & alike).select("cls", F.col("y_cls").alias("hub")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """cls, pivot -> also sig, na, np, both (size of the intersection) and delta (the tokens in one of the sets only); MEMBER pairs only."""
+    """cls, hub -> also sig, na, np, both (size of the intersection) and delta (the tokens in one of the sets only); MEMBER pairs only."""
     a = pairs.join(sets, "cls")
-    b = a.join(sets.select(F.col("cls").alias("pivot"), F.col("s").alias("ps")), "pivot")
+    b = a.join(sets.select(F.col("cls").alias("hub"), F.col("s").alias("ps")), "hub")
     sized = b.withColumn("na", F.size("s")).withColumn("np", F.size("ps")).filter(F.least("na", "np") >= F.greatest("na", "np") * MEMBER)
     met = sized.withColumn("both", F.size(F.array_intersect("s", "ps")))
     near = met.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * MEMBER)
-    return near.select("cls", "pivot", "sig", "na", "np", "both", F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("delta"))
+    return near.select("cls", "hub", "sig", "na", "np", "both", F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("delta"))
 
 
 def linked(both: Column, a: Column, b: Column) -> Column:
@@ -238,40 +234,53 @@ def renamed(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """Further links a, b within pivots' neighbourhoods, between different components so far.
+    """Further links a, b within hubs' neighbourhoods, between different components so far.
 
     With c = (100 - PERCENT) / (100 + PERCENT), sets a and b are linked if and only if their
-    differences from a pivot p share at least (|Da| + |Db| - c(|a| + |b|)) / 2 tokens. If b
-    is not linked to p, |Db| > c(|b| + |p|), which bounds that number from below for each
-    side alone, and so the length of the prefix of rarest tokens under which both must meet.
-    Those that meet are compared in full if their packed signatures agree often enough.
+    differences from a hub share at least (|Da| + |Db| - c(|a| + |b|)) / 2 tokens, and then
+    |Da| and |Db| differ by c(|a| + |b|) at most. Members are dealt to bands of |D|; for each
+    band that a partner can be in, a member is posted under as many of its rarest tokens as
+    the smallest difference of that band asks for. Pairs of which both are linked to the hub
+    are connected already; of the others, those that meet within the prefixes of their exact
+    sizes and collide in MATCHES coordinates are compared in full.
     """
     c = (100 - PERCENT) / (100 + PERCENT)
     member = near.filter(F.size("delta") > 0).withColumn("far", ~linked(F.col("both"), F.col("na"), F.col("np"))).withColumn("d", F.size("delta"))
-    mixed = member.groupBy("pivot").agg(F.bool_or("far").alias("any"), F.count(F.lit(1)).alias("m")).filter("any and m > 1").select("pivot")
-    member = member.join(mixed, "pivot", "left_semi").withColumn("member", F.xxhash64("pivot", "cls"))
+    mixed = member.groupBy("hub").agg(F.bool_or("far").alias("any"), F.count(F.lit(1)).alias("m")).filter("any and m > 1").select("hub")
+    member = member.join(mixed, "hub", "left_semi").withColumn("member", F.xxhash64("hub", "cls"))
     # a token of a neighbourhood and a member are one number each
-    tokens = member.select("member", "pivot", F.explode("delta").alias("t")).select("member", F.xxhash64("pivot", "t").alias("token"))
+    tokens = member.select("member", "hub", F.explode("delta").alias("t")).select("member", F.xxhash64("hub", "t").alias("token"))
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(counted, "token")
-    facts = member.select("member", "pivot", "cls", "sig", "na", "np", "d", "far").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    width = F.greatest(F.lit(1), F.ceil(F.col("np") * BAND)).cast("int")
+    facts = member.select("member", "hub", "cls", "sig", "na", "np", "d", "far", width.alias("w")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # tokens that no other member has are the rarest and fill the prefix first: places count from the end
     placed = shared.withColumn("left", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("df"), F.desc("token")))).drop("df").join(facts, "member")
-    at_least = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1))
-    any_side = F.col("left") >= at_least((F.col("d") + c * (F.col("np") - F.col("na"))) / 2)
-    far_side = F.col("far") & (F.col("left") >= at_least((F.col("d") - c * (F.col("na") + F.col("np")) + 1 - c) / 2))
-    placed = scratch(placed.withColumn("any_side", any_side).withColumn("far_side", far_side).filter("any_side or far_side").drop("left", "np", "member"), "prefixes")
-    x = placed.filter("any_side").select("token", *[F.col(k).alias(f"x_{k}") for k in ("pivot", "cls", "root", "sig", "na", "d", "far")])
-    y = placed.filter("far_side").select("token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "root", "sig", "na", "d")])
-    need = (F.col("x_d") + F.col("y_d") - c * (F.col("x_na") + F.col("y_na"))) / 2
-    once = ~F.col("x_far") | (F.col("x_cls") < F.col("y_cls"))
-    alike = (F.least("x_na", "y_na") * 100 >= F.greatest("x_na", "y_na") * PERCENT) & (agreeing("x_sig", "y_sig") >= MATCHES)
-    met = x.join(y, "token").filter((F.col("x_root") != F.col("y_root")) & once & (need <= F.least("x_d", "y_d")) & alike)
-    pairs = met.groupBy(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).agg(F.min("x_pivot").alias("pivot"))
-    side = lambda n: member.select("pivot", F.col("cls").alias(n), F.col("na").alias(f"n{n}"), F.col("delta").alias(f"d{n}"))
-    both = pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return both.filter(linked((F.col("na") + F.col("nb") - apart) / 2, F.col("na"), F.col("nb"))).select("a", "b")
+    # a place with so many tokens left, its own included, is in the prefix for a partner from whose difference left >= need follows
+    slack = F.col("na") * (c * (1 + 100 / PERCENT))
+    own = F.floor(F.col("d") / F.col("w")).cast("int")
+    least_far = F.when(F.col("far"), F.lit(0)).otherwise(F.floor(c * (F.col("na") * (PERCENT / 100) + F.col("np")) / F.col("w")).cast("int"))
+    low = F.greatest(F.floor((F.col("d") - slack) / F.col("w")).cast("int"), least_far, F.lit(0))
+    # the place counts for partners whose difference is at most 2 * left - d + slack
+    high = F.floor(F.least(2 * F.col("left") - F.col("d") + slack + 1e-6, F.col("d") + slack) / F.col("w")).cast("int")
+    reach = placed.withColumn("own", own).withColumn("low", low).withColumn("high", high).filter("low <= high").drop("member")
+    reach = scratch(reach, "prefixes")
+    bands = lambda a, b: F.explode(F.sequence(a, b))
+    up = reach.filter("high >= own").withColumn("other", bands(F.greatest("low", "own"), F.col("high")))
+    down = reach.filter("low <= own").withColumn("other", bands(F.col("low"), F.least("high", "own")))
+    keep = ("hub", "cls", "root", "sig", "na", "d", "far", "left")
+    x = up.select("token", F.col("own").alias("lower"), F.col("other").alias("upper"), *[F.col(k).alias(f"x_{k}") for k in keep])
+    y = down.select("token", F.col("other").alias("lower"), F.col("own").alias("upper"), *[F.col(k).alias(f"y_{k}") for k in keep if k != "hub"])
+    need = (F.col("x_d") + F.col("y_d") - c * (F.col("x_na") + F.col("y_na"))) / 2 - 1e-6
+    once = (F.col("lower") < F.col("upper")) | (F.col("x_cls") < F.col("y_cls"))
+    apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_far") | F.col("y_far"))
+    sized = (F.least("x_na", "y_na") * 100 >= F.greatest("x_na", "y_na") * PERCENT) & (need <= F.least("x_left", "y_left"))
+    met = x.join(y, ["token", "lower", "upper"]).filter(apart & once & sized & (agreeing("x_sig", "y_sig") >= MATCHES))
+    pairs = met.groupBy(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).agg(F.min("x_hub").alias("hub"))
+    side = lambda n: member.select("hub", F.col("cls").alias(n), F.col("na").alias(f"n{n}"), F.col("delta").alias(f"d{n}"))
+    both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    difference = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.filter(linked((F.col("na") + F.col("nb") - difference) / 2, F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,27 +289,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = rows.filter("n > 0").groupBy("cls").agg(F.first("postings").alias("postings"))
     stars = scratch(starred(posted(classes.select("cls", F.explode("postings").alias("token")))), "stars")
     members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    near, sets, last = None, None, None
-    left, before = stars.count(), None
-    while left:
-        sets = full_sets(docs, rows, stars.select("cls").distinct(), doc_id, text) if sets is None else sets
-        if before is not None and left > before * STALLED:
-            last = scratch(confirmed(leftover(stars.select("cls").distinct(), sets), sets), "last")
+    near, sets, rest = None, None, None
+    for _ in range(ROUNDS):
+        if stars.isEmpty():
             break
-        found = scratch(confirmed(stars.filter("cls != pivot").select("cls", "pivot").distinct(), sets), "confirmed")
+        sets = full_sets(docs, rows, stars.select("cls").distinct(), doc_id, text) if sets is None else sets
+        found = scratch(confirmed(stars.filter("cls != hub").select("cls", "hub").distinct(), sets), "confirmed")
         near = found if near is None else near.unionByName(found)
-        deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "pivot")
-        rest = stars.filter("cls != pivot").join(deep, ["cls", "pivot"], "left_anti").select("cls", "token", "pop")
+        deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "hub")
+        rest = stars.filter("cls != hub").join(deep, ["cls", "hub"], "left_anti").select("cls", "token", "pop")
         stars = scratch(starred(rest), "stars")
-        left, before = stars.count(), left
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
     else:
-        met = near if last is None else near.unionByName(last)
-        stars_linked = met.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-        roots = components(stars_linked)
-        more = renamed(scratch(completed(near, roots), "completed"), roots)
-        tops = components(more)
+        met = near if stars.isEmpty() else near.unionByName(scratch(confirmed(colliding(stars, sets), sets), "last"))
+        roots = components(met.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+        tops = components(renamed(scratch(completed(near, roots), "completed"), roots))
         rooted = followed(followed(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")), roots), tops).withColumnRenamed("node", "cls").join(members, "cls")
         least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
         names = rooted.join(least, "root").select("cls", "component_id")

@@ -78,9 +78,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_near_duplicates_around_a_shared_passage(spark, monkeypatch):
-    """Documents that quote one passage are close to no pivot: rounds stall, and their links must be found all the same."""
-    seen, whole = [], neardup.leftover
-    monkeypatch.setattr(neardup, "leftover", lambda *a: seen.append(1) or whole(*a))
+    """Documents that quote one passage are close to no hub: what the rounds leave is joined pair by pair, with the same result."""
     rng = random.Random(12)
     passage, docs = [f"p{i}" for i in range(64)], []
     for i in range(60):
@@ -89,9 +87,30 @@ def test_near_duplicates_around_a_shared_passage(spark, monkeypatch):
         if i % 3 == 0:
             body[rng.randrange(len(body))] = "other"
             docs.append((2 * i + 1, " ".join(body)))
+    df, want = spark.createDataFrame(docs, "doc_id long, text string"), components_by_hand(docs)
+    assert sum(not kept for _, _, kept in want.values()) == 20
+    pairs, whole = [], neardup.colliding
+    for rounds, deep in ((neardup.ROUNDS, neardup.DEEP), (1, 0.99)):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        monkeypatch.setattr(neardup, "DEEP", deep)
+        monkeypatch.setattr(neardup, "colliding", lambda *a: pairs.append(1) or whole(*a))
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
+    assert pairs
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """One text with few to many words replaced, left out or put in: links, chains, and members linked with nothing."""
+    rng = random.Random(13)
+    base, docs = [f"b{i}" for i in range(150)], []
+    for i in range(400):
+        body = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 8, 16])):
+            at = rng.randrange(len(body))
+            body[at : at + 1] = rng.choice([[f"n{rng.randrange(40)}"], [], [body[at], f"n{rng.randrange(40)}"]])
+        docs.append((i, " ".join(body)))
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_by_hand(docs)
-    assert sum(not r.kept for r in got) == 20 and seen
+    want = components_by_hand(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want and sum(k for _, _, k in want.values()) > 20
 
 
 def test_near_duplicates_of_awkward_and_no_rows(spark, awkward, nothing):
