@@ -1,16 +1,19 @@
 """Personal data (PII).
 
 Base patterns find e-mail and IP addresses, card and phone numbers. From these seeds the
-bootstrap learns contexts: every token with a digit or @ is an instance, and a pattern is
-the words beside it with the token's shape. On the graph of patterns and instances, scores
-go back and forth: a pattern is trusted by the share of its instances that are known, an
-instance by the trusted patterns that it occurs in. Instances that no base pattern has, but
-trusted patterns do, become spans of their own (kind ``context``).
+bootstrap learns contexts. A candidate is a run of words with digits or @, single spaces
+between them, so that a number written in groups is one. Its lexical patterns are the two
+words before it, and the word before with the word after; its own form is no part of them,
+so contexts reach identifiers of other forms than the seeds'. On the graph of patterns and
+candidates, scores go back and forth: a pattern is trusted by the share of its instances
+that are known, an instance by the trusted patterns that it occurs in. Instances that no
+base pattern has, but trusted patterns do, become spans of their own (kind ``context``).
 
 Defined results: a null text is an empty one, without spans; base matches that fail their
-condition are dropped and not retried; repeated rows get the same spans; an empty table
-gives an empty result, and input columns beyond id and text are not looked at. The control
-character U+0001 counts as U+0002.
+condition are dropped and not retried; repeated rows get the same spans; the start and the
+end of a text, a candidate beside another one, count as words of their own in patterns; an
+empty table gives an empty result, and input columns beyond id and text are not looked at.
+The control character U+0001 counts as U+0002.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARK, STAND_IN, empty_if_null, let, listed, scratch, sorted_spans, spans, table
+from .common import GAP, SPANS, empty_if_null, hits, let, listed, scratch, sorted_spans, spans, split_at, stops, table
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 #: Written so that matching takes linear time: a match begins where a run of its first characters begins, or where the last match ended.
@@ -27,9 +30,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 UP_TO_255 = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Tokens that can be instances: words with a digit or an at sign.
+#: Words with a digit or an at sign, and runs of them.
 ITEM = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-CONTEXT_CHARS = 80
+CANDIDATE = rf"{ITEM}(?:\x20{ITEM})*+"
+#: An identifier that contexts can find has at least so many digits or an at sign, and at most so many characters: longer runs are tables or encoded data.
+LEAST_DIGITS, MOST_CHARS = 5, 64
+OCCURRENCES = "array<struct<start:int,end:int,piece:string,left:string,last:string,right:string>>"
 ROUNDS = 3
 #: A pattern is trusted from this share and this number of known instances on; an instance is new personal data from this score on.
 TRUST, SUPPORT, ACCEPT = 0.6, 3, 0.6
@@ -60,33 +66,29 @@ def base_spans(text: Column) -> Column:
 
 
 def occurrences(text: Column) -> Column:
-    """Tokens that can be instances, with two words before and one after, lower-cased: array<struct<start,end,piece,left,right>>."""
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), ITEM, f"{MARK}$0{MARK}"), MARK, -1)
+    """Candidates with two words before and one after, lower-cased and without punctuation: array<struct<start,end,piece,left,last,right>>."""
+    plain = lambda part: F.trim(F.regexp_replace(F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""), GAP, " "))
+    or_mark = lambda word, mark: F.when(F.coalesce(word, F.lit("")) == "", mark).otherwise(word)
 
-    def placed(p: Column) -> Column:
-        zero = F.named_struct(F.lit("at"), F.lit(0), F.lit("stops"), F.expr("cast(array() as array<int>)"))
-        add = lambda state, x: F.struct((state["at"] + F.length(x)).alias("at"), F.concat(state["stops"], F.array(state["at"] + F.length(x))).alias("stops"))
-        stops = F.aggregate(p, zero, add, lambda s: s["stops"])
+    def placed(parts: Column) -> Column:
+        between = F.transform(parts, lambda x, i: F.when(i % 2 == 0, plain(x)).otherwise(""))
 
-        def one(x: Column, i: Column, ends: Column) -> Column:
-            before, after = F.right(F.get(p, i - 1), F.lit(CONTEXT_CHARS)), F.left(F.get(p, i + 1), F.lit(CONTEXT_CHARS))
+        def one(i: Column, ends: Column, texts: Column) -> Column:
+            before, after = F.get(texts, i - 1), F.get(texts, i + 1)
             return F.struct(
                 F.get(ends, i - 1).alias("start"),
                 F.get(ends, i).alias("end"),
-                x.alias("piece"),
-                F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]*[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("left"),
-                F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right"),
-                (i % 2 == 1).alias("odd"),
+                F.get(parts, i).alias("piece"),
+                F.substring_index(before, " ", -2).alias("left"),
+                or_mark(F.substring_index(before, " ", -1), "^").alias("last"),
+                or_mark(F.substring_index(after, " ", 1), "$").alias("right"),
             )
 
-        return let(stops, lambda ends: F.filter(F.transform(p, lambda x, i: one(x, i, ends)), lambda o: o["odd"]))
+        numbers = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        return let(stops(parts), lambda ends: let(between, lambda texts: F.transform(numbers, lambda i: one(i, ends, texts))))
 
-    nothing = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,piece:string,left:string,right:string,odd:boolean>>")
-    return F.when(text.rlike(ITEM), let(parts, placed)).otherwise(nothing)
-
-
-def shape(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"\p{L}+", "a")
+    some = let(split_at(text, CANDIDATE), lambda parts: F.when(F.size(parts) > 1, placed(parts)))
+    return F.coalesce(F.when(text.rlike(ITEM), some), F.from_json(F.lit("[]"), OCCURRENCES))
 
 
 def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -112,17 +114,17 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     body = empty_if_null(F.col(text))
     read = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), body).alias("row"), sorted_spans([base_spans(body)], KINDS).alias("base"), occurrences(body).alias("items"))
     read = scratch(read, "personal")
-    item = read.select("row", "base", F.explode("items").alias("o")).withColumn("instance", F.regexp_replace("o.piece", r"^[\p{Punct}]+|[\p{Punct}]+$", ""))
-    item = item.filter((F.length(digits(F.col("instance"))) >= 5) | F.col("instance").contains("@"))
-    seed = F.exists("base", lambda b: (b["start"] < F.col("o.end")) & (F.col("o.start") < b["end"])).cast("int")
-    formed = shape(F.col("instance"))
-    last = F.substring_index("o.left", " ", -1)
-    patterns = F.array(F.concat_ws("|", F.lit("2"), "o.left", formed), F.concat_ws("|", F.lit("1"), last, formed, "o.right"))
-    pairs = item.filter(F.col("o.left") != "").select("instance", F.explode(patterns).alias("pattern"), seed.alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    seeded = let(hits(F.col("items"), F.col("base")), lambda taken: F.transform("items", lambda o, i: F.struct(o.alias("o"), F.get(taken, i).cast("int").alias("seed"))))
+    item = read.filter(F.size("items") > 0).select("row", F.explode(seeded).alias("x")).select("row", "x.o", "x.seed")
+    item = item.withColumn("instance", F.lower(F.regexp_replace("o.piece", r"^[\p{Punct}&&[^+(]]+|[\p{Punct}]+$", "")))
+    item = item.filter((F.length("instance") <= MOST_CHARS) & ((F.length(digits(F.col("instance"))) >= LEAST_DIGITS) | F.col("instance").contains("@")))
+    two = F.when(F.col("o.left").contains(" "), F.concat_ws("|", F.lit("2"), "o.left"))
+    around = F.when((F.col("o.last") != "^") | (F.col("o.right") != "$"), F.concat_ws("|", F.lit("1"), "o.last", "o.right"))
+    pairs = item.select("instance", F.explode(F.array_compact(F.array(two, around))).alias("pattern"), "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     new = bootstrap(scratch(pairs, "pairs"))
     spot = F.struct(F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.lit("context").alias("kind"), F.col("o.piece").alias("piece"))
-    more = item.filter(seed == 0).join(new, "instance").groupBy("row").agg(F.collect_set(spot).alias("more"))
-    nothing = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,piece:string>>")
+    more = item.filter("seed = 0").join(new, "instance").groupBy("row").agg(F.collect_set(spot).alias("more"))
+    nothing = F.from_json(F.lit("[]"), SPANS)
     joined = read.select("doc_id", "row", "base").join(more, "row", "left").withColumn("more", F.coalesce("more", nothing))
     both = F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit("").alias("piece"))), "more")
     return joined.select("doc_id", "base", sorted_spans([both], KINDS).alias("found"))

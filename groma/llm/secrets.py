@@ -7,7 +7,8 @@ model becomes a span of its own (kind ``random``).
 
 Defined results: a null text is an empty one, without spans; matches that fail a base
 condition are dropped and not retried; repeated rows are scanned alike; an empty table gives
-an empty result and input columns beyond id and text are not looked at. The control
+an empty result; other input columns are carried along, but for ``base`` and ``found``,
+which the result replaces. The control
 character U+0001 counts as U+0002, which no pattern matches either.
 """
 
@@ -19,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, let, listed, sorted_spans, spans, table
+from .common import cut_out, empty_if_null, hits, let, listed, sorted_spans, spans, table, without
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,34 +89,29 @@ def base_spans(text: Column) -> Column:
 
 
 def random_spans(text: Column, base: Column, model: list[float]) -> Column:
-    """Tokens for which the random model is the likelier, unless a base span has them already."""
-    lettered = F.filter(spans(text, TOKEN, "random"), lambda s: s["piece"].rlike("[A-Za-z]"))  # without letters: rules, dates, numbers
+    """Tokens for which the random model is the likelier, unless a base span has them already. Tokens without a letter (rules, dates, numbers) are not asked about."""
+    lettered = F.filter(spans(text, TOKEN, "random"), lambda s: s["piece"].rlike("[A-Za-z]"))
 
     def likely(s: Column) -> Column:
         return let(likelihood_ratio(s["piece"], model), lambda x: (x >= LEAST_TOTAL) & (x >= LEAST_MEAN * F.length(s["piece"])))
 
-    return F.filter(lettered, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & likely(s))
+    return let(lettered, lambda tokens: let(hits(tokens, base), lambda taken: F.filter(tokens, lambda s, i: ~F.get(taken, i) & likely(s))))
 
 
 def scan(docs: DataFrame, model: list[float], *, text: str = "text") -> DataFrame:
-    """docs with base (array of base spans) and found (all spans with start, end, kind), each sorted."""
-    body = empty_if_null(F.col(text))
-    with_base = docs.withColumn("_base", base_spans(body)).withColumn("_more", let(F.col("_base"), lambda b: random_spans(body, b, model)))
-    base, every = sorted_spans([F.col("_base")], KINDS), sorted_spans([F.col("_base"), F.col("_more")], KINDS)
-    return with_base.withColumn("base", base).withColumn("found", every).drop("_base", "_more")
+    """docs with base (array of base spans) and found (all spans with start, end, kind), each sorted; columns of these names are replaced."""
+    held = without(docs, ["base", "found"])
+    body = empty_if_null(F.col(f"row.`{text}`"))
+    based = held.select(F.struct("*").alias("row")).withColumn("own", base_spans(body))
+    both = based.withColumn("more", let(F.col("own"), lambda b: random_spans(body, b, model)))
+    base, every = sorted_spans([F.col("own")], KINDS), sorted_spans([F.col("own"), F.col("more")], KINDS)
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in held.columns], base.alias("base"), every.alias("found"))
 
 
 def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span replaced by the mask; overlapping spans by one."""
-    start = F.named_struct(F.lit("at"), F.lit(0), F.lit("out"), F.lit(""))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        kept = F.when(fresh, F.concat(state["out"], text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), kept.alias("out"))
-
-    masked = F.aggregate(found, start, step, lambda x: F.concat(x["out"], text.substr(x["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, masked).otherwise(text)
+    cuts = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("stop")))
+    return F.when(F.size(found) > 0, let(cuts, lambda c: cut_out(text, c, mask))).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
