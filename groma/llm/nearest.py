@@ -39,6 +39,8 @@ from .common import scratch, table
 K, TABLES, FUNCTIONS, WIDTH, REACH, SUCCESS, SEED = 10, 2, 6, 2.0, 2, 0.75, 17
 #: Rows of the sample that scale and distances are learned from; most vectors and queries in one block.
 SAMPLE_ROWS, BLOCK_VECTORS, BLOCK_QUERIES = 2000, 4000, 1000
+#: Queries whose buckets one task looks up.
+PROBE_ROWS = 64
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -153,7 +155,9 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
                         yield visits_of(part, i, t, np.setdiff1d(found, before[i][0])) if enough else visits_of(part, i, -1, np.zeros(1, np.int64))
 
     stored = scratch(good.mapInArrow(index, "t int, bucket long, vec_id long, v array<double>"), "buckets")
-    queries = good.filter(is_query).select("vec_id", "v")
+    # a query asks for hundreds of buckets: dealt by number, as Spark would give so few rows to one task
+    queries = scratch(good.filter(is_query).select("vec_id", "v"), "queries")
+    queries = queries.repartition(max(1, -(-queries.count() // PROBE_ROWS)), "vec_id")
     sizes = scratch(stored.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
     visits = queries.mapInArrow(probe, "t int, bucket long, query_id long")
     first = best(stored, sizes, visits, queries, k)

@@ -29,6 +29,8 @@ from .common import empty_if_null, scratch, scratch_path, table
 
 LEAST = 100
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
+#: Bytes of frames that one task reads back.
+READ_BYTES = 1 << 24
 #: A table of repeated payloads of at most this many rows (some 80 bytes each) is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 100_000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -175,23 +177,28 @@ def write(pages: DataFrame, root: str, *, page_id: str = "page_id", url: str = "
 
 
 def read(index: DataFrame, root: str, *, payloads: bool = False) -> DataFrame:
-    """All records of the bundles that the index names, a task for some bundles each."""
+    """All records of the frames that the index names, each frame found by its bundle's seek table."""
     schema = RECORD + (", payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(root)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{path}/{name}") as source:
-                    for at, size in seek_table(source):
-                        data, here, rows = read_frame(source, at, size), 0, []
-                        while here < len(data):
-                            found, here = parse(data, here)
-                            rows.append(tuple(found[n] for n in names))
-                        yield _batch(rows, schema)
+                    data, here, rows = read_frame(source, *seek_table(source)[frame]), 0, []
+                while here < len(data):
+                    found, here = parse(data, here)
+                    rows.append(tuple(found[n] for n in names))
+                yield _batch(rows, schema)
 
-    return index.select("bundle").distinct().mapInArrow(work, schema)
+    return dealt(index.select("bundle", "frame").distinct()).mapInArrow(work, schema)
+
+
+def dealt(frames: DataFrame) -> DataFrame:
+    """Rows that name frames, in as many partitions as the frames' bytes ask for: names are small, so Spark by itself would give them to one task."""
+    n = frames.select("bundle", "frame").distinct().count()
+    return frames.repartition(max(1, -(-n * FRAME_BYTES // READ_BYTES)), "bundle", "frame")
 
 
 def fetch(index: DataFrame, root: str, ids: DataFrame, *, page_id: str = "page_id") -> DataFrame:
@@ -208,7 +215,7 @@ def fetch(index: DataFrame, root: str, ids: DataFrame, *, page_id: str = "page_i
                 yield _batch([tuple(found[n] for n in names)], schema)
 
     wanted = ids.select(F.col(page_id).cast("long").alias("page_id")).distinct()
-    return index.join(wanted, "page_id", "left_semi").select("bundle", "frame", "offset").mapInArrow(work, schema)
+    return dealt(scratch(index.join(wanted, "page_id", "left_semi").select("bundle", "frame", "offset"), "wanted")).mapInArrow(work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
