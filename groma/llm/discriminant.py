@@ -7,7 +7,8 @@ log densities, by Mahalanobis distances from Cholesky factors computed once.
 Only statistics of the text go in. The fit uses at most ``TRAIN_ROWS`` labelled rows of each
 class, those of smallest hash; all documents are scored. Defined results: a null or empty
 text has zero statistics and is scored like any other; ids with several labels count with
-the smaller one, null labels not at all; repeated rows get the same score; with fewer than
+the smaller one, null labels not at all; rows that share an id are one row of the sample;
+repeated rows get the same score; with fewer than
 two labelled rows of a class the score is 0.5 for all; an empty table gives an empty result;
 input columns named like the result's (``COLUMNS``) are replaced by them.
 """
@@ -109,14 +110,17 @@ def fit(rows: pd.DataFrame, counts: dict[int, int]) -> tuple[Gaussian, Gaussian]
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[Gaussian, Gaussian] | None:
     """usable: a condition on the column doc_id of labels. Only the rows of the sample are joined with their texts, and only statistics come back."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & usable).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("label"))
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & usable).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("label"))
     sample = None
     for c in (0, 1):
-        part = known.filter(F.col("label") == c).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        part = known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(rows)
         sample = part if sample is None else sample.unionByName(part)
-    joined = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id"))  # at most 2 * rows rows of two numbers
+    texts = docs.select(F.col(doc_id).alias("own"), F.col(text).alias("text"))
+    joined = texts.join(F.broadcast(sample), F.col("own") == F.col("id"))  # at most 2 * rows rows of two numbers
+    # rows that share an id count once, with the smallest of their statistics, so the bound holds for what reaches the driver
+    drawn = joined.select("id", "label", features(F.col("text")).alias("x")).groupBy("id", "label").agg(F.min("x").alias("x"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    return fit(joined.select(features(F.col(text)).alias("x"), "label").toPandas(), counts)
+    return fit(drawn.orderBy("id").select("x", "label").toPandas(), counts)
 
 
 def verdict(text: Column, model: tuple[Gaussian, Gaussian] | None) -> Column:

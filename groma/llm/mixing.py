@@ -52,22 +52,26 @@ def rates(sizes: DataFrame, weights: Sequence[float], share: float, cap: float)
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix-1") -> DataFrame:
     """docs with size, source_size, target, rate, copies and taken. share: total of the targets as a share of all words."""
-    sized = without(docs, COLUMNS).withColumn("size", count_words(F.col(text)))
-    sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    held = without(docs, COLUMNS)
+    # the input's columns stay inside one struct: no name of theirs can clash
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("own"), count_words(F.col(text)).alias("size"))
+    sizes = sized.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size"))
     table_of_rates = scratch(rates(sizes, weights, share, cap).coalesce(1), "rates")
     small = table_of_rates.count() <= BROADCAST_ROWS
-    own = table_of_rates.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(F.broadcast(own) if small else own, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    joined = sized.join(F.broadcast(table_of_rates) if small else table_of_rates, F.col("own").eqNullSafe(F.col("source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
-    more = (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + more).withColumn("taken", F.col("copies") * F.col("size"))
+    more = (draw(F.col("id"), seed) < F.col("rate") - whole).cast("long")
+    taken = joined.withColumn("rate", rate).withColumn("copies", whole + more).withColumn("taken", F.col("copies") * F.col("size"))
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in held.columns], *COLUMNS)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns it came with."""
+    names = without(mixed, COLUMNS).columns
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.filter("copies > 0").select("*", times.alias("_copy")).drop("_copy", *COLUMNS)
+    taken = mixed.filter("copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), times.alias("copy"))
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,17 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("groma.llm")
 from groma.llm import discriminant, mixing, neardup, nearest, personal, repeats, rules, secrets, warc  # noqa: E402
-from groma.llm.common import listed, scratch_path  # noqa: E402
+from groma.llm.common import cut_out, listed, scratch_path  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -200,16 +202,44 @@ def test_secrets_of_letters_only(spark):
 
 
 def test_personal_contexts_find_new_identifiers(spark, awkward, nothing):
-    texts = [(i, f"please call my number +1 415 55{i:02d} 77{i:02d} soon") for i in range(12)]
-    texts += [(100 + i, f"the member id {i}{i}{i}-44-{i}12{i} was mailed from a{i}@example.org today") for i in range(9)]
-    texts += [(200 + i, f"write to contact: user{i}@mail.example.com thanks") for i in range(9)] + [(300, "write to contact: 5551234567@local thanks")]
-    got = {r.doc_id: listed_kinds(r.found) for r in personal.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert all("email" in got[200 + i] for i in range(9)) and len(got) == len(texts)
-    assert personal.find(awkward).count() == awkward.count() and personal.find(nothing).count() == 0
-
-
-def listed_kinds(found):
-    return [s.kind for s in found]
+    """Nine e-mail addresses and twelve phones teach two contexts; identifiers of other forms there are found, equal ones elsewhere are not."""
+    rng = random.Random(21)
+    texts = [f"please call my number +1 (415) 555-{1000 + 37 * i} soon" for i in range(12)] + [f"write to contact: user{i}@mail.example.com thanks" for i in range(9)]
+    new = ["write to contact: 5551234567@local thanks", "write to contact: user77@mailhost thanks", "please call my number (743) 555-3824 soon", "Please call my number 0800/555123 soon!"]
+    plain = [f"{rng.choice('abcdef')} box holds {10000 + i} parts" for i in range(30)] + ["the parts list has 5551234 lines", "my number was lost", "contact: nobody"]
+    got = personal.find(spark.createDataFrame(list(enumerate(texts + new + plain)), "doc_id long, text string")).collect()
+    by = {r.doc_id: [(s.kind, (texts + new + plain)[r.doc_id][s.start : s.end]) for s in r.found] for r in got}
+    assert all(by[i][0][0] == ("phone" if i < 12 else "email") and len(by[i]) == 1 for i in range(21))
+    assert [by[21 + i] for i in range(4)] == [[("context", x)] for x in ("5551234567@local", "user77@mailhost", "(743) 555-3824", "0800/555123")]
+    assert not any(by[i] for i in range(25, len(by)))
+    found = personal.find(awkward).collect()
+    assert len(found) == awkward.count() and sum(len(r.found) for r in found) == 1 and personal.find(nothing).count() == 0
+
+
+def test_spans_of_very_many_matches(spark):
+    text = " ".join(f"ann{i}@example.org" for i in range(64_000))
+    began = time.time()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = df.select(personal.base_spans(F.col("text")).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1)["end"].alias("end")).first()
+    assert (got.n, got.end) == (64_000, len(text)) and time.time() - began < 20
+
+
+def test_cutting_out(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice(["a", "é", "\U0001f600", "\ufeff", " ", "\n"]) for _ in range(rng.randint(1, 700)))
+        cuts = sorted((a, min(len(text), a + rng.randint(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(1, 400))))
+        rows.append((i, text, cuts))
+    df = spark.createDataFrame(rows, "i int, text string, cuts array<struct<start:int,stop:int>>")
+    got = {r.i: r.t for r in df.select("i", cut_out(F.col("text"), F.col("cuts"), "<>").alias("t")).collect()}
+    for i, text, cuts in rows:
+        at, out = 0, []
+        for a, b in cuts:
+            if a >= at:
+                out += [text[at:a], "<>"]
+            at = max(at, b)
+        assert got[i] == "".join(out) + text[at:]
 
 
 def test_discriminant_on_held_out_rows(spark, awkward, nothing):
@@ -307,14 +337,109 @@ def test_rules_statistics_by_hand(spark, awkward, nothing):
     assert rules.judge(awkward).count() == awkward.count() and rules.judge(nothing).count() == 0
 
 
-def test_repeated_lines_keep_the_first(spark, awkward, nothing):
-    line = "one two three four five six seven eight"
-    docs = spark.createDataFrame([(2, f"{line}\nshort\n{line}"), (1, f"head\n{line.upper()}"), (3, None), (4, "")], "doc_id long, text string")
-    gone = repeats.repeated(repeats.units(docs))
-    assert sorted((r.doc_id, r.unit, r.start, r.stop, r.first_doc_id, r.first_unit) for r in gone.collect()) == [(2, 0, 0, len(line), 1, 1), (2, 2, len(line) + 7, 2 * len(line) + 7, 1, 1)]
-    assert {r.doc_id: r.text for r in repeats.cut(docs, gone).collect()}[2] == "short\n"
-    assert repeats.repeated(repeats.units(awkward)).filter("doc_id = 0").count() == 0
-    assert repeats.repeated(repeats.units(nothing)).count() == 0
+def test_repeated_units_keep_the_first(spark, awkward, nothing):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen. Fourteen fifteen sixteen seventeen eighteen nineteen twenty more words to come now."
+    docs = spark.createDataFrame([(2, f"Quoted here {long[4:]}\nshort\nAll rights reserved."), (1, f"head start {long.upper()}\nAll rights reserved."), (3, None), (4, ""), (5, f"new start. {long} new end")], "doc_id long, text string")
+    gone = {(r.doc_id, r.unit): r for r in repeats.repeated(repeats.units(docs), run_words=10).collect()}
+    assert {k: r.removed for k, r in gone.items()} == {(2, 1): True, (2, 3): False, (5, 2): True}
+    assert (gone[2, 1].first_doc_id, gone[2, 1].first_unit) == (1, 1) and gone[2, 1].run_words == 12
+    cut = {r.doc_id: r.text for r in repeats.cut(docs, repeats.repeated(repeats.units(docs), run_words=10)).collect()}
+    assert cut[2] == "Quoted here two three four five six seven eight nine ten eleven twelve thirteen. short\nAll rights reserved." and cut[3] is None
+    whole = repeats.cut(awkward, repeats.repeated(repeats.units(awkward)))
+    assert whole.columns[:-1] == [c for c in awkward.columns if c != "cuts"] and whole.count() == awkward.count()
+    assert {r.text for r in whole.filter("doc_id = 0").collect()} == {awkward.filter("doc_id = 0").first().text}  # equal rows stay together
+    assert repeats.repeated(repeats.units(nothing)).count() == 0 and repeats.cut(nothing, repeats.repeated(repeats.units(nothing))).count() == 0
+
+
+def test_repeated_units_by_hand(spark):
+    rng = random.Random(41)
+    sentence = lambda: " ".join(rng.choice(["red", "Red", "blue", "sea", "sky", "old"]) for _ in range(rng.randint(1, 7))) + rng.choice([". ", ".\n", "! ", "\n", " "])
+    pool = [sentence() for _ in range(40)]
+    docs = [(i, "".join(rng.choice(pool) if rng.random() < 0.7 else sentence() for _ in range(rng.randint(0, 20)))) for i in range(150)]
+    tile, seen, want = re.compile(repeats.TILES["sentence"]), set(), {}
+    for i, t in docs:
+        run, spots = [], []
+        flush = lambda: spots.extend(f"{a}:{b}" for a, b, _ in run) if sum(n for *_, n in run) >= repeats.RUN_WORDS else None  # noqa: B023, E731
+        for m in tile.finditer(t):
+            w = WORD.findall(m[0])
+            if not w:
+                continue
+            key = " ".join(w).lower()
+            if key in seen:
+                run.append((m.start(), m.end(), len(w)))
+            else:
+                flush()
+                run = []
+                seen.add(key)
+        flush()
+        want[i] = ",".join(spots)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = repeats.repeated(repeats.units(df)).filter("removed").collect()
+    got = {i: "" for i, _ in docs}
+    for r in sorted(gone, key=lambda r: r.start):
+        got[r.doc_id] += ("," if got[r.doc_id] else "") + f"{r.start}:{r.stop}"
+    assert got == want and any(want.values())
+
+
+def test_discriminant_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (60, 9)), rng.normal(0.7, 1.5, (40, 9))])
+    label = np.array([0] * 60 + [1] * 40)
+    model = discriminant.fit(pd.DataFrame({"x": list(x), "label": label}), {0: 600, 1: 400})
+    pooled = sum((x[label == c] - x[label == c].mean(0)).T @ (x[label == c] - x[label == c].mean(0)) for c in (0, 1)) / len(x)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, x array<double>")
+    got = {r.i: r for r in df.select("i", model[0].log_density(F.col("x")).alias("a"), model[1].log_density(F.col("x")).alias("b")).collect()}
+    for c, name in ((0, "a"), (1, "b")):
+        own = x[label == c]
+        cov = 0.7 * np.cov(own.T, bias=True) + 0.3 * pooled
+        cov = 0.9 * cov + 0.1 * (np.trace(cov) / 9 + 1e-6) * np.eye(9)
+        for i, row in enumerate(x):
+            d = row - own.mean(0)
+            want = np.log((0.6, 0.4)[c]) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * d @ np.linalg.solve(cov, d)
+            assert abs(got[i][name] - want) < 1e-8
+
+
+def test_discriminant_with_clashing_names_and_repeated_ids(spark, awkward):
+    labels = spark.createDataFrame([(0, 1, "x"), (1, 1, "x"), (2, 1, "x"), (7, 0, "x"), (8, 0, "x"), (None, 0, "x")], "doc_id long, quality int, label string")
+    model = discriminant.train(awkward, labels, F.lit(True))
+    many = awkward.unionByName(awkward.filter("doc_id = 0")).unionByName(awkward.filter("doc_id = 0"))
+    again = discriminant.train(many, labels, F.lit(True))
+    assert np.array_equal(model[1].mean, again[1].mean)
+    scored = discriminant.score(awkward, model)
+    assert scored.count() == awkward.count() and {r.label for r in scored.collect()} == {r.label for r in awkward.collect()}
+
+
+def test_rules_expectation_maximisation_by_hand(spark):
+    rng = np.random.default_rng(2)
+    truth = rng.random(400) < 0.7
+    accuracy = {"a": 0.9, "b": 0.75, "c": 0.6}
+    votes = {k: np.where(rng.random(400) < 0.2, 0, np.where((rng.random(400) < p) == truth, 1, -1)) for k, p in accuracy.items()}
+    table = pd.DataFrame(votes).groupby(list(votes)).size().reset_index(name="n")
+    prior, own = 0.8, dict.fromkeys(votes, 0.8)
+    post = lambda: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(table[k] * np.log(own[k] / (1 - own[k])) for k in own))))
+    for _ in range(rules.ROUNDS):
+        p, n = post(), table["n"]
+        before = dict(own)
+        own = {k: ((n * np.where(table[k] == 1, p, np.where(table[k] == -1, 1 - p, 0))).sum() + 4) / (n[table[k] != 0].sum() + 5) for k in own}
+        prior = ((n * p).sum() + 4) / (n.sum() + 5)
+        if max(abs(before[k] - own[k]) for k in own) < rules.SETTLED:
+            break
+    model = rules.fit(spark.createDataFrame(table), list(votes))
+    assert abs(model["prior"] - prior) < 1e-9 and all(abs(model["accuracy"][k] - own[k]) < 1e-9 for k in own)
+    assert model["accuracy"]["a"] > model["accuracy"]["b"] > model["accuracy"]["c"]
+    got = spark.createDataFrame(table).select(*votes, rules.posterior(model).alias("p")).toPandas().sort_values(list(votes))
+    assert np.allclose(got["p"], post()[table.sort_values(list(votes)).index])
+    even = {"prior": 0.5, "accuracy": {"a": 0.5, "b": 0.5, "c": 0.5}}
+    assert spark.createDataFrame(table).filter(rules.posterior(even) >= rules.KEEP_AT).count() == len(table)  # a tie is kept
+
+
+def test_rules_of_awkward_rows(awkward):
+    got = {}
+    for r in rules.judge(awkward).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert [(r.n_words, r.base_failed, r.kept) for r in got[3] + got[4] + got[5]] == [(0, True, False)] * 3
+    assert len(got[0]) == 2 and got[0][0] == got[0][1] and got[0][0].n_words == 23 and not got[0][0].base_failed
+    assert (got[7][0].n_words, got[7][0].word_chars) == (1, 60_000) and got[8][0].n_repeat_words == 18_000 and got[8][0].base_failed
 
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
@@ -338,3 +463,24 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in kept.collect())
     assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() for r in got)
+
+
+def test_pipeline_stages_on_awkward_rows_and_none(spark, awkward, nothing, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    awkward.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = awkward.count()
+    # labels of one class only: every score is 0.5, and all rows stay
+    want = {"quality classifier": rows, "near-duplicates": None, "secret scan": rows, "mixing sources": None}
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, awkward, str(tmp_path))
+        kept = got.collect()
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+        if name != "token ids":
+            assert got.columns == awkward.columns, name
+            assert want[name] is None or len(kept) == want[name]
+        if name == "near-duplicates":
+            assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [0, 0, 2, 3, 4, 5, 6, 7, 8, 9, None]))
+        if name == "secret scan":
+            assert [r.text for r in kept if r.doc_id == 9] == [awkward.filter("doc_id = 9").first().text.replace("password = hunter2hunter2", "[SECRET]")]
+        if name == "token ids":
+            assert len(kept) == rows and all(r.agrees for r in kept)
