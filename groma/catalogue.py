@@ -129,7 +129,21 @@ def bucket_last_and_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("seconds", F.col("seconds").cast("long")).withColumn("bucket", F.col("bucket").cast("long"))
 
 
-@query("q10_debounce")
+DEBOUNCE = f"""WITH RECURSIVE {SEGMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id, segment ORDER BY clock, id) AS rn FROM seg),
+f AS (SELECT DISTINCT run_id, segment, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::BIGINT AS clock, NULL::BIGINT AS raw_count, NULL::BIGINT AS count, '' AS presence, NULL::BIGINT AS zero_since, NULL::BIGINT AS level, NULL::BIGINT AS level_since, NULL::BOOLEAN AS upward FROM n
+UNION ALL SELECT run_id, segment, rn, id, clock, raw_count, CASE kind WHEN 's' THEN raw_count WHEN 'z' THEN CASE WHEN done THEN 0 ELSE stable END WHEN 'l' THEN CASE WHEN done THEN lv ELSE stable END END,
+  CASE WHEN kind = 'u' THEN 'unknown' WHEN kind = 's' THEN CASE WHEN raw_count > 0 THEN 'present' ELSE 'absent' END WHEN NOT done THEN 'pending' WHEN kind = 'z' THEN 'absent' ELSE 'present' END,
+  CASE WHEN kind = 'z' AND NOT done THEN zs END, CASE WHEN kind = 'l' AND NOT done THEN lv END, CASE WHEN kind = 'l' AND NOT done THEN ls END, CASE WHEN kind = 'l' AND NOT done THEN up END
+FROM (SELECT *, CASE kind WHEN 'z' THEN clock - zs >= {6 * HOUR} WHEN 'l' THEN clock - ls >= {4 * HOUR} END AS done
+  FROM (SELECT *, CASE WHEN kind = 'z' THEN coalesce(zero_since, clock) END AS zs, CASE WHEN kind = 'l' THEN CASE WHEN upward IS DISTINCT FROM up THEN raw_count WHEN up THEN least(level, raw_count) ELSE greatest(level, raw_count) END END AS lv,
+      CASE WHEN kind = 'l' THEN CASE WHEN upward IS DISTINCT FROM up THEN clock ELSE level_since END END AS ls
+    FROM (SELECT n.run_id, n.segment, n.rn, n.id, n.clock, n.raw_count, f.count AS stable, f.zero_since, f.level, f.level_since, f.upward, n.raw_count > f.count AS up,
+        CASE WHEN n.raw_count IS NULL THEN 'u' WHEN n.raw_count = f.count OR (f.count IS NULL AND n.raw_count > 0) THEN 's' WHEN n.raw_count = 0 THEN 'z' ELSE 'l' END AS kind
+      FROM f JOIN n ON n.run_id = f.run_id AND n.segment = f.segment AND n.rn = f.rn + 1))))
+SELECT run_id, segment, 'all' AS class_id, id, clock::DOUBLE AS clock, raw_count, count, presence FROM f WHERE rn > 0"""
+
+
+@query("q10_debounce", DEBOUNCE)
 def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmented(spark, sf_dir).withColumn("class_id", F.lit("all"))
     return series.debounce(rows, absence=6.0 * HOUR, change=4.0 * HOUR)
@@ -171,9 +185,8 @@ def _crossings(points: list[tuple[float, float]]) -> str:
 
 @query("q14_point_in_polygon", f"WITH {DETECTIONS} SELECT class_id, count(*) FILTER ({_crossings(ZONES['ramp'])}) AS ramp, count(*) FILTER ({_crossings(ZONES['yard'])}) AS yard FROM det GROUP BY class_id")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zone = lambda n: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ZONES[n]])
-    at = geometry.anchor(F.col("box"))
-    return views.detections(spark, sf_dir).groupBy("class_id").agg(*[F.count_if(geometry.inside(at, zone(n))).alias(n) for n in ZONES])
+    x, y = (F.col("box.x1") + F.col("box.x2")) / 2, F.col("box.y2")
+    return views.detections(spark, sf_dir).groupBy("class_id").agg(*[F.count_if(geometry.inside_fixed(x, y, points)).alias(n) for n, points in ZONES.items()])
 
 
 @query("q15_excess_unexplained", f"WITH {MEASURED} SELECT m.row, m.work_id, m.class_id, m.count - m.need AS excess FROM measured m WHERE m.count > m.need AND NOT EXISTS (SELECT 1 FROM measured o WHERE o.row = m.row AND o.class_id = m.class_id AND o.work_id <> m.work_id AND o.need > 0)")
@@ -280,10 +293,11 @@ def topk_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.top_per_group(table(spark, sf_dir, "lineitem"), ["l_partkey"], order, 3).select("l_partkey", "l_orderkey", "l_linenumber", F.col("version").cast("long").alias("version"))
 
 
-@query("q31_hamming_pairs", "WITH b AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (63 - i) ELSE 0 END)) AS BIGINT) AS bits FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 4")
+@query("q31_hamming_pairs", "WITH b AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 25), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (24 - i) ELSE 0 END)) AS BIGINT) AS bits FROM embeddings WHERE len(embedding) >= 24) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 4")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "embeddings").select("vec_id", joins.sign_bits(F.col("embedding")).alias("bits"))
-    return joins.hamming_pairs(hashed, key="vec_id", bits="bits", most=4)
+    """Signs of 24 components, so that some of the test vectors are near each other."""
+    hashed = table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 24).select("vec_id", joins.sign_bits(F.slice("embedding", 1, 24)).alias("bits"))
+    return joins.hamming_pairs(hashed, key="vec_id", bits="bits", most=4, width=24)
 
 
 @query("q32_js_divergence", "WITH c AS (SELECT l_shipdate, count(*) FILTER (l_linestatus = 'F') AS a, count(*) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY 1), s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c) SELECT round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS divergence FROM s")
@@ -336,7 +350,16 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter("iou > 0.1").select("frame_id", "a", "b", F.round("iou", 6).alias("iou"))
 
 
-@query("q43_nms")
+NMS = f"""WITH RECURSIVE {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY frame_id, class_id ORDER BY score DESC, row, x1, y1, x2, y2) AS rn FROM det),
+f AS (SELECT frame_id, class_id, rn, row, score, true AS stays, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM n WHERE rn = 1
+UNION ALL SELECT frame_id, class_id, rn, row, score, stays, CASE WHEN stays THEN list_append(kept, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE kept END
+FROM (SELECT n.*, f.kept, len(list_filter(f.kept, lambda k: greatest(least(k.x2, n.x2) - greatest(k.x1, n.x1), 0) * greatest(least(k.y2, n.y2) - greatest(k.y1, n.y1), 0) >
+    0.3 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (n.x2 - n.x1) * (n.y2 - n.y1) - greatest(least(k.x2, n.x2) - greatest(k.x1, n.x1), 0) * greatest(least(k.y2, n.y2) - greatest(k.y1, n.y1), 0)))) = 0 AS stays
+  FROM f JOIN n ON n.frame_id = f.frame_id AND n.class_id = f.class_id AND n.rn = f.rn + 1))
+SELECT frame_id, class_id, row, score FROM f WHERE stays"""
+
+
+@query("q43_nms", NMS)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.suppress(views.detections(spark, sf_dir), frame="frame_id", box="box", score="score", kind="class_id", row="row", threshold=0.3)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +61,50 @@ def inside(point: Column, polygon: Column) -> Column:
     return F.exists(edges, on_edge) | (F.size(F.filter(edges, crosses)) % 2 == 1)
 
 
+def inside_fixed(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> Column:
+    """As ``inside``, for a polygon that is known when the query is planned: plain arithmetic for each edge, behind a test of the bounds."""
+    lit = lambda v: F.lit(float(v))
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    on_edge, crossings = F.lit(False), F.lit(0)
+    for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]], strict=True):
+        cross = lit(bx - ax) * (y - ay) - lit(by - ay) * (x - ax)
+        on_edge = on_edge | ((F.abs(cross) <= EDGE) & x.between(min(ax, bx) - EDGE, max(ax, bx) + EDGE) & y.between(min(ay, by) - EDGE, max(ay, by) + EDGE))
+        if ay != by:
+            crossed = ((lit(ay) > y) != (lit(by) > y)) & (x < lit(ax) + (y - ay) * lit(bx - ax) / lit(by - ay))
+            crossings = crossings + crossed.cast("int")
+    near = x.between(min(xs) - EDGE, max(xs) + EDGE) & y.between(min(ys) - EDGE, max(ys) + EDGE)
+    return near & (on_edge | (crossings % 2 == 1))
+
+
 def polygon_area(polygon: Column) -> Column:
     """Shoelace formula."""
     terms = F.transform(_edges(polygon), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+
+def smoothed(before: Column, now: Column, weight: float = 0.5) -> Column:
+    """Exponential mean of a velocity; the new one alone where there is none before."""
+    return F.coalesce(before * (1 - weight) + now * weight, now)
+
+
+def ahead(box: Column, vx: Column, vy: Column, seconds: Column, most: float = 2.0) -> Column:
+    """The box where it is expected after some seconds, of which at most ``most`` count."""
+    t = F.least(F.greatest(seconds, F.lit(0.0)), F.lit(most))
+    return F.struct((box["x1"] + vx * t).alias("x1"), (box["y1"] + vy * t).alias("y1"), (box["x2"] + vx * t).alias("x2"), (box["y2"] + vy * t).alias("y2"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation of two arrays of numbers; null where one of them is constant."""
+    n = F.size(a)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda u, v: total(F.zip_with(u, v, lambda x, y: x.cast("double") * y))
+    sa, sb = total(F.transform(a, lambda x: x.cast("double"))), total(F.transform(b, lambda x: x.cast("double")))
+    cov = dot(a, b) - sa * sb / n
+    spread = F.sqrt((dot(a, a) - sa * sa / n) * (dot(b, b) - sb * sb / n))
+    return F.try_divide(cov, spread)
+
+
+def difference_hash(row: Column) -> Column:
+    """64 bits of 65 brightnesses: whether each is above its right neighbour; the first comparison is the highest bit, a missing neighbour gives 0."""
+    signs = F.zip_with(F.slice(row, 1, 64), F.slice(row, 2, 64), lambda a, b: F.coalesce((a > b).cast("long"), F.lit(0).cast("long")))
+    return F.aggregate(signs, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))

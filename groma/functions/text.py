@@ -33,3 +33,60 @@ def safe_cell(text: Column) -> Column:
 
 def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("/", *[p.cast("string") for p in parts]).cast("binary"), 256)
+
+
+def plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The Russian form of a noun beside a number."""
+    tens, ones = F.pmod(n, F.lit(100)), F.pmod(n, F.lit(10))
+    return F.when(tens.between(11, 14), many).when(ones == 1, one).when(ones.between(2, 4), few).otherwise(many)
+
+
+def duration_label(seconds: Column) -> Column:
+    """Hours and minutes, minutes and seconds, or seconds: the two largest units that are not empty."""
+    s = F.floor(seconds).cast("long")
+    h, m = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
+    rest = (s % 60).cast("string")
+    return F.when(s >= 3600, F.concat(h, F.lit(" h "), m, F.lit(" min"))).when(s >= 60, F.concat(m, F.lit(" min "), rest, F.lit(" s"))).otherwise(F.concat(rest, F.lit(" s")))
+
+
+def safe_name(text: Column) -> Column:
+    """A file name: other characters than letters, digits, dot, dash and underscore become one underscore."""
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_")
+
+
+def search_key(text: Column) -> Column:
+    """White space folded, case folded."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def distinct_parts(*parts: Column) -> Column:
+    """Parts of an address: empty and repeated ones left out, in order."""
+    trimmed = F.array(*[F.nullif(F.trim(p), F.lit("")) for p in parts])
+    return F.array_join(F.array_distinct(F.array_compact(trimmed)), ", ")
+
+
+#: Named characters of HTML that texts are likely to hold; fixed values.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def plain_text(html: Column) -> Column:
+    """Tags taken out, the common named characters put back, white space folded."""
+    out = F.regexp_replace(html, "<[^>]*>", " ")
+    for name, character in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(character))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def camera_and_time(name: Column) -> Column:
+    """camera and time of a file named camera_YYYYMMDD_HHMMSS or camera-YYYY-MM-DD-HH-MM-SS; null for other names."""
+    first, second = r"^(.+)_(\d{8})_(\d{6})\.\w+$", r"^(.+?)-(\d{4})-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})\.\w+$"
+    a = F.concat(F.regexp_extract(name, first, 2), F.regexp_extract(name, first, 3))
+    b = F.concat(*[F.regexp_extract(name, second, i) for i in range(2, 8)])
+    one = F.struct(F.regexp_extract(name, first, 1).alias("camera"), F.try_to_timestamp(a, F.lit("yyyyMMddHHmmss")).alias("time"))
+    two = F.struct(F.regexp_extract(name, second, 1).alias("camera"), F.try_to_timestamp(b, F.lit("yyyyMMddHHmmss")).alias("time"))
+    return F.when(name.rlike(first), one).when(name.rlike(second), two)
+
+
+def scene_key(dataset: Column, number: Column, block: int) -> Column:
+    """Neighbouring frames of a recording have one key: the data set and the block of the frame's number."""
+    return F.concat_ws("/", dataset, F.floor(number / block).cast("string"))

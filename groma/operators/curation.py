@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.functions.geometry import iou
-from groma.sources.scratch import written
+from groma.sources.scratch import ordered_parts, parts_before, written
 
 
 def exact_groups(df: DataFrame, *, record: str, content: Column) -> DataFrame:
@@ -43,7 +43,7 @@ def components(spark: SparkSession, pairs: DataFrame, *, record: str, key: str)
 
 def split_of(component: Column, shares: Sequence[tuple[str, float]]) -> Column:
     """A split for each component from a hash of its name: all records of a component go together, and growth moves none."""
-    at = F.pmod(F.xxhash64(component), F.lit(1_000_000)) / 1_000_000.0
+    at = F.conv(F.substring(F.md5(component.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     total, out = 0.0, F.lit(shares[-1][0])
     for name, share in reversed(shares[:-1]):
         total = sum(s for n, s in shares[: [n for n, _ in shares].index(name) + 1])
@@ -71,7 +71,7 @@ def unique_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def diverse(frames: pd.DataFrame, feature: str, most: int, look_back: int = 5) -> pd.DataFrame:
-    """For applyInPandas by camera: picks in turn the frame furthest (L1) from those picked last."""
+    """Picks in turn the frame furthest (L1) from those picked last."""
     import numpy as np
 
     x = np.stack(frames[feature].to_numpy())
@@ -83,5 +83,22 @@ def diverse(frames: pd.DataFrame, feature: str, most: int, look_back: int = 5) -
     return frames.iloc[chosen]
 
 
+def diverse_picks(frames: DataFrame, *, group: str, row: str, feature: str, most: int, look_back: int = 5) -> DataFrame:
+    """group, row, place: at most ``most`` frames of each group that differ from each other, beginning with the first one."""
+    out = f"{group} {frames.schema[group].dataType.simpleString()}, {row} {frames.schema[row].dataType.simpleString()}, place int"
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        found = diverse(rows.sort_values(row, kind="stable"), feature, most, look_back)
+        return found.assign(place=range(1, len(found) + 1))[[group, row, "place"]].astype({"place": "int32"})
+
+    return frames.select(group, row, feature).groupBy(group).applyInPandas(pick, out)
+
+
 def ranked(df: DataFrame, group: str, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """df with rank within the group. Rows are laid out by range and numbered there, behind what the ranges before hold, so a group is many tasks."""
+    keyed = df.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    keys = [f"_o{i}" for i in range(len(order))]
+    placed = ordered_parts(keyed, [group, *keys], "ranked")
+    before = parts_before(placed, group, F.count(F.lit(1)))
+    number = F.row_number().over(Window.partitionBy(group, "part").orderBy(*keys))
+    return placed.join(before, [group, "part"]).withColumn("rank", F.col("before") + number).drop("part", "before", "total", *keys)

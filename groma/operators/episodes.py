@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +54,16 @@ def open_alerts(alerts: DataFrame, *, key: str = "fingerprint") -> DataFrame:
 def relevant(alerts: DataFrame) -> DataFrame:
     """What belongs in a report: known status, a message, not suppressed, and not plainly unconfirmed (null is not)."""
     return alerts.filter("status <> 'unknown' and message is not null and not suppressed and confirmed is distinct from false")
+
+
+def tabs(*, reviewed: Column) -> dict[str, Column]:
+    """Conditions of the lists that alerts are shown in."""
+    return {"open": F.col("status") == "open", "critical": (F.col("severity") == "critical") & ~F.col("suppressed"), "reviewed": reviewed}
+
+
+def request_outcomes(requests: DataFrame, *, keys: Sequence[str], order: str, content: str) -> DataFrame:
+    """requests with outcome: the first of a key is an insert, one of the same content a replay, another a conflict. One aggregate, joined back."""
+    first = requests.groupBy(*keys).agg(F.min(F.struct(order, content)).alias("_first"))
+    joined = requests.join(first, list(keys))
+    same = F.col(content).eqNullSafe(F.col(f"_first.{content}"))
+    return joined.withColumn("outcome", F.when(F.col(order) == F.col(f"_first.{order}"), "insert").when(same, "replay").otherwise("conflict")).drop("_first")

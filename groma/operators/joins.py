@@ -67,6 +67,51 @@ def hamming_pairs(df: DataFrame, *, key: str, bits: str, most: int, width: int =
     return pairs.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "distance")
 
 
+def hamming_nearest(left: DataFrame, right: DataFrame, *, key: str, bits: str, within: str) -> DataFrame:
+    """For each row of left the nearest pattern of right within its group, ties to the smaller key. Equal patterns are compared once, and the least is kept by partial aggregation."""
+    there = right.groupBy(within, F.col(bits).alias("_bits")).agg(F.min(key).alias("_to"))
+    here = left.select(within, bits).distinct().join(there, within)
+    near = here.groupBy(within, bits).agg(F.min(F.struct(F.bit_count(F.col(bits).bitwiseXOR(F.col("_bits"))).alias("distance"), F.col("_to").alias("nearest"))).alias("_r"))
+    return left.join(near, [within, bits]).select(key, "_r.distance", "_r.nearest")
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, at: str, value: str) -> DataFrame:
+    """left with the value of right's row nearest in time for the same key, the earlier one of two equally near: as-of in both directions.
+
+    Both sides lie in one ordered sequence, so the last value before and the first behind are
+    window functions, and no pairs are made. At one time, right's rows stand before left's.
+    """
+    names = left.columns
+    a = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[at].dataType).alias("_t"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    b = right.groupBy(key, at).agg(F.min(value).alias(value)).select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(at).alias("_t"), F.col(value).alias("_v"))
+    w = Window.partitionBy("_key").orderBy("_at", "_side")
+    found = F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
+    before = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    placed = a.unionByName(b).withColumn("_before", before).withColumn("_behind", behind).filter("_side = 1")
+    earlier = F.col("_behind").isNull() | (F.col("_before").isNotNull() & (F.col("_at") - F.col("_before.t") <= F.col("_behind.t") - F.col("_at")))
+    pick = F.when(earlier, F.col("_before")).otherwise(F.col("_behind"))
+    return placed.select("_row", pick.alias("_p")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_p.t").alias("near_at"), F.col("_p.v").alias("near_value"))
+
+
+def first_match(left: DataFrame, right: DataFrame, *, key: str, rules: Sequence[Column], value: str, order: str) -> DataFrame:
+    """left with the value of the partner of equal key that meets the earliest rule (those that meet none come last), then by order; null without partner."""
+    rank = F.lit(len(rules))
+    for i in reversed(range(len(rules))):
+        rank = F.when(F.coalesce(rules[i], F.lit(False)), i).otherwise(rank)
+    own = left.columns
+    joined = left.join(right, key, "left").withColumn("_rank", rank)
+    best = joined.groupBy(*own).agg(F.min_by(F.struct("_rank", value), F.struct("_rank", order)).alias("_b"))
+    return best.select(*own, F.col(f"_b.{value}").alias(value), F.when(F.col(f"_b.{value}").isNotNull(), F.col("_b._rank")).alias("rule"))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
     """The first rows of each group with their version number from 1."""
     return df.withColumn("version", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("version") <= most)
+
+
+def mutual_best(pairs: DataFrame, a: str, b: str, away: str) -> DataFrame:
+    """The pairs of which each side is the other's nearest; ties to the smaller partner."""
+    of_a = pairs.groupBy(a).agg(F.min(F.struct(away, b))[b].alias(b))
+    of_b = pairs.groupBy(b).agg(F.min(F.struct(away, a))[a].alias(a))
+    return of_a.join(of_b, [a, b]).select(a, b)

@@ -153,3 +153,58 @@ def keyframes(df: DataFrame, *, run: str = "run_id", clock: str = "clock", row:
     placed = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(run)))
     chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (most - 1)).cast("long"))
     return placed.filter((F.col("_n") <= most) | F.array_contains(chosen, F.col("_at").cast("long"))).drop("_at", "_n")
+
+
+def state_seconds(df: DataFrame, *, states: dict[str, Column], run: str = "run_id", span: str = "span") -> DataFrame:
+    """Per run the time that things spent in each state: the number in the state times the sample's span, nulls left out."""
+    return df.groupBy(run).agg(*[F.coalesce(F.sum(n * F.col(span)), F.lit(0)).alias(name) for name, n in states.items()])
+
+
+def run_lengths(df: DataFrame, *, run: str, clock: str, row: str, value: str) -> DataFrame:
+    """run, value, first, last, n: stretches of equal neighbouring values; nulls are equal to each other."""
+    w = Window.partitionBy(run).orderBy(clock, row)
+    cut = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(row).over(w).isNull(), F.lit(True))
+    marked = df.withColumn("_run", F.sum(cut.cast("int")).over(w))
+    return marked.groupBy(run, "_run").agg(F.first(value).alias(value), F.min(clock).alias("first"), F.max(clock).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def linked(df: DataFrame, *, run: str, clock: str, row: str, step: float, least: float = 90) -> DataFrame:
+    """df with linked: whether the next point is near enough to be joined by a line; false for the last one."""
+    w = Window.partitionBy(run).orderBy(clock, row)
+    return df.withColumn("linked", F.coalesce(F.lead(clock).over(w) - F.col(clock) <= max(1.5 * step, least), F.lit(False)))
+
+
+def viewing_window(df: DataFrame, *, run: str, clock: str, length: float) -> DataFrame:
+    """The rows of each run within ``length`` of its last one. The ends come from one aggregate, so runs are not sorted."""
+    ends = df.groupBy(run).agg(F.max(clock).alias("_end"))
+    return df.join(ends, run).filter(F.col(clock) >= F.col("_end") - length).drop("_end")
+
+
+class Sampler:
+    """Keeps a frame once its time has come, and counts the next one from there, so that samples drift with the frames."""
+
+    def __init__(self, step: float, slack: float = 0.001):
+        self.step, self.slack, self.due = step, slack, None
+
+    def keeps(self, at: float) -> bool:
+        if self.due is not None and at + self.slack < self.due:
+            return False
+        self.due = at + self.step
+        return True
+
+
+def sampled(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id") -> DataFrame:
+    """The drifting sample of each run: run, clock, row. Each choice depends on the one before, so this is a fold over sorted batches."""
+    out = f"{run} {df.schema[run].dataType.simpleString()}, {clock} double, {row} {df.schema[row].dataType.simpleString()}"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, last = Sampler(step), None
+        for batch in batches:
+            keep = []
+            for key, at in zip(batch[run].tolist(), batch[clock].tolist(), strict=True):
+                if key != last:
+                    sampler, last = Sampler(step), key
+                keep.append(sampler.keeps(at))
+            yield batch[keep]
+
+    return df.select(run, F.col(clock).cast("double").alias(clock), row).repartition(run).sortWithinPartitions(run, clock, row).mapInPandas(fold, out)

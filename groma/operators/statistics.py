@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groma.sources.scratch import ordered_parts, parts_before
+
 
 def divergence(df: DataFrame, *, split: str, kind: str, a: str, b: str) -> DataFrame:
     """Jensen-Shannon divergence, in bits, of the kinds' shares in two splits. Only counts by kind go into it."""
@@ -19,9 +21,25 @@ def divergence(df: DataFrame, *, split: str, kind: str, a: str, b: str) -> DataF
 
 
 def summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Percentiles 10, 50, 90 (linear between neighbours), mean and deviation of a whole population."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(group).agg(p.alias("p"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation")).select(group, F.col("p")[0].alias("p10"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p90"), "mean", "deviation")
+    """Percentiles 10, 50, 90 (linear between neighbours), mean and deviation of a whole population.
+
+    Exact, without a group's values in one task: values are counted, the counts laid out by
+    range, and running sums taken over the ranges first.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    placed = ordered_parts(counts, [group, value], "value-counts")
+    before = parts_before(placed, group, F.sum("n"))
+    own = Window.partitionBy(group, "part").orderBy(value)
+    ranked = placed.join(before, [group, "part"]).withColumn("stop", F.col("before") + F.sum("n").over(own)).withColumn("begin", F.col("stop") - F.col("n"))
+    at = lambda r: F.max(F.when((F.col("begin") <= r) & (r < F.col("stop")), F.col(value)))
+    found = []
+    for p in (10, 50, 90):
+        place = (F.col("total") - 1) * (p / 100)
+        found += [at(F.floor(place)).alias(f"low{p}"), at(F.ceil(place)).alias(f"high{p}"), F.max(place - F.floor(place)).alias(f"part{p}")]
+    percentiles = ranked.groupBy(group).agg(*found)
+    moments = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    mixed = [(F.col(f"low{p}") + (F.col(f"high{p}") - F.col(f"low{p}")) * F.col(f"part{p}")).alias(f"p{p}") for p in (10, 50, 90)]
+    return moments.join(percentiles, group, "left").select(group, *mixed, "mean", "deviation")
 
 
 def jaccard(df: DataFrame, *, split: str, value: str, a: str, b: str) -> DataFrame:

@@ -41,7 +41,7 @@ def box_labels(spark: SparkSession, path: str) -> DataFrame:
     """Lines "class x y w h", or a class and a polygon's points, as centre boxes; path, line text, class_id, x, y, w, h, valid."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).filter("line <> ''")
     parts = F.split("line", r"\s+")
-    numbers = F.transform(F.slice(parts, 2, 100_000), lambda x: x.try_cast("double"))
+    numbers = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.try_cast("double"))
     rows = lines.select("path", "line", F.get(parts, F.lit(0)).try_cast("int").alias("class_id"), numbers.alias("v"))
     xs, ys = F.filter("v", lambda _, i: i % 2 == 0), F.filter("v", lambda _, i: i % 2 == 1)
     is_box, is_polygon = F.size("v") == 4, (F.size("v") >= 6) & (F.size("v") % 2 == 0)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new temporary folder only where none is configured."""
+    """spark.checkpoint.dir. Without one, local sessions get a temporary folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='groma-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -22,3 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/groma-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ordered_parts(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df laid out by ranges of the order and written, with the number of each row's range in ``part``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), name)
+
+
+def parts_before(placed: DataFrame, group: str, amount: Column) -> DataFrame:
+    """group, part, before (the amount in the group's earlier parts) and total: one row for each group and part, however many rows they hold."""
+    sums = placed.groupBy(group, "part").agg(amount.alias("_here"))
+    w = Window.partitionBy(group)
+    return sums.withColumn("before", F.sum("_here").over(w.orderBy("part")) - F.col("_here")).withColumn("total", F.sum("_here").over(w)).drop("_here")
