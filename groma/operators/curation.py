@@ -12,10 +12,11 @@ from groma.functions.geometry import iou
 from groma.sources.scratch import ordered_parts, parts_before, written
 
 
-def exact_groups(df: DataFrame, *, record: str, content: Column) -> DataFrame:
-    """record, representative (the smallest of equal content), copies."""
-    hashed = df.filter(content.isNotNull()).select(record, F.sha2(content.cast("binary"), 256).alias("_hash"))
-    groups = hashed.groupBy("_hash").agg(F.min(record).alias("representative"), F.count(F.lit(1)).alias("copies"))
+def exact_groups(df: DataFrame, *, record: str, content: Column, order: Sequence[Column] = ()) -> DataFrame:
+    """record, representative (of equal content the first by ``order``, then the smallest), copies."""
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(record).alias("record"))
+    hashed = df.filter(content.isNotNull()).select(record, F.sha2(content.cast("binary"), 256).alias("_hash"), rank.alias("_rank"))
+    groups = hashed.groupBy("_hash").agg(F.min("_rank")["record"].alias("representative"), F.count(F.lit(1)).alias("copies"))
     return hashed.join(groups, "_hash").select(record, "representative", "copies")
 
 

@@ -67,3 +67,11 @@ def request_outcomes(requests: DataFrame, *, keys: Sequence[str], order: str, co
     joined = requests.join(first, list(keys))
     same = F.col(content).eqNullSafe(F.col(f"_first.{content}"))
     return joined.withColumn("outcome", F.when(F.col(order) == F.col(f"_first.{order}"), "insert").when(same, "replay").otherwise("conflict")).drop("_first")
+
+
+def report(found: DataFrame, *, zone: str, classes: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows of the event report: confirmed events with local times and whole minutes, and for each class what was expected and seen."""
+    local = lambda c: F.date_format(F.from_utc_timestamp(F.timestamp_micros(F.col(c).cast("long")), zone), "dd.MM.yyyy HH:mm:ss")
+    counts = [c.alias(f"{what}_{name}") for name, pair in classes.items() for what, c in zip(("expected", "seen"), pair, strict=True)]
+    shown = found.filter(~F.col("suppressed") & (F.col("status") != "unknown"))
+    return shown.select(F.concat_ws("#", "fingerprint", F.col("episode").cast("string")).alias("event"), local("first_seen").alias("begun"), local("last_seen").alias("ended"), F.floor(F.col("duration") / 60_000_000).cast("long").alias("minutes"), "status", "severity", *counts)

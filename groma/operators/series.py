@@ -24,8 +24,10 @@ def segments(obs: DataFrame, *, run: str = "run_id", clock: str = "clock", usabl
     return obs.withColumn("_cut", cut.cast("int")).withColumn("segment", F.sum("_cut").over(w)).drop("_cut")
 
 
-def durations(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id") -> DataFrame:
-    """df with span: the time to the next sample of the segment, ``step`` at most, 0 for the last one."""
+def durations(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id", finest: float | None = None) -> DataFrame:
+    """df with span: the time to the next sample of the segment, ``step`` at most, 0 for the last one. Samples further apart than ``finest`` stand for no time at all."""
+    if finest is not None and step > finest:
+        return df.withColumn("span", F.lit(0))
     w = Window.partitionBy(run, "segment").orderBy(clock, row)
     return df.withColumn("span", F.coalesce(F.least(F.lead(clock).over(w) - F.col(clock), F.lit(step)), F.lit(0)))
 
@@ -114,13 +116,13 @@ def debounce(df: DataFrame, *, absence: float, change: float, run: str = "run_id
         state, last = Debounce(absence, change), None
         for batch in batches:
             counts, labels = [], []
-            for r in batch.itertuples(index=False):
-                key = (r[0], r[1], r[2])
-                if key != last:
+            columns = [batch[c].tolist() for c in (*keys, clock)]
+            raws = batch[value].astype("Int64").astype(object).where(batch[value].notna(), None).tolist()
+            for a, b, c, at, raw in zip(*columns, raws, strict=True):
+                if (a, b, c) != last:
                     state.clear()
-                    last = key
-                raw = None if pd.isna(r[5]) else int(r[5])
-                count, label = state.step(r[4], raw)
+                    last = (a, b, c)
+                count, label = state.step(at, raw)
                 counts.append(count)
                 labels.append(label)
             yield batch.assign(count=pd.array(counts, dtype="Int64"), presence=labels)
@@ -147,6 +149,19 @@ def absence_states(df: DataFrame, *, need: Column, confirm: float, allowed: floa
     return stated.drop("_low", "_start", "_island")
 
 
+def bucket_states(df: DataFrame, *, size: float, states: dict[str, Column], run: str = "run_id", clock: str = "clock", row: str = "id", span: str = "span") -> DataFrame:
+    """run, segment, bucket, sample_count, the seconds of each state, and the row that stands for the bucket, its last one."""
+    seconds = [F.coalesce(F.sum(n * F.col(span)), F.lit(0)).alias(name) for name, n in states.items()]
+    return df.groupBy(run, "segment", F.floor(F.col(clock) / size).alias("bucket")).agg(F.count(F.lit(1)).alias("sample_count"), *seconds, F.max_by(row, F.struct(clock, row)).alias("last_row"))
+
+
+def absence_ratios(stated: DataFrame, *, run: str = "run_id") -> DataFrame:
+    """Per run the time in each state, and absent / (present + absent), null where neither was seen."""
+    own = lambda s: F.coalesce(F.sum(F.when(F.col("state") == s, F.col("owned"))), F.lit(0)).alias(s)
+    found = stated.groupBy(run).agg(*[own(s) for s in ("present", "absent", "pending", "unknown")])
+    return found.withColumn("absence_ratio", F.try_divide(F.col("absent"), F.col("present") + F.col("absent")).cast("double"))
+
+
 def keyframes(df: DataFrame, *, run: str = "run_id", clock: str = "clock", row: str = "id", most: int = 6) -> DataFrame:
     """At most ``most`` rows of each run, evenly spaced from the first to the last."""
     w = Window.partitionBy(run).orderBy(clock, row)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.catalogue import DAY, EPISODES, GAP, HOUR, OBS, SEGMENTS, batch_episodes, query, segmented, with_spans
-from groma.operators import episodes, joins, series
+from groma.operators import curation, episodes, joins, series
 from groma.sources import views
 from groma.sources.views import table
 
@@ -167,3 +167,53 @@ def drifting_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = segmented(spark, sf_dir).groupBy("run_id", "segment").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("n").agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query("q173_coarse_samples", f"WITH {SEGMENTS} SELECT id, 0 AS span FROM seg")
+def coarse_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples six hours apart, where two are the most that a sample can stand for."""
+    return series.durations(segmented(spark, sf_dir), step=6 * HOUR, finest=2 * HOUR).select("id", "span")
+
+
+@query("q174_bucket_states", f"WITH {SEGMENTS} SELECT run_id, segment, clock // {DAY} AS bucket, count(*) AS sample_count, CAST(coalesce(sum(CASE WHEN class_id = 'click' THEN raw_count * span END), 0) AS BIGINT) AS working, CAST(coalesce(sum(CASE WHEN class_id = 'view' THEN raw_count * span END), 0) AS BIGINT) AS idle, arg_max(id, (clock, id)) AS last_row FROM spans GROUP BY ALL")
+def bucket_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda c: F.when(F.col("class_id") == c, F.col("raw_count"))
+    found = series.bucket_states(with_spans(spark, sf_dir), size=DAY, states={"working": of("click"), "idle": of("view")})
+    return found.select("run_id", "segment", "sample_count", "last_row", *[F.col(c).cast("long").alias(c) for c in ("bucket", "working", "idle")])
+
+
+@query("q175_absence_ratios", f"""WITH {OBS}, a AS (SELECT *, coalesce(raw_count < 2, false) AS low, clock - lag(clock) OVER w AS gap, coalesce(lead(clock) OVER w - clock, 0) AS owned FROM obs WINDOW w AS (PARTITION BY run_id ORDER BY clock, id)),
+p AS (SELECT *, lag(low) OVER (PARTITION BY run_id ORDER BY clock, id) AS low_before FROM a),
+b AS (SELECT *, sum(CASE WHEN low AND (coalesce(NOT low_before, true) OR coalesce(gap > {GAP}, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY clock, id) AS island FROM p),
+c AS (SELECT *, min(CASE WHEN low THEN clock END) OVER (PARTITION BY run_id, island) AS since FROM b),
+d AS (SELECT run_id, owned, CASE WHEN owned > {GAP} THEN 'unknown' WHEN raw_count IS NULL THEN 'unknown' WHEN NOT low THEN 'present' WHEN clock - since >= {6 * HOUR} THEN 'absent' ELSE 'pending' END AS state FROM c),
+t AS (SELECT run_id, CAST(coalesce(sum(owned) FILTER (state = 'present'), 0) AS BIGINT) AS present, CAST(coalesce(sum(owned) FILTER (state = 'absent'), 0) AS BIGINT) AS absent, CAST(coalesce(sum(owned) FILTER (state = 'pending'), 0) AS BIGINT) AS pending, CAST(coalesce(sum(owned) FILTER (state = 'unknown'), 0) AS BIGINT) AS unknown FROM d GROUP BY run_id)
+SELECT *, absent / nullif(present + absent, 0)::DOUBLE AS absence_ratio FROM t""")
+def absence_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = series.absence_states(views.observations(spark, sf_dir), need=F.lit(2), confirm=6 * HOUR, allowed=GAP, value="raw_count")
+    found = series.absence_ratios(stated.withColumn("owned", F.col("owned").cast("long")))
+    return found
+
+
+@query("q176_event_report", f"""WITH {EPISODES} SELECT fingerprint || '#' || episode AS event, strftime(make_timestamp(first_seen) + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M:%S') AS begun, strftime(make_timestamp(last_seen) + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M:%S') AS ended, CAST(duration // 60000000 AS BIGINT) AS minutes, status, severity,
+  4 AS expected_a, CASE WHEN severity = 'critical' THEN 0 END AS seen_a FROM done WHERE NOT suppressed AND status <> 'unknown'""")
+def event_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are reported: local times, whole minutes, what was expected and seen of each class."""
+    return episodes.report(batch_episodes(spark, sf_dir), zone="+03:00", classes={"a": (F.lit(4), F.when(F.col("severity") == "critical", 0))})
+
+
+@query("q177_fullest_duplicate", "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY n_chars % 7 DESC, source NULLS FIRST, doc_id) AS representative, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL")
+def fullest_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal pictures the one with the most boxes, then by data set, then by name."""
+    return curation.exact_groups(table(spark, sf_dir, "documents"), record="doc_id", content=F.col("text"), order=[-(F.col("n_chars") % 7), F.col("source")])
+
+
+@query("q178_finding_alerts", """WITH f AS (SELECT c_custkey AS finding, c_custkey % 300 AS work FROM customer), a AS (SELECT o_orderkey AS alert, o_custkey % 300 AS work, o_orderkey % 1500 AS evidence, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 5 = 0),
+j AS (SELECT *, CASE WHEN evidence = finding THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS rank FROM f LEFT JOIN a USING (work)) SELECT finding, arg_min(alert, (rank, alert)) AS alert, CASE WHEN arg_min(alert, (rank, alert)) IS NOT NULL THEN CAST(min(rank) AS INTEGER) END AS rule FROM j GROUP BY finding""")
+def finding_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alert of a finding: the one with the same evidence, else an open one, else the first."""
+    k = F.col("o_orderkey")
+    alerts = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P' and o_orderkey % 5 = 0").select(k.alias("alert"), (F.col("o_custkey") % 300).alias("work"), (k % 1500).alias("evidence"), "o_orderstatus")
+    findings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding"), (F.col("c_custkey") % 300).alias("work"))
+    rules = [F.col("evidence") == F.col("finding"), F.col("o_orderstatus") == "O"]
+    return joins.first_match(findings, alerts, key="work", rules=rules, value="alert", order="alert").select("finding", "alert", "rule")

@@ -9,15 +9,44 @@ from pyspark.sql import functions as F
 
 from groma.functions.text import parsed_time, safe_cell
 
+MOST_BYTES, CYRILLIC = 5 << 20, "windows-1251"
 
-def plan_rows(spark: SparkSession, path: str, *, headers: Mapping[str, Sequence[str]], classes: Mapping[str, str], zone: str = "UTC", sep: str = ";") -> DataFrame:
-    """code, title, starts_at, ends_at, resources, errors. headers: names by which each field may go; classes: class id by column name.
 
-    A row with faults is returned with what is wrong in it, not dropped; a blank count is 0.
+def plan_format(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Encoding and separator of a plan file: UTF-8 if it can be read so, else Windows-1251; the separator that its header has more of.
+
+    A plan is small (``MOST_BYTES``), and a larger file is refused before it is read.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    size = listed.agg(F.max("length")).first()[0]
+    if size is None or size > MOST_BYTES:
+        raise ValueError(f"a plan file of at most {MOST_BYTES} bytes is needed")
+    content = bytes(listed.select("content").first()[0])
+    try:
+        text, encoding = content.decode("utf-8-sig"), "UTF-8"
+    except UnicodeDecodeError:
+        text, encoding = content.decode("cp1251"), CYRILLIC
+    header = text.split("\n", 1)[0]
+    return encoding, ";" if header.count(";") >= header.count(",") else ","
+
+
+def plan_rows(spark: SparkSession, path: str, *, headers: Mapping[str, Sequence[str]], classes: Mapping[str, str], zone: str = "UTC", sep: str | None = None) -> DataFrame:
+    """row (its number in the file, the header being 1), code, title, starts_at, ends_at, resources, errors.
+
+    headers: names by which each field may go; classes: class id by column name. A row with
+    faults is returned with what is wrong in it, not dropped; a blank count is 0.
     """
-    raw = spark.read.csv(path, sep=sep, header=True, encoding="UTF-8", multiLine=True)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    by_name = {c.lower(): c for c in raw.columns}
+    encoding, found_sep = plan_format(spark, path)
+    # quoted cells may hold line breaks, so the file is one task and its rows keep their order
+    plain = encoding != CYRILLIC
+    raw = spark.read.csv(path, sep=sep or found_sep, header=True, encoding=encoding if plain else "ISO-8859-1", multiLine=True)
+    if not plain:
+        # Spark reads no Windows-1251: its bytes are read one by one, as Latin 1, and then given their letters
+        high = bytes(range(0x80, 0x100))
+        latin, letters = high.decode("latin-1"), high.decode("cp1251", "replace")
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), latin, letters).alias(c.translate(str.maketrans(latin, letters))) for c in raw.columns])
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns]).withColumn("_row", F.monotonically_increasing_id() + 2)
+    by_name = {c.lower(): c for c in raw.columns if c != "_row"}
 
     def field(name: str) -> Column:
         found = next((by_name[h.lower()] for h in headers[name] if h.lower() in by_name), None)
@@ -34,7 +63,7 @@ def plan_rows(spark: SparkSession, path: str, *, headers: Mapping[str, Sequence[
         *[F.when(~F.coalesce(cell(k).try_cast("int").between(0, 10_000), F.lit(False)), k) for k in present],
     ]
     resources = F.create_map(*counts) if counts else F.create_map().cast("map<string,int>")
-    return raw.select(field("code").alias("code"), field("title").alias("title"), starts.alias("starts_at"), ends.alias("ends_at"), resources.alias("resources"), F.array_compact(F.array(*faults)).alias("errors"))
+    return raw.select(F.col("_row").alias("row"), field("code").alias("code"), field("title").alias("title"), starts.alias("starts_at"), ends.alias("ends_at"), resources.alias("resources"), F.array_compact(F.array(*faults)).alias("errors"))
 
 
 def box_labels(spark: SparkSession, path: str) -> DataFrame:

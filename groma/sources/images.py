@@ -24,7 +24,7 @@ def coco_boxes(spark: SparkSession, path: str) -> DataFrame:
     at = lambda i: F.get("bbox", F.lit(i))
     x1, y1 = F.greatest(at(0), F.lit(0.0)), F.greatest(at(1), F.lit(0.0))
     x2, y2 = F.least(at(0) + at(2), F.col("width")), F.least(at(1) + at(3), F.col("height"))
-    valid = F.coalesce((F.size("bbox") == 4) & F.col("kind").isNotNull() & (x2 > x1) & (y2 > y1), F.lit(False))
+    valid = F.coalesce((F.size("bbox") == 4) & F.col("kind").isNotNull() & F.col("width").isNotNull() & (x2 > x1) & (y2 > y1), F.lit(False))
     centre = [((x1 + x2) / 2 / F.col("width")).alias("x"), ((y1 + y2) / 2 / F.col("height")).alias("y"), ((x2 - x1) / F.col("width")).alias("w"), ((y2 - y1) / F.col("height")).alias("h")]
     return joined.select("file", "annotation_id", "image_id", "name", "kind", *centre, valid.alias("valid"))
 

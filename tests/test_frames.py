@@ -160,3 +160,29 @@ def test_components_stay_whole_and_strata_are_shared_out(spark):
     assert got.count() == 3000
     shares = got.groupBy("stratum").pivot("split").sum("weight").collect()
     assert all(abs(r.train / (r.train + r.val + r.test) - 0.75) < 0.01 and abs(r.val / (r.train + r.val + r.test) - 0.15) < 0.01 for r in shares)
+
+
+def test_plan_files_of_both_encodings(spark, tmp_path):
+    from groma.sources.files import plan_rows
+
+    names = {"code": ["Код", "code"], "title": ["Работа"], "starts_at": ["Начало"], "ends_at": ["Конец"]}
+    for name, encoding, sep in (("a", "utf-8-sig", ";"), ("b", "cp1251", ",")):
+        rows = [["Код", "Работа", "Начало", "Конец", "Кран"], ["1.2", "Котлован", "01.02.2026 08:00", "03.02.2026 08:00", "2"], ["x", "Плохая", "01.02.2026 08:00", "01.01.2026 08:00", "много"], ["1.3", '"две\nстроки"', "2026-02-01T08:00:00", "2026-02-02T08:00:00", ""]]
+        (tmp_path / f"{name}.csv").write_bytes("\n".join(sep.join(r) for r in rows).encode(encoding))
+        got = plan_rows(spark, f"{tmp_path}/{name}.csv", headers=names, classes={"Кран": "7"}, zone="Europe/Moscow").orderBy("row").collect()
+        assert [(r.row, r.code, r.title, r.errors) for r in got] == [(2, "1.2", "Котлован", []), (3, "x", "Плохая", ["code", "period", "Кран"]), (4, "1.3", "две\nстроки", [])]
+        assert str(got[0].starts_at) == "2026-02-01 05:00:00" and got[0].resources == {"7": 2} and got[2].resources == {"7": 0}
+
+
+def test_coco_files(spark, tmp_path):
+    import json
+
+    from groma.sources import images
+
+    (tmp_path / "a.json").write_text(json.dumps({"images": [{"id": 1, "file_name": "x.jpg", "width": 100, "height": 50}], "categories": [{"id": 3, "name": "crane"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 3, "bbox": [10, 10, 20, 20]}, {"id": 2, "image_id": 1, "category_id": 3, "bbox": [90, 0, 50, 10]}, {"id": 3, "image_id": 9, "category_id": 3, "bbox": [0, 0, 1, 1]}, {"id": 4, "image_id": 1, "category_id": 3, "bbox": [100, 0, 5, 5]}]}))
+    got = {r.annotation_id: r for r in images.coco_boxes(spark, str(tmp_path)).collect()}
+    assert [got[i].valid for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert (got[1].name, got[1].kind, got[1].x, got[1].y, got[1].w, got[1].h) == ("x.jpg", "crane", 0.2, 0.4, 0.2, 0.4) and got[2].w == 0.1
+    assert [r.path for r in images.listed_files(spark, str(tmp_path)).collect()][0].endswith("a.json")
+    stems = spark.createDataFrame([("a_jpg.rf.0123456789abcdef",), ("b_png",), ("c",)], "s string")
+    assert [r[0] for r in stems.select(images.stem_without_version(F.col("s"))).collect()] == ["a", "b", "c"]
