@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groma.sources.scratch import shared_folder
+from groma.sources.scratch import written as scratch
+
+__all__ = ["scratch"]
 #: The white space that separates words: space and tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,30 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Without one, local sessions get a temporary folder; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='groma-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/groma-{name}-{uuid.uuid4().hex}"
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/groma-{name}-{uuid.uuid4().hex}"
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing lazily read depends on any more."""
+    """Deletes scratch tables that have been read for the last time: nothing lazily read depends on them any more."""
     for df in tables:
         spark = df.sparkSession
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

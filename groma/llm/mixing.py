@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groma.sources.scratch import ordered_parts, parts_before
+
 from .common import count_words, scratch, table, without
 
 COLUMNS = ["size", "source_size", "target", "rate", "copies", "taken"]
@@ -33,21 +35,29 @@ def rates(sizes: DataFrame, weights: Sequence[float], share: float, cap: float)
     """source, source_size -> source, source_size, target; one row per source.
 
     With the sources in the order of cap * size / weight, those below the water level are
-    full; the level is the first one that its own source can hold. One row per source goes
-    through one task, never a document.
+    full; the level is the first one that its own source can hold. There may be as many
+    sources as hosts, so they are laid out by ranges, and what lies before a row is the sum
+    of the ranges before plus that of its own range.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    one = sizes.select("source", "source_size", F.lit(0).alias("all"), F.col("source").isNull().alias("last"))
+    named = ordered_parts(one, ["last", "source"], "sources")
+    by_name = Window.partitionBy("part").orderBy("last", "source")
+    ranked = named.join(parts_before(named, "all", F.count(F.lit(1))), ["all", "part"]).withColumn("rank", F.col("before") + F.row_number().over(by_name)).drop("part", "before", "total", "last")
     pattern = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", F.get(pattern, (F.col("rank") - 1) % len(weights)))
-    full = ranked.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("weight"))
-    all_rows = Window.partitionBy()
-    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(all_rows) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levels = full.withColumn("level", left / weight_left)
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "rank", "level"))).over(all_rows)["level"]
-    target = F.least(F.coalesce(F.col("water") * F.col("weight"), F.col("most")), F.col("most"))
-    return levels.withColumn("water", level).select("source", "source_size", target.alias("target"))
+    weighed = ranked.withColumn("weight", F.get(pattern, ((F.col("rank") - 1) % len(weights)).cast("int")))
+    full = weighed.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("weight"))
+    placed = ordered_parts(full, ["ratio", "rank"], "ratios")
+    of = lambda c, name: parts_before(placed, "all", F.sum(c)).withColumnsRenamed({"before": f"{name}_before", "total": f"{name}_total"})
+    joined = placed
+    for c in ("source_size", "most", "weight"):
+        joined = joined.join(of(c, c), ["all", "part"])
+    own = Window.partitionBy("part").orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.col(f"{c}_before") + F.coalesce(F.sum(c).over(own), F.lit(0.0))
+    level = (F.col("source_size_total") * F.lit(float(share)) - earlier("most")) / (F.col("weight_total") - earlier("weight"))
+    levels = scratch(joined.withColumn("level", level).select("source", "source_size", "rank", "weight", "most", "ratio", "level"), "levels")
+    water = levels.filter("ratio >= level").agg(F.min(F.struct("ratio", "rank", "level"))["level"].alias("water")).first()["water"]
+    target = F.col("most") if water is None else F.least(F.lit(float(water)) * F.col("weight"), F.col("most"))
+    return levels.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix-1") -> DataFrame:
@@ -56,7 +66,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     # the input's columns stay inside one struct: no name of theirs can clash
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("own"), count_words(F.col(text)).alias("size"))
     sizes = sized.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size"))
-    table_of_rates = scratch(rates(sizes, weights, share, cap).coalesce(1), "rates")
+    table_of_rates = rates(sizes, weights, share, cap)
     small = table_of_rates.count() <= BROADCAST_ROWS
     joined = sized.join(F.broadcast(table_of_rates) if small else table_of_rates, F.col("own").eqNullSafe(F.col("source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

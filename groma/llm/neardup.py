@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, scratch, table
+from .common import LOWER, UPPER, forget, scratch, table
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 16
 #: Links: 100 * intersection >= PERCENT * union.
@@ -161,7 +161,9 @@ def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, doc_id: str,
                 yield pa.RecordBatch.from_arrays(columns, ["cls", "s", "sig"])
 
     found = some.select("text").mapInArrow(work, "cls long, s array<long>, sig array<long>")
-    return scratch(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = scratch(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    forget(wanted, ids)
+    return sets
 
 
 def posted(lists: DataFrame) -> DataFrame:
@@ -217,7 +219,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
         twice = scratch(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select(F.col("a").alias("node"), F.col("top").alias("root")), "roots")
         mapping = twice if mapping is None else followed(mapping, twice)
-        rest = renamed(ways, twice)
+        before, rest = ways, scratch(renamed(ways, twice).filter("a != b").distinct(), "edges")
+        forget(before)
     return mapping if mapping is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
@@ -280,7 +283,9 @@ def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
     side = lambda n: member.select("hub", F.col("cls").alias(n), F.col("na").alias(f"n{n}"), F.col("delta").alias(f"d{n}"))
     both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
     difference = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return both.filter(linked((F.col("na") + F.col("nb") - difference) / 2, F.col("na"), F.col("nb"))).select("a", "b")
+    links = scratch(both.filter(linked((F.col("na") + F.col("nb") - difference) / 2, F.col("na"), F.col("nb"))).select("a", "b"), "completed")
+    forget(reach)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,13 +303,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         near = found if near is None else near.unionByName(found)
         deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "hub")
         rest = stars.filter("cls != hub").join(deep, ["cls", "hub"], "left_anti").select("cls", "token", "pop")
-        stars = scratch(starred(rest), "stars")
+        before, stars = stars, scratch(starred(rest), "stars")
+        forget(before)
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
     else:
         met = near if stars.isEmpty() else near.unionByName(scratch(confirmed(colliding(stars, sets), sets), "last"))
         roots = components(met.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-        tops = components(renamed(scratch(completed(near, roots), "completed"), roots))
+        tops = components(renamed(completed(near, roots), roots))
         rooted = followed(followed(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")), roots), tops).withColumnRenamed("node", "cls").join(members, "cls")
         least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
         names = rooted.join(least, "root").select("cls", "component_id")
