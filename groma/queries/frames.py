@@ -137,3 +137,21 @@ def region_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.array(corner(F.lit(0.5) + a, F.lit(0.5)), corner(F.lit(0.5), F.lit(0.5) + b), corner(F.lit(0.5) - a, F.lit(0.5)))
     area = geometry.polygon_area(half)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(area, 6).alias("area"), (area >= 1e-4).alias("valid"))
+
+
+@query("q179_activity")
+def machine_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of a supplier as sightings of three machines, with made-up measurements of their pictures."""
+    from groma.streaming import activity
+
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    track = (n % 3).cast("int")
+    x = 0.05 + track * 0.3
+    seen = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("run_id"), F.unix_date(F.to_date("l_shipdate")).cast("double").alias("clock"), track.alias("track_id"), F.col("l_returnflag").alias("class_id"),
+        x.alias("x1"), F.lit(0.2).alias("y1"), (x + 0.2).alias("x2"), F.lit(0.7).alias("y2"), (n % 17 != 0).alias("observed"), F.when(n % 17 == 0, 1).otherwise(0).alias("missed"),
+        F.when(n % 29 == 0, "moving").otherwise("stationary").alias("motion"), F.when(n % 31 == 0, "motion").when(n % 37 == 0, "uncertain").otherwise("quiet").alias("roi_motion"),
+        F.lit(120.0).alias("roi_mean"), F.lit(20.0).alias("roi_std"), F.lit(90.0).alias("roi_side"), F.lit(0.0).alias("drift"), F.lit(0.0).alias("scene_shift"), F.lit(1.0).alias("response"), (F.col("l_suppkey") % 50 != 0).alias("usable"),
+    )
+    one = seen.groupBy("run_id", "clock", "track_id").agg(*[F.min(c).alias(c) for c in activity.COLUMNS if c not in ("run_id", "clock", "track_id")])
+    return activity.activity(one, sample=1.0, mobile=["A", "N"], stationary=["R"], idle_after=20.0)
