@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.catalogue import DAY, EPISODES, GAP, HOUR, OBS, SEGMENTS, batch_episodes, query, segmented, with_spans
 from groma.operators import curation, episodes, joins, series
 from groma.sources import views
+from groma.sources.scratch import shared_folder
 from groma.sources.views import table
+from groma.streaming import replay
 
 
 @query("q103_state_seconds", f"WITH {SEGMENTS} SELECT run_id, CAST(coalesce(sum(CASE WHEN class_id = 'click' THEN raw_count * span END), 0) AS BIGINT) AS working, CAST(coalesce(sum(CASE WHEN class_id = 'view' THEN raw_count * span END), 0) AS BIGINT) AS idle, CAST(coalesce(sum(CASE WHEN raw_count IS NULL THEN span END), 0) AS BIGINT) AS unknown FROM spans GROUP BY run_id")
@@ -217,3 +221,13 @@ def finding_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding"), (F.col("c_custkey") % 300).alias("work"))
     rules = [F.col("evidence") == F.col("finding"), F.col("o_orderstatus") == "O"]
     return joins.first_match(findings, alerts, key="work", rules=rules, value="alert", order="alert").select("finding", "alert", "rule")
+
+
+@query("q180_stream_replay", "SELECT event_id, user_id, event_type FROM events")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that comes twice over, taken once."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    root = f"{shared_folder(spark)}/groma-replay-{uuid.uuid4().hex}"
+    once = replay.unique_rows(stream.union(stream), keys=["event_id"], time="at", within="40 days")
+    return replay.run_available(once, f"{root}/out", f"{root}/state").select("event_id", "user_id", "event_type")
