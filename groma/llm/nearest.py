@@ -3,7 +3,8 @@
 Each of ``tables`` hash tables cuts ``functions`` random projections into intervals of one
 width; the interval numbers are the bucket. For a query, the chance that a neighbour lies a
 given number of intervals away follows from the query's place in its own interval and the
-usual distance of neighbours, learned from a bounded sample. Buckets are visited in the
+usual distance of neighbours, learned from a few vectors of a bounded sample by comparing
+them with all. Intervals are ``width`` times that distance wide. Buckets are visited in the
 order of the product of these chances until they add up to ``success``. What the tables find
 is merged and ranked by exact distance.
 
@@ -24,9 +25,9 @@ once; with fewer than k candidates all are returned; an empty table gives an emp
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from functools import reduce
-from math import erf
+from math import erf, exp
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-K, TABLES, FUNCTIONS, WIDTH, REACH, SUCCESS, SEED = 10, 2, 6, 2.0, 2, 0.75, 17
+K, TABLES, FUNCTIONS, WIDTH, REACH, SUCCESS, SEED = 10, 2, 12, 3.0, 2, 0.75, 17
+#: Buckets that a query visits in one table at most; one that would need more is compared with all vectors.
+MOST_PROBES = 2000
 #: Rows of the sample that scale and distances are learned from; most vectors and queries in one block.
 SAMPLE_ROWS, BLOCK_VECTORS, BLOCK_QUERIES = 2000, 4000, 1000
+#: Vectors whose neighbours are searched among all, to learn the usual distance.
+GAUGES = 64
 #: Queries whose buckets one task looks up.
 PROBE_ROWS = 64
 FOUND = "query_id long, vec_id long, score double"
@@ -54,21 +59,16 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 class Hashes:
     """Projections, offsets and widths, the same on every executor."""
 
-    def __init__(self, sample: np.ndarray, tables: int, functions: int, width: float, reach: int, success: float, seed: int, k: int):
+    def __init__(self, sample: np.ndarray, near: float, tables: int, functions: int, width: float, reach: int, success: float, seed: int):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.a = rng.standard_normal((tables, dim, functions))
         spread = float(np.mean([np.std(sample @ a) for a in self.a])) or 1.0
-        self.w = width * spread
-        self.b = rng.uniform(0, self.w, (tables, functions)) - np.stack([np.median(sample @ a, axis=0) for a in self.a])
-        sample = np.unique(sample, axis=0)  # copies say nothing of the distance between others
-        squares = (sample**2).sum(1)
-        away = np.sqrt(np.maximum(0, squares[:, None] + squares[None] - 2 * sample @ sample.T))
-        self.near = max(float(np.median(np.sort(away, axis=1)[:, min(k, len(sample) - 1)])), 1e-3 * self.w)
-        self.steps = np.arange(-reach, reach + 1)
+        middle = np.stack([np.median(sample @ a, axis=0) for a in self.a])
+        self.near = max(near, 1e-3 * spread)
+        self.w = width * self.near
+        self.b = rng.uniform(0, self.w, (tables, functions)) - middle
         self.reach, self.success, self.functions = reach, success, functions
-        grids = np.meshgrid(*[np.arange(2 * reach + 1)] * functions, indexing="ij")
-        self.moves = np.stack([g.ravel() for g in grids], axis=1)
 
     def place(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Interval numbers, and places within the interval in [0, 1)."""
@@ -95,13 +95,34 @@ class Hashes:
         chance = np.diff(below, axis=2)
         found = []
         for i in range(len(x)):
-            product = reduce(np.multiply, [chance[i, j][self.moves[:, j]] for j in range(self.functions)])
-            order = np.argsort(-product, kind="stable")
-            enough = int(np.searchsorted(np.cumsum(product[order]), self.success)) + 1
-            moved = numbers[i] + self.steps[self.moves[order[:enough]]]
-            found.append((self.bucket(moved), enough <= len(order)))
+            moves, enough = self.agenda(chance[i])
+            found.append((self.bucket(numbers[i] + moves), enough))
         return found
 
+    def agenda(self, chance: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Moves by falling chance until these add up to ``success``; false if that takes more than MOST_PROBES.
+
+        chance: functions x intervals. Each function's intervals are ranked; the best move not
+        yet visited lies in a heap, and each visited one puts in those that differ from it by
+        one rank, in its last changed function or a later one, so none comes twice.
+        """
+        order = np.argsort(-chance, axis=1, kind="stable")
+        ranked = np.take_along_axis(chance, order, axis=1)
+        cost = (-np.log(np.maximum(ranked, 1e-300))).tolist()
+        heap: list[tuple[float, tuple[int, ...], int]] = [(sum(c[0] for c in cost), (0,) * self.functions, 0)]
+        visited: list[tuple[int, ...]] = []
+        total = 0.0
+        while heap and total < self.success and len(visited) < MOST_PROBES:
+            spent, ranks, last = heapq.heappop(heap)
+            visited.append(ranks)
+            total += exp(-spent)
+            for j in range(last, self.functions):
+                r = ranks[j] + 1
+                if r < len(cost[j]):
+                    heapq.heappush(heap, (spent - cost[j][r - 1] + cost[j][r], (*ranks[:j], r, *ranks[j + 1 :]), j))
+        picks = np.array(visited)
+        return order[np.arange(self.functions)[None, :], picks] - self.reach, total >= self.success
+
 
 def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query its k nearest of one block by exact distance, ties to the smaller id."""
@@ -117,6 +138,23 @@ def block_best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
         yield np.full(len(best), query_ids[i]), vec_ids[near][best], score[best]
 
 
+def usual_distance(good: DataFrame, gauges: np.ndarray, k: int) -> float:
+    """The median distance from a few vectors of the sample to their k-th neighbours among all vectors. Those among copies, at distance 0, do not count."""
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(gauges), k + 1), np.inf)
+        for batch in batches:
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty((0, gauges.shape[1]))
+            squares = (gauges**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * gauges @ x.T
+            best = np.sort(np.concatenate([best, np.sqrt(np.maximum(squares, 0))], axis=1), axis=1)[:, : k + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(gauges), dtype=np.int32), k + 1)), pa.array(best.ravel())], ["gauge", "away"])
+
+    own = Window.partitionBy("gauge").orderBy("away")
+    placed = good.mapInArrow(closest, "gauge int, away double").withColumn("place", F.row_number().over(own)).filter(F.col("place") == k + 1)
+    found = [r["away"] for r in placed.select("away").collect() if 1e-6 < r["away"] < float("inf")]  # one row for each gauge
+    return float(np.median(found)) if found else 0.0
+
+
 def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, reach: int = REACH, success: float = SUCCESS, seed: int = SEED, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds."""
     good = usable(vectors, vec_id, embedding)
@@ -125,7 +163,9 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embe
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = good.filter(F.size("v") == most["dim"]).dropDuplicates(["vec_id", "v"])
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
-    held = vectors.sparkSession.sparkContext.broadcast(Hashes(np.stack(drawn["v"].to_numpy()), tables, functions, width, reach, success, seed, k))
+    sample = np.stack(drawn["v"].to_numpy())
+    usual = usual_distance(good, np.unique(sample, axis=0)[:: max(1, len(sample) // GAUGES)][:GAUGES], k)
+    held = vectors.sparkSession.sparkContext.broadcast(Hashes(sample, usual, tables, functions, width, reach, success, seed))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
