@@ -297,6 +297,17 @@ def test_neighbours_where_half_the_vectors_are_copies(spark):
     assert len(outside) == 40 and np.mean(outside) >= 0.9 and recalls[2000] == 1
 
 
+def test_probes_come_in_the_order_of_their_chances():
+    rng = np.random.default_rng(4)
+    held = nearest.Hashes(rng.standard_normal((200, 8)), 1.0, 1, 4, 3.0, 2, 0.9, 1)
+    chance = rng.dirichlet(np.ones(5), 4)
+    moves, enough = held.agenda(chance)
+    products = np.prod(chance[np.arange(4)[None], moves + 2], axis=1)
+    every = np.sort([a * b * c * d for a in chance[0] for b in chance[1] for c in chance[2] for d in chance[3]])[::-1]
+    assert enough and len(set(map(tuple, moves))) == len(moves) and np.allclose(products, every[: len(moves)])
+    assert products.sum() >= 0.9 > products[:-1].sum()
+
+
 def test_neighbours_of_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in nearest.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
