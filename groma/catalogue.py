@@ -386,3 +386,8 @@ def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q49_table_digest")
 def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.digest(table(spark, sf_dir, "lineitem"))
+
+
+@query("q181_portable_digest", "SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_returnflag || '|' || l_linestatus), 1, 8)) AS BIGINT)) AS BIGINT) AS checksum FROM lineitem")
+def portable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.portable_digest(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"])

@@ -162,7 +162,13 @@ def request_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.request_outcomes(requests, keys=["scope", "key"], order="event_id", content="hash").select("event_id", "outcome")
 
 
-@query("q121_drifting_sample")
+DRIFTING = f"""WITH RECURSIVE {OBS}, n AS (SELECT run_id, clock, id, row_number() OVER (PARTITION BY run_id ORDER BY clock, id) AS rn FROM obs),
+f AS (SELECT run_id, clock, id, rn, true AS keeps, clock::DOUBLE + {12 * HOUR} AS due FROM n WHERE rn = 1
+UNION ALL SELECT n.run_id, n.clock, n.id, n.rn, n.clock + 0.001::DOUBLE >= f.due, CASE WHEN n.clock + 0.001::DOUBLE >= f.due THEN n.clock + {12 * HOUR}::DOUBLE ELSE f.due END FROM f JOIN n ON n.run_id = f.run_id AND n.rn = f.rn + 1)
+SELECT run_id, clock::DOUBLE AS clock, id FROM f WHERE keeps"""
+
+
+@query("q121_drifting_sample", DRIFTING)
 def drifting_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.sampled(views.observations(spark, sf_dir), step=12.0 * HOUR)
 
