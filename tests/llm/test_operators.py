@@ -495,3 +495,63 @@ def test_pipeline_stages_on_awkward_rows_and_none(spark, awkward, nothing, tmp_p
             assert [r.text for r in kept if r.doc_id == 9] == [awkward.filter("doc_id = 9").first().text.replace("password = hunter2hunter2", "[SECRET]")]
         if name == "token ids":
             assert len(kept) == rows and all(r.agrees for r in kept)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The rows of run(), from a plain Python version of every stage but the classifier's own scores."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pieces = pytest.importorskip("groma.llm.pieces")
+    rng = random.Random(19)
+    words = ["river", "stone", "walks", "slowly", "evening", "letter", "garden", "window", "bread", "north", "colour", "winter"]
+    texts = []
+    for i in range(160):
+        if i % 4 == 0:
+            texts.append(" ".join(rng.choice(["BUY", "!!!", "$$$", "click", "#1", "FREE"]) for _ in range(70)))
+        elif i % 9 == 5:  # near copies of the one before
+            body = texts[-1].split(" ")
+            body[rng.randrange(len(body))] = "changed"
+            texts.append(" ".join(body))
+        else:
+            texts.append(" ".join(rng.choice(words) + (f" token: {rng.randrange(10**9):09d}xyz" if rng.random() < 0.02 else "") for _ in range(rng.randint(30, 110))))
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("quality"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    model = discriminant.train(docs, labels, ~discriminant.held_out(F.col("doc_id")))
+    left = {r.doc_id: r.text for r in discriminant.score(docs, model).filter("score >= 0.5").collect()}
+    left = {d: left[d] for d, (_, _, kept) in components_by_hand(list(left.items())).items() if kept}
+    masked = {}
+    for d, t in left.items():
+        spots = [(m.start(), m.end()) for _, p, good in SECRETS for m in re.finditer(p, t) if good(m)]
+        out, at = "", 0
+        for a, b in sorted(spots):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        masked[d] = out + t[at:]
+    assert any("[SECRET]" in t for t in masked.values()) and len(masked) < 120
+    sizes = {d: len(WORD.findall(t)) for d, t in masked.items()}
+    of = {s: sum(n for d, n in sizes.items() if d % 3 == s) for s in range(3)}
+    weight, target, free = {0: 3, 1: 1, 2: 2}, {}, {0, 1, 2}
+    rest = 1.5 * sum(of.values())
+    while free:  # shares are dealt by weight until no source is above twice its size
+        level = rest / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * of[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * of[s] for s in full}
+        rest -= sum(2.0 * of[s] for s in full)
+        free -= full
+    want = Counter()
+    own = pieces.vocabulary(pieces.model_bytes())
+    for d, t in masked.items():
+        rate = target[d % 3] / of[d % 3]
+        draw = int(hashlib.md5(f"{d}|mix-1".encode()).hexdigest()[:13], 16) / 16**13
+        copies = int(rate) + (draw < rate - int(rate))
+        ids = own.library.encode(t, add_eos=True)
+        if copies:
+            want[d, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.library.decode(ids).encode()).hexdigest()] = copies
+    got = Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
