@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.functions.geometry import iou
+from groma.operators import graphs
 from groma.sources.scratch import ordered_parts, parts_before, written
 
 
@@ -21,25 +22,11 @@ def exact_groups(df: DataFrame, *, record: str, content: Column, order: Sequence
 
 
 def components(spark: SparkSession, pairs: DataFrame, *, record: str, key: str) -> DataFrame:
-    """record, component: the smallest record reachable by shared keys.
-
-    Records hang on the smallest one of each key, a star for each key, never all pairs.
-    Labels and the labels' own labels are followed until nothing changes; each round is
-    written to the shared folder.
-    """
+    """record, component: the smallest record reachable by shared keys. Records hang on the smallest one of each key, a star for each key, never all pairs."""
     stars = pairs.join(pairs.groupBy(key).agg(F.min(record).alias("_hub")), key)
     edges = written(stars.select(F.col(record).alias("a"), F.col("_hub").alias("b")).distinct(), "component-edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    labels = written(labels, "component-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        own = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "other").alias("label"))
-        jumped = own.join(labels.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("node", "before", F.least("label", "top").alias("label"))
-        labels_next = written(jumped, "component-labels")
-        if labels_next.filter("label <> before").isEmpty():
-            return labels_next.select(F.col("node").alias(record), F.col("label").alias("component"))
-        labels = labels_next.select("node", "label")
+    roots = graphs.components(edges)
+    return edges.select(F.col("a").alias("node")).distinct().join(roots, "node", "left").select(F.col("node").alias(record), F.coalesce("root", "node").alias("component"))
 
 
 def split_of(component: Column, shares: Sequence[tuple[str, float]]) -> Column:

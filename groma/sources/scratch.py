@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that have been read for the last time: nothing lazily read depends on them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ordered_parts(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """df laid out by ranges of the order and written, with the number of each row's range in ``part``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -216,3 +216,13 @@ def test_activity_needs_unbroken_evidence(spark):
     assert set(got[6]) == {("unknown", "hidden")}
     assert got[7][2] == ("unknown", "track_held") and got[7][3:] == [("unknown", "recheck")] * 3
     assert set(got[8][1:]) == {("unknown", "class_not_checkable")} and got[9][4] == ("unknown", "poor_quality")
+
+
+def test_diverse_picks(spark):
+    from groma.operators.curation import diverse_picks
+
+    rows = [("a", i, [float(x), 0.0]) for i, x in enumerate((0, 1, 9, 10, 5))] + [("b", 7, [1.0, 1.0])]
+    got = {}
+    for r in diverse_picks(spark.createDataFrame(rows, "camera string, frame int, v array<double>"), group="camera", row="frame", feature="v", most=3).orderBy("camera", "place").collect():
+        got.setdefault(r.camera, []).append(r.frame)
+    assert got == {"a": [0, 3, 4], "b": [7]}
