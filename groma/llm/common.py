@@ -31,15 +31,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/groma-{name}-{uuid.uuid4().hex}"
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes scratch tables that have been read for the last time: nothing lazily read depends on them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, also where body's lambdas use it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -39,7 +39,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, forget, scratch, table
+from groma.operators.graphs import components, followed, renamed
+from groma.sources.scratch import forget
+
+from .common import LOWER, UPPER, scratch, table
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 16
 #: Links: 100 * intersection >= PERCENT * union.
@@ -209,33 +212,6 @@ def linked(both: Column, a: Column, b: Column) -> Column:
     return both * 100 >= (a + b - both) * PERCENT
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of the graph of edges a, b. Each round every node joins its smallest neighbour, twice over, and the graph shrinks to the roots."""
-    mapping, rest = None, edges
-    while True:
-        ways = scratch(rest.select("a", "b").unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "edges")
-        if ways.isEmpty():
-            break
-        up = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
-        twice = scratch(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select(F.col("a").alias("node"), F.col("top").alias("root")), "roots")
-        mapping = twice if mapping is None else followed(mapping, twice)
-        before, rest = ways, scratch(renamed(ways, twice).filter("a != b").distinct(), "edges")
-        forget(before)
-    return mapping if mapping is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-
-
-def followed(mapping: DataFrame, roots: DataFrame) -> DataFrame:
-    """mapping's roots replaced by what roots maps them to."""
-    return mapping.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-
-
-def renamed(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """edges a, b between the roots of their ends."""
-    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
-    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-
-
 def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
     """Further links a, b within hubs' neighbourhoods, between different components so far.
 
