@@ -177,7 +177,8 @@ def posted(lists: DataFrame) -> DataFrame:
     as the prefix; the longest lists (passages that many documents quote) are skipped. pop, the
     length of all lists of a class together, tells how central it is.
     """
-    lengths = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written: a list that a third of all classes have is then a skewed join, which Spark splits
+    lengths = scratch(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lengths")
     own = Window.partitionBy("cls")
     shared = lists.join(lengths, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("n").over(own))
     placed = shared.withColumn("place", F.row_number().over(own.orderBy("n", "token")))
@@ -185,9 +186,12 @@ def posted(lists: DataFrame) -> DataFrame:
 
 
 def starred(lists: DataFrame) -> DataFrame:
-    """cls, token, pop, hub: the most central class of each list of two or more."""
-    hubs = lists.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return lists.join(hubs, "token").select("cls", "token", "pop", "hub")
+    """cls, token, pop, hub: the most central class of each list of two or more. Lists and hubs are written, so that long lists are split in the join."""
+    lists = scratch(lists, "lists")
+    hubs = scratch(lists.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "hubs")
+    stars = scratch(lists.join(hubs, "token").select("cls", "token", "pop", "hub"), "stars")
+    forget(lists, hubs)
+    return stars
 
 
 def colliding(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     rows = scratch(signed(docs, doc_id, text), "signed")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.first("postings").alias("postings"))
-    stars = scratch(starred(posted(classes.select("cls", F.explode("postings").alias("token")))), "stars")
+    stars = starred(posted(classes.select("cls", F.explode("postings").alias("token"))))
     members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     near, sets, rest = None, None, None
     for _ in range(ROUNDS):
@@ -279,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         near = found if near is None else near.unionByName(found)
         deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "hub")
         rest = stars.filter("cls != hub").join(deep, ["cls", "hub"], "left_anti").select("cls", "token", "pop")
-        before, stars = stars, scratch(starred(rest), "stars")
+        before, stars = stars, starred(rest)
         forget(before)
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
