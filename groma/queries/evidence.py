@@ -12,7 +12,7 @@ from groma.operators import curation, episodes, joins, series
 from groma.sources import views
 from groma.sources.scratch import shared_folder
 from groma.sources.views import table
-from groma.streaming import replay
+from groma.streaming import notices, replay
 
 
 @query("q103_state_seconds", f"WITH {SEGMENTS} SELECT run_id, CAST(coalesce(sum(CASE WHEN class_id = 'click' THEN raw_count * span END), 0) AS BIGINT) AS working, CAST(coalesce(sum(CASE WHEN class_id = 'view' THEN raw_count * span END), 0) AS BIGINT) AS idle, CAST(coalesce(sum(CASE WHEN raw_count IS NULL THEN span END), 0) AS BIGINT) AS unknown FROM spans GROUP BY run_id")
@@ -237,3 +237,11 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_folder(spark)}/groma-replay-{uuid.uuid4().hex}"
     once = replay.unique_rows(stream.union(stream), keys=["event_id"], time="at", within="40 days")
     return replay.run_available(once, f"{root}/out", f"{root}/state").select("event_id", "user_id", "event_type")
+
+
+@query("q182_notices")
+def shown_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as notices of their user, an hour of theirs as a second."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "buy", "cancelled").otherwise(F.col("event_type"))
+    clock = F.unix_micros(F.col("ts").cast("timestamp")) / HOUR
+    return notices.notices(table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), clock.alias("clock"), "event_id", kind.alias("kind"), F.col("event_id").cast("string").alias("key")))

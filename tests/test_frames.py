@@ -226,3 +226,35 @@ def test_diverse_picks(spark):
     for r in diverse_picks(spark.createDataFrame(rows, "camera string, frame int, v array<double>"), group="camera", row="frame", feature="v", most=3).orderBy("camera", "place").collect():
         got.setdefault(r.camera, []).append(r.frame)
     assert got == {"a": [0, 3, 4], "b": [7]}
+
+
+def test_notices_are_gathered_and_urgent_ones_come_first(spark):
+    from groma.streaming.notices import Queue, notices
+
+    shown = lambda groups: [(g.kind, len(g.keys)) for g in groups]
+    queue = Queue()
+    assert shown(queue.take(0, "ready", "a")) == [("ready", 1)] == shown(queue.take(1, "ready", "a"))
+    assert shown(queue.take(1, "ready", "b")) == [("ready", 2)]
+    queue.take(2, "saved", "c")
+    assert shown(queue.take(3, "started", "d")) == [("ready", 2), ("saved", 1), ("started", 1)]
+    assert shown(queue.take(4, "failed", "e")) == [("saved", 1), ("started", 1), ("failed", 1)]
+    # the one that made room has been shown since 0 and is gone at 7; the others follow, the urgent one last
+    assert shown(queue.take(7.5, "saved", "f")) == [("saved", 2), ("started", 1), ("failed", 1)]
+    assert shown(queue.take(11, "ready", "g")) == [("failed", 1), ("ready", 1)]
+    assert shown(queue.take(16, "ready", "h")) == [("ready", 2)]
+    rows = [(u, float(t), t, k, str(t)) for u in (1, 2) for t, k in ((0, "ready"), (1, "failed"), (2, "ready"))]
+    got = {(r.user_id, r.event_id): r.shown for r in notices(spark.createDataFrame(rows, "user_id long, clock double, event_id long, kind string, key string")).collect()}
+    assert got == {(u, t): s for u in (1, 2) for t, s in ((0, "ready:1"), (1, "ready:1,failed:1"), (2, "ready:2,failed:1"))}
+
+
+def test_zip_archives(spark, tmp_path):
+    import zipfile
+
+    from groma.sources import images
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("b.jpg", "22")
+        z.writestr("a.jpg", "1")
+        z.mkdir("empty")
+    (tmp_path / "damaged.zip").write_bytes(b"PK no archive")
+    assert [(r.entry, r.name, r.size) for r in images.zip_entries(spark, str(tmp_path)).orderBy("entry").collect()] == [(0, "a.jpg", 1), (1, "b.jpg", 2)]
