@@ -176,6 +176,16 @@ def test_secrets_beyond_the_patterns(spark, awkward, nothing):
     assert secrets.scan(awkward, model).count() == awkward.count() and secrets.scan(nothing, model).count() == 0
 
 
+def test_secrets_of_awkward_rows(awkward, nothing):
+    never = [-1.0] * secrets.SIZE**2
+    got = secrets.scan(awkward, never)
+    assert got.columns == [c for c in awkward.columns if c not in ("base", "found")] + ["base", "found"]
+    rows = got.collect()
+    text = next(r.text for r in rows if r.doc_id == 9)
+    assert [(r.doc_id, [(s.kind, text[s.start : s.end]) for s in r.found]) for r in rows if r.found] == [(9, [("assign", "password = hunter2hunter2")])]
+    assert len(rows) == awkward.count() and secrets.scan(nothing, never).count() == 0
+
+
 def test_secrets_model_when_copies_come_first(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
