@@ -13,8 +13,8 @@ other, whatever the distances of the rest. So each query then goes by its own k-
 if that is farther than the usual distance, the buckets that hold ``success`` of the vectors at
 the candidate's distance are visited too.
 
-Buckets are split into blocks of bounded size on both sides, so a bucket with a third of all
-vectors is many tasks, and only each block's best k of a query leave it. A query for which
+Buckets are packed and packs split into blocks of bounded size on both sides, so a bucket with
+a third of all vectors is many tasks, and only each block's best k of a query leave it. A query for which
 fewer than k are found, or whose k-th candidate is too far for the buckets in reach, is compared
 with all vectors, in blocks.
 
@@ -229,23 +229,44 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def best(stored: DataFrame, sizes: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query in the buckets it visits."""
-    visits = scratch(visits.join(sizes, ["t", "bucket"]), "visits")
-    load = visits.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    load = load.select("t", "bucket", F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("vs"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qs"))
+    """The k nearest of each query in the buckets it visits.
+
+    Buckets are packed, so that a query's vector travels once to each pack with the buckets it
+    visits there, and packs are cut into blocks, so that a bucket with a third of all vectors
+    is many tasks. Within a block a query is compared with the vectors of its buckets only.
+    """
+    total = sizes.groupBy("t").agg(F.sum("n").alias("all")).agg(F.max("all")).first()[0] or 0
+    packs = max(1, -(-total // BLOCK_VECTORS))
+    pack = F.pmod(F.xxhash64("bucket"), F.lit(packs)).cast("int")
+    asked = visits.join(sizes, ["t", "bucket"]).withColumn("pack", pack).groupBy("t", "pack", "query_id").agg(F.collect_list("bucket").alias("buckets"))
+    asked = scratch(asked, "visits")
+    held = sizes.withColumn("pack", pack).groupBy("t", "pack").agg(F.sum("n").alias("n"))
+    load = asked.groupBy("t", "pack").agg(F.count(F.lit(1)).alias("m")).join(held, ["t", "pack"])
+    load = scratch(load.select("t", "pack", F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("vs"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qs")), "loads")
     share = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = visits.select("t", "bucket", "query_id").join(load, ["t", "bucket"]).withColumn("q", share("query_id", "qs")).withColumn("p", every("vs"))
-    left = left.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id").select("t", "bucket", "p", "q", "query_id", "v")
-    right = stored.join(load, ["t", "bucket"]).withColumn("p", share("vec_id", "vs")).withColumn("q", every("qs")).select("t", "bucket", "p", "q", "vec_id", "v")
+    left = asked.join(load, ["t", "pack"]).withColumn("q", share("query_id", "qs")).withColumn("p", every("vs"))
+    left = left.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id").select("t", "pack", "p", "q", "query_id", "buckets", "v")
+    right = stored.withColumn("pack", pack).join(load, ["t", "pack"]).withColumn("p", share("vec_id", "vs")).withColumn("q", every("qs")).select("t", "pack", "p", "q", "bucket", "vec_id", "v")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        got = list(block_best(np.stack(a["v"].to_numpy()), a["query_id"].to_numpy(), np.stack(b["v"].to_numpy()), b["vec_id"].to_numpy(), k))
-        return pd.DataFrame({n: np.concatenate([g[i] for g in got]) for i, n in enumerate(["query_id", "vec_id", "score"])})
-
-    keys = ["t", "bucket", "p", "q"]
+            return none
+        order = np.argsort(b["bucket"].to_numpy(), kind="stable")
+        buckets, vec_ids, x = b["bucket"].to_numpy()[order], b["vec_id"].to_numpy()[order], np.stack(b["v"].to_numpy()[order])
+        first, begins = np.unique(buckets, return_index=True)
+        stops = np.append(begins[1:], len(buckets))
+        got = []
+        for query_id, asked_for, v in zip(a["query_id"].to_numpy(), a["buckets"], a["v"], strict=True):
+            at = np.searchsorted(first, asked_for)
+            there = at[(at < len(first)) & (first[np.minimum(at, len(first) - 1)] == asked_for)]
+            if len(there):
+                own = np.concatenate([np.arange(begins[i], stops[i]) for i in there])
+                got += block_best(np.asarray(v)[None], np.array([query_id]), x[own], vec_ids[own], k)
+        return pd.DataFrame({n: np.concatenate([g[i] for g in got]) for i, n in enumerate(["query_id", "vec_id", "score"])}) if got else none
+
+    keys = ["t", "pack", "p", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, FOUND)
     return ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k)
 
