@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import discriminant, mixing, neardup, nearest, personal, pieces, repeats, rules, secrets, warc
+from . import bytepairs, discriminant, mixing, neardup, nearest, personal, pieces, repeats, rules, secrets, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentence_pieces": pieces.query,
     "op9_quality_rules": rules.query,
     "op10_repeated_lines": repeats.query,
+    "op11_byte_pairs": bytepairs.query,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
