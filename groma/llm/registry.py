@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytepairs, discriminant, mixing, neardup, nearest, personal, pieces, repeats, rules, secrets, warc
+from . import bytepairs, discriminant, divergence, lexical, mixing, neardup, nearest, personal, pieces, repeats, rules, secrets, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_quality_rules": rules.query,
     "op10_repeated_lines": repeats.query,
     "op11_byte_pairs": bytepairs.query,
+    "op12_source_divergence": divergence.query,
+    "op13_lexical_search": lexical.query,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op7_warc_bundles": warc.SQL,
     "op10_repeated_lines": repeats.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_lexical_search": lexical.SQL,
 }
