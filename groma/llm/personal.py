@@ -33,8 +33,10 @@ UP_TO_255 = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Words with a digit or an at sign, and runs of them.
 ITEM = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 CANDIDATE = rf"{ITEM}(?:\x20{ITEM})*+"
-#: An identifier that contexts can find has at least so many digits or an at sign, and at most so many characters: longer runs are tables or encoded data.
-LEAST_DIGITS, MOST_CHARS = 5, 64
+#: An identifier that contexts can find has at least so many digits or an at sign.
+LEAST_DIGITS = 5
+#: Instances are told apart by their text, longer ones by its digest: a table or encoded data does not travel in every shuffle.
+PLAIN_CHARS = 64
 OCCURRENCES = "array<struct<start:int,end:int,piece:string,left:string,last:string,right:string>>"
 ROUNDS = 3
 #: A pattern is trusted from this share and this number of known instances on; an instance is new personal data from this score on.
@@ -117,7 +119,8 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     seeded = let(hits(F.col("items"), F.col("base")), lambda taken: F.transform("items", lambda o, i: F.struct(o.alias("o"), F.get(taken, i).cast("int").alias("seed"))))
     item = read.filter(F.size("items") > 0).select("row", F.explode(seeded).alias("x")).select("row", "x.o", "x.seed")
     item = item.withColumn("instance", F.lower(F.regexp_replace("o.piece", r"^[\p{Punct}&&[^+(]]+|[\p{Punct}]+$", "")))
-    item = item.filter((F.length("instance") <= MOST_CHARS) & ((F.length(digits(F.col("instance"))) >= LEAST_DIGITS) | F.col("instance").contains("@")))
+    item = item.filter((F.length(digits(F.col("instance"))) >= LEAST_DIGITS) | F.col("instance").contains("@"))
+    item = item.withColumn("instance", F.when(F.length("instance") <= PLAIN_CHARS, F.col("instance")).otherwise(F.sha2(F.col("instance").cast("binary"), 256)))
     two = F.when(F.col("o.left").contains(" "), F.concat_ws("|", F.lit("2"), "o.left"))
     around = F.when((F.col("o.last") != "^") | (F.col("o.right") != "$"), F.concat_ws("|", F.lit("1"), "o.last", "o.right"))
     pairs = item.select("instance", F.explode(F.array_compact(F.array(two, around))).alias("pattern"), "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))

@@ -94,18 +94,25 @@ def cut(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_id", text: st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: its units, those that repeat an earlier one, and what is removed, with offsets."""
+    """One row per row of documents: its units, those that repeat an earlier one, and what is removed, with offsets."""
     docs = table(spark, sf_dir, "documents")
-    found = scratch(units(docs), "units")
-    gone = repeated(found)
+    return counted(docs, scratch(units(docs), "units"))
+
+
+def counted(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, n_units, n_repeated, n_removed, removed_words, removed (start:stop, comma-joined). found: the docs' units, written."""
     spot = F.when(F.col("removed"), F.struct("start", "stop"))
-    per = gone.groupBy("doc_id").agg(
+    per = repeated(found, run_words).groupBy("doc_id", "body").agg(
         F.count(F.lit(1)).alias("n_repeated"), F.count_if("removed").alias("n_removed"), F.sum(F.when(F.col("removed"), F.col("n_words")).otherwise(0)).alias("removed_words"), F.array_sort(F.collect_list(spot)).alias("cuts")
     )
     offsets = F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["start"].cast("string"), c["stop"].cast("string"))), ",")
-    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units")).join(per, "doc_id", "left")
+    # units are numbered from 0 in their text; rows that are equal have the same ones
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("body"))
+    for more in (found.groupBy("doc_id", "body").agg((F.max("unit") + 1).alias("n_units")), per):
+        own = more.withColumnsRenamed({"doc_id": "_doc", "body": "_body"})
+        rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")), "left").drop("_doc", "_body")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", *[zero(c) for c in ("n_units", "n_repeated", "n_removed", "removed_words")], F.coalesce(offsets, F.lit("")).alias("removed"))
+    return rows.select("doc_id", *[zero(c) for c in ("n_units", "n_repeated", "n_removed", "removed_words")], F.coalesce(offsets, F.lit("")).alias("removed"))
 
 
 SQL = r"""

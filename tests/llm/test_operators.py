@@ -222,6 +222,10 @@ def test_personal_contexts_find_new_identifiers(spark, awkward, nothing):
     assert all(by[i][0][0] == ("phone" if i < 12 else "email") and len(by[i]) == 1 for i in range(21))
     assert [by[21 + i] for i in range(4)] == [[("context", x)] for x in ("5551234567@local", "user77@mailhost", "(743) 555-3824", "0800/555123")]
     assert not any(by[i] for i in range(25, len(by)))
+    # however long it is: an identifier in groups, of more than 64 characters
+    wide = "please call my number " + " ".join(["0800/5551", "234-99"] * 6) + " soon"
+    one = personal.find(spark.createDataFrame([*enumerate([*texts, wide])], "doc_id long, text string")).filter(F.col("doc_id") == len(texts)).first()
+    assert [(s.kind, wide[s.start : s.end]) for s in one.found] == [("context", wide[22:-5])]
     found = personal.find(awkward).collect()
     assert len(found) == awkward.count() and sum(len(r.found) for r in found) == 1 and personal.find(nothing).count() == 0
 
@@ -402,6 +406,24 @@ def test_repeated_units_by_hand(spark):
     assert got == want and any(want.values())
 
 
+def test_repeated_units_query_on_awkward_rows(spark, awkward, nothing, tmp_path):
+    """Null ids, equal rows and rows that share an id alone are counted apart, against plain loops."""
+    first, second = "alpha beta gamma delta epsilon zeta eta theta.", "iota kappa lambda mu nu xi omicron pi."
+    rows = [(None, f"{first} {second}"), (None, None), (1, f"{first} {second}"), (1, f"{first} {second}"), (2, "only this."), (2, f"{second} and more."), (3, ""), (3, None)]
+    rows += [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = repeats.query(spark, str(tmp_path)).collect()
+    tile = re.compile(repeats.TILES["sentence"])
+    units = {(d, t or ""): [" ".join(WORD.findall(m[0])).lower() for m in tile.finditer(t or "") if WORD.findall(m[0])] for d, t in rows}
+    # every place of a unit but its first one is a repeat; equal rows are one document
+    every = Counter(u for own in units.values() for u in own)
+    assert sum(r.n_repeated for r in set(got)) == sum(n - 1 for n in every.values())
+    assert sorted(r.n_units for r in got) == sorted(len(units[d, t or ""]) for d, t in rows)
+    assert [r.n_units for r in got if r.doc_id is None] and {r.n_units for r in got if r.doc_id == 2} == {1, 2}
+    assert {r.n_units for r in got if r.doc_id == 1 and r.n_units} >= {2}
+    assert repeats.counted(nothing, repeats.units(nothing)).count() == 0
+
+
 def test_discriminant_against_numpy(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 1, (60, 9)), rng.normal(0.7, 1.5, (40, 9))])
