@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groma.operators.ordered import Ordered
+
 
 def episodes(events: DataFrame, *, allowed: float, visible_after: float, critical_after: float, key: str = "fingerprint", clock: str = "clock", kind: str = "kind", above: str = "above") -> DataFrame:
     """One row per episode: key, episode, first_seen, last_seen, status, duration, critical_duration, severity, suppressed.
@@ -15,15 +17,12 @@ def episodes(events: DataFrame, *, allowed: float, visible_after: float, critica
     a key. An episode goes on while findings follow each other within ``allowed``; a clean
     sample resolves it and moves its end, anything else interrupts it.
     """
-    w = Window.partitionBy(key).orderBy(clock)
-    rows = events.withColumn("_before", F.lag(kind).over(w)).withColumn("_gap", F.col(clock) - F.lag(clock).over(w)).withColumn("_next", F.lead(F.struct(F.col(kind).alias("kind"), F.col(clock).alias("clock"))).over(w))
-    found = rows.filter(F.col(kind) == "F")
-    start = F.coalesce((F.col("_before") != "F") | (F.col("_gap") > allowed), F.lit(True))
-    found = found.withColumn("episode", F.sum(start.cast("int")).over(w))
-    inner = Window.partitionBy(key, "episode")
-    # the last sample that was not above the ratio; what follows it counts as critical time
-    found = found.withColumn("_below", F.max(F.when(~F.col(above), F.col(clock))).over(inner))
-    since = F.min(F.when(F.col("_below").isNull() | (F.col(clock) > F.col("_below")), F.col(clock)))
+    sample = {"_before": F.col(kind), "_before_clock": F.col(clock), "_before_above": F.col(above)}
+    rows = Ordered.of(events, [key], [clock]).neighbours(before=sample, after={"_next": F.struct(F.col(kind).alias("kind"), F.col(clock).alias("clock"))})
+    start = F.coalesce((F.col("_before") != "F") | (F.col(clock) - F.col("_before_clock") > allowed), F.lit(True))
+    found = rows.having(rows.rows.filter(F.col(kind) == "F").withColumn("_start", start)).running(F.col("_start").cast("int"), "episode").done()
+    # critical time counts from the first of the last samples above the ratio
+    since = F.max(F.when(F.col(above) & (F.col("_start") | ~F.col("_before_above")), F.col(clock)))
     last = F.max_by(F.struct("_next", F.col(above).alias("above")), clock)
     whole = found.groupBy(key, "episode").agg(F.min(clock).alias("first_seen"), F.max(clock).alias("_end"), last.alias("_last"), since.alias("_since"))
     whole = whole.withColumn("duration", F.col("_end") - F.col("first_seen"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groma.operators.ordered import Ordered
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, *, key: str, at: str, starts: str, ends: str, width: int) -> DataFrame:
     """Points with the intervals [starts, ends) that hold them, by equal keys and numbered stretches of time.
@@ -84,11 +86,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, at: str, val
     names = left.columns
     a = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[at].dataType).alias("_t"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.groupBy(key, at).agg(F.min(value).alias(value)).select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(at).alias("_t"), F.col(value).alias("_v"))
-    w = Window.partitionBy("_key").orderBy("_at", "_side")
     found = F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    before = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    placed = a.unionByName(b).withColumn("_before", before).withColumn("_behind", behind).filter("_side = 1")
+    # rows of left that share a time are told apart by a hash, so that the order has no ties but between equal rows
+    both = Ordered.of(a.unionByName(b).withColumn("_same", F.xxhash64("_row")), ["_key"], ["_at", "_side", "_same"])
+    placed = both.carried(found, "_before").carried(found, "_behind", back=True).done().filter("_side = 1")
     earlier = F.col("_behind").isNull() | (F.col("_before").isNotNull() & (F.col("_at") - F.col("_before.t") <= F.col("_behind.t") - F.col("_at")))
     pick = F.when(earlier, F.col("_before")).otherwise(F.col("_behind"))
     return placed.select("_row", pick.alias("_p")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_p.t").alias("near_at"), F.col("_p.v").alias("near_value"))

@@ -6,30 +6,41 @@ numbers (seconds or microseconds), and all bounds are in the same unit.
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groma.operators.ordered import Ordered, folded
+
+#: A frame counts as due so many units early.
+SLACK = 0.001
+
 
 def segments(obs: DataFrame, *, run: str = "run_id", clock: str = "clock", usable: str = "usable", row: str = "id", max_gap: float, supported: str | None = None) -> DataFrame:
     """obs with segment, numbered from 0 in each run: a new one begins after a gap, where the clock stands or falls back, at either side of an unusable sample, and where the supported classes change."""
-    w = Window.partitionBy(run).orderBy(clock, row)
-    step = F.col(clock) - F.lag(clock).over(w)
-    cut = (step > max_gap) | (step <= 0) | ~F.col(usable) | ~F.lag(usable).over(w)
+    before = {"_clock": F.col(clock), "_usable": F.col(usable)} | ({"_supported": F.array_sort(F.col(supported))} if supported else {})
+    beside = Ordered.of(obs, [run], [clock, row]).neighbours(before=before)
+    step = F.col(clock) - F.col("_clock")
+    cut = (step > max_gap) | (step <= 0) | ~F.col(usable) | ~F.col("_usable")
     if supported:
-        cut = cut | ~F.array_sort(F.col(supported)).eqNullSafe(F.array_sort(F.lag(supported).over(w)))
+        cut = cut | ~F.array_sort(F.col(supported)).eqNullSafe(F.col("_supported"))
     cut = F.when(step.isNull(), False).otherwise(F.coalesce(cut, F.lit(False)))
-    return obs.withColumn("_cut", cut.cast("int")).withColumn("segment", F.sum("_cut").over(w)).drop("_cut")
+    marked = beside.having(beside.rows.withColumn("_cut", cut.cast("int")).drop(*before))
+    return marked.running(F.col("_cut"), "segment").done().drop("_cut")
 
 
 def durations(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id", finest: float | None = None) -> DataFrame:
     """df with span: the time to the next sample of the segment, ``step`` at most, 0 for the last one. Samples further apart than ``finest`` stand for no time at all."""
     if finest is not None and step > finest:
         return df.withColumn("span", F.lit(0))
-    w = Window.partitionBy(run, "segment").orderBy(clock, row)
-    return df.withColumn("span", F.coalesce(F.least(F.lead(clock).over(w) - F.col(clock), F.lit(step)), F.lit(0)))
+    beside = Ordered.of(df, [run], [clock, row]).neighbours(after={"_clock": F.col(clock), "_segment": F.col("segment")}).done()
+    span = F.when(F.col("_segment") == F.col("segment"), F.least(F.col("_clock") - F.col(clock), F.lit(step)))
+    return beside.withColumn("span", F.coalesce(span, F.lit(0))).drop("_clock", "_segment")
 
 
 def buckets(df: DataFrame, *, size: float, run: str = "run_id", clock: str = "clock", row: str = "id", value: str = "count", span: str = "span") -> DataFrame:
@@ -72,6 +83,12 @@ class Debounce:
     def clear(self) -> None:
         self.stable = self.zero_since = self.level = self.level_since = self.upward = None
 
+    def state(self) -> str:
+        return json.dumps([self.stable, self.zero_since, self.level, self.level_since, self.upward])
+
+    def restore(self, state: str) -> None:
+        self.stable, self.zero_since, self.level, self.level_since, self.upward = json.loads(state)
+
     def step(self, clock: float, raw: int | None) -> tuple[int | None, str]:
         if raw is None:
             self.clear()
@@ -105,30 +122,12 @@ class Debounce:
 def debounce(df: DataFrame, *, absence: float, change: float, run: str = "run_id", clock: str = "clock", row: str = "id", value: str = "raw_count", kind: str = "class_id") -> DataFrame:
     """run, segment, class, id, clock, raw_count, count, presence.
 
-    The level depends on all that came before it in its segment, which no window expresses.
-    Rows arrive sorted, in Arrow batches, and state is carried from one to the next, so that
-    no group is held as a whole.
+    The level depends on all that came before it in its segment, which no window expresses: a
+    fold. An unknown count clears the state, and any level that holds for long enough settles
+    it, so ranges of a long segment soon agree with what came before them.
     """
-    keys = [run, "segment", kind]
-    out = f"{run} {df.schema[run].dataType.simpleString()}, segment long, {kind} {df.schema[kind].dataType.simpleString()}, {row} {df.schema[row].dataType.simpleString()}, {clock} double, {value} long, count long, presence string"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = Debounce(absence, change), None
-        for batch in batches:
-            counts, labels = [], []
-            columns = [batch[c].tolist() for c in (*keys, clock)]
-            raws = batch[value].astype("Int64").astype(object).where(batch[value].notna(), None).tolist()
-            for a, b, c, at, raw in zip(*columns, raws, strict=True):
-                if (a, b, c) != last:
-                    state.clear()
-                    last = (a, b, c)
-                count, label = state.step(at, raw)
-                counts.append(count)
-                labels.append(label)
-            yield batch.assign(count=pd.array(counts, dtype="Int64"), presence=labels)
-
     rows = df.select(run, F.col("segment").cast("long"), kind, row, F.col(clock).cast("double").alias(clock), F.col(value).cast("long").alias(value))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, clock, row).mapInPandas(fold, out)
+    return folded(rows, keys=[run, "segment", kind], order=[clock, row], reads=[clock, value], machine=lambda: Debounce(absence, change), gives="count long, presence string")
 
 
 def absence_states(df: DataFrame, *, need: Column, confirm: float, allowed: float, run: str = "run_id", clock: str = "clock", row: str = "id", value: str = "count") -> DataFrame:
@@ -137,16 +136,15 @@ def absence_states(df: DataFrame, *, need: Column, confirm: float, allowed: floa
     An island of too small counts begins after a gap, an unknown or a sufficient count; absence
     is confirmed from ``confirm`` after the island's start. Time across a gap is unknown.
     """
-    w = Window.partitionBy(run).orderBy(clock, row)
     low = F.coalesce(F.col(value) < need, F.lit(False))
-    before = F.lag(clock).over(w)
-    start = low & (F.coalesce(~F.lag("_low").over(w), F.lit(True)) | F.coalesce(F.col(clock) - before > allowed, F.lit(False)))
-    marked = df.withColumn("_low", low).withColumn("_start", start.cast("int")).withColumn("_island", F.sum("_start").over(w))
-    since = F.min(F.when(F.col("_low"), F.col(clock))).over(Window.partitionBy(run, "_island"))
-    state = F.when(F.col(value).isNull(), "unknown").when(~F.col("_low"), "present").when(F.col(clock) - since >= confirm, "absent").otherwise("pending")
-    owned = F.coalesce(F.lead(clock).over(w) - F.col(clock), F.lit(0))
-    stated = marked.withColumn("owned", owned).withColumn("state", F.when(F.col("owned") > allowed, "unknown").otherwise(state))
-    return stated.drop("_low", "_start", "_island")
+    rows = Ordered.of(df.withColumn("_low", low), [run], [clock, row])
+    rows = rows.neighbours(before={"_before": F.col(clock), "_was_low": F.col("_low")}, after={"_after": F.col(clock)})
+    start = F.col("_low") & (F.coalesce(~F.col("_was_low"), F.lit(True)) | F.coalesce(F.col(clock) - F.col("_before") > allowed, F.lit(False)))
+    since = rows.carried(F.when(start, F.col(clock)), "_since").done()
+    state = F.when(F.col(value).isNull(), "unknown").when(~F.col("_low"), "present").when(F.col(clock) - F.col("_since") >= confirm, "absent").otherwise("pending")
+    owned = F.coalesce(F.col("_after") - F.col(clock), F.lit(0))
+    stated = since.withColumn("owned", owned).withColumn("state", F.when(F.col("owned") > allowed, "unknown").otherwise(state))
+    return stated.drop("_low", "_before", "_was_low", "_after", "_since")
 
 
 def bucket_states(df: DataFrame, *, size: float, states: dict[str, Column], run: str = "run_id", clock: str = "clock", row: str = "id", span: str = "span") -> DataFrame:
@@ -164,9 +162,8 @@ def absence_ratios(stated: DataFrame, *, run: str = "run_id") -> DataFrame:
 
 def keyframes(df: DataFrame, *, run: str = "run_id", clock: str = "clock", row: str = "id", most: int = 6) -> DataFrame:
     """At most ``most`` rows of each run, evenly spaced from the first to the last."""
-    w = Window.partitionBy(run).orderBy(clock, row)
-    placed = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(run)))
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (most - 1)).cast("long"))
+    placed = Ordered.of(df, [run], [clock, row]).numbered("_at", "_n").done()
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (most - 1)).cast("long") + 1)
     return placed.filter((F.col("_n") <= most) | F.array_contains(chosen, F.col("_at").cast("long"))).drop("_at", "_n")
 
 
@@ -177,16 +174,16 @@ def state_seconds(df: DataFrame, *, states: dict[str, Column], run: str = "run_i
 
 def run_lengths(df: DataFrame, *, run: str, clock: str, row: str, value: str) -> DataFrame:
     """run, value, first, last, n: stretches of equal neighbouring values; nulls are equal to each other."""
-    w = Window.partitionBy(run).orderBy(clock, row)
-    cut = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(row).over(w).isNull(), F.lit(True))
-    marked = df.withColumn("_run", F.sum(cut.cast("int")).over(w))
+    beside = Ordered.of(df, [run], [clock, row]).neighbours(before={"_value": F.col(value), "_row": F.col(row)})
+    cut = F.col("_row").isNull() | ~F.col(value).eqNullSafe(F.col("_value"))
+    marked = beside.running(cut.cast("int"), "_run").done()
     return marked.groupBy(run, "_run").agg(F.first(value).alias(value), F.min(clock).alias("first"), F.max(clock).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
 def linked(df: DataFrame, *, run: str, clock: str, row: str, step: float, least: float = 90) -> DataFrame:
     """df with linked: whether the next point is near enough to be joined by a line; false for the last one."""
-    w = Window.partitionBy(run).orderBy(clock, row)
-    return df.withColumn("linked", F.coalesce(F.lead(clock).over(w) - F.col(clock) <= max(1.5 * step, least), F.lit(False)))
+    beside = Ordered.of(df, [run], [clock, row]).neighbours(after={"_clock": F.col(clock)}).done()
+    return beside.withColumn("linked", F.coalesce(F.col("_clock") - F.col(clock) <= max(1.5 * step, least), F.lit(False))).drop("_clock")
 
 
 def viewing_window(df: DataFrame, *, run: str, clock: str, length: float) -> DataFrame:
@@ -198,28 +195,63 @@ def viewing_window(df: DataFrame, *, run: str, clock: str, length: float) -> Dat
 class Sampler:
     """Keeps a frame once its time has come, and counts the next one from there, so that samples drift with the frames."""
 
-    def __init__(self, step: float, slack: float = 0.001):
-        self.step, self.slack, self.due = step, slack, None
+    def __init__(self, step: float, slack: float = SLACK):
+        self.wait, self.slack, self.due = step, slack, None
+
+    def state(self) -> str:
+        return json.dumps(self.due)
 
-    def keeps(self, at: float) -> bool:
+    def restore(self, state: str) -> None:
+        self.due = json.loads(state)
+
+    def step(self, at: float) -> tuple[bool]:
         if self.due is not None and at + self.slack < self.due:
-            return False
-        self.due = at + self.step
-        return True
+            return (False,)
+        self.due = at + self.wait
+        return (True,)
 
 
-def sampled(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id") -> DataFrame:
-    """The drifting sample of each run: run, clock, row. Each choice depends on the one before, so this is a fold over sorted batches."""
-    out = f"{run} {df.schema[run].dataType.simpleString()}, {clock} double, {row} {df.schema[row].dataType.simpleString()}"
+def sampler_tables(clocks: np.ndarray, step: float) -> tuple[list[float], list[float]]:
+    """What a stretch of frames does to a sampler, as a function of the time that is due when it begins.
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, last = Sampler(step), None
+    For each frame that can be the first one kept (those up to a step behind the start): the
+    latest time due with which it is, and the time due after the last frame.
+    """
+    later = np.searchsorted(clocks + SLACK, clocks + step).tolist()
+    due = [0.0] * len(clocks)
+    for i in range(len(clocks) - 1, -1, -1):
+        due[i] = due[later[i]] if later[i] < len(clocks) else float(clocks[i]) + step
+    n = min(later[0] + 1, len(clocks))
+    return (clocks[:n] + SLACK).tolist(), due[:n]
+
+
+def sampler_entries(placed: Ordered, *, step: float, run: str, clock: str) -> DataFrame:
+    """run, part, _entry: the ranges' functions, worked out in parallel, are applied one after the other to the time due. A range is one small row there."""
+    kind = placed.rows.schema[run].dataType.simpleString()
+
+    def tables(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
+        upto, due = sampler_tables(np.sort(frames[clock].to_numpy(np.float64)), step)
+        return pd.DataFrame({run: [key[0]], "part": [key[1]], "upto": [upto], "due": [due]})
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now = None, None
         for batch in batches:
-            keep = []
-            for key, at in zip(batch[run].tolist(), batch[clock].tolist(), strict=True):
-                if key != last:
-                    sampler, last = Sampler(step), key
-                keep.append(sampler.keeps(at))
-            yield batch[keep]
-
-    return df.select(run, F.col(clock).cast("double").alias(clock), row).repartition(run).sortWithinPartitions(run, clock, row).mapInPandas(fold, out)
+            entries = []
+            for key, upto, due in zip(batch[run].tolist(), batch["upto"], batch["due"], strict=True):
+                if last is None or key != last[0]:
+                    last, now = (key,), None
+                entries.append(None if now is None else json.dumps(now))
+                at = 0 if now is None else bisect_left(upto, now)
+                now = float(due[at]) if at < len(due) else now
+            yield batch[[run, "part"]].assign(_entry=entries)
+
+    # a range is at most ROWS_IN_A_TASK or its share of all rows; only its clocks are held
+    found = placed.rows.select(run, "part", clock).groupBy(run, "part").applyInPandas(tables, f"`{run}` {kind}, part int, upto array<double>, due array<double>")
+    return found.repartition(run).sortWithinPartitions(run, "part").mapInPandas(chain, f"`{run}` {kind}, part int, _entry string")
+
+
+def sampled(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id") -> DataFrame:
+    """The drifting sample of each run: run, clock, row. Each choice depends on the one before: a fold, whose ranges are functions of one number."""
+    rows = df.select(run, F.col(clock).cast("double").alias(clock), row)
+    entries = lambda placed: sampler_entries(placed, step=step, run=run, clock=clock)
+    return folded(rows, keys=[run], order=[clock, row], reads=[clock], machine=lambda: Sampler(step), gives="keeps boolean", entries=entries).filter("keeps").drop("keeps")

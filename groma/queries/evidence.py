@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groma.catalogue import DAY, EPISODES, GAP, HOUR, OBS, SEGMENTS, batch_episodes, query, segmented, with_spans
 from groma.operators import curation, episodes, joins, series
+from groma.operators.ordered import Ordered
 from groma.sources import views
 from groma.sources.scratch import shared_folder
 from groma.sources.views import table
@@ -149,9 +150,9 @@ def unplanned_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q119_run_attempts", f"WITH {OBS}, g AS (SELECT *, clock - lag(clock) OVER (PARTITION BY run_id ORDER BY clock, id) AS gap FROM obs) SELECT run_id, CAST(attempt AS BIGINT) AS attempt, count(*) AS samples, min(clock) AS first, max(clock) AS last FROM (SELECT *, 1 + sum(CASE WHEN gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY clock, id) AS attempt FROM g) GROUP BY run_id, attempt")
 def run_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interrupted stream begins a new attempt of its own."""
-    w = Window.partitionBy("run_id").orderBy("clock", "id")
-    gap = F.coalesce(F.col("clock") - F.lag("clock").over(w) > GAP, F.lit(False))
-    numbered = views.observations(spark, sf_dir).withColumn("_gap", gap.cast("int")).withColumn("attempt", 1 + F.sum("_gap").over(w))
+    rows = Ordered.of(views.observations(spark, sf_dir), ["run_id"], ["clock", "id"]).neighbours(before={"_clock": F.col("clock")})
+    gap = F.coalesce(F.col("clock") - F.col("_clock") > GAP, F.lit(False))
+    numbered = rows.running(gap.cast("int"), "_gaps").done().withColumn("attempt", 1 + F.col("_gaps"))
     found = numbered.groupBy("run_id", "attempt").agg(F.count(F.lit(1)).alias("samples"), F.min("clock").alias("first"), F.max("clock").alias("last"))
     return found
 
