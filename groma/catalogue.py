@@ -27,7 +27,7 @@ OBS = """obs AS (SELECT event_id AS id, user_id AS run_id, epoch_us(ts) AS clock
 SEGMENTS = f"""{OBS}, stepped AS (SELECT *, clock - lag(clock) OVER w AS step, lag(usable) OVER w AS before FROM obs WINDOW w AS (PARTITION BY run_id ORDER BY clock, id)),
 seg AS (SELECT id, run_id, clock, class_id, usable, raw_count, CAST(sum(CASE WHEN step > {GAP} OR step <= 0 OR (step IS NOT NULL AND NOT usable) OR NOT before THEN 1 ELSE 0 END)
   OVER (PARTITION BY run_id ORDER BY clock, id) AS BIGINT) AS segment FROM stepped),
-spans AS (SELECT *, coalesce(least(lead(clock) OVER (PARTITION BY run_id, segment ORDER BY clock, id) - clock, {6 * HOUR}), 0) AS span FROM seg)"""
+spans AS (SELECT *, CASE WHEN next IS NULL THEN 0 ELSE least(next - clock, {6 * HOUR}) END AS span FROM (SELECT *, lead(clock) OVER (PARTITION BY run_id, segment ORDER BY clock, id) AS next FROM seg))"""
 FINDINGS = f"""{OBS}, f AS (SELECT CAST(run_id AS VARCHAR) AS fingerprint, clock, CASE WHEN NOT usable THEN 'N' WHEN raw_count < 2 THEN 'F' ELSE 'C' END AS kind,
   coalesce((4 - raw_count) / 4.0::DOUBLE > 0.8::DOUBLE, false) AS above FROM obs)"""
 EPISODES = f"""{FINDINGS}, g AS (SELECT *, lag(kind) OVER w AS before, clock - lag(clock) OVER w AS gap, lead(kind) OVER w AS next_kind, lead(clock) OVER w AS next_clock FROM f WINDOW w AS (PARTITION BY fingerprint ORDER BY clock)),

@@ -28,7 +28,7 @@ def parsed_time(text: Column, zone: str = "UTC") -> Column:
 
 def safe_cell(text: Column) -> Column:
     """A cell that no spreadsheet takes for a formula."""
-    return F.when(text.rlike(r"^[\s]*[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -90,3 +90,39 @@ def camera_and_time(name: Column) -> Column:
 def scene_key(dataset: Column, number: Column, block: int) -> Column:
     """Neighbouring frames of a recording have one key: the data set and the block of the frame's number."""
     return F.concat_ws("/", dataset, F.floor(number / block).cast("string"))
+
+
+def name_uuid(namespace: str, name: Column) -> Column:
+    """The UUID of version 5 of a name within a namespace: the SHA-1 of both, with version and variant put in."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def seeded_order(seed: int | str, name: Column) -> Column:
+    """A tie-break that is the same on every run: the SHA-1 of ``seed:name``."""
+    return F.sha1(F.concat(F.lit(f"{seed}:"), name.cast("string")).cast("binary"))
+
+
+#: How an excess is told, and the older wordings that it replaces.
+EXCESS_COUNTED, EXCESS_SEEN = "Сверх плана {} ед. техники", "Обнаружена техника сверх плана"
+EXCESS_BEFORE, EXCESS_LONG = "Техника сверх плана", "Количество превышает план; параллельные работы не объясняют избыток"
+
+
+def shown_message(message: Column, kind: Column, excess: Column) -> Column:
+    """A finding's message as it is shown now; excess: how many things there are too many, null where no classes are listed."""
+    before, after = EXCESS_COUNTED.split("{}")
+    counted = F.concat(F.lit(before), excess.cast("string"), F.lit(after))
+    of_excess = F.when(F.coalesce(excess, F.lit(0)) != 0, counted).when(message.rlike(rf"^{before}\d+{after.replace('.', chr(92) + '.')}$"), message).otherwise(EXCESS_SEEN)
+    is_excess = F.coalesce(kind == "excess", F.lit(False)) | (message == EXCESS_BEFORE)
+    # only the first place is replaced
+    at = F.locate(EXCESS_LONG, message)
+    replaced = F.when(at > 0, F.concat(F.substring(message, F.lit(1), at - 1), F.lit(EXCESS_SEEN), F.substring(message, at + len(EXCESS_LONG), F.length(message)))).otherwise(message)
+    return F.when(is_excess, of_excess).otherwise(replaced)
+
+
+def default_step(sample_seconds: Column, steps: Column, least: int = 6) -> Column:
+    """The first smoothing step of at least so many samples, the longest one where none is. An interval that is missing, not above zero or not finite counts as a second."""
+    finite = (sample_seconds > 0) & (sample_seconds < float("inf"))
+    interval = F.when(F.coalesce(finite, F.lit(False)), sample_seconds).otherwise(1)
+    return F.coalesce(F.array_min(F.filter(steps, lambda s: s >= least * interval)), F.array_max(steps))

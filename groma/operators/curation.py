@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +31,11 @@ def components(spark: SparkSession, pairs: DataFrame, *, record: str, key: str)
 def split_of(component: Column, shares: Sequence[tuple[str, float]]) -> Column:
     """A split for each component from a hash of its name: all records of a component go together, and growth moves none."""
     at = F.conv(F.substring(F.md5(component.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    total, out = 0.0, F.lit(shares[-1][0])
-    for name, share in reversed(shares[:-1]):
-        total = sum(s for n, s in shares[: [n for n, _ in shares].index(name) + 1])
-        out = F.when(at < total, name).otherwise(out)
-    return out
+    total, out = 0.0, None
+    for name, share in shares[:-1]:
+        total += share
+        out = F.when(at < total, name) if out is None else out.when(at < total, name)
+    return out.otherwise(shares[-1][0]) if out is not None else F.lit(shares[-1][0])
 
 
 def suppress(boxes: DataFrame, *, frame: str, box: str, score: str, kind: str, row: str, threshold: float = 0.5) -> DataFrame:
@@ -58,28 +57,26 @@ def unique_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def diverse(frames: pd.DataFrame, feature: str, most: int, look_back: int = 5) -> pd.DataFrame:
-    """Picks in turn the frame furthest (L1) from those picked last."""
-    import numpy as np
-
-    x = np.stack(frames[feature].to_numpy())
-    chosen = [0]
-    while len(chosen) < min(most, len(x)):
-        away = np.min([np.abs(x - x[c]).sum(1) for c in chosen[-look_back:]], axis=0)
-        away[chosen] = -1
-        chosen.append(int(np.argmax(away)))
-    return frames.iloc[chosen]
-
-
 def diverse_picks(frames: DataFrame, *, group: str, row: str, feature: str, most: int, look_back: int = 5) -> DataFrame:
-    """group, row, place: at most ``most`` frames of each group that differ from each other, beginning with the first one."""
-    out = f"{group} {frames.schema[group].dataType.simpleString()}, {row} {frames.schema[row].dataType.simpleString()}, place int"
+    """group, row, place: at most ``most`` frames of each group that differ from each other, beginning with the first one.
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        found = diverse(rows.sort_values(row, kind="stable"), feature, most, look_back)
-        return found.assign(place=range(1, len(found) + 1))[[group, row, "place"]].astype({"place": "int32"})
-
-    return frames.select(group, row, feature).groupBy(group).applyInPandas(pick, out)
+    Each round takes the frame furthest (L1) from the nearest of the last ``look_back`` picks, ties
+    to the smaller row. A round is one pass over all frames and one aggregate: a group's
+    picks so far are a row that is joined to its frames, so a group of any size is many tasks.
+    """
+    rows = frames.select(F.col(group).alias("_group"), F.col(row).alias("_row"), F.transform(feature, lambda x: x.cast("double")).alias("_x"))
+    pick = F.struct(F.col("_row").alias("row"), F.col("_x").alias("x"))
+    picks = written(rows.groupBy("_group").agg(F.array(F.min_by(pick, "_row")).alias("_picks")), "picks")
+    for _ in range(most - 1):
+        away = lambda p: F.aggregate(F.zip_with("_x", p["x"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d)
+        last = F.slice("_picks", F.greatest(F.size("_picks") - look_back + 1, F.lit(1)), F.lit(look_back))
+        rest = rows.join(picks, "_group").filter(~F.exists("_picks", lambda p: p["row"] == F.col("_row")))
+        far = rest.select("_group", pick.alias("_pick"), F.array_min(F.transform(last, away)).alias("_away"), "_row")
+        found = far.groupBy("_group").agg(F.min_by("_pick", F.struct(-F.col("_away"), "_row")).alias("_pick"))
+        added = F.when(F.col("_pick").isNotNull(), F.concat("_picks", F.array("_pick"))).otherwise(F.col("_picks"))
+        picks = written(picks.join(found, "_group", "left").select("_group", added.alias("_picks")), "picks")
+    placed = picks.select("_group", F.posexplode("_picks").alias("_at", "_p"))
+    return placed.select(F.col("_group").alias(group), F.col("_p.row").alias(row), (F.col("_at") + 1).alias("place"))
 
 
 def ranked(df: DataFrame, group: str, *order: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from groma.functions import geometry
 from groma.operators import joins
+from groma.sources.scratch import written
 
 
 def located(detections: DataFrame, wanted: DataFrame, regions: DataFrame) -> DataFrame:
@@ -41,10 +42,12 @@ def evaluate(frames: DataFrame, detections: DataFrame, works: DataFrame, resourc
     activity, observed. works: plan_id, work_id, starts, ends, done. resources: work_id,
     class_id, need. regions: region_id, polygon, visible. bindings: work_id, region_id.
     Returns readiness, missing, needed, missing_ratio (of complete rows), excess (things of
-    which there are too many and that no other active work explains), and n_idle.
+    which there are too many and that no other active work explains), n_idle, and idle, the
+    idle things by class: an array of class_id and count, sorted, null where nothing is seen.
     """
     active = joins.interval_join(frames, works.filter("NOT done"), key="plan_id", at="at", starts="starts", ends="ends", width=width)
     assigned = active.join(bindings, "work_id").join(regions.select("region_id", "visible"), "region_id").select("frame_id", "region_id", "work_id", "usable", "visible", "supported")
+    assigned = written(assigned, "assigned")  # three joins read it
     wanted = assigned.select("frame_id", "region_id").distinct()
     counts = local_counts(located(detections, wanted, regions))
     keys = ["frame_id", "region_id", "work_id"]
@@ -61,7 +64,9 @@ def evaluate(frames: DataFrame, detections: DataFrame, works: DataFrame, resourc
         F.bool_and((F.col("need") <= 0) | F.col("count").isNotNull()).alias("complete"),
         F.sum(over).alias("excess"),
     )
-    idle = counts.groupBy("frame_id", "region_id").agg(F.sum("n_idle").alias("idle"))
+    resting = F.array_sort(F.collect_list(F.when(F.col("n_idle") > 0, F.struct("class_id", F.col("n_idle").alias("count")))))
+    idle = counts.groupBy("frame_id", "region_id").agg(F.sum("n_idle").alias("n_idle"), resting.alias("idle"))
+    none = F.array().cast("array<struct<class_id:string,count:bigint>>")
     joined = assigned.drop("supported").join(totals, keys, "left").join(idle, ["frame_id", "region_id"], "left")
     seen = F.col("usable") & F.col("visible")
     return joined.select(
@@ -71,7 +76,8 @@ def evaluate(frames: DataFrame, detections: DataFrame, works: DataFrame, resourc
         F.coalesce("needed", F.lit(0)).alias("needed"),
         F.when(F.col("complete"), F.coalesce(F.try_divide(F.col("short"), F.col("needed")), F.lit(0.0))).alias("missing_ratio"),
         F.coalesce("excess", F.lit(0)).alias("excess"),
-        F.when(seen, F.coalesce("idle", F.lit(0))).alias("n_idle"),
+        F.when(seen, F.coalesce("n_idle", F.lit(0))).alias("n_idle"),
+        F.when(seen, F.coalesce("idle", none)).alias("idle"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,14 +69,6 @@ def hamming_pairs(df: DataFrame, *, key: str, bits: str, most: int, width: int =
     return pairs.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "distance")
 
 
-def hamming_nearest(left: DataFrame, right: DataFrame, *, key: str, bits: str, within: str) -> DataFrame:
-    """For each row of left the nearest pattern of right within its group, ties to the smaller key. Equal patterns are compared once, and the least is kept by partial aggregation."""
-    there = right.groupBy(within, F.col(bits).alias("_bits")).agg(F.min(key).alias("_to"))
-    here = left.select(within, bits).distinct().join(there, within)
-    near = here.groupBy(within, bits).agg(F.min(F.struct(F.bit_count(F.col(bits).bitwiseXOR(F.col("_bits"))).alias("distance"), F.col("_to").alias("nearest"))).alias("_r"))
-    return left.join(near, [within, bits]).select(key, "_r.distance", "_r.nearest")
-
-
 def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, at: str, value: str) -> DataFrame:
     """left with the value of right's row nearest in time for the same key, the earlier one of two equally near: as-of in both directions.
 
@@ -95,15 +87,24 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, at: str, val
     return placed.select("_row", pick.alias("_p")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_p.t").alias("near_at"), F.col("_p.v").alias("near_value"))
 
 
-def first_match(left: DataFrame, right: DataFrame, *, key: str, rules: Sequence[Column], value: str, order: str) -> DataFrame:
-    """left with the value of the partner of equal key that meets the earliest rule (those that meet none come last), then by order; null without partner."""
-    rank = F.lit(len(rules))
-    for i in reversed(range(len(rules))):
-        rank = F.when(F.coalesce(rules[i], F.lit(False)), i).otherwise(rank)
-    own = left.columns
-    joined = left.join(right, key, "left").withColumn("_rank", rank)
-    best = joined.groupBy(*own).agg(F.min_by(F.struct("_rank", value), F.struct("_rank", order)).alias("_b"))
-    return best.select(*own, F.col(f"_b.{value}").alias(value), F.when(F.col(f"_b.{value}").isNotNull(), F.col("_b._rank")).alias("rule"))
+def first_match(left: DataFrame, right: DataFrame, *, key: str, rules: Sequence[tuple[Mapping[str, str], Column | None]], value: str, order: str) -> DataFrame:
+    """left with the value of the partner of equal key that meets the earliest rule (those that meet none come last), then by order; null without partner.
+
+    A rule says which column of left equals which one of right, and what must hold of right
+    beside. For each rule right is reduced to one partner for each combination of key and
+    columns, so no join makes pairs: every row of left meets one row of each rule.
+    """
+    out = left
+    for i, (rule, holds) in enumerate([*rules, ({}, None)]):
+        best = (right if holds is None else right.filter(holds)).dropna(subset=[key, *rule.values()]).groupBy(key, *rule.values()).agg(F.min_by(value, order).alias(f"_v{i}"))
+        best = best.withColumnsRenamed({key: f"_k{i}"} | {there: f"_c{i}_{n}" for n, there in enumerate(rule.values())})
+        same = F.col(key) == F.col(f"_k{i}")
+        for n, here in enumerate(rule):
+            same = same & (F.col(here) == F.col(f"_c{i}_{n}"))
+        out = out.join(best, same, "left").drop(f"_k{i}", *[f"_c{i}_{n}" for n in range(len(rule))])
+    found = [F.col(f"_v{i}") for i in range(len(rules) + 1)]
+    met = F.coalesce(*[F.when(v.isNotNull(), i) for i, v in enumerate(found)])
+    return out.select(*left.columns, F.coalesce(*found).alias(value), met.alias("rule"))
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:

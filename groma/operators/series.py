@@ -61,6 +61,29 @@ def confirmed_levels(df: DataFrame, *, size: float, least: float, run: str = "ru
     return found.select(*keys, F.when(held >= least, F.col("level")).alias("confirmed"))
 
 
+def display_levels(df: DataFrame, *, size: float, step: float, cap: float, least: float, run: str = "run_id", clock: str = "clock", row: str = "id", value: str = "count") -> DataFrame:
+    """run, segment, bucket, level, basis, presence: what is shown for a bucket of a coarse chart.
+
+    The level is the last sample's. It is confirmed if values at least as high fill ``least``
+    of the bucket; a sample stands for the time to the next one in its bucket, the last one for
+    ``step``, and none for more than ``cap``. A level that is not confirmed was merely sampled,
+    and says nothing of presence; null was not measured.
+    """
+    bucketed = df.withColumn("bucket", F.floor(F.col(clock) / size).cast("long"))
+    beside = Ordered.of(bucketed, [run], [clock, row]).neighbours(after={"_clock": F.col(clock), "_segment": F.col("segment"), "_bucket": F.col("bucket")}).done()
+    follows = (F.col("_segment") == F.col("segment")) & (F.col("_bucket") == F.col("bucket"))
+    span = F.least(F.when(F.coalesce(follows, F.lit(False)), F.col("_clock") - F.col(clock)).otherwise(F.lit(step)), F.lit(step), F.lit(cap))
+    keys = [run, "segment", "bucket"]
+    spans = beside.withColumn("_span", F.greatest(span, F.lit(0)))
+    # a bucket's samples are summed by value first, so that their number does not matter
+    by_value = spans.groupBy(*keys, F.col(value).alias("level")).agg(F.sum("_span").alias("held"), F.max(F.struct(clock, row)).alias("last"))
+    found = by_value.groupBy(*keys).agg(F.max_by("level", "last").alias("level"), F.collect_list(F.struct("level", "held")).alias("all"))
+    held = F.aggregate(F.filter("all", lambda x: x["level"] >= F.col("level")), F.lit(0).cast(spans.schema["_span"].dataType), lambda s, x: s + x["held"])
+    basis = F.when(F.col("level").isNull(), "unknown").when(held >= least, "confirmed").otherwise("sampled")
+    presence = F.when(F.col("basis") != "confirmed", "unknown").when(F.col("level") > 0, "present").otherwise("absent")
+    return found.withColumn("basis", basis).select(*keys, "level", "basis", presence.alias("presence"))
+
+
 def activity_split(idle: Column, working: Column, count: Column, raw: Column) -> Column:
     """working, idle and unknown things; all null where nothing was counted."""
     most = F.greatest(count, raw)

@@ -114,7 +114,7 @@ def alert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("c_custkey")
     alerts = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(k.alias("alert"), (F.col("o_custkey") % 200).alias("frame"), (k % 9).alias("region"), F.concat(F.lit("z"), (k % 4).cast("string")).alias("zone"))
     results = table(spark, sf_dir, "customer").select(c.alias("result"), (c % 200).alias("frame"), F.when(c % 3 == 0, c % 9).alias("r_region"), F.concat(F.lit("z"), (F.col("c_nationkey") % 4).cast("string")).alias("r_zone"))
-    rules = [F.col("region") == F.col("r_region"), F.col("zone") == F.col("r_zone")]
+    rules = [({"region": "r_region"}, None), ({"zone": "r_zone"}, None)]
     return joins.first_match(alerts, results, key="frame", rules=rules, value="result", order="result").select("alert", "result", "rule")
 
 
@@ -226,7 +226,7 @@ def finding_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     alerts = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P' and o_orderkey % 5 = 0").select(k.alias("alert"), (F.col("o_custkey") % 300).alias("work"), (k % 1500).alias("evidence"), "o_orderstatus")
     findings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding"), (F.col("c_custkey") % 300).alias("work"))
-    rules = [F.col("evidence") == F.col("finding"), F.col("o_orderstatus") == "O"]
+    rules = [({"finding": "evidence"}, None), ({}, F.col("o_orderstatus") == "O")]
     return joins.first_match(findings, alerts, key="work", rules=rules, value="alert", order="alert").select("finding", "alert", "rule")
 
 
@@ -246,3 +246,12 @@ def shown_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "buy", "cancelled").otherwise(F.col("event_type"))
     clock = F.unix_micros(F.col("ts").cast("timestamp")) / HOUR
     return notices.notices(table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), clock.alias("clock"), "event_id", kind.alias("kind"), F.col("event_id").cast("string").alias("key")))
+
+
+@query("q194_display_levels", f"""WITH {SEGMENTS}, b AS (SELECT *, clock // {DAY} AS bucket FROM seg), n AS (SELECT *, lead(clock) OVER (PARTITION BY run_id, segment, bucket ORDER BY clock, id) AS following FROM b),
+s AS (SELECT *, least(coalesce(following - clock, {6 * HOUR}), {6 * HOUR}, {4 * HOUR}) AS held FROM n), l AS (SELECT run_id, segment, bucket, arg_max({{'v': raw_count}}, (clock, id)).v AS level FROM s GROUP BY ALL),
+h AS (SELECT run_id, segment, bucket, l.level, coalesce(sum(held) FILTER (raw_count >= l.level), 0) AS total FROM s JOIN l USING (run_id, segment, bucket) GROUP BY ALL)
+SELECT run_id, segment, bucket, level, CASE WHEN level IS NULL THEN 'unknown' WHEN total >= {5 * HOUR} THEN 'confirmed' ELSE 'sampled' END AS basis,
+  CASE WHEN level IS NULL OR total < {5 * HOUR} THEN 'unknown' WHEN level > 0 THEN 'present' ELSE 'absent' END AS presence FROM h""")
+def display_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.display_levels(segmented(spark, sf_dir), size=DAY, step=6 * HOUR, cap=4 * HOUR, least=5 * HOUR, value="raw_count")

@@ -57,11 +57,13 @@ judged AS (SELECT *, EXISTS (SELECT 1 FROM counted o WHERE o.frame_id = c.frame_
   bool_and(need <= 0 OR count IS NOT NULL) AS complete, sum(CASE WHEN count > need AND NOT explained THEN count - need ELSE 0 END) AS excess FROM judged GROUP BY frame_id, region_id, work_id)
 SELECT frame_id, region_id, work_id, CASE WHEN complete AND seen THEN 'ready' ELSE 'insufficient_evidence' END AS readiness, CAST(CASE WHEN complete THEN short END AS BIGINT) AS missing, CAST(needed AS BIGINT) AS needed,
   CASE WHEN complete THEN round(coalesce(short / nullif(needed, 0)::DOUBLE, 0), 6) END AS missing_ratio, CAST(excess AS BIGINT) AS excess,
-  CASE WHEN seen THEN CAST(coalesce((SELECT sum(n_idle) FROM local l WHERE l.frame_id = t.frame_id AND l.region_id = t.region_id), 0) AS BIGINT) END AS n_idle FROM totals t""",
+  CASE WHEN seen THEN CAST(coalesce((SELECT sum(n_idle) FROM local l WHERE l.frame_id = t.frame_id AND l.region_id = t.region_id), 0) AS BIGINT) END AS n_idle,
+  CASE WHEN seen THEN coalesce((SELECT string_agg(class_id || ':' || n_idle, ',' ORDER BY class_id) FROM local l WHERE l.frame_id = t.frame_id AND l.region_id = t.region_id AND n_idle > 0), '') END AS idle FROM totals t""",
 )
 def frame_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frames.evaluate(**site(spark, sf_dir), width=30)
-    return found.withColumn("missing_ratio", F.round("missing_ratio", 6)).withColumn("excess", F.col("excess").cast("long"))
+    listed = F.array_join(F.transform("idle", lambda x: F.concat_ws(":", x["class_id"], x["count"].cast("string"))), ",")
+    return found.withColumn("missing_ratio", F.round("missing_ratio", 6)).withColumn("excess", F.col("excess").cast("long")).withColumn("idle", listed)
 
 
 @query("q51_plan_snapshot", "WITH v AS (SELECT o_custkey AS plan_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_totalprice FROM orders) SELECT event_id AS run_id, CAST(user_id AS BIGINT) AS plan_id, CAST(1 + event_id % 12 AS INTEGER) AS version, o_totalprice AS budget FROM events LEFT JOIN v ON v.plan_id = user_id AND v.version = 1 + event_id % 12")
@@ -141,17 +143,20 @@ def region_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q179_activity")
 def machine_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of a supplier as sightings of three machines, with made-up measurements of their pictures."""
+    """Line items of a supplier as machines on a camera, one frame a day, with made-up measurements of the pictures."""
     from groma.streaming import activity
 
     n = F.col("l_orderkey") + F.col("l_linenumber")
-    track = (n % 3).cast("int")
-    x = 0.05 + track * 0.3
-    seen = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("run_id"), F.unix_date(F.to_date("l_shipdate")).cast("double").alias("clock"), track.alias("track_id"), F.col("l_returnflag").alias("class_id"),
-        x.alias("x1"), F.lit(0.2).alias("y1"), (x + 0.2).alias("x2"), F.lit(0.7).alias("y2"), (n % 17 != 0).alias("observed"), F.when(n % 17 == 0, 1).otherwise(0).alias("missed"),
-        F.when(n % 29 == 0, "moving").otherwise("stationary").alias("motion"), F.when(n % 31 == 0, "motion").when(n % 37 == 0, "uncertain").otherwise("quiet").alias("roi_motion"),
-        F.lit(120.0).alias("roi_mean"), F.lit(20.0).alias("roi_std"), F.lit(90.0).alias("roi_side"), F.lit(0.0).alias("drift"), F.lit(0.0).alias("scene_shift"), F.lit(1.0).alias("response"), (F.col("l_suppkey") % 50 != 0).alias("usable"),
+    x = 0.02 + (n % 3) * 0.3 + F.col("l_tax") / 10
+    lines = table(spark, sf_dir, "lineitem").withColumn("clock", F.unix_date(F.to_date("l_shipdate")).cast("double"))
+    day = F.col("clock")
+    # what holds for a whole frame depends on its run and day alone
+    changed = F.when(day % 31 == 0, 0.05).when(day % 37 == 0, 0.5).otherwise(0.001)
+    grid = lambda c: F.array(*[c.cast("double")] * 4)
+    seen = lines.select(
+        F.col("l_suppkey").alias("run_id"), "clock", (day % 2 == 0).alias("detects"), (F.col("l_suppkey") % 50 != 0).alias("usable"), F.lit(320).alias("width"), F.lit(320).alias("height"),
+        F.when(day % 41 == 0, 5.0).otherwise(0.0).alias("scene_shift"), F.lit(1.0).alias("response"), F.lit(2).alias("grid_width"), grid(changed).alias("changed"), grid(F.lit(120.0)).alias("brightness"), grid(F.lit(20.0)).alias("spread"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row"), F.col("l_returnflag").alias("class_id"), (0.3 + F.col("l_linenumber") / 10).alias("score"),
+        x.alias("x1"), F.lit(0.2).alias("y1"), (x + 0.2).alias("x2"), F.lit(0.7).alias("y2"), F.lit(None).cast("array<double>").alias("appearance"),
     )
-    one = seen.groupBy("run_id", "clock", "track_id").agg(*[F.min(c).alias(c) for c in activity.COLUMNS if c not in ("run_id", "clock", "track_id")])
-    return activity.activity(one, sample=1.0, mobile=["A", "N"], stationary=["R"], idle_after=20.0)
+    return activity.activity(seen, sample=1.0, groups={"A": "mobile", "R": "stationary_capable"}, idle_after=20.0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.catalogue import DETECTIONS, query
-from groma.operators import curation, joins, records
+from groma.operators import curation, hamming, joins, records
 from groma.sources import views
 from groma.sources.views import table
 
@@ -21,7 +21,7 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q30_hamming_nearest", f"WITH {BITS}, p AS (SELECT a.vec_id, bit_count(xor(a.bits, c.bits)) AS distance, c.vec_id AS nearest FROM b a JOIN b c ON a.vec_id % 20 = c.vec_id % 20 AND a.vec_id % 3 = 0 AND c.vec_id % 3 <> 0) SELECT vec_id, CAST(min(distance) AS INTEGER) AS distance, arg_min(nearest, (distance, nearest)) AS nearest FROM p GROUP BY vec_id")
 def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = patterns(spark, sf_dir).withColumn("camera", F.col("vec_id") % 20)
-    return joins.hamming_nearest(rows.filter("vec_id % 3 = 0"), rows.filter("vec_id % 3 <> 0"), key="vec_id", bits="bits", within="camera")
+    return hamming.nearest(rows.filter("vec_id % 3 = 0"), rows.filter("vec_id % 3 <> 0"), key="vec_id", bits="bits", within="camera")
 
 
 @query("q36_coverage_shares", "SELECT o_custkey, avg(CASE WHEN hit > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS covered, sum(hit) / sum(n)::DOUBLE AS assigned FROM (SELECT o_custkey, o_orderkey, count(DISTINCT l_returnflag || l_linestatus) AS n, count(DISTINCT CASE WHEN l_returnflag = 'R' OR l_linestatus = 'O' THEN l_returnflag || l_linestatus END) AS hit FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY o_custkey")
@@ -203,7 +203,16 @@ def unpivoted_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.unpivot("c_custkey", [f"type{i}" for i in range(1, 5)], "project_type", "mark").filter("mark is not null").select("c_custkey", "project_type")
 
 
-@query("q101_diverse_frames")
+DIVERSE = """WITH RECURSIVE e AS (SELECT vec_id % 25 AS camera, vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings WHERE len(embedding) >= 64),
+p AS (SELECT camera, 1 AS place, [min(vec_id)] AS rows, [arg_min(v, vec_id)] AS picks FROM e GROUP BY camera
+UNION ALL SELECT camera, place + 1, list_append(rows, w.vec_id), list_append(picks, w.v)
+FROM (SELECT p.camera, p.place, any_value(p.rows) AS rows, any_value(p.picks) AS picks,
+    arg_min({'vec_id': e.vec_id, 'v': e.v}, (-list_min([list_reduce([0.0::DOUBLE] || [abs(e.v[i] - c[i]) for i in range(1, len(c) + 1)], lambda s, d: s + d) for c in p.picks[-5:]]), e.vec_id)) AS w
+  FROM p JOIN e ON e.camera = p.camera AND NOT list_contains(p.rows, e.vec_id) WHERE p.place < 8 GROUP BY p.camera, p.place))
+SELECT camera, rows[place] AS vec_id, place::INTEGER AS place FROM p"""
+
+
+@query("q101_diverse_frames", DIVERSE)
 def diverse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 64).select((F.col("vec_id") % 25).alias("camera"), "vec_id", "embedding")
     return curation.diverse_picks(rows, group="camera", row="vec_id", feature="embedding", most=8)

@@ -11,7 +11,7 @@ from groma.catalogue import query
 from groma.operators import records
 from groma.plans import settings
 from groma.queries.plans import PHASES, PLAN, phases, plan
-from groma.sources import generated
+from groma.sources import datasets, generated, ledger
 from groma.sources.scratch import shared_folder
 from groma.sources.views import table
 
@@ -114,3 +114,37 @@ def bound_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q172_report_start", f"WITH {PLAN} SELECT plan_id, min(starts) AS report_from FROM plan WHERE status <> 'completed' GROUP BY plan_id")
 def report_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir).filter("status <> 'completed'").groupBy("plan_id").agg(F.min("starts").alias("report_from"))
+
+
+@query("q183_played_batches", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey HAVING arg_max(o_orderstatus, o_orderkey) <> 'P'")
+def played_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's last order, kept by a stream in a versioned table; every batch is played twice and counts once."""
+    root = f"{shared_folder(spark)}/groma-ledger-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    last = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    for i in range(4):
+        part = orders.filter((F.col("o_orderkey") > last * i / 4) & (F.col("o_orderkey") <= last * (i + 1) / 4))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    kept = ledger.Versions(spark, f"{root}/table")
+    change = lambda before, rows: ledger.upserted(before, rows, keys=["o_custkey"], order=[F.col("o_orderkey")], deleted=F.col("o_orderstatus") == "P")
+    take = ledger.applied(kept, "orders", change)
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        take(rows, batch)
+        take(rows, batch)
+
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("q184_committed_set", "SELECT l_linestatus AS split, 'supplier-' || l_suppkey AS name, count(*) AS lines, CAST(sum(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS BIGINT) AS class_sum, CAST(sum(l_linenumber) AS BIGINT) AS number_sum FROM lineitem GROUP BY ALL")
+def committed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files of each supplier, written as a data set that appears whole, and read again."""
+    path = f"{shared_folder(spark)}/groma-set-{uuid.uuid4().hex}"
+    kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("split"), F.concat(F.lit("supplier-"), "l_suppkey").alias("name"), F.concat_ws(" ", kind, "l_linenumber", "l_quantity").alias("line"))
+    datasets.publish(lines.groupBy("split", "name").agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("content")), path)
+    cells = F.split("line", " ")
+    read = datasets.label_rows(spark, path).select("split", "name", cells[0].cast("long").alias("kind"), cells[1].cast("long").alias("number"))
+    return read.groupBy("split", "name").agg(F.count(F.lit(1)).alias("lines"), F.sum("kind").alias("class_sum"), F.sum("number").alias("number_sum"))

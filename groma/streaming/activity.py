@@ -1,184 +1,337 @@
-"""Whether tracked machines work or stand idle, from what is seen of them frame by frame.
+"""Machines on a camera: tracked and judged in one fold, frame by frame.
 
-Idleness needs unbroken evidence: every doubt (a gap, a moving camera, a hidden or cut-off
-machine, an unclear picture) starts its clock anew, and time that no picture covers does not
-count. Motion of the machine or of its mechanism is work at once. Pixels are not looked at
-here: what an earlier step measured of each machine's picture comes in as columns.
+Tracking and evidence feed each other. A camera that moves clears what the tracks know of
+their places and speed; a track that is only held, or found again, decides whether evidence
+goes on; appearance tells whether it is the same machine. Idleness needs unbroken evidence:
+every doubt (a gap, a hidden or cut-off machine, an unclear picture) starts its clock anew,
+and time that no picture covers does not count. Motion of the machine or its mechanism is
+work at once.
+
+Pixels are not looked at here. An earlier step gives for each frame how it compares with the
+one before: the camera's shift, and on a grid of cells the share of changed pixels, the mean
+brightness and its spread; a machine's region is the mean of its cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Mapping
 from dataclasses import dataclass
-from math import hypot
+from math import hypot, isfinite
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from groma.streaming.tracks import Box, foot, iou
+from groma.streaming.tracks import Box, Track, Tracker, clipped, correlation, foot, iou
 
-#: Fixed values, in seconds, pixels and shares of the frame.
+#: Seconds, pixels and shares of the frame.
 LONGEST_HOLD, LONGEST_MECHANISM, RECHECK_MOBILE, RECHECK_STATIONARY = 30.0, 20.0, 10.0, 30.0
-LEAST_GAP, GAP_STEPS, LONGEST_STEP = 0.6, 1.75, 2.0
-MOST_SHIFT, LEAST_RESPONSE, MOST_DRIFT, LEAST_SIDE = 3.0, 0.2, 12.0, 48.0
-FRAME_EDGE, HIDDEN_IOU, SAME_IOU, SAME_DISTANCE, SAME_SIDE = 0.005, 0.1, 0.45, 0.008, 0.15
-DARKEST, BRIGHTEST, LEAST_SPREAD = 12.0, 248.0, 4.0
+LEAST_STEP, LEAST_GAP, GAP_STEPS, LONGEST_STEP, LEAST_STATIONARY_IDLE = 0.25, 0.6, 1.75, 2.0, 120.0
+MOST_SHIFT, LEAST_RESPONSE, MOST_DRIFT, LEAST_SIDE, MARGIN = 3.0, 0.2, 12, 48, 0.12
+FRAME_EDGE, HIDDEN_IOU, SAME_IOU, SAME_DISTANCE, SAME_SIDE, SAME_ALIKE = 0.005, 0.1, 0.45, 0.008, 0.15, 0.4
+DARKEST, BRIGHTEST, LEAST_SPREAD, UNCERTAIN_SHARE, MOVED_SHARE = 12.0, 248.0, 4.0, 0.35, 0.008
+MOST_MISSED_AT_WORK = 2
+#: The reasons that an activity is given with.
+NO_VIDEO, VIDEO_GAP, CAMERA_MOVED, CAMERA_UNSURE = "insufficient_video", "video_gap", "camera_motion", "camera_registration_uncertain"
+STALE, DRIVING, CUT_OFF, TOO_SMALL, HIDDEN = "stale_detection", "vehicle_motion", "truncated_equipment", "roi_too_small", "equipment_occluded"
+ELSEWHERE, UNCLEAR, UNCERTAIN = "roi_changed", "roi_unusable", "roi_motion_uncertain"
+MOTION_PENDING, IDLE_PENDING, RECHECK = "motion_pending", "idle_pending", "idle_recheck"
+HELD, HELD_IN_SIGHT, RECENT, MECHANISM, STILL, NOT_VISIBLE = "track_grace", "visual_track_grace", "recent_motion", "visible_mechanism_motion", "visible_inactivity", "activity_not_visually_observable"
+#: Groups of machines, and classes whose activity can be seen.
+MOBILE, STATIONARY = "mobile", "stationary_capable"
+CHECKABLE = frozenset({"0", "1", "4", "8", "16", "17", "19", "21", "26"})
+
+Region = tuple[int, int, int, int]
+FRAME = ["run_id", "clock", "detects", "usable", "width", "height", "scene_shift", "response", "grid_width", "changed", "brightness", "spread"]
+FOUND = ["row", "class_id", "score", "x1", "y1", "x2", "y2", "appearance"]
+OUT = "run_id long, clock double, row long, track_id int, class_id string, score double, x1 double, y1 double, x2 double, y2 double, observed boolean, missed int, motion string, activity string, basis string"
+
+
+@dataclass
+class Picture:
+    """What was measured of a frame against the one before. Grids are rows of cells, from the top left."""
 
-COLUMNS = ["run_id", "clock", "track_id", "class_id", "x1", "y1", "x2", "y2", "observed", "missed", "motion", "roi_motion", "roi_mean", "roi_std", "roi_side", "drift", "scene_shift", "response", "usable"]
-OUT = "run_id long, clock double, track_id int, activity string, basis string"
+    width: int
+    height: int
+    shift: float = 0.0
+    response: float = 1.0
+    grid_width: int = 1
+    changed: np.ndarray | None = None
+    brightness: np.ndarray | None = None
+    spread: np.ndarray | None = None
+
+    def mean(self, grid: np.ndarray, region: Region) -> float:
+        """Of the cells that the region touches."""
+        cells = np.asarray(grid, np.float64).reshape(-1, self.grid_width)
+        across, down = self.grid_width / self.width, len(cells) / self.height
+        x1, y1, x2, y2 = region
+        part = cells[int(y1 * down) : max(int(y1 * down) + 1, int(np.ceil(y2 * down))), int(x1 * across) : max(int(x1 * across) + 1, int(np.ceil(x2 * across)))]
+        return float(part.mean())
+
+    def clear(self, region: Region) -> bool:
+        return DARKEST <= self.mean(self.brightness, region) <= BRIGHTEST and self.mean(self.spread, region) >= LEAST_SPREAD
+
+    def motion(self, region: Region, least: float) -> str:
+        share = self.mean(self.changed, region)
+        return "uncertain" if share > UNCERTAIN_SHARE else "motion" if share >= least else "quiet"
+
+    def region(self, box: Box) -> Region:
+        """The box and a margin around it, in pixels."""
+        dx, dy = MARGIN * (box[2] - box[0]), MARGIN * (box[3] - box[1])
+        return (
+            max(0, round((box[0] - dx) * self.width)),
+            max(0, round((box[1] - dy) * self.height)),
+            min(self.width, round((box[2] + dx) * self.width)),
+            min(self.height, round((box[3] + dy) * self.height)),
+        )
 
 
 @dataclass
 class Evidence:
-    """What is known of one machine."""
+    """What is known of one track's activity."""
 
-    box: Box
-    seen: float
-    reason: str = "no_evidence"
+    reason: str = NO_VIDEO
+    region: Region | None = None
+    looked: float | None = None
     quiet_since: float | None = None
-    last_roi: float | None = None
     unseen: float = 0.0
     hits: int = 0
-    lost: bool = False
+    place: Box | None = None
+    appearance: np.ndarray | None = None
+    lost_since: float | None = None
+    in_sight: bool = False
+    recheck_since: float | None = None
+    drove_at: float | None = None
     working_until: float = float("-inf")
     mechanism_until: float = float("-inf")
-    recheck_until: float = float("-inf")
 
-    def restart(self, reason: str) -> None:
-        self.quiet_since, self.last_roi, self.unseen, self.hits, self.reason = None, None, 0.0, 0, reason
+    def unlinked(self) -> None:
+        """A held track's region was not seen to stay quiet: no evidence goes on from here, what it did before stays."""
+        self.region = self.looked = self.quiet_since = None
+        self.unseen, self.in_sight, self.reason = 0.0, False, HELD
 
 
 class Analyzer:
-    def __init__(self, *, sample: float, mobile: Collection[str], stationary: Collection[str], idle_after: float = 300.0, max_gap: int = 3):
-        self.sample, self.mobile, self.stationary, self.idle_after = sample, set(mobile), set(stationary), idle_after
-        self.reconnect, self.hold = min(LONGEST_HOLD, max_gap * sample), min(LONGEST_HOLD, 2 * sample)
+    """Evidence of all tracks of one run."""
+
+    def __init__(self, *, sample: float = 1.0, idle_after: float = 300.0, max_gap: int = 3, groups: Mapping[str, str] | None = None, checkable: Collection[str] = CHECKABLE, moved_share: float = MOVED_SHARE):
+        self.sample, self.idle_after, self.groups, self.checkable, self.moved_share = sample, idle_after, groups or {}, frozenset(checkable), moved_share
         self.step = min(sample, LONGEST_STEP)
-        self.gap = max(LEAST_GAP, GAP_STEPS * self.step)
+        self.frame_gap, self.roi_gap = max(LEAST_GAP, GAP_STEPS * self.step), max(LEAST_GAP, (max_gap + 0.5) * self.step)
+        self.reconnect, self.hold = min(LONGEST_HOLD, max_gap * sample), min(LONGEST_HOLD, 2 * sample)
         self.known: dict[int, Evidence] = {}
         self.last: float | None = None
+        self.compared = False
 
     def restart(self, reason: str) -> None:
-        for e in self.known.values():
-            e.restart(reason)
+        self.known = {number: Evidence(reason) for number in self.known}
+
+    def invalidate(self) -> None:
+        """A frame that cannot be used: nothing goes on across it."""
+        self.restart(NO_VIDEO)
+        self.last, self.compared = None, False
+
+    def group(self, track: Track) -> str:
+        return self.groups.get(track.kind, MOBILE)
 
-    def frame(self, clock: float, rows: list[dict]) -> list[tuple[int, str, str]]:
-        """track, activity and basis of each machine of a frame."""
-        if self.last is not None and not 0 < clock - self.last <= self.gap:
-            self.restart("video_gap")
+    def look(self, clock: float, picture: Picture, tracks: Collection[Track]) -> None:
+        """Takes in a frame, whether or not the detector looked at it."""
+        after_gap = False
+        if self.last is not None:
+            away = clock - self.last
+            after_gap = away <= 0 or away > self.frame_gap
+            if after_gap:
+                self.restart(VIDEO_GAP)
+                self.compared = False
+            if 0 <= away < LEAST_STEP:
+                return
         self.last = clock
-        here = {r["track_id"]: (r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows if not pd.isna(r["track_id"])}
-        if not here:
-            self.known.clear()
-            return []
-        poor = not rows[0]["usable"]
-        if poor:
-            self.restart("poor_quality")
-        elif rows[0]["scene_shift"] > MOST_SHIFT or rows[0]["response"] < LEAST_RESPONSE:
-            self.restart("camera_motion")
-            poor = True
-        out = []
-        for r in rows:
-            number, box = r["track_id"], here.get(r["track_id"])
-            if box is None:
-                continue
-            e = self.known.setdefault(number, Evidence(box, clock))
-            if not poor:
-                others = [b for k, b in here.items() if k != number]
-                self.observe(e, r, box, clock, others)
-            out.append((int(number), *self.verdict(e, r, clock, poor)))
-        return out
-
-    def observe(self, e: Evidence, r: dict, box: Box, clock: float, others: list[Box]) -> None:
-        if not r["observed"]:
-            e.lost = True
-            if r["roi_motion"] != "quiet":
-                e.restart("track_lost")
+        if not tracks:
+            self.known, self.compared = {}, False
             return
-        before, seen, lost = e.box, e.seen, e.lost
-        e.box, e.seen, e.lost = box, clock, False
-        if r["motion"] == "moving":
-            e.restart("moving")
-            e.working_until = clock + self.hold
-        elif min(box[0], box[1]) <= FRAME_EDGE or max(box[2], box[3]) >= 1 - FRAME_EDGE:
-            e.restart("cut_off")
-        elif r["roi_side"] < LEAST_SIDE:
-            e.restart("too_small")
-        elif any(iou(box, o) > HIDDEN_IOU for o in others):
-            e.restart("hidden")
-        elif lost and not self.same_place(before, box, clock - seen):
-            e.restart("found_again")
-        elif r["drift"] > MOST_DRIFT:
-            e.restart("drift")
-        elif not DARKEST <= r["roi_mean"] <= BRIGHTEST or r["roi_std"] < LEAST_SPREAD:
-            e.restart("unclear_picture")
-        else:
-            if lost:
-                e.recheck_until = clock + (RECHECK_MOBILE if r["class_id"] in self.mobile else RECHECK_STATIONARY)
-            self.compare(e, r["roi_motion"], clock)
-
-    def same_place(self, before: Box, box: Box, away: float) -> bool:
-        (x, y), (u, v) = foot(before), foot(box)
-        side = min(box[2] - box[0], box[3] - box[1])
-        return away <= self.reconnect and iou(before, box) >= SAME_IOU and hypot(x - u, y - v) <= max(SAME_DISTANCE, SAME_SIDE * side)
+        steady = isfinite(picture.response) and picture.response >= LEAST_RESPONSE and isfinite(picture.shift) and picture.shift <= MOST_SHIFT
+        if self.compared and not steady:
+            self.restart(CAMERA_MOVED if picture.response >= LEAST_RESPONSE else CAMERA_UNSURE)
+            for track in tracks:
+                track.shaken()
+            return
+        self.compared = True
+        self.known = {t.number: self.known.get(t.number) or Evidence() for t in tracks}
+        for track in tracks:
+            if not track.trusted or track.missed:
+                self.look_for_lost(self.known[track.number], clock, picture)
+            else:
+                others = [t.box for t in tracks if t is not track]
+                reason = self.look_at(self.known[track.number], track, others, clock, picture, VIDEO_GAP if after_gap else None)
+                if reason:
+                    self.known[track.number] = Evidence(reason) if reason != DRIVING else Evidence(DRIVING, drove_at=track.clock, working_until=clock + self.hold)
 
-    def compare(self, e: Evidence, found: str | None, clock: float) -> None:
-        if e.quiet_since is None:
-            e.quiet_since, e.last_roi, e.reason = clock, clock, "gathering"
+    def look_for_lost(self, e: Evidence, clock: float, picture: Picture) -> None:
+        """A held track: its region, where it was last, must be seen to stay quiet."""
+        e.lost_since = clock if e.lost_since is None else e.lost_since
+        fresh = e.region is not None and e.looked is not None and clock - e.looked <= self.frame_gap
+        if not fresh or not picture.clear(e.region) or picture.motion(e.region, self.moved_share) != "quiet":
+            e.unlinked()
             return
-        e.unseen += max(0.0, clock - e.last_roi - self.step)
-        e.last_roi = clock
+        e.looked, e.in_sight, e.reason = clock, True, HELD_IN_SIGHT
+
+    def look_at(self, e: Evidence, track: Track, others: list[Box], clock: float, picture: Picture, gap: str | None) -> str | None:
+        """A track that was detected lately. The reason to start anew, or none."""
+        if clock - track.clock > self.sample * GAP_STEPS:
+            return STALE
+        if track.motion() == "moving":
+            return DRIVING if e.drove_at != track.clock else None
+        if min(track.box[:2]) <= FRAME_EDGE or max(track.box[2:]) >= 1 - FRAME_EDGE:
+            return CUT_OFF
+        region = picture.region(track.box)
+        if min(region[2] - region[0], region[3] - region[1]) < LEAST_SIDE:
+            return TOO_SMALL
+        if any(iou(track.box, other) > HIDDEN_IOU for other in others):
+            return HIDDEN
+        begin = e
+        if e.lost_since is not None:
+            if e.looked is not None and e.in_sight and clock - e.lost_since <= self.reconnect and self.same_machine(e, track):
+                e.recheck_since = clock if e.recheck_since is None else e.recheck_since
+                e.reason = RECHECK
+            else:
+                begin = Evidence(ELSEWHERE)
+            e.lost_since, e.in_sight = None, False
+        if begin.region is not None:
+            if self.contained(begin.region, region, track.box, picture):
+                region = begin.region  # detections waver; the picture is compared with itself only where the region stands still
+            else:
+                begin = Evidence(ELSEWHERE)
+        if begin is not e:
+            e.__dict__.update(begin.__dict__)
+        if not picture.clear(region):
+            return UNCLEAR
+        if e.region is None or e.looked is None or clock - e.looked > self.roi_gap:
+            if e.recheck_since is None:
+                e.__dict__.update(Evidence(gap or e.reason, quiet_since=clock).__dict__)
+            elif e.quiet_since is None:
+                e.quiet_since, e.unseen = clock, 0.0
+            e.hits = 0
+            found = None
+        else:
+            e.unseen += max(0.0, clock - e.looked - self.step)
+            found = picture.motion(region, self.moved_share)
+        e.region, e.looked, e.place, e.appearance = region, clock, track.box, track.appearance
+        return self.weigh(e, track, found, clock)
+
+    def weigh(self, e: Evidence, track: Track, found: str | None, clock: float) -> str | None:
+        if found == "uncertain":
+            return UNCERTAIN
         if found == "motion":
-            e.quiet_since, e.unseen, e.hits = clock, 0.0, e.hits + 1
+            e.reason, e.quiet_since, e.unseen, e.recheck_since, e.hits = MOTION_PENDING, clock, 0.0, None, e.hits + 1
             if e.hits >= 2:
                 e.mechanism_until = clock + min(LONGEST_MECHANISM, max(2.0, self.sample))
         elif found == "quiet":
             e.hits = 0
-        else:
-            e.restart("uncertain")
+            wait = RECHECK_STATIONARY if self.group(track) == STATIONARY else RECHECK_MOBILE
+            again = e.recheck_since is not None and clock - e.recheck_since < wait
+            e.recheck_since, e.reason = (e.recheck_since, RECHECK) if again else (None, IDLE_PENDING)
+        return None
 
-    def verdict(self, e: Evidence, r: dict, clock: float, poor: bool) -> tuple[str, str]:
-        if poor:
-            return "unknown", e.reason
-        if not r["observed"]:
-            recent = r["missed"] <= 2 and clock <= max(e.working_until, e.mechanism_until)
-            return ("working", "recent_motion") if recent else ("unknown", "track_held")
-        if r["motion"] == "moving":
-            return "working", "vehicle_motion"
-        if clock <= e.mechanism_until:
-            return "working", "visible_mechanism_motion"
+    @staticmethod
+    def contained(held: Region, region: Region, box: Box, picture: Picture) -> bool:
+        """Whether the box still lies in the region that is held, and its own region has not drifted from it."""
+        at = [v * n for v, n in zip(box, (picture.width, picture.height) * 2, strict=True)]
+        inside = at[0] >= held[0] and at[1] >= held[1] and at[2] <= held[2] and at[3] <= held[3]
+        return inside and max(abs(a - b) for a, b in zip(region, held, strict=True)) <= MOST_DRIFT
+
+    @staticmethod
+    def same_machine(e: Evidence, track: Track) -> bool:
+        if e.place is None or iou(e.place, track.box) < SAME_IOU:
+            return False
+        side = min(b[i + 2] - b[i] for b in (e.place, track.box) for i in (0, 1))
+        (x, y), (u, v) = foot(e.place), foot(track.box)
+        if hypot(x - u, y - v) > max(SAME_DISTANCE, SAME_SIDE * side):
+            return False
+        return e.appearance is None or track.appearance is None or correlation(e.appearance, track.appearance) >= SAME_ALIKE
+
+    def verdict(self, track: Track, observed: bool, clock: float) -> tuple[str, str]:
+        """Activity and its basis, of a track that is published."""
+        e = self.known.get(track.number)
+        if not observed:
+            if e and track.missed <= MOST_MISSED_AT_WORK and clock <= max(e.working_until, e.mechanism_until):
+                return "working", RECENT
+            return "unknown", HELD_IN_SIGHT if e and e.in_sight else HELD
+        if track.motion() == "moving" or (e and clock <= e.mechanism_until):
+            if e:
+                e.working_until = clock + self.hold
+            return "working", DRIVING if track.motion() == "moving" else MECHANISM
+        if e is None:
+            return "unknown", NO_VIDEO
         if clock <= e.working_until:
-            return "working", "recent_motion"
-        if e.quiet_since is None or e.last_roi is None or clock - e.last_roi > self.gap:
+            return "working", RECENT
+        if e.quiet_since is None:
             return "unknown", e.reason
-        if r["class_id"] in self.mobile:
-            needed = self.idle_after
-        elif r["class_id"] in self.stationary:
-            needed = max(120.0, 2 * self.idle_after)
-        else:
-            return "unknown", "class_not_checkable"
-        if clock < e.recheck_until:
-            return "unknown", "recheck"
-        return ("idle", "visible_inactivity") if e.last_roi - e.quiet_since - e.unseen >= needed else ("unknown", "gathering")
+        if self.group(track) != MOBILE and track.kind not in self.checkable:
+            return "unknown", NOT_VISIBLE
+        needed = max(LEAST_STATIONARY_IDLE, 2 * self.idle_after) if self.group(track) == STATIONARY else self.idle_after
+        fresh = e.looked is not None and clock - e.looked <= self.frame_gap
+        if fresh and e.recheck_since is None and e.looked - e.quiet_since - e.unseen >= needed:
+            return "idle", STILL
+        return "unknown", e.reason
 
 
-def activity(rows: DataFrame, *, sample: float, mobile: Collection[str], stationary: Collection[str], idle_after: float = 300.0, max_gap: int = 3) -> DataFrame:
-    """run_id, clock, track_id, activity and basis. rows: ``COLUMNS``; a frame without machines is a row with a null track. A run's frames are in one task, in order."""
+class Camera:
+    """The joint fold of one run: a tracker and the evidence of its tracks."""
+
+    def __init__(self, tracker: Tracker, analyzer: Analyzer):
+        self.tracker, self.analyzer = tracker, analyzer
+
+    def frame(self, clock: float, picture: Picture | None, found: list[tuple] | None) -> list[tuple[int | None, Track, bool, str, str]]:
+        """What is published of a frame: detection, track, whether observed, activity, basis. found: null where the detector did not look; picture: null where the frame is not usable."""
+        if picture is None:
+            self.analyzer.invalidate()
+            return []
+        shown = self.tracker.update(clock, found) if found is not None else []
+        self.analyzer.look(clock, picture, self.tracker.tracks)
+        return [(i, t, observed, *self.analyzer.verdict(t, observed, clock)) for i, t, observed in shown]
+
+
+def activity(frames: DataFrame, *, sample: float, publish: float = 0.35, max_gap: int = 3, grace: int = 3, max_interframe: float | None = None, idle_after: float = 300.0, groups: Mapping[str, str] | None = None, checkable: Collection[str] = CHECKABLE, moved_share: float = MOVED_SHARE) -> DataFrame:
+    """What is published of each frame that the detector looked at: track, box, motion, activity and basis.
+
+    frames: the columns of ``FRAME`` and ``FOUND``, a row for each detection; a frame without
+    any has one row with a null ``row``. Frames lie between those of the detector too (detects
+    false): evidence is gathered on all of them. A run's frames are in one task, in order.
+    """
+    columns = [*FRAME, *FOUND]
+    groups, checkable = dict(groups or {}), frozenset(checkable)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        analyzer, at, held = None, None, []
-        closed = lambda: [(*at, *x) for x in analyzer.frame(at[1], held)]
+        camera, at, held = None, None, []
+
+        def closed() -> list[tuple]:
+            first = held[0]
+            picture = Picture(*first[4 : len(FRAME)]) if first[3] else None
+            found = [x[len(FRAME) :] for x in held if not pd.isna(x[len(FRAME)])]
+            shown = camera.frame(at[1], picture, [(r[1], r[2], tuple(r[3:7]), r[7]) for r in found] if first[2] else None)
+            out = []
+            for i, t, observed, what, basis in shown:
+                box = tuple(found[i][3:7]) if observed else clipped(t.ahead(at[1]))
+                out.append((*at, int(found[i][0]) if observed else None, t.number, t.kind, found[i][2] if observed else t.score, *box, observed, t.missed, t.motion() if observed else "unknown", what, basis))
+            return out
+
         for batch in batches:
             out: list[tuple] = []
-            for values in zip(*(batch[c].tolist() for c in COLUMNS), strict=True):
+            own = [batch[c].tolist() for c in columns]
+            for values in zip(*own, strict=True):
                 if values[:2] != at:
                     if at is not None:
                         out += closed()
                     if at is None or at[0] != values[0]:
-                        analyzer = Analyzer(sample=sample, mobile=mobile, stationary=stationary, idle_after=idle_after, max_gap=max_gap)
+                        camera = Camera(Tracker(publish=publish, max_gap=max_gap, grace=grace, max_interframe=max_interframe), Analyzer(sample=sample, idle_after=idle_after, max_gap=max_gap, groups=groups, checkable=checkable, moved_share=moved_share))
                     at, held = values[:2], []
-                held.append(dict(zip(COLUMNS, values, strict=True)))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+                held.append(values)
+            yield _rows(out)
         if at is not None:
-            yield pd.DataFrame(closed(), columns=[x.split()[0] for x in OUT.split(", ")])
+            yield _rows(closed())
+
+    return frames.select(*columns).repartition("run_id").sortWithinPartitions("run_id", "clock", "row").mapInPandas(fold, OUT)
+
 
-    return rows.select(*COLUMNS).repartition("run_id").sortWithinPartitions("run_id", "clock", "track_id").mapInPandas(fold, OUT)
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"row": "Int64"})

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import hypot
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -28,6 +29,14 @@ def iou(a: Box, b: Box) -> float:
     return both / whole if whole > 0 else 0.0
 
 
+def correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two histograms; those without any spread count as alike."""
+    x, y = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    x, y = x - x.mean(), y - y.mean()
+    spread = float(np.sqrt((x * x).sum() * (y * y).sum()))
+    return float((x * y).sum()) / spread if spread > 1e-12 else 1.0
+
+
 def foot(b: Box) -> tuple[float, float]:
     return (b[0] + b[2]) / 2, b[3]
 
@@ -44,6 +53,7 @@ class Track:
     hits: int = 1
     missed: int = 0
     trusted: bool = True
+    appearance: np.ndarray | None = None
     places: deque = field(default_factory=lambda: deque(maxlen=KEPT_POSITIONS))
 
     def ahead(self, clock: float) -> Box:
@@ -51,19 +61,25 @@ class Track:
         dx, dy = self.velocity[0] * dt, self.velocity[1] * dt
         return self.box[0] + dx, self.box[1] + dy, self.box[2] + dx, self.box[3] + dy
 
-    def seen(self, box: Box, score: float, clock: float, frame: int) -> None:
+    def seen(self, box: Box, score: float, clock: float, frame: int, appearance: np.ndarray | None = None) -> None:
         dt, (x, y), (u, v) = clock - self.clock, foot(box), foot(self.box)
         if dt > 0:
             self.velocity = 0.5 * self.velocity[0] + 0.5 * (x - u) / dt, 0.5 * self.velocity[1] + 0.5 * (y - v) / dt
         self.box, self.score, self.clock, self.frame = box, score, clock, frame
         self.hits, self.missed, self.trusted = min(CONFIRM_HITS, self.hits + 1), 0, True
+        self.appearance = self.appearance if appearance is None else appearance
         self.places.append((clock, x, y))
 
-    def doubted(self, box: Box, score: float, clock: float, frame: int) -> None:
-        self.box, self.score, self.clock, self.frame = box, score, clock, frame
+    def doubted(self, box: Box, clock: float, frame: int) -> None:
+        self.box, self.clock, self.frame = box, clock, frame
         self.missed, self.trusted = self.missed + 1, False
         self.places.clear()
 
+    def shaken(self) -> None:
+        """The camera has moved: where the track was tells nothing of where it goes."""
+        self.places.clear()
+        self.velocity = (0.0, 0.0)
+
     def motion(self) -> str:
         if len(self.places) < 3 or self.places[-1][0] - self.places[0][0] < 1:
             return "unknown"
@@ -84,21 +100,26 @@ class Tracker:
         self.last: float | None = None
         self.frame = 0
 
-    def fitness(self, t: Track, kind: str, box: Box, clock: float) -> float | None:
+    def fitness(self, t: Track, kind: str, box: Box, clock: float, appearance: np.ndarray | None = None) -> float | None:
         if kind != t.kind:
             return None
         guess = t.ahead(clock)
-        side = max(guess[2] - guess[0], guess[3] - guess[1])
+        side = max(b[i + 2] - b[i] for b in (guess, box) for i in (0, 1))
         radius = max(0.025, 0.7 * side + 0.015 * min(self.max_gap, self.frame - t.frame))
         (x, y), (u, v) = foot(box), foot(guess)
         far, share = hypot(x - u, y - v), iou(guess, box)
-        if far > radius or (share < LEAST_IOU and far > NEAR_SHARE * radius) or (share < SAME_PLACE_IOU and ALIKE_UNKNOWN < LEAST_ALIKE):
+        if far > radius or (share < LEAST_IOU and far > NEAR_SHARE * radius):
             return None
-        return WEIGHT_IOU * share + WEIGHT_NEAR * (1 - far / radius) + WEIGHT_ALIKE * ALIKE_UNKNOWN
-
-    def match(self, tracks: list[Track], boxes: list[tuple[int, str, float, Box]], clock: float) -> dict[int, Track]:
-        """Pairs by falling score; of equal ones the later detection and track first."""
-        ways = sorted(((s, i, t.number, t) for i, kind, _, box in boxes for t in tracks if (s := self.fitness(t, kind, box, clock)) is not None), key=lambda w: w[:3], reverse=True)
+        alike = ALIKE_UNKNOWN
+        if appearance is not None and t.appearance is not None:
+            alike = max(0.0, correlation(appearance, t.appearance))
+            if share < SAME_PLACE_IOU and alike < LEAST_ALIKE:
+                return None
+        return WEIGHT_IOU * share + WEIGHT_NEAR * (1 - far / radius) + WEIGHT_ALIKE * alike
+
+    def match(self, tracks: list[Track], found: list[tuple], clock: float) -> dict[int, Track]:
+        """Pairs by falling score; of equal ones the later detection and track first. found: number, class, score, box, appearance."""
+        ways = sorted(((s, i, t.number, t) for i, kind, _, box, look in found for t in tracks if (s := self.fitness(t, kind, box, clock, look)) is not None), key=lambda w: w[:3], reverse=True)
         taken: dict[int, Track] = {}
         used: set[int] = set()
         for _, i, number, t in ways:
@@ -107,41 +128,44 @@ class Tracker:
                 used.add(number)
         return taken
 
-    def update(self, clock: float, found: list[tuple[str, float, Box]]) -> list[tuple[int | None, Track, bool]]:
-        """What is published of a frame: index of the detection (null where the track is only held), its track, and whether it is observed."""
+    def update(self, clock: float, found: list[tuple]) -> list[tuple[int | None, Track, bool]]:
+        """What is published of a frame: index of the detection (null where the track is only held), its track, and whether it is observed.
+
+        found: class, score, box and, where it is known, appearance (a histogram).
+        """
         if self.last is not None and (clock <= self.last or (self.max_interframe is not None and clock - self.last > self.max_interframe)):
             self.clear()
         self.last = clock
         self.frame += 1
         self.tracks = [t for t in self.tracks if self.frame - t.frame <= self.max_gap]
-        rows = [(i, kind, score, box) for i, (kind, score, box) in enumerate(found)]
+        rows = [(i, *x, *[None] * (4 - len(x))) for i, x in enumerate(found)]
         high, low = [r for r in rows if r[2] >= self.publish], [r for r in rows if r[2] < self.publish]
         strong = self.match(self.tracks, high, clock)
         rest = [t for t in self.tracks if all(t is not x for x in strong.values())]
         weak = self.match(rest, low, clock)
-        guesses = {t.number: t.ahead(clock) for t in self.tracks}
         for i, t in strong.items():
-            t.seen(rows[i][3], rows[i][2], clock, self.frame)
+            t.seen(rows[i][3], rows[i][2], clock, self.frame, rows[i][4])
         for i, t in weak.items():
-            t.doubted(rows[i][3], rows[i][2], clock, self.frame)
+            t.doubted(rows[i][3], clock, self.frame)
         for t in rest:
             if all(t is not x for x in weak.values()):
                 t.missed += 1
         for t in rest:
-            other = any(kind != t.kind and iou(guesses[t.number], box) >= CONFLICT_IOU for _, kind, _, box in high)
+            other = any(kind != t.kind and iou(t.ahead(clock), box) >= CONFLICT_IOU for _, kind, _, box, _ in high)
             if t.hits < CONFIRM_HITS or t.missed > min(self.grace, self.max_gap) or other:
                 t.hits = 0
         out: list[tuple[int | None, Track, bool]] = []
-        for i, kind, score, box in high:
+        for i, kind, score, box, look in high:
             t = strong.get(i)
             if t is None:
-                t = Track(self.next_number, kind, box, score, clock, self.frame)
+                t = Track(self.next_number, kind, box, score, clock, self.frame, appearance=look)
                 t.places.append((clock, *foot(box)))
                 self.next_number += 1
                 self.tracks.append(t)
             out.append((i, t, True))
         for t in rest:
-            if t.hits >= CONFIRM_HITS and 1 <= t.missed <= self.grace:
+            x1, y1, x2, y2 = clipped(t.ahead(clock))
+            if t.hits >= CONFIRM_HITS and 1 <= t.missed <= self.grace and x2 > x1 and y2 > y1:
                 out.append((None, t, False))
         return out
 
@@ -156,9 +180,10 @@ OUT = "run_id long, clock double, row long, track_id int, class_id string, score
 def tracks(detections: DataFrame, *, publish: float = 0.35, max_gap: int = 3, grace: int = 3, max_interframe: float | None = None) -> DataFrame:
     """run_id, clock, row, class_id, score and box (x1, y1, x2, y2) -> what is published, with track and motion; row is null where a track is only held.
 
-    A frame without detections is a row with a null row. A run's frames are in one task, in order.
+    A column ``appearance`` (a histogram as array<double>, may be null) is used where there is
+    one. A frame without detections is a row with a null row. A run's frames are in one task, in order.
     """
-    columns = ["run_id", "clock", "row", "class_id", "score", "x1", "y1", "x2", "y2"]
+    columns = ["run_id", "clock", "row", "class_id", "score", "x1", "y1", "x2", "y2", *(["appearance"] if "appearance" in detections.columns else [])]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, at, held = None, None, []
@@ -166,7 +191,7 @@ def tracks(detections: DataFrame, *, publish: float = 0.35, max_gap: int = 3, gr
         def closed() -> list[tuple]:
             run, clock = at
             rows = []
-            for i, t, observed in tracker.update(clock, [(r[3], r[4], r[5:9]) for r in held]):
+            for i, t, observed in tracker.update(clock, [(r[3], r[4], r[5:9], *r[9:]) for r in held]):
                 box = held[i][5:9] if observed else clipped(t.ahead(clock))
                 rows.append((run, clock, held[i][2] if observed else None, t.number, t.kind, held[i][4] if observed else t.score, *box, observed, t.motion() if observed else "unknown"))
             return rows

@@ -188,36 +188,6 @@ def test_coco_files(spark, tmp_path):
     assert [r[0] for r in stems.select(images.stem_without_version(F.col("s"))).collect()] == ["a", "b", "c"]
 
 
-def test_activity_needs_unbroken_evidence(spark):
-    from groma.streaming.activity import COLUMNS, activity
-
-    def row(t, *, run=1, track=1, x=0.2, **more):
-        plain = {"run_id": run, "clock": float(t), "track_id": track, "class_id": "1", "x1": x, "y1": 0.2, "x2": x + 0.2, "y2": 0.7, "observed": True, "missed": 0, "motion": "stationary", "roi_motion": "quiet", "roi_mean": 100.0, "roi_std": 20.0, "roi_side": 90.0, "drift": 0.0, "scene_shift": 0.0, "response": 1.0, "usable": True}
-        return tuple({**plain, **more}[c] for c in COLUMNS)
-
-    rows = [row(t) for t in range(5)]  # 1: idle after three seconds of evidence
-    rows += [row(t, run=2, roi_motion="motion" if t in (3, 4) else "quiet") for t in range(8)]  # 2: a mechanism moves twice
-    rows += [row(t, run=3) for t in (0, 1, 2, 3, 8, 9)]  # 3: a gap
-    rows += [row(t, run=4, motion="moving" if t == 2 else "stationary") for t in range(8)]  # 4: it drives
-    rows += [row(t, run=5, scene_shift=5.0 if t == 3 else 0.0) for t in range(5)]  # 5: the camera moves
-    rows += [row(t, run=6, track=k, x=0.2 + 0.05 * k) for t in range(5) for k in (1, 2)]  # 6: one hides the other
-    rows += [row(t, run=7, observed=t != 2, missed=int(t == 2)) for t in range(6)]  # 7: lost for a moment, then looked at anew
-    rows += [row(t, run=8, class_id="9") for t in range(5)] + [row(t, run=9, usable=t != 4) for t in range(5)]
-    kinds = "run_id long, clock double, track_id int, class_id string, x1 double, y1 double, x2 double, y2 double, observed boolean, missed int, motion string, roi_motion string, roi_mean double, roi_std double, roi_side double, drift double, scene_shift double, response double, usable boolean"
-    got = {}
-    for r in activity(spark.createDataFrame(rows, kinds), sample=1.0, mobile=["1"], stationary=[], idle_after=3.0).orderBy("run_id", "clock", "track_id").collect():
-        got.setdefault(r.run_id, []).append((r.activity, r.basis))
-    idle, wait = ("idle", "visible_inactivity"), ("unknown", "gathering")
-    assert got[1] == [wait] * 3 + [idle] * 2
-    assert got[2] == [wait] * 4 + [("working", "visible_mechanism_motion")] * 3 + [idle]
-    assert got[3] == [wait] * 3 + [idle] + [wait] * 2
-    assert got[4] == [wait] * 2 + [("working", "vehicle_motion")] + [("working", "recent_motion")] * 2 + [wait] + [idle] * 2
-    assert got[5][3] == ("unknown", "camera_motion") and got[5][4] == wait
-    assert set(got[6]) == {("unknown", "hidden")}
-    assert got[7][2] == ("unknown", "track_held") and got[7][3:] == [("unknown", "recheck")] * 3
-    assert set(got[8][1:]) == {("unknown", "class_not_checkable")} and got[9][4] == ("unknown", "poor_quality")
-
-
 def test_diverse_picks(spark):
     from groma.operators.curation import diverse_picks
 

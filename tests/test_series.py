@@ -75,3 +75,20 @@ def test_windows_and_fold_agree_on_random_streams(spark):
         for a in states.setdefault(key, Alert()).step(t, kind, above, 4, 3):
             want[key, a.episode] = (a.first_seen, a.last_seen, a.status, a.duration, a.critical_duration)
     assert got == want
+
+
+def test_durations_end_with_their_segment(spark):
+    rows = [("r", 0, 0, 0.0), ("r", 0, 1, 0.5), ("r", 0, 2, 5.0), ("r", 1, 3, 5.5), ("s", 0, 4, 0.0)]
+    df = spark.createDataFrame(rows, "run_id string, segment long, id long, clock double")
+    assert [r.span for r in series.durations(df, step=1.0).orderBy("id").collect()] == [0.5, 1.0, 0.0, 0.0, 0.0]
+    assert [r.span for r in series.durations(df, step=3.0, finest=2.0).collect()] == [0] * 5
+
+
+def test_display_levels(spark):
+    """The last sample of a bucket stands for a step; time is capped; a drop that lasted is kept, a spike is not."""
+    counts = [3] * 20 + [5] * 3 + [2] * 7 + [4] * 25 + [0] * 5 + [None] * 60
+    df = spark.createDataFrame([("r", 0, i, float(i), c) for i, c in enumerate(counts)], "run_id string, segment long, id long, clock double, count long")
+    got = [tuple(r)[2:] for r in series.display_levels(df, size=30.0, step=1.0, cap=2.0, least=10.0).orderBy("bucket").collect()]
+    assert got == [(0, 2, "confirmed", "present"), (1, 0, "confirmed", "absent"), (2, None, "unknown", "unknown"), (3, None, "unknown", "unknown")]
+    sparse = spark.createDataFrame([("r", 0, i, i * 6.0, c) for i, c in enumerate([1, 1, 1, 1, 2])], "run_id string, segment long, id long, clock double, count long")
+    assert [tuple(r)[3:] for r in series.display_levels(sparse, size=30.0, step=6.0, cap=2.0, least=10.0).collect()] == [(2, "sampled", "unknown")]
