@@ -32,7 +32,7 @@ def by_path(document: Column, depth: int = 3) -> Column:
     for _ in range(depth - 1):
         inner = lambda e: F.from_json(F.when(F.substring(F.ltrim(e["value"]), 1, 1) == "{", e["value"]), kind)
         own = lambda e: F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))
-        deeper = lambda e: F.transform(F.map_entries(inner(e)), lambda x, e=e: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        deeper = lambda e: F.transform(F.map_entries(inner(e)), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
         opened = lambda e: F.when(F.size(F.map_keys(inner(e))) > 0, deeper(e)).otherwise(own(e))
         flat = F.map_from_entries(F.flatten(F.transform(F.map_entries(flat), opened)))
     return flat

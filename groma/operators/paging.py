@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groma.operators.ordered import Ordered
+
 
 def keyset_page(df: DataFrame, order: Sequence[str], limit: int, after: Sequence | None = None) -> DataFrame:
     """The next rows in descending order after a cursor of values; a shorter cursor compares by its own columns alone."""
@@ -30,6 +32,12 @@ def offset_page(df: DataFrame, order: Sequence[str], *, size: int, offset: int)
     return more.filter(F.col("_place") <= size).withColumn("next_offset", F.when(F.col("_n") > size, offset + size)).drop("_place", "_n")
 
 
+def bounded_scan(df: DataFrame, *, group: str, order: Sequence[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group in an order without ties, with truncated: whether the group has more. A group of any length is spread over tasks."""
+    placed = Ordered.of(df, [group], list(order)).numbered("_at", "_n").done()
+    return placed.filter(F.col("_at") <= most).withColumn("truncated", F.col("_n") > most).drop("_at", "_n")
+
+
 def listed_place(value: Column, listed: Sequence[str]) -> Column:
     """Place of a value in a given list, from 1; values that are not in it come last."""
     at = F.array_position(F.array(*[F.lit(x) for x in listed]), value)

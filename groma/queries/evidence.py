@@ -13,7 +13,7 @@ from groma.operators.ordered import Ordered
 from groma.sources import views
 from groma.sources.scratch import shared_folder
 from groma.sources.views import table
-from groma.streaming import notices, replay
+from groma.streaming import monitor, notices, replay
 
 
 @query("q103_state_seconds", f"WITH {SEGMENTS} SELECT run_id, CAST(coalesce(sum(CASE WHEN class_id = 'click' THEN raw_count * span END), 0) AS BIGINT) AS working, CAST(coalesce(sum(CASE WHEN class_id = 'view' THEN raw_count * span END), 0) AS BIGINT) AS idle, CAST(coalesce(sum(CASE WHEN raw_count IS NULL THEN span END), 0) AS BIGINT) AS unknown FROM spans GROUP BY run_id")
@@ -255,3 +255,13 @@ SELECT run_id, segment, bucket, level, CASE WHEN level IS NULL THEN 'unknown' WH
   CASE WHEN level IS NULL OR total < {5 * HOUR} THEN 'unknown' WHEN level > 0 THEN 'present' ELSE 'absent' END AS presence FROM h""")
 def display_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.display_levels(segmented(spark, sf_dir), size=DAY, step=6 * HOUR, cap=4 * HOUR, least=5 * HOUR, value="raw_count")
+
+
+@query("q198_stream_runs", f"WITH {OBS}, g AS (SELECT *, clock - lag(clock) OVER (PARTITION BY run_id ORDER BY clock, id) AS gap FROM obs) SELECT CAST(run_id AS VARCHAR) AS source, CAST(attempt AS BIGINT) AS attempt, count(*) AS samples, min(clock)::DOUBLE AS first, max(clock)::DOUBLE AS last FROM (SELECT *, 1 + sum(CASE WHEN gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY clock, id) AS attempt FROM g) GROUP BY run_id, attempt")
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each source on a stream: timers close them, and every interruption begins another attempt."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    seen = views.as_observations(events).select(F.col("run_id").cast("string").alias("source"), "clock")
+    root = f"{shared_folder(spark)}/groma-runs-{uuid.uuid4().hex}"
+    versions = monitor.run_available(monitor.runs(seen, quiet=GAP / 1e6, keep=30 * 86_400.0, unit=1e6, delay="1 day"), f"{root}/out", f"{root}/state")
+    return monitor.latest(versions, ["source", "attempt"]).select("source", "attempt", "samples", "first", "last")

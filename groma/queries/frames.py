@@ -125,11 +125,21 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("o_orderkey", F.explode(boxes.tiles(F.col("w"), F.col("h"), side=640, step=480)).alias("t")).select("o_orderkey", *[F.col(f"t.{k}").cast("int").alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
-@query("q58_seam_merge")
+SEAMS = f"""WITH RECURSIVE {DETECTIONS}, n AS (SELECT frame_id, class_id, row, score, row % 4 AS tile, row % 3 <> 0 AS at_edge, x1, y1, x2, y2, row_number() OVER (PARTITION BY frame_id, class_id ORDER BY score DESC, row) AS i FROM det),
+f AS (SELECT DISTINCT frame_id, class_id, 0::BIGINT AS i, CAST([] AS STRUCT(row BIGINT, score DOUBLE, tile BIGINT, at_edge BOOLEAN, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, parts INTEGER)[]) AS kept FROM n
+UNION ALL SELECT frame_id, class_id, i, CASE WHEN hit IS NULL THEN list_append(kept, x) ELSE [CASE WHEN j = hit THEN {{'row': kept[j].row, 'score': kept[j].score, 'tile': kept[j].tile, 'at_edge': kept[j].at_edge, 'x1': least(kept[j].x1, x.x1), 'y1': least(kept[j].y1, x.y1), 'x2': greatest(kept[j].x2, x.x2), 'y2': greatest(kept[j].y2, x.y2), 'parts': kept[j].parts + 1}} ELSE kept[j] END for j in range(1, len(kept) + 1)] END
+FROM (SELECT frame_id, class_id, i, kept, x, list_position([k.at_edge AND x.at_edge AND k.tile <> x.tile AND greatest(0, least(k.x2, x.x2) - greatest(k.x1, x.x1)) * greatest(0, least(k.y2, x.y2) - greatest(k.y1, x.y1)) / nullif(least((k.x2 - k.x1) * (k.y2 - k.y1), (x.x2 - x.x1) * (x.y2 - x.y1)), 0) >= 0.55 for k in kept], true) AS hit
+  FROM (SELECT n.frame_id, n.class_id, n.i, f.kept, {{'row': n.row, 'score': n.score, 'tile': n.tile, 'at_edge': n.at_edge, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2, 'parts': 1::INTEGER}} AS x FROM f JOIN n ON n.frame_id = f.frame_id AND n.class_id = f.class_id AND n.i = f.i + 1))),
+last AS (SELECT frame_id, class_id, arg_max(kept, i) AS kept FROM f GROUP BY ALL)
+SELECT frame_id, class_id, k.row, k.score, round(k.x1, 6) AS x1, round(k.y1, 6) AS y1, round(k.x2, 6) AS x2, round(k.y2, 6) AS y2, k.parts FROM (SELECT frame_id, class_id, unnest(kept) AS k FROM last)"""
+
+
+@query("q58_seam_merge", SEAMS)
 def seam_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that tiles' edges may have cut, merged over the seams."""
     found = views.detections(spark, sf_dir).withColumn("tile", F.col("row") % 4).withColumn("at_edge", F.col("row") % 3 != 0)
-    return boxes.merged_over_seams(found, frame="frame_id", kind="class_id", box="box", score="score", row="row", tile="tile", at_edge="at_edge", least=0.55)
+    merged = boxes.merged_over_seams(found, frame="frame_id", kind="class_id", box="box", score="score", row="row", tile="tile", at_edge="at_edge", least=0.55)
+    return merged.select("frame_id", "class_id", "row", "score", *[F.round(f"box.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")], "parts")
 
 
 @query("q59_region_areas", "SELECT o_orderkey, round(abs(2 * a * b) / 2, 6) AS area, abs(2 * a * b) / 2 >= 1e-4 AS valid FROM (SELECT o_orderkey, (o_orderkey % 100) / 1000.0::DOUBLE AS a, (o_orderkey % 7) / 97.0::DOUBLE AS b FROM orders)")

@@ -191,7 +191,18 @@ def looped_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.filter(F.col("clock") < 1_710_460_800 * 1_000_000).select("run_id", "id", "cycle", "clock")
 
 
-@query("q99_doubled_boxes")
+_BOTH = "(greatest(0, least(k.x2, x.x2) - greatest(k.x1, x.x1)) * greatest(0, least(k.y2, x.y2) - greatest(k.y1, x.y1)))"
+_IOU = f"coalesce({_BOTH} / nullif((k.x2 - k.x1) * (k.y2 - k.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - {_BOTH}, 0), 0)"
+DOUBLED = f"""WITH RECURSIVE {DETECTIONS}, n AS (SELECT frame_id, row, class_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY frame_id ORDER BY row, class_id, x1, y1, x2, y2) AS i FROM det),
+f AS (SELECT DISTINCT frame_id, 0::BIGINT AS i, CAST([] AS STRUCT(row BIGINT, class_id VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, conflict BOOLEAN)[]) AS kept FROM n
+UNION ALL SELECT frame_id, i, CASE WHEN list_contains([k.class_id = x.class_id AND {_IOU} >= 0.9 for k in kept], true) THEN kept
+  ELSE list_append(kept, {{'row': x.row, 'class_id': x.class_id, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 'conflict': list_contains([k.class_id <> x.class_id AND {_IOU} >= 0.75 for k in kept], true)}}) END
+FROM (SELECT n.frame_id, n.i, f.kept, {{'row': n.row, 'class_id': n.class_id, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}} AS x FROM f JOIN n ON n.frame_id = f.frame_id AND n.i = f.i + 1)),
+last AS (SELECT frame_id, arg_max(kept, i) AS kept FROM f GROUP BY frame_id)
+SELECT frame_id, k.row AS row, k.class_id, k.conflict FROM (SELECT frame_id, unnest(kept) AS k FROM last)"""
+
+
+@query("q99_doubled_boxes", DOUBLED)
 def doubled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.doubled_boxes(views.detections(spark, sf_dir), record="frame_id", kind="class_id", box="box", row="row")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.catalogue import query
-from groma.operators import records
+from groma.operators import paging, projections, rebuild, records
 from groma.plans import settings
 from groma.queries.plans import PHASES, PLAN, phases, plan
 from groma.sources import datasets, generated, ledger
@@ -148,3 +148,34 @@ def committed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.split("line", " ")
     read = datasets.label_rows(spark, path).select("split", "name", cells[0].cast("long").alias("kind"), cells[1].cast("long").alias("number"))
     return read.groupBy("split", "name").agg(F.count(F.lit(1)).alias("lines"), F.sum("kind").alias("class_sum"), F.sum("number").alias("number_sum"))
+
+
+@query(
+    "q195_rebuilt_set",
+    """WITH b AS (SELECT o_custkey AS grp, o_orderkey AS record, count(l_orderkey) AS boxes, count(*) FILTER (l_returnflag IN ('A', 'R')) AS kept, coalesce(sum(CASE l_returnflag WHEN 'A' THEN 3 WHEN 'R' THEN 11 END), 0) AS classes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY boxes DESC, record) AS place FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY record) AS version FROM c WHERE place <= 2 AND kept > 0)
+SELECT 'set__' || grp || '__v' || version AS name, record, CAST(version AS INTEGER) AS version, CAST(kept AS INTEGER) AS boxes, CAST(classes AS BIGINT) AS classes FROM k""",
+)
+def rebuilt_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as versions of a picture: the two with the most boxes, with their classes renamed."""
+    one = F.struct(F.col("l_returnflag").alias("kind"), *[(F.col("l_linenumber") / n).alias(c) for c, n in (("x", 10), ("y", 11), ("w", 12), ("h", 13))])
+    boxes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(one).alias("boxes"))
+    records = table(spark, sf_dir, "orders").join(boxes, "o_orderkey", "left").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("group"), F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)).alias("boxes"))
+    found = rebuild.rebuilt(records, mapping={"A": 3, "R": 11}, prefix="set", best=[F.desc(F.size("boxes"))])
+    return found.select("name", "record", "version", F.size("boxes").alias("boxes"), F.aggregate("boxes", F.lit(0).cast("long"), lambda s, b: s + b["class_id"]).alias("classes"))
+
+
+@query("q196_public_sources", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN '/sources/' || c_custkey || '/preview' END AS preview_url, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0 THEN 1 + c_custkey % 4 END AS connection_attempt, c_acctbal IS NOT NULL AS has_balance FROM customer")
+def public_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sources: keys and balances are secret, what they tell is not."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.struct(F.lit("token").alias("token"), "c_mktsegment").alias("job"), F.array(F.struct(k.alias("file_key"), F.lit(1).alias("n"))).alias("files"))
+    kind = F.when(F.col("job.c_mktsegment") == "BUILDING", "rtsp").otherwise("video")
+    links = projections.source_links(url="/sources/%s/preview", key=k, has_preview=k % 3 == 0, kind=kind, job_status=F.when(k % 2 == 0, "queued"), lease_until=F.lit(None).cast("timestamp"), attempt=(1 + k % 4))
+    shown = projections.public(rows, ["c_acctbal", "job.token", "files.file_key"], {**links, "has_balance": F.col("c_acctbal").isNotNull()})
+    return shown.select("c_custkey", "c_name", "preview_url", "connection_attempt", "has_balance")
+
+
+@query("q197_bounded_scan", "SELECT event_id, user_id, n > 40 AS truncated FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE place <= 40")
+def bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.bounded_scan(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), group="user_id", order=["ts", "event_id"], most=40).drop("ts")

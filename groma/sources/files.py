@@ -93,13 +93,22 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def portable_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count and a checksum that other engines can compute alike, from the columns as text; the order of rows does not change it."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
-    row = F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row), F.lit(0)).alias("checksum"))
+    """Row count and two checksums that other engines can compute alike; the order of rows does not change them.
+
+    Columns are taken as texts with their lengths before them, so no two rows read the same,
+    and null is a mark of its own. The checksums are sums of both ends of the rows' MD5, sixty
+    bits each, so neither equal rows nor pairs of them cancel.
+    """
+    cell = lambda c: F.when(F.col(f"`{c}`").isNull(), "-").otherwise(F.concat(F.length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")))
+    spelled = [cell(c) for c in columns]
+    md5 = F.md5(F.concat_ws("|", *spelled).cast("binary"))
+    part = lambda start: F.conv(F.substring(md5, start, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), total(part(1)).alias("checksum"), total(part(18)).alias("checksum_end"))
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Row count and a checksum of the content that the order of rows does not change."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("checksum"), F.coalesce(F.sum(F.pmod(row, F.lit(1_000_003))), F.lit(0)).alias("total"))
+    """Row count and checksums of the content that the order of rows does not change: sums of two hashes of each row, which no pair of equal rows cancels."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), total(F.xxhash64(row)).alias("checksum"), total(F.xxhash64(F.lit(1), row)).alias("total"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,30 +54,35 @@ def stem_without_version(stem: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(stem, r"[._]rf[._][0-9a-f]{8,}$", ""), r"_(jpe?g|png)$", "")
 
 
-ENTRIES = "path string, entry int, name string, size long, crc long"
+ENTRIES = "path string, entry int, name string, size long, crc long, error string"
 
 
 def zip_entries(spark: SparkSession, path: str) -> DataFrame:
     """The files in ZIP archives, in the order of their names, which is also the order of their frames: path, entry (from 0), name, size, crc.
 
-    An archive is read by one task; only its directory is looked at. A damaged one gives no rows.
+    Archives are opened where they lie (any file system that Arrow knows) and read from their
+    end: only the directory is fetched, whatever an archive's size. One that cannot be read is
+    a row with an error and nothing else.
     """
-    import io
-    import zipfile
-    from collections.abc import Iterator
-
-    import pyarrow as pa
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    held = sorted((x for x in zipfile.ZipFile(io.BytesIO(content.as_py())).infolist() if not x.is_dir()), key=lambda x: x.filename)
-                except zipfile.BadZipFile:
-                    continue
-                columns = [[at] * len(held), range(len(held)), [x.filename for x in held], [x.file_size for x in held], [x.CRC for x in held]]
-                kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ENTRIES.split(", ")])
+            for at in batch.column(0).to_pylist():
+                held, error = directory(at)
+                rows = [(at, i, x.filename, x.file_size, x.CRC, None) for i, x in enumerate(held)] if error is None else [(at, None, None, None, None, error)]
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                names = [x.split()[0] for x in ENTRIES.split(", ")]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(list(zip(names, kinds, strict=True))))
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    return archives.select("path", "content").mapInArrow(listed, ENTRIES)
+    return archives.select("path").mapInArrow(listed, ENTRIES)
+
+
+def directory(path: str) -> tuple[list[zipfile.ZipInfo], str | None]:
+    """An archive's files by name, or what is wrong with it."""
+    try:
+        files, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+        with files.open_input_file(name) as opened, zipfile.ZipFile(opened) as archive:
+            return sorted((x for x in archive.infolist() if not x.is_dir()), key=lambda x: x.filename), None
+    except (zipfile.BadZipFile, OSError, NotImplementedError, pa.ArrowInvalid) as error:
+        return [], f"{type(error).__name__}: {error}"
