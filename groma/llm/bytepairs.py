@@ -2,11 +2,9 @@
 
 A text falls into pieces by the vocabulary's pattern, and every piece is encoded alone. A
 piece that is a token is that token. All other pieces of a slice that are not remembered
-become rows of padded matrices, bucketed by length: a row holds the ranks of its bytes, a
-second matrix the ranks of adjacent pairs, looked up in a hash table of pairs. Each round
-every row merges its leftmost pair of the least rank, and rows are compacted; rows without
-a pair leave. Further pairs of that same rank are merged in the same round where no pair of
-lower rank would come in between, which is looked up, so the result is the same.
+become rows of padded matrices, bucketed by length, in which every row merges its leftmost
+pair of the least rank in each round (``merging``: pairs are looked up in a hash table, and
+rows compacted).
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are
 encoded alike; an empty table gives an empty result; columns beyond id and text are not
@@ -27,52 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import list_array, slices
+from .merging import Merger, list_array, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Cells of a matrix, pieces remembered in a worker and their greatest length, characters of a stretch.
-CELLS, REMEMBERED, REMEMBERED_CHARS, STRETCH = 1 << 20, 600_000, 40, 1_000_000
-NONE, PAD = np.int32(2**31 - 1), np.int32(-1)
+#: Pieces remembered in a worker and their greatest length, characters of a stretch.
+REMEMBERED, REMEMBERED_CHARS, STRETCH = 600_000, 40, 1_000_000
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
 _loaded: dict[tuple[bytes, str], Vocabulary] = {}
 
 
-class PairTable:
-    """Ranks of pairs of tokens in a hash table with open addressing, looked up for whole arrays."""
-
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
-        bits = max(8, int(4 * len(rank)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key, self.rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
-        keys = left.astype(np.int64) << 32 | right
-        slot = self.slots(keys)
-        while len(keys):
-            free = self.key[slot] == -1
-            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
-            put = np.zeros(len(keys), bool)
-            put[first] = True
-            put &= free
-            self.key[slot[put]], self.rank[slot[put]] = keys[put], rank[put]
-            keys, rank, slot = keys[~put], rank[~put], slot[~put] + 1 & self.mask
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """NONE for pairs that merge into no token, and beside padding."""
-        keys = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
-        slot = self.slots(keys)
-        found, open_ = np.full(keys.shape, NONE, np.int32), np.flatnonzero((left >= 0) & (right >= 0))
-        while len(open_):
-            at = slot[open_]
-            there = self.key[at]
-            same = there == keys[open_]
-            found[open_[same]] = self.rank[at[same]]
-            open_ = open_[~same & (there != -1)]
-            slot[open_] = slot[open_] + 1 & self.mask
-        return found
-
-
 class Vocabulary:
     """Tokens, the table of their pairs and the pieces remembered."""
 
@@ -90,66 +51,11 @@ class Vocabulary:
                 left, right = self.rank.get(token[:at]), self.rank.get(token[at:])
                 if left is not None and right is not None:
                     found.extend((left, right, rank))
-        left, right, rank = np.frombuffer(found, np.int32).reshape(-1, 3).T
-        self.pairs = PairTable(left, right, rank)
-        #: Tokens with which a pair of lower rank can come about.
-        self.restless = np.zeros(max(self.token) + 1, bool)
-        self.restless[left[left >= rank]] = self.restless[right[right >= rank]] = True
+        self.merger = Merger(*np.frombuffer(found, np.int32).reshape(-1, 3).T)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, rows: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of pieces of similar length, by rounds over a matrix."""
-        out: list[tuple[int, ...]] = [()] * len(rows)
-        own, size = np.arange(len(rows)), np.array([len(r) for r in rows])
-        ids = np.full((len(rows), size.max()), PAD, np.int32)
-        ids[np.arange(ids.shape[1]) < size[:, None]] = self.byte[np.frombuffer(b"".join(rows), np.uint8)]
-        rank = np.full(ids.shape, NONE, np.int32)
-        rank[:, :-1] = self.pairs(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), -1)
-        while len(own):
-            least = rank.min(axis=1)
-            live = least < NONE
-            for i in np.flatnonzero(~live):
-                out[own[i]] = tuple(ids[i, : size[i]].tolist())
-            own, size, ids, rank, least = own[live], size[live], ids[live], rank[live], least[live]
-            if not len(own):
-                break
-            hit = self.chosen(rank == least[:, None], least, ids)
-            ids = np.where(hit, least[:, None], ids)
-            keep = np.arange(ids.shape[1]) < size[:, None]
-            keep[:, 1:] &= ~hit[:, :-1]
-            size = keep.sum(axis=1)
-            place = np.arange(size.max()) < size[:, None]
-            new, ranks, touched = np.full(place.shape, PAD, np.int32), np.full(place.shape, NONE, np.int32), np.zeros(place.shape, bool)
-            new[place], ranks[place], touched[place] = ids[keep], rank[keep], hit[keep]
-            touched[:, :-1] |= touched[:, 1:]
-            row, at = np.nonzero(touched)
-            right = np.where(at + 1 < new.shape[1], new[row, np.minimum(at + 1, new.shape[1] - 1)], PAD)
-            ranks[row, at] = self.pairs(new[row, at], right)
-            ids, rank = new, ranks
-        return out
-
-    def chosen(self, hit: np.ndarray, least: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Of a row's pairs of the least rank those merged in this round: from the left all that overlap no chosen one.
-
-        Only the leftmost where merging one by one would meet a pair of lower rank beside a
-        new token: with what then stands before it, or with the symbol behind it.
-        """
-        if (hit[:, 1:] & hit[:, :-1]).any():
-            at = np.arange(hit.shape[1])
-            hit &= (at - np.maximum.accumulate(np.where(hit, -1, at), axis=1)) % 2 == 1
-        row, at = np.nonzero(hit & self.restless[least][:, None])
-        if len(row):
-            new, last = least[row], ids.shape[1] - 1
-            behind = np.where(at + 2 <= last, ids[row, np.minimum(at + 2, last)], PAD)
-            before = np.where((at > 1) & hit[row, at - 2], new, np.where(at > 0, ids[row, at - 1], PAD))
-            alone = np.unique(row[(self.pairs(new, behind) < new) | (self.pairs(before, new) < new)])
-            first = hit[alone].argmax(axis=1)
-            hit[alone] = False
-            hit[alone, first] = True
-        return hit
-
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces: from the vocabulary, or by matrices of up to CELLS cells (a longer piece alone)."""
+        """Ids of pieces: from the vocabulary, or by matrices of similar lengths."""
         got: dict[str, tuple[int, ...]] = {}
         rows: list[tuple[int, str, bytes]] = []
         for piece in pieces:
@@ -159,16 +65,10 @@ class Vocabulary:
             else:
                 rows.append((len(raw), piece, raw))
         rows.sort(key=lambda r: r[0])
-        start = 0
-        while start < len(rows):
-            # a bucket ends where rows would be more than a quarter padding, or the matrix full
-            longest = max(rows[start][0] * 4 // 3, 4)
-            stop = start + 1
-            while stop < len(rows) and rows[stop][0] <= longest and (stop + 1 - start) * rows[stop][0] <= CELLS:
-                stop += 1
-            part = rows[start:stop]
-            got.update(zip((p for _, p, _ in part), self.merged([r for _, _, r in part]), strict=True))
-            start = stop
+        for a, b in self.merger.buckets([n for n, _, _ in rows]):
+            part = rows[a:b]
+            symbols = self.byte[np.frombuffer(b"".join(raw for _, _, raw in part), np.uint8)]
+            got.update(zip((p for _, p, _ in part), self.merger.merged(symbols, np.array([n for n, _, _ in part])), strict=True))
         return got
 
     def stretches(self, text: str) -> Iterator[str]:

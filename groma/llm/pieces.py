@@ -3,10 +3,10 @@
 Adjacent symbol pairs that form a piece wait in an agenda ordered by score, then position;
 the best is merged and its new neighbours join the agenda, until none is left. Symbols
 that are no pieces become bytes. Merges never cross a boundary that no piece spans, so a
-text is cut there and the ids of short stretches are remembered (up to twice ``REMEMBERED``
-in a worker). In each slice of an Arrow batch the library encodes every stretch that was
-merged anew, and one whole text; where any of them differs, all texts of the slice are
-compared whole (``agrees``). A stretch that is remembered has been compared before.
+text is cut there and the ids of short stretches are remembered. All stretches of a slice
+of an Arrow batch that are not remembered are merged together: their agendas are the rows of
+a matrix (``merging``). For every text the library encodes the whole text beside it, and
+``agrees`` says whether the ids are the same.
 
 Defined results: a null or empty text gives the end id alone and decodes to an empty text;
 repeated rows are encoded alike; an empty table gives an empty result. Whole texts are
@@ -15,10 +15,10 @@ encoded, however long; a batch is worked on in slices, so that memory follows th
 
 from __future__ import annotations
 
-import heapq
 import re
-from array import array
+import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .merging import Merger, list_array, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
-REMEMBERED, REMEMBERED_CHARS = 300_000, 40
+#: Stretches remembered in a worker, and bytes of their ids.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64_000_000
 SCHEMA = "doc_id long, ids array<int>, decoded string, agrees boolean"
 _loaded: dict[bytes, Vocabulary] = {}
 
@@ -51,101 +52,94 @@ class Vocabulary:
         if any(p.type == kind.USER_DEFINED for p in spec.pieces):
             raise ValueError("user-defined pieces are not provided for")
         normal = [(i, p) for i, p in enumerate(spec.pieces) if p.type in (kind.NORMAL, kind.UNUSED)]
-        self.id = {p.piece: i for i, p in normal}
-        self.cost = {p.piece: -p.score for _, p in normal}
+        # a piece's symbol is its place by falling score; other characters stand behind all pieces
+        normal.sort(key=lambda ip: -ip[1].score)
+        self.symbol = {p.piece: place for place, (_, p) in enumerate(normal)}
+        self.id = [i for i, _ in normal]
+        self.of_character = np.arange(len(normal), len(normal) + sys.maxunicode + 1, dtype=np.int32)
+        alone = [(ord(p), place) for p, place in self.symbol.items() if len(p) == 1]
+        self.of_character[[c for c, _ in alone]] = [place for _, place in alone]
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE}
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kind.UNKNOWN)
+        scores = np.array([-p.score for _, p in normal])
+        # equal scores are one tier: position decides between them
+        tier = np.cumsum(np.append(0, np.diff(scores) > 0)).astype(np.int32)
+        self.merger = Merger(*np.array(self.merges(), np.int32).reshape(-1, 3).T, tier)
         self.end = self.library.eos_id()
         self.prefix = SPACE if spec.normalizer_spec.add_dummy_prefix else ""
         self.stretch = re.compile(self.cuts())
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        #: Stretches merged since the last comparison with the library.
-        self.fresh: list[tuple[str, tuple[int, ...]]] = []
+        self.ids = np.array(self.id, np.int64)
+        #: Stretches by number, and the ids of all of them.
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes = bytearray(), bytearray()
+
+    def merges(self) -> list[tuple[int, int, int]]:
+        """The symbols of each pair that makes a piece, and of the piece."""
+        part = lambda s: self.symbol.get(s, len(self.symbol) + ord(s) if len(s) == 1 else None)
+        halves = ((part(p[:i]), part(p[i:]), place) for p, place in self.symbol.items() for i in range(1, len(p)))
+        return [x for x in halves if x[0] is not None and x[1] is not None]
 
     def cuts(self) -> str:
         """Pattern of the stretches, by what the vocabulary allows: a cut is safe where no piece has both of its sides."""
         letter = re.compile(r"[^\W\d_]")
         is_letter = lambda c: letter.match(c) is not None
-        inside = [p.lstrip(SPACE) for p in self.id]
+        inside = [p.lstrip(SPACE) for p in self.symbol]
         if any(SPACE in p for p in inside):
             return "(?s).+"
-        alone = "" if any("\n" in p and len(p) > 1 for p in self.id) else "\n"
+        alone = "" if any("\n" in p and len(p) > 1 for p in self.symbol) else "\n"
         line = f"{alone}|" if alone else ""
         if any(is_letter(a) != is_letter(b) for p in inside for a, b in zip(p, p[1:], strict=False)):
-            return f"{line}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
+            # behind letters, a cut is safe before a character that follows a letter in no piece
+            behind = {b for p in inside for a, b in zip(p, p[1:], strict=False) if is_letter(a)}
+            safe = sorted({c for p in inside for c in p if c.isascii() and not is_letter(c)} - behind - {alone})
+            word = f"[^\\W\\d_]++(?=[{re.escape(''.join(safe))}])|" if safe else ""
+            return f"{line}{SPACE}*(?:{word}[^{SPACE}{alone}]+)|{SPACE}+"
         return rf"{line}{SPACE}*[^\W\d_]+|{SPACE}*(?:[\d_]|[^\w{SPACE}{alone}])+|{SPACE}+"
 
-    def merge(self, text: str) -> tuple[int, ...]:
-        """Ids of one stretch."""
-        symbols: list[str] = list(text)
-        last = len(symbols) - 1
-        before, after = list(range(-1, last)), list(range(1, last + 2))
-        cost, agenda = self.cost, []
-        for i in range(last):
-            if (c := cost.get(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((c, i, i + 1, len(symbols[i]) + len(symbols[i + 1])))
-        heapq.heapify(agenda)
-        while agenda:
-            _, a, b, size = heapq.heappop(agenda)
-            # a pair of which one side has been merged since is out of date
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != size:
-                continue
-            symbols[a] += symbols[b]
-            symbols[b] = ""
-            after[a] = after[b]
-            if after[b] <= last:
-                before[after[b]] = a
-            for x, y in ((before[a], a), (a, after[a])):
-                if x >= 0 and y <= last and (c := cost.get(symbols[x] + symbols[y])) is not None:
-                    heapq.heappush(agenda, (c, x, y, len(symbols[x]) + len(symbols[y])))
-        ids: list[int] = []
-        for s in symbols:
-            if s:
-                if (i := self.id.get(s)) is not None:
-                    ids.append(i)
-                elif self.bytes:
-                    ids += [self.bytes[x] for x in s.encode()]
-                else:
-                    ids.append(self.unknown)
-        return tuple(ids)
-
-    def recall(self, part: str) -> tuple[int, ...]:
-        """Ids of a stretch that is not among those used lately: an older one's, or merged anew."""
-        got = self.older.get(part)
-        if got is None:
-            got = self.merge(part)
-            self.fresh.append((part, got))
-        if len(part) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known[part] = got
-        return got
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.known
-        for part in self.stretch.findall(self.prefix + text.replace(" ", SPACE)) if text else ():
-            got = known.get(part)
-            if got is None:
-                got = self.recall(part)
-                known = self.known
-            ids += got
-        ids.append(self.end)
-        return ids
-
-
-    def agreements(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether the library gives the same ids for each text of a slice."""
-        fresh, self.fresh = self.fresh, []
-        whole = lambda a, b: [x == y for x, y in zip(ids[a:b], self.library.encode(texts[a:b], add_eos=True, num_threads=1), strict=True)]
-        if whole(0, 1) == [True]:
-            # behind a line break, which no piece spans, the library sees a stretch as it stands within a text
-            lead = self.library.encode("\n")
-            theirs = self.library.encode(["\n" + s.replace(SPACE, " ") for s, _ in fresh], num_threads=1)
-            if all([*lead, *x] == y for (_, x), y in zip(fresh, theirs, strict=True)):
-                return [True] * len(texts)
-        return whole(0, len(texts))
+    def ids_of_symbol(self, symbol: int) -> tuple[int, ...]:
+        if symbol < len(self.id):
+            return (self.id[symbol],)
+        return tuple(self.bytes[x] for x in chr(symbol - len(self.id)).encode()) if self.bytes else (self.unknown,)
+
+    def learn(self, stretches: set[str]) -> None:
+        """Ids of stretches, by agendas of similar length; stored in one flat array, a stretch is known by its number."""
+        rows = sorted(stretches, key=len)
+        base = len(self.id)
+        for a, b in self.merger.buckets([len(s) for s in rows]):
+            part = rows[a:b]
+            symbols = self.of_character[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)]
+            merged = self.merger.merged(symbols, np.array([len(s) for s in part]))
+            flat = np.fromiter(chain.from_iterable(merged), np.int64)
+            size = np.fromiter(map(len, merged), np.int64, len(merged))
+            if len(flat) and flat.max() >= base:
+                # characters that are no pieces stand for their bytes, or for the unknown id
+                spelled = [tuple(chain.from_iterable(map(self.ids_of_symbol, left))) for left in merged]
+                flat, size = np.fromiter(chain.from_iterable(spelled), np.int64), np.fromiter(map(len, spelled), np.int64, len(spelled))
+            else:
+                flat = self.ids[flat]
+            for stretch in part:
+                self.known[stretch] = len(self.known)
+            self.flat.extend(flat.astype(np.int32).tobytes())
+            self.sizes.extend(size.astype(np.int32).tobytes())
+
+    def forget(self) -> None:
+        self.known, self.flat, self.sizes = {}, bytearray(), bytearray()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text of a slice, the end id last."""
+        if len(self.known) > REMEMBERED or len(self.flat) > REMEMBERED_BYTES:
+            self.forget()
+        cut = [self.stretch.findall(self.prefix + text.replace(" ", SPACE)) if text else [] for text in texts]
+        self.learn(set(chain.from_iterable(cut)).difference(self.known))
+        flat, sizes = np.frombuffer(self.flat, np.int32), np.frombuffer(self.sizes, np.int32).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        counts = [len(parts) for parts in cut]
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
+        size = sizes[number]
+        done = np.cumsum(size)
+        ids = flat[np.repeat(starts[number] - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
+        stops = np.append(0, done)[np.cumsum(counts)]
+        return [np.append(part, np.int32(self.end)) for part in np.split(ids, stops[:-1])]
 
 
 def vocabulary(model: bytes) -> Vocabulary:
@@ -155,27 +149,6 @@ def vocabulary(model: bytes) -> Vocabulary:
     return _loaded[model]
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of slices of at most SLICE_ROWS texts and, but for a single text, SLICE_CHARS characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and (i - start >= SLICE_ROWS or size + len(text) > SLICE_CHARS):
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if texts:
-        yield start, len(texts)
-
-
-def list_array(lists: list[list[int]]) -> pa.ListArray:
-    """Lists of int as one Arrow array, by way of one flat buffer."""
-    flat, stops = array("i"), array("i", [0])
-    for x in lists:
-        flat.extend(x)
-        stops.append(len(flat))
-    return pa.ListArray.from_arrays(pa.array(np.frombuffer(stops, np.int32)), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
-
-
 def model_bytes(path: str | None = None) -> bytes:
     if path is None:
         import public_tokenizers
@@ -194,9 +167,9 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                ids = [own.encode(x) for x in texts[a:b]]
-                agrees = own.agreements(texts[a:b], ids)
-                decoded = [own.library.decode(x) for x in ids]
+                ids = own.encode(texts[a:b])
+                agrees = [x.tolist() == y for x, y in zip(ids, own.library.encode(texts[a:b], add_eos=True, num_threads=1), strict=True)]
+                decoded = [own.library.decode(x.tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), list_array(ids), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"],

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 
+import numpy as np
 import pytest
 
 bytepairs = pytest.importorskip("groma.llm.bytepairs")
@@ -41,7 +43,7 @@ def test_stretches_of_a_long_text_keep_its_ids(own, library, monkeypatch):
 
 def test_rows_of_equal_length_merge_one_by_one_where_order_matters(own):
     # pairs whose merge gives a token with a lower-ranked neighbour are found in the vocabulary itself
-    assert own.restless.any()
+    assert own.merger.restless.any()
     pieces = [bytes([a, b, a, b, c]) for a in b"aeinost" for b in b"aeinost" for c in b"rlt"]
 
     def plain(raw):
@@ -53,7 +55,17 @@ def test_rows_of_equal_length_merge_one_by_one_where_order_matters(own):
             rank, i = min(found)
             ids[i : i + 2] = [rank]
 
-    assert own.merged(pieces) == [plain(p) for p in pieces]
+    symbols = own.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    assert own.merger.merged(symbols, np.array([5] * len(pieces))) == [plain(p) for p in pieces]
+    assert [own.merger.merged_alone(own.byte[list(p)]) for p in pieces] == [plain(p) for p in pieces]
+
+
+def test_a_long_row_takes_no_square_time(own, library):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    began = time.time()
+    assert own.encode([text])[0].tolist() == library.encode_ordinary(text)
+    assert time.time() - began < 20
 
 
 def test_query_on_awkward_rows(spark, awkward, nothing, library, tmp_path):

@@ -18,7 +18,10 @@ def test_fuzzed_texts_agree_with_the_library(own):
     texts = ["", " ", "  ", "\n", "a", " a", "a ", "x" * 5000, " " * 300, "ab" * 3000, "the " * 4000]
     texts += ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 10, 80]))) for _ in range(3000)]
     for text in texts:
-        assert own.encode(text) == own.library.encode(text, add_eos=True), text
+        assert own.encode([text])[0].tolist() == own.library.encode(text, add_eos=True), text
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        assert [x.tolist() for x in own.encode(part)] == own.library.encode(part, add_eos=True)
 
 
 def test_table_with_nulls_repeats_and_other_columns(spark):
