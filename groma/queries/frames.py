@@ -169,4 +169,4 @@ def machine_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row"), F.col("l_returnflag").alias("class_id"), (0.3 + F.col("l_linenumber") / 10).alias("score"),
         x.alias("x1"), F.lit(0.2).alias("y1"), (x + 0.2).alias("x2"), F.lit(0.7).alias("y2"), F.lit(None).cast("array<double>").alias("appearance"),
     )
-    return activity.activity(seen, sample=1.0, groups={"A": "mobile", "R": "stationary_capable"}, idle_after=20.0)
+    return activity.activity(seen, sample=1.0, max_interframe=20.0, groups={"A": "mobile", "R": "stationary_capable"}, idle_after=20.0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groma.catalogue import query
-from groma.operators import paging, projections, rebuild, records
+from groma.operators import paging, projections, rebuild, records, series
 from groma.plans import settings
 from groma.queries.plans import PHASES, PLAN, phases, plan
 from groma.sources import datasets, generated, ledger
@@ -65,9 +65,26 @@ def demo_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", settings.demo_state(mode, scenario).alias("state"))
 
 
-@query("q166_generated_observations", "SELECT s * 12 + i AS id, 'source-' || s AS run_id, CAST(i * 60 AS DOUBLE) AS clock, (s * 7 + i * 3) % 5 AS raw_count, (s + i) % 11 <> 0 AS usable FROM range(0, (SELECT count(*) FROM supplier)) AS a(s), range(0, 12) AS b(i)")
+MADE = "made AS (SELECT s_suppkey * 12 + i AS id, 'source-' || s_suppkey AS run_id, CAST(i * 60 AS DOUBLE) AS clock, (s_suppkey * 7 + i * 3) % 5 AS raw_count, (s_suppkey + i) % 11 <> 0 AS usable FROM supplier, range(0, 12) AS b(i))"
+
+
+@query("q166_generated_observations", f"WITH {MADE} SELECT * FROM made")
 def generated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generated.observations(spark, sources=table(spark, sf_dir, "supplier").count(), samples=12, step=60)
+    return generated.observations(table(spark, sf_dir, "supplier"), number="s_suppkey", samples=12, step=60)
+
+
+@query(
+    "q199_generated_evaluation",
+    f"""WITH {MADE}, g AS (SELECT *, CASE WHEN usable THEN raw_count END AS count, NOT usable OR NOT lag(usable) OVER w AS cut FROM made WINDOW w AS (PARTITION BY run_id ORDER BY clock, id)),
+s AS (SELECT *, CAST(sum(CASE WHEN cut AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY clock, id) AS BIGINT) AS segment FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY clock, id) AS n FROM g)),
+t AS (SELECT *, lead(clock) OVER (PARTITION BY run_id, segment ORDER BY clock, id) AS next FROM s)
+SELECT run_id, count(DISTINCT segment) AS segments, sum(CASE WHEN next IS NULL THEN 0 ELSE least(next - clock, 60) END) AS seconds, count(*) FILTER (count < 2) AS low, count(*) FILTER (count IS NULL) AS unknown FROM t GROUP BY run_id""",
+)
+def generated_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up observations go through the same evaluation as real ones: segments, durations, levels against a need."""
+    rows = series.durations(series.segments(generated_observations(spark, sf_dir), max_gap=120.0), step=60.0)
+    count = F.when(F.col("usable"), F.col("raw_count"))
+    return rows.groupBy("run_id").agg(F.count_distinct("segment").alias("segments"), F.sum(F.col("span").cast("double")).alias("seconds"), F.count_if(count < 2).alias("low"), F.count_if(count.isNull()).alias("unknown"))
 
 
 @query("q167_examples", "SELECT p_type, p_partkey FROM part WHERE p_size % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) <= 12")

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from groma.streaming.tracks import Box, Track, Tracker, clipped, correlation, foot, iou
+from groma.streaming.tracks import Box, Track, Tracker, clipped, correlation, foot, iou, numbered, stretches
 
 #: Seconds, pixels and shares of the frame.
 LONGEST_HOLD, LONGEST_MECHANISM, RECHECK_MOBILE, RECHECK_STATIONARY = 30.0, 20.0, 10.0, 30.0
@@ -296,42 +296,49 @@ def activity(frames: DataFrame, *, sample: float, publish: float = 0.35, max_gap
 
     frames: the columns of ``FRAME`` and ``FOUND``, a row for each detection; a frame without
     any has one row with a null ``row``. Frames lie between those of the detector too (detects
-    false): evidence is gathered on all of them. A run's frames are in one task, in order.
+    false): evidence is gathered on all of them. Where ``max_interframe`` is given, neither
+    tracks nor evidence go on across it, and a run's stretches are folded side by side.
     """
-    columns = [*FRAME, *FOUND]
+    columns = ["run_id", "stretch", *FRAME[1:], *FOUND]
     groups, checkable = dict(groups or {}), frozenset(checkable)
+    # evidence ends at the video's own gap, which must not be the longer one
+    gap = None if max_interframe is None else max(max_interframe, Analyzer(sample=sample).frame_gap)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         camera, at, held = None, None, []
+        n = len(FRAME) + 1
 
         def closed() -> list[tuple]:
             first = held[0]
-            picture = Picture(*first[4 : len(FRAME)]) if first[3] else None
-            found = [x[len(FRAME) :] for x in held if not pd.isna(x[len(FRAME)])]
-            shown = camera.frame(at[1], picture, [(r[1], r[2], tuple(r[3:7]), r[7]) for r in found] if first[2] else None)
+            picture = Picture(*first[5:n]) if first[4] else None
+            found = [x[n:] for x in held if not pd.isna(x[n])]
+            shown = camera.frame(at[2], picture, [(r[1], r[2], tuple(r[3:7]), r[7]) for r in found] if first[3] else None)
             out = []
             for i, t, observed, what, basis in shown:
-                box = tuple(found[i][3:7]) if observed else clipped(t.ahead(at[1]))
-                out.append((*at, int(found[i][0]) if observed else None, t.number, t.kind, found[i][2] if observed else t.score, *box, observed, t.missed, t.motion() if observed else "unknown", what, basis))
+                box = tuple(found[i][3:7]) if observed else clipped(t.ahead(at[2]))
+                out.append((at[1], at[0], at[2], int(found[i][0]) if observed else None, t.number, t.kind, found[i][2] if observed else t.score, *box, observed, t.missed, t.motion() if observed else "unknown", what, basis))
             return out
 
         for batch in batches:
             out: list[tuple] = []
-            own = [batch[c].tolist() for c in columns]
-            for values in zip(*own, strict=True):
-                if values[:2] != at:
+            for values in zip(*(batch[c].tolist() for c in columns), strict=True):
+                if values[:3] != at:
                     if at is not None:
                         out += closed()
-                    if at is None or at[0] != values[0]:
-                        camera = Camera(Tracker(publish=publish, max_gap=max_gap, grace=grace, max_interframe=max_interframe), Analyzer(sample=sample, idle_after=idle_after, max_gap=max_gap, groups=groups, checkable=checkable, moved_share=moved_share))
-                    at, held = values[:2], []
+                    if at is None or at[:2] != values[:2]:
+                        analyzer = Analyzer(sample=sample, idle_after=idle_after, max_gap=max_gap, groups=groups, checkable=checkable, moved_share=moved_share)
+                        analyzer.last = None if values[1] == 0 else float("-inf")
+                        camera = Camera(Tracker(publish=publish, max_gap=max_gap, grace=grace, max_interframe=max_interframe), analyzer)
+                    at, held = values[:3], []
                 held.append(values)
             yield _rows(out)
         if at is not None:
             yield _rows(closed())
 
-    return frames.select(*columns).repartition("run_id").sortWithinPartitions("run_id", "clock", "row").mapInPandas(fold, OUT)
+    rows = stretches(frames.select(*FRAME, *FOUND), gap).select(*columns)
+    found = rows.repartition("run_id", "stretch").sortWithinPartitions("run_id", "stretch", "clock", "row").mapInPandas(fold, f"stretch long, {OUT}")
+    return numbered(found, gap)
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"row": "Int64"})
+    return pd.DataFrame(rows, columns=["stretch", *[x.split()[0] for x in OUT.split(", ")]]).astype({"row": "Int64"})

@@ -1,18 +1,9 @@
-"""Alert episodes on a stream of findings: one fold per fingerprint, with its state in the state store."""
+"""The alert of a fingerprint, sample by sample: what a batch does with windows, one step at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-STATE = "episode long, first_seen double, last_seen double, status string, duration double, critical_duration double, above boolean, version long"
-OUT = "fingerprint string, episode long, first_seen double, last_seen double, status string, duration double, critical_duration double, severity string, suppressed boolean, version long"
-
 
 @dataclass
 class Alert:
@@ -48,36 +39,3 @@ class Alert:
         self.last_seen, self.above = clock, above
         self.status = "open" if self.duration >= visible_after else "unknown"
         return [*before, Alert(**asdict(self))]
-
-
-def episode_versions(events: DataFrame, *, allowed: float, visible_after: float, critical_after: float) -> DataFrame:
-    """events (a stream: fingerprint, clock, kind, above) -> an append of states; the greatest version of an episode counts.
-
-    Samples of a batch are taken in the order of the clock; one that is late against the
-    state starts an episode of its own, as the rules for samples out of order say.
-    """
-
-    def fold(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert = Alert(*state.get) if state.exists else Alert()
-        rows = pd.concat(list(batches)).sort_values("clock", kind="stable")  # one fingerprint's samples of one micro-batch
-        out = {}
-        for r in rows.itertuples(index=False):
-            for a in alert.step(float(r.clock), r.kind, bool(r.above), allowed, visible_after):
-                out[a.episode] = a
-        state.update(tuple(asdict(alert).values()))
-        made = [
-            (key[0], a.episode, a.first_seen, a.last_seen, a.status, a.duration, a.critical_duration, "critical" if a.above and a.critical_duration >= critical_after else "warning", a.duration < visible_after, a.version)
-            for a in out.values()
-        ]
-        yield pd.DataFrame(made, columns=[x.split()[0] for x in OUT.split(", ")])
-
-    return events.select("fingerprint", F.col("clock").cast("double").alias("clock"), "kind", "above").groupBy("fingerprint").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(versions: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs over what there is, writes to path, and returns the latest version of each episode."""
-    query = versions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = versions.sparkSession.read.schema(OUT).parquet(path)
-    rest = [c for c in rows.columns if c not in ("fingerprint", "episode", "version")]
-    return rows.groupBy("fingerprint", "episode").agg(F.max_by(F.struct(*rest), "version").alias("_r")).select("fingerprint", "episode", "_r.*")

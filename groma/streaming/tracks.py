@@ -13,7 +13,11 @@ from math import hypot
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from groma.operators.ordered import Ordered, joined
+from groma.sources.scratch import written
 
 Box = tuple[float, float, float, float]
 #: Fixed values of the association and of motion.
@@ -177,43 +181,65 @@ def clipped(b: Box) -> Box:
 OUT = "run_id long, clock double, row long, track_id int, class_id string, score double, x1 double, y1 double, x2 double, y2 double, observed boolean, motion string"
 
 
+def stretches(frames: DataFrame, gap: float | None) -> DataFrame:
+    """frames with stretch, numbered from 0 in each run: nothing goes on across more than ``gap``, so what lies between two such gaps is a fold of its own."""
+    if gap is None:
+        return frames.withColumn("stretch", F.lit(0).cast("long"))
+    beside = Ordered.of(frames, ["run_id"], ["clock", "row"]).neighbours(before={"_clock": F.col("clock")})
+    return beside.running(F.coalesce(F.col("clock") - F.col("_clock") > gap, F.lit(False)).cast("long"), "stretch").done().drop("_clock")
+
+
+def numbered(found: DataFrame, gap: float | None) -> DataFrame:
+    """Track numbers of a run's stretches, counted on from one to the next."""
+    if gap is None:
+        return found.drop("stretch")
+    held = written(found, "tracks")
+    made = held.groupBy("run_id", "stretch").agg(F.max("track_id").alias("_made"))
+    before = F.coalesce(F.sum("_made").over(Window.partitionBy("run_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = joined(held, made.select("run_id", "stretch", before.alias("_before")), ["run_id", "stretch"])
+    return counted.withColumn("track_id", (F.col("track_id") + F.col("_before")).cast("int")).drop("_before", "stretch")
+
+
 def tracks(detections: DataFrame, *, publish: float = 0.35, max_gap: int = 3, grace: int = 3, max_interframe: float | None = None) -> DataFrame:
     """run_id, clock, row, class_id, score and box (x1, y1, x2, y2) -> what is published, with track and motion; row is null where a track is only held.
 
     A column ``appearance`` (a histogram as array<double>, may be null) is used where there is
-    one. A frame without detections is a row with a null row. A run's frames are in one task, in order.
+    one. A frame without detections is a row with a null row. Where ``max_interframe`` is given,
+    tracks end there, so a run's stretches between such gaps are folded side by side.
     """
-    columns = ["run_id", "clock", "row", "class_id", "score", "x1", "y1", "x2", "y2", *(["appearance"] if "appearance" in detections.columns else [])]
+    columns = ["run_id", "stretch", "clock", "row", "class_id", "score", "x1", "y1", "x2", "y2", *(["appearance"] if "appearance" in detections.columns else [])]
+    made = f"stretch long, {OUT}"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, at, held = None, None, []
 
         def closed() -> list[tuple]:
-            run, clock = at
             rows = []
-            for i, t, observed in tracker.update(clock, [(r[3], r[4], r[5:9], *r[9:]) for r in held]):
-                box = held[i][5:9] if observed else clipped(t.ahead(clock))
-                rows.append((run, clock, held[i][2] if observed else None, t.number, t.kind, held[i][4] if observed else t.score, *box, observed, t.motion() if observed else "unknown"))
+            for i, t, observed in tracker.update(at[2], [(r[1], r[2], r[3:7], *r[7:]) for r in held]):
+                box = held[i][3:7] if observed else clipped(t.ahead(at[2]))
+                rows.append((at[1], at[0], at[2], held[i][0] if observed else None, t.number, t.kind, held[i][2] if observed else t.score, *box, observed, t.motion() if observed else "unknown"))
             return rows
 
         for batch in batches:
             out: list[tuple] = []
             for values in zip(*(batch[c].tolist() for c in columns), strict=True):
-                if (values[0], values[1]) != at:
+                if values[:3] != at:
                     if at is not None:
                         out += closed()
-                    if at is None or at[0] != values[0]:
+                    if at is None or at[:2] != values[:2]:
                         tracker = Tracker(publish=publish, max_gap=max_gap, grace=grace, max_interframe=max_interframe)
-                    at, held = (values[0], values[1]), []
-                if not pd.isna(values[2]):
-                    held.append((*values[:2], int(values[2]), *values[3:]))
+                    at, held = values[:3], []
+                if not pd.isna(values[3]):
+                    held.append((int(values[3]), *values[4:]))
             yield _frame(out)
         if at is not None:
             yield _frame(closed())
 
-    return detections.select(*columns).repartition("run_id").sortWithinPartitions("run_id", "clock", "row").mapInPandas(fold, OUT)
+    rows = stretches(detections, max_interframe).select(*columns)
+    found = rows.repartition("run_id", "stretch").sortWithinPartitions("run_id", "stretch", "clock", "row").mapInPandas(fold, made)
+    return numbered(found, max_interframe)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    found = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+    found = pd.DataFrame(rows, columns=["stretch", *[x.split()[0] for x in OUT.split(", ")]])
     return found.astype({"row": "Int64"})
