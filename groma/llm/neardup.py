@@ -13,11 +13,14 @@ neighbourhood leave the list. Links between two members of a neighbourhood are f
 their differences from the hub: linked sets share a known number of difference tokens, so
 they meet under one of the rarest of them (prefix again, by bands of the difference's size,
 so that a group of near copies costs its members and not its pairs). Lists that still hold
-two classes after the rounds are joined pair by pair. Pairs are retained from ``MATCHES``
-collisions on, and confirmed on full sets.
+two classes after the rounds are long by chance: their members share a passage and little
+else. These classes are posted anew, under ``BANDS`` lists of ``ROWS`` coordinates together,
+which hardly any but similar ones share, and the rounds go on there until no list is left.
+Pairs are retained from ``MATCHES`` collisions on, and confirmed on full sets.
 
 The chance that a link at the threshold shows fewer than MATCHES of COORDINATES equal
-minima is 6e-7; all other steps are exact, but for 64-bit hashes of shingles and classes:
+minima is 6e-7, and that it meets in none of the bands 2e-9; all other steps are exact, but
+for 64-bit hashes of shingles and classes:
 what is linked to a class deep in a hub's neighbourhood is, by the triangle inequality of
 the Jaccard distance, inside the neighbourhood.
 
@@ -49,8 +52,9 @@ SHINGLE, COORDINATES, MATCHES = 5, 32, 16
 PERCENT = 85
 #: Members of a hub's neighbourhood, and those deep in it: with d = 1 - similarity, what is linked to one with d <= 0.8 has d <= 0.95.
 MEMBER, DEEP = 0.05, 0.20
-#: Rounds of hubs before the lists that are left are joined pair by pair.
+#: Rounds of hubs in lists of one coordinate, before the classes that are left are posted under bands.
 ROUNDS = 3
+BANDS, ROWS = 64, 8
 #: Width of a band of difference sizes, as a part of the hub's size.
 BAND = 0.04
 SEED = 5
@@ -92,15 +96,30 @@ class Shingler:
             mixed ^= mixed >> np.uint64(32)
         return np.unique(mixed)
 
-    def postings(self, shingles: np.ndarray) -> np.ndarray:
-        """One number for each coordinate and its minimum."""
+    def minima(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self.multiply), 0xFFFFFFFF, np.uint64)
         for start in range(0, len(shingles), 4096):
             part = shingles[start : start + 4096]
             values = (part[:, None] * self.multiply[None] + self.add[None]) >> np.uint64(32)
             np.minimum(least, values.min(axis=0), out=least)
+        return least
+
+    def postings(self, shingles: np.ndarray) -> np.ndarray:
+        """One number for each coordinate and its minimum."""
+        least = self.minima(shingles)
         return (np.arange(len(least), dtype=np.uint64) << np.uint64(32) | least).astype(np.int64)
 
+    def bands(self, shingles: np.ndarray) -> np.ndarray:
+        """One number for each band of ROWS coordinates and their minima."""
+        least = self.minima(shingles).reshape(-1, ROWS)
+        mixed = np.arange(1, len(least) + 1, dtype=np.uint64)
+        for i in range(ROWS):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + least[:, i]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+        return mixed.astype(np.int64)
+
 
 def class_of(shingles: np.ndarray) -> int:
     """A class's number, from its whole set."""
@@ -194,12 +213,19 @@ def starred(lists: DataFrame) -> DataFrame:
     return stars
 
 
-def colliding(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """cls, hub: all pairs of the lists with at least MATCHES collisions over the whole signatures."""
-    side = lists.select("cls", "token").join(sets.select("cls", F.size("s").alias("n"), "sig"), "cls")
-    x, y = side, side.select("token", *[F.col(k).alias(f"y_{k}") for k in ("cls", "n", "sig")])
-    alike = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * PERCENT) & (agreeing("sig", "y_sig") >= MATCHES)
-    return x.join(y, "token").filter((F.col("cls") < F.col("y_cls")) & alike).select("cls", F.col("y_cls").alias("hub")).distinct()
+def banded(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """cls, token, pop: the classes under their bands, as ``posted`` gives them for single coordinates; lists of one go."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(SHINGLE, BANDS * ROWS)
+        for batch in batches:
+            found = [own.bands(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "tokens"])
+
+    some = sets.select("cls", "s").join(classes, "cls", "left_semi")
+    lists = scratch(some.mapInArrow(work, "cls long, tokens array<long>").select("cls", F.explode("tokens").alias("token")), "bands")
+    lengths = scratch(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lengths")
+    return lists.join(lengths, "token").withColumn("pop", F.sum("n").over(Window.partitionBy("cls"))).select("cls", "token", "pop")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -274,10 +300,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = rows.filter("n > 0").groupBy("cls").agg(F.first("postings").alias("postings"))
     stars = starred(posted(classes.select("cls", F.explode("postings").alias("token"))))
     members = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    near, sets, rest = None, None, None
-    for _ in range(ROUNDS):
-        if stars.isEmpty():
-            break
+    near, sets = None, None
+    rounds = 0
+    while not stars.isEmpty():
+        rounds += 1
         sets = full_sets(docs, rows, stars.select("cls").distinct(), doc_id, text) if sets is None else sets
         found = scratch(confirmed(stars.filter("cls != hub").select("cls", "hub").distinct(), sets), "confirmed")
         near = found if near is None else near.unionByName(found)
@@ -285,11 +311,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         rest = stars.filter("cls != hub").join(deep, ["cls", "hub"], "left_anti").select("cls", "token", "pop")
         before, stars = stars, starred(rest)
         forget(before)
+        if rounds == ROUNDS and not stars.isEmpty():
+            # every list has lost a hub in each round, so that the rounds end
+            before, stars = stars, starred(banded(stars.select("cls").distinct(), sets))
+            forget(before)
     if near is None:
         names = members.select("cls", F.col("first").alias("component_id"))
     else:
-        met = near if stars.isEmpty() else near.unionByName(scratch(confirmed(colliding(stars, sets), sets), "last"))
-        roots = components(met.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+        roots = components(near.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
         tops = components(renamed(completed(near, roots), roots))
         rooted = followed(followed(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")), roots), tops).withColumnRenamed("node", "cls").join(members, "cls")
         least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from .merging import Merger, list_array, slices
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches remembered in a worker, and bytes of their ids.
-REMEMBERED, REMEMBERED_BYTES = 800_000, 64_000_000
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64_000_000
 SCHEMA = "doc_id long, ids array<int>, decoded string, agrees boolean"
 _loaded: dict[bytes, Vocabulary] = {}
 
@@ -89,10 +89,10 @@ class Vocabulary:
         alone = "" if any("\n" in p and len(p) > 1 for p in self.symbol) else "\n"
         line = f"{alone}|" if alone else ""
         if any(is_letter(a) != is_letter(b) for p in inside for a, b in zip(p, p[1:], strict=False)):
-            # behind letters, a cut is safe before a character that follows a letter in no piece
+            # behind these letters, a cut is safe before a character that follows a letter in no piece; classes of few characters match fast
             behind = {b for p in inside for a, b in zip(p, p[1:], strict=False) if is_letter(a)}
             safe = sorted({c for p in inside for c in p if c.isascii() and not is_letter(c)} - behind - {alone})
-            word = f"[^\\W\\d_]++(?=[{re.escape(''.join(safe))}])|" if safe else ""
+            word = f"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[{re.escape(''.join(safe))}])|" if safe else ""
             return f"{line}{SPACE}*(?:{word}[^{SPACE}{alone}]+)|{SPACE}+"
         return rf"{line}{SPACE}*[^\W\d_]+|{SPACE}*(?:[\d_]|[^\w{SPACE}{alone}])+|{SPACE}+"
 
@@ -130,11 +130,15 @@ class Vocabulary:
         if len(self.known) > REMEMBERED or len(self.flat) > REMEMBERED_BYTES:
             self.forget()
         cut = [self.stretch.findall(self.prefix + text.replace(" ", SPACE)) if text else [] for text in texts]
-        self.learn(set(chain.from_iterable(cut)).difference(self.known))
-        flat, sizes = np.frombuffer(self.flat, np.int32), np.frombuffer(self.sizes, np.int32).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
         counts = [len(parts) for parts in cut]
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
+        every = list(chain.from_iterable(cut))
+        number = np.fromiter(map(self.known.get, every, repeat(-1)), np.int32, len(every))
+        fresh = np.flatnonzero(number < 0).tolist()
+        if fresh:
+            self.learn({every[i] for i in fresh})
+            number[fresh] = [self.known[every[i]] for i in fresh]
+        flat, sizes = np.frombuffer(self.flat, np.int32), np.frombuffer(self.sizes, np.int32)
+        starts = np.cumsum(sizes) - sizes
         size = sizes[number]
         done = np.cumsum(size)
         ids = flat[np.repeat(starts[number] - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
@@ -168,8 +172,9 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 ids = own.encode(texts[a:b])
-                agrees = [x.tolist() == y for x, y in zip(ids, own.library.encode(texts[a:b], add_eos=True, num_threads=1), strict=True)]
-                decoded = [own.library.decode(x.tolist()) for x in ids]
+                lists = [x.tolist() for x in ids]
+                agrees = [x == y for x, y in zip(lists, own.library.encode(texts[a:b], add_eos=True, num_threads=1), strict=True)]
+                decoded = [own.library.decode(x) for x in lists]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), list_array(ids), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"],

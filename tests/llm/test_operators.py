@@ -91,13 +91,42 @@ def test_near_duplicates_around_a_shared_passage(spark, monkeypatch):
             docs.append((2 * i + 1, " ".join(body)))
     df, want = spark.createDataFrame(docs, "doc_id long, text string"), components_by_hand(docs)
     assert sum(not kept for _, _, kept in want.values()) == 20
-    pairs, whole = [], neardup.colliding
+    anew, whole = [], neardup.banded
     for rounds, deep in ((neardup.ROUNDS, neardup.DEEP), (1, 0.99)):
         monkeypatch.setattr(neardup, "ROUNDS", rounds)
         monkeypatch.setattr(neardup, "DEEP", deep)
-        monkeypatch.setattr(neardup, "colliding", lambda *a: pairs.append(1) or whole(*a))
+        monkeypatch.setattr(neardup, "banded", lambda *a: anew.append(1) or whole(*a))
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
-    assert pairs
+    assert anew
+
+
+def stock_documents(n):
+    """Documents put together from five of fifty stock passages, every tenth one copied with a word changed."""
+    rng = random.Random(n)
+    stock = [[f"s{i}w{j}" for j in range(40)] for i in range(50)]
+    docs = []
+    for i in range(n):
+        body = [w for p in rng.sample(stock, 5) for w in p]
+        docs.append((2 * i, " ".join(body)))
+        if i % 10 == 0:
+            body[rng.randrange(len(body))] = f"x{i}"
+            docs.append((2 * i + 1, " ".join(body)))
+    return docs
+
+
+def test_near_duplicates_of_stock_passages_cost_as_much_as_their_number(spark, monkeypatch):
+    """Rows of every join grow with the documents, not with the square of those that share a passage; components are those of all pairs."""
+    rows, spied = {}, {name: getattr(neardup, name) for name in ("starred", "banded", "confirmed")}
+    for n in (500, 1000, 2000):
+        counts = rows.setdefault(n, [])
+        for name, whole in spied.items():
+            monkeypatch.setattr(neardup, name, lambda *a, whole=whole, counts=counts: (out := whole(*a), counts.append(out.count()))[0])
+        docs = stock_documents(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        if n < 2000:
+            assert got == components_by_hand(docs)
+        assert sum(not kept for *_, kept in got.values()) >= n // 10
+    assert sum(rows[2000]) < 2.6 * sum(rows[1000]) < 2.6 * 2.6 * sum(rows[500])
 
 
 def test_near_duplicates_of_one_large_group(spark):
