@@ -126,3 +126,12 @@ def default_step(sample_seconds: Column, steps: Column, least: int = 6) -> Colum
     finite = (sample_seconds > 0) & (sample_seconds < float("inf"))
     interval = F.when(F.coalesce(finite, F.lit(False)), sample_seconds).otherwise(1)
     return F.coalesce(F.array_min(F.filter(steps, lambda s: s >= least * interval)), F.array_max(steps))
+
+
+def period_fault(start: Column, end: Column) -> Column:
+    """What is wrong with a period given as ISO texts, of which either may be null: no time (``time``), no zone (``zone``), an end that is not after the start (``order``); null if nothing is."""
+    zoned = lambda t: t.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$")
+    at = F.try_to_timestamp
+    unread = (start.isNotNull() & at(start).isNull()) | (end.isNotNull() & at(end).isNull())
+    unzoned = (start.isNotNull() & ~zoned(start)) | (end.isNotNull() & ~zoned(end))
+    return F.when(unread, "time").when(unzoned, "zone").when(at(start) >= at(end), "order")

@@ -5,7 +5,7 @@ bits of one band at least, so whoever looks up every band with 0, then 1, then 2
 flipped has after the round of s met all patterns within ``bands * (s + 1) - 1`` bits. A
 pattern whose best distance lies within that is done; the others go on. Each band is about as
 wide as the logarithm of the largest group, so that a look-up meets few patterns, and where
-a round would look up more than a group holds, its patterns are compared with the rest.
+a round would look up more than a group holds, or the group is small, all are compared.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from groma.sources.scratch import written
 
 WIDTH = 64
+#: Patterns of a group that are compared at once: looking up would not be less work.
+SMALL = 256
 
 
 def bands_of(largest: int, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -55,8 +57,8 @@ def nearest_patterns(left: DataFrame, right: DataFrame, *, within: str) -> DataF
     done, s, probes = [], 0, 0
     while not open_.isEmpty():
         probes += sum(comb(b - a, s) for a, b in cuts)
-        asked = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("bits"), c).bitwiseXOR(F.lit(m)).alias("value")) for i, c in enumerate(cuts) for m in flips(c, s)]) if probes <= (largest or 0) else None
-        few = F.col("_size") <= probes
+        asked = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("bits"), c).bitwiseXOR(F.lit(m)).alias("value")) for i, c in enumerate(cuts) for m in flips(c, s)]) if max(probes, SMALL) < (largest or 0) else None
+        few = F.col("_size") <= max(probes, SMALL)
         rest = open_.filter(few)
         met = rest.select(within, "bits").join(there, within)
         if asked is not None:

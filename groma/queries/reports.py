@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from groma.catalogue import query
 from groma.functions import maps, pictures, text
 from groma.operators import hamming, reports, splits
 from groma.queries.records import BITS, patterns
+from groma.sources import sheets
+from groma.sources.scratch import shared_folder
 from groma.sources.views import table
 
 #: Plain names in place of the report's own thirteen, as SQL columns.
@@ -155,3 +159,29 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     excess = F.when(F.col("p_size") > 40, F.col("p_size"))
     steps = F.array(*[F.lit(x) for x in (60, 180, 600)])
     return table(spark, sf_dir, "part").select("p_partkey", text.seeded_order(7, F.col("p_partkey")).alias("place"), text.shown_message(F.lit("Техника сверх плана"), F.lit("excess"), excess).alias("message"), text.default_step(F.col("p_size"), steps).alias("step"))
+
+
+@query(
+    "q200_period_faults",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'time' WHEN o_orderkey % 3 = 0 THEN 'zone' WHEN o_orderkey % 4 >= 2 AND o_orderkey % 5 <> 0 THEN 'order' END AS fault FROM orders",
+)
+def period_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods as they are sent: a fifth without an end, some without a zone, some that end before they begin, some that are no times."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(k % 3 == 0, "").otherwise("+03:00")
+    start = F.when(k % 11 == 0, "soon").otherwise(F.concat(iso(at), zone))
+    hours = F.when(k % 4 == 2, F.expr("INTERVAL 0 HOUR")).when(k % 4 == 3, F.expr("INTERVAL -1 HOUR")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    end = F.when(k % 5 != 0, F.concat(iso(at + hours), zone))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.period_fault(start, end).alias("fault"))
+
+
+@query(
+    "q201_workbook_cells",
+    "WITH s AS (SELECT CAST(1 + row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS row, * FROM supplier) SELECT row, 1 AS col, CAST(s_suppkey AS VARCHAR) AS value FROM s UNION ALL SELECT row, 2, s_name FROM s UNION ALL SELECT row, 3, CAST(s_nationkey AS VARCHAR) FROM s UNION ALL SELECT 1, unnest([1, 2, 3]), unnest(['key', 'name', 'nation'])",
+)
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as a workbook and read again, cell by cell."""
+    rows = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    path = sheets.write_workbook(rows, f"{shared_folder(spark)}/groma-book-{uuid.uuid4().hex}/report.xlsx")
+    return sheets.sheet_cells(spark, path.rsplit("/", 1)[0]).select("row", "col", "value")

@@ -17,7 +17,8 @@ def signed(x):
 
 
 @pytest.mark.parametrize("kind", ["random", "clustered", "narrow"])
-def test_nearest_patterns_by_hand(spark, kind):
+def test_nearest_patterns_by_hand(spark, kind, monkeypatch):
+    monkeypatch.setattr(hamming, "SMALL", 0)
     rng = random.Random(kind)
     centres = [rng.getrandbits(64) for _ in range(20)]
 
@@ -222,3 +223,9 @@ def test_first_match_makes_no_pairs(spark):
     right = spark.createDataFrame([(30, "f", 5, "q"), (20, "f", None, "z"), (10, "f", 9, "q"), (25, "f", 5, "z")], "res int, frame string, r int, s string")
     got = joins.first_match(left, right, key="frame", rules=[({"region": "r"}, None), ({"zone": "s"}, F.col("r").isNull())], value="res", order="res").collect()
     assert {(r.id, r.res, r.rule) for r in got} == {(1, 25, 0), (2, 20, 1), (3, 10, 2), (4, None, None), (5, None, None)}
+
+
+def test_periods(spark):
+    rows = [("2026-01-01T10:00:00Z", "2026-01-01T14:00:00+03:00"), ("2026-01-01T10:00:00Z", "2026-01-01T13:00:00+03:00"), ("2026-01-01T10:00:00", None), (None, None), ("2026-01-01T10:00:00Z", None), ("x", None), (None, "2026-01-01 10:00:00-0500")]
+    got = spark.createDataFrame(rows, "a string, b string").select(text.period_fault(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [None, "order", "zone", None, None, "time", None]
