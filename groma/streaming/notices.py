@@ -1,16 +1,17 @@
 """Notices of a user interface as a stream of what is on show: equal kinds are gathered, a few groups are visible, urgent ones come first.
 
-The order of events decides, so this is a fold over sorted batches, one queue for each user.
+The order of events decides, so this is a fold, one queue for each user.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from groma.operators.ordered import folded
+
 #: Groups on show and waiting, and seconds on show by urgency.
 VISIBLE, WAITING = 3, 3
 URGENCY = {"failed": 2, "error": 2, "cancelled": 1}
@@ -66,21 +67,27 @@ class Queue:
         return self.shown
 
 
-OUT = "user_id long, clock double, event_id long, shown string"
+    def step(self, clock: float, kind: str, key: str) -> tuple[str]:
+        return (",".join(f"{g.kind}:{len(g.keys)}" for g in self.take(clock, kind, key)),)
+
+    def state(self) -> str:
+        """Groups by their order of coming alone: what has left counts no more, so queues that began apart become equal."""
+        place = {g.number: i for i, g in enumerate(sorted(self.shown + self.waiting, key=lambda g: g.number), 1)}
+        spelled = lambda groups: [[place[g.number], g.kind, sorted(g.keys), g.until] for g in groups]
+        return json.dumps([spelled(self.shown), spelled(self.waiting)])
+
+    def restore(self, state: str) -> None:
+        shown, waiting = json.loads(state)
+        group = lambda number, kind, keys, until: Group(number, kind, set(keys), until)
+        self.shown, self.waiting = [group(*g) for g in shown], [group(*g) for g in waiting]
+        self.next = len(shown) + len(waiting) + 1
 
 
 def notices(events: DataFrame) -> DataFrame:
-    """user_id, clock, event_id, kind, key -> after each event what is on show: kind and number of events of each group, in the order shown."""
-    columns = ["user_id", "clock", "event_id", "kind", "key"]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queue, last = Queue(), None
-        for batch in batches:
-            out = []
-            for user, clock, event, kind, key in zip(*(batch[c].tolist() for c in columns), strict=True):
-                if user != last:
-                    queue, last = Queue(), user
-                out.append((user, clock, event, ",".join(f"{g.kind}:{len(g.keys)}" for g in queue.take(clock, kind, key))))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
-
-    return events.select(*columns).repartition("user_id").sortWithinPartitions("user_id", "clock", "event_id").mapInPandas(fold, OUT)
+    """user_id, clock, event_id, kind, key -> after each event what is on show: kind and number of events of each group, in the order shown.
+
+    A queue forgets within seconds, so the ranges of a user with very many events soon agree.
+    """
+    rows = events.select("user_id", "clock", "event_id", "kind", "key")
+    found = folded(rows, keys=["user_id"], order=["clock", "event_id"], reads=["clock", "kind", "key"], machine=Queue, gives="shown string")
+    return found.select("user_id", "clock", "event_id", "shown")

@@ -91,6 +91,20 @@ def test_drifting_sample_in_ranges_equals_one_fold(spark, monkeypatch, step):
     assert rows() == plain
 
 
+def test_notices_in_ranges_equal_one_fold(spark, monkeypatch):
+    from groma.streaming.notices import notices
+
+    rng, rows, t = random.Random(2), [], 0.0
+    for i in range(2500):
+        t += rng.choice([0.1, 0.5, 1.0, 3.0, 9.0])
+        rows.append((7, t, i, rng.choice(["ready", "failed", "cancelled", "started", "done"]), f"k{rng.randrange(40)}"))
+    df = spark.createDataFrame(rows, "user_id long, clock double, event_id long, kind string, key string")
+    got = lambda: [tuple(r) for r in notices(df).orderBy("event_id").collect()]
+    plain = got()
+    monkeypatch.setattr(ordered, "ROWS_IN_A_TASK", 100)
+    assert got() == plain and max(r[-1].count(",") for r in plain) == 2
+
+
 def test_a_sampler_table_is_the_sampler(spark):
     import numpy as np
 
