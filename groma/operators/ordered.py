@@ -84,8 +84,8 @@ class Ordered:
         return out
 
     def running(self, amount: Column, name: str) -> Ordered:
-        """The sum of the amount up to each row, its own included."""
-        whole = F.sum(amount).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
+        """The sum of the amount up to each row, its own included; 0 where all amounts so far are null."""
+        whole = F.coalesce(F.sum(amount).over(self.window().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
         if not self.spread:
             return self.having(self.rows.withColumn(name, whole))
         before = lambda e, w: F.coalesce(F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
