@@ -68,7 +68,10 @@ class Vocabulary:
         for a, b in self.merger.buckets([n for n, _, _ in rows]):
             part = rows[a:b]
             symbols = self.byte[np.frombuffer(b"".join(raw for _, _, raw in part), np.uint8)]
-            got.update(zip((p for _, p, _ in part), self.merger.merged(symbols, np.array([n for n, _, _ in part])), strict=True))
+            flat, size = self.merger.merged(symbols, np.array([n for n, _, _ in part]))
+            ids, stops = flat.tolist(), np.cumsum(size).tolist()
+            for (_, piece, _), start, stop in zip(part, [0, *stops], stops, strict=False):
+                got[piece] = tuple(ids[start:stop])
         return got
 
     def stretches(self, text: str) -> Iterator[str]:

@@ -13,7 +13,7 @@ the square of its length.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,26 +76,33 @@ class Merger:
     def level(self, rank: np.ndarray) -> np.ndarray:
         return rank if self.tier is None else np.where(rank == NONE, NONE, self.tier[np.minimum(rank, len(self.tier) - 1)])
 
-    def merged(self, symbols: np.ndarray, size: np.ndarray) -> list[tuple[int, ...]]:
-        """What is left of each row; symbols: of all rows, one row after the other. Rows share a matrix: they should be of similar length."""
+    def merged(self, symbols: np.ndarray, size: np.ndarray, tiers: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of each row, one row after the other, and the rows' sizes; symbols: of all rows alike.
+
+        Rows share a matrix: they should be of similar length. tiers: whether pairs that are
+        equal by tier can occur.
+        """
         if len(size) == 1 and size[0] > LONG:
-            return [self.merged_alone(symbols)]
-        out: list[tuple[int, ...]] = [()] * len(size)
+            alone = np.array(self.merged_alone(symbols), np.int32)
+            return alone, np.array([len(alone)])
+        level_of = self.level if tiers else lambda rank: rank
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         own = np.arange(len(size))
         ids = np.full((len(size), size.max()), PAD, np.int32)
         ids[np.arange(ids.shape[1]) < size[:, None]] = symbols
         rank = np.full(ids.shape, NONE, np.int32)
         rank[:, :-1] = self.pairs(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(size), -1)
         while len(own):
-            level = self.level(rank)
+            level = level_of(rank)
             least = level.min(axis=1)
             live = least < NONE
-            for i in np.flatnonzero(~live):
-                out[own[i]] = tuple(ids[i, : size[i]].tolist())
-            own, size, ids, rank, least = own[live], size[live], ids[live], rank[live], least[live]
-            if not len(own):
-                break
-            hit = self.chosen(level[live] == least[:, None], least, ids, rank)
+            if not live.all():
+                out = ids[~live]
+                done.append((own[~live], size[~live], out[np.arange(out.shape[1]) < size[~live][:, None]]))
+                own, size, ids, rank, least, level = own[live], size[live], ids[live], rank[live], least[live], level[live]
+                if not len(own):
+                    break
+            hit = self.chosen(level == least[:, None], least, ids, rank, level_of)
             ids = np.where(hit, rank, ids)
             keep = np.arange(ids.shape[1]) < size[:, None]
             keep[:, 1:] &= ~hit[:, :-1]
@@ -108,9 +115,9 @@ class Merger:
             right = np.where(at + 1 < new.shape[1], new[row, np.minimum(at + 1, new.shape[1] - 1)], PAD)
             ranks[row, at] = self.pairs(new[row, at], right)
             ids, rank = new, ranks
-        return out
+        return in_order(*(np.concatenate(x) for x in zip(*done, strict=True)))
 
-    def chosen(self, hit: np.ndarray, least: np.ndarray, ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    def chosen(self, hit: np.ndarray, least: np.ndarray, ids: np.ndarray, rank: np.ndarray, level_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """Of a row's pairs of the least rank those merged in this round: from the left all that overlap no chosen one.
 
         Only the leftmost where merging one by one would meet a pair of lower or equal rank
@@ -126,7 +133,7 @@ class Merger:
             new, last = rank[row, at], ids.shape[1] - 1
             behind = np.where(at + 2 <= last, ids[row, np.minimum(at + 2, last)], PAD)
             before = np.where((at > 1) & hit[row, at - 2], rank[row, at - 2], np.where(at > 0, ids[row, at - 1], PAD))
-            early = (self.level(self.pairs(new, behind)) <= least[row]) | (self.level(self.pairs(before, new)) <= least[row])
+            early = (level_of(self.pairs(new, behind)) <= least[row]) | (level_of(self.pairs(before, new)) <= least[row])
             single = np.unique(row[early])
             first = hit[single].argmax(axis=1)
             hit[single] = False
@@ -160,15 +167,26 @@ class Merger:
 
     def buckets(self, sizes: list[int]) -> Iterator[tuple[int, int]]:
         """Bounds of matrices over rows sorted by length: at most a quarter padding and CELLS cells; a long row is alone."""
-        start = 0
+        ordered, start = np.array(sizes), 0
         while start < len(sizes):
-            longest, stop = 0 if sizes[start] > LONG else min(max(sizes[start] * 4 // 3, 4), LONG), start + 1
-            while stop < len(sizes) and sizes[stop] <= longest and (stop + 1 - start) * sizes[stop] <= CELLS:
-                stop += 1
+            if sizes[start] > LONG:
+                stop = start + 1
+            else:
+                longest = min(max(sizes[start] * 4 // 3, 4), LONG)
+                stop = min(int(np.searchsorted(ordered, longest, "right")), start + max(1, CELLS // longest))
             yield start, stop
             start = stop
 
 
+def in_order(own: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of different sizes, one after the other in any order, in the order of their numbers."""
+    order = np.argsort(own)
+    begins = (np.cumsum(size) - size)[order]
+    size = size[order]
+    ends = np.cumsum(size)
+    return flat[np.repeat(begins - (ends - size), size) + np.arange(len(flat))], size
+
+
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of slices of at most SLICE_ROWS texts and, but for a single text, SLICE_CHARS characters."""
     start = size = 0

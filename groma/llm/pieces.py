@@ -59,14 +59,18 @@ class Vocabulary:
         self.of_character = np.arange(len(normal), len(normal) + sys.maxunicode + 1, dtype=np.int32)
         alone = [(ord(p), place) for p, place in self.symbol.items() if len(p) == 1]
         self.of_character[[c for c, _ in alone]] = [place for _, place in alone]
+        self.of_character[ord(" ")] = self.of_character[ord(SPACE)]
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE}
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kind.UNKNOWN)
         scores = np.array([-p.score for _, p in normal])
         # equal scores are one tier: position decides between them
         tier = np.cumsum(np.append(0, np.diff(scores) > 0)).astype(np.int32)
         self.merger = Merger(*np.array(self.merges(), np.int32).reshape(-1, 3).T, tier)
+        #: Whether pieces of equal score are runs of spaces, so that other stretches need no tiers.
+        tied = np.bincount(tier)[tier] > 1
+        self.ties_are_spaces = all(not p.strip(SPACE) for p, t in zip(self.symbol, tied.tolist(), strict=True) if t and len(p) > 1)
         self.end = self.library.eos_id()
-        self.prefix = SPACE if spec.normalizer_spec.add_dummy_prefix else ""
+        self.prefix = " " if spec.normalizer_spec.add_dummy_prefix else ""
         self.stretch = re.compile(self.cuts())
         self.ids = np.array(self.id, np.int64)
         #: Stretches by number, and the ids of all of them.
@@ -80,7 +84,7 @@ class Vocabulary:
         return [x for x in halves if x[0] is not None and x[1] is not None]
 
     def cuts(self) -> str:
-        """Pattern of the stretches, by what the vocabulary allows: a cut is safe where no piece has both of its sides."""
+        """Pattern of the stretches, by what the vocabulary allows: a cut is safe where no piece has both of its sides. A space stands for the mark that pieces have for it."""
         letter = re.compile(r"[^\W\d_]")
         is_letter = lambda c: letter.match(c) is not None
         inside = [p.lstrip(SPACE) for p in self.symbol]
@@ -93,8 +97,8 @@ class Vocabulary:
             behind = {b for p in inside for a, b in zip(p, p[1:], strict=False) if is_letter(a)}
             safe = sorted({c for p in inside for c in p if c.isascii() and not is_letter(c)} - behind - {alone})
             word = f"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[{re.escape(''.join(safe))}])|" if safe else ""
-            return f"{line}{SPACE}*(?:{word}[^{SPACE}{alone}]+)|{SPACE}+"
-        return rf"{line}{SPACE}*[^\W\d_]+|{SPACE}*(?:[\d_]|[^\w{SPACE}{alone}])+|{SPACE}+"
+            return f"{line} *(?:{word}[^ {alone}]+)| +"
+        return rf"{line} *[^\W\d_]+| *(?:[\d_]|[^\w {alone}])+| +"
 
     def ids_of_symbol(self, symbol: int) -> tuple[int, ...]:
         if symbol < len(self.id):
@@ -103,24 +107,27 @@ class Vocabulary:
 
     def learn(self, stretches: set[str]) -> None:
         """Ids of stretches, by agendas of similar length; stored in one flat array, a stretch is known by its number."""
-        rows = sorted(stretches, key=len)
         base = len(self.id)
-        for a, b in self.merger.buckets([len(s) for s in rows]):
-            part = rows[a:b]
-            symbols = self.of_character[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)]
-            merged = self.merger.merged(symbols, np.array([len(s) for s in part]))
-            flat = np.fromiter(chain.from_iterable(merged), np.int64)
-            size = np.fromiter(map(len, merged), np.int64, len(merged))
-            if len(flat) and flat.max() >= base:
-                # characters that are no pieces stand for their bytes, or for the unknown id
-                spelled = [tuple(chain.from_iterable(map(self.ids_of_symbol, left))) for left in merged]
-                flat, size = np.fromiter(chain.from_iterable(spelled), np.int64), np.fromiter(map(len, spelled), np.int64, len(spelled))
-            else:
-                flat = self.ids[flat]
-            for stretch in part:
-                self.known[stretch] = len(self.known)
-            self.flat.extend(flat.astype(np.int32).tobytes())
-            self.sizes.extend(size.astype(np.int32).tobytes())
+        spaced = {x for x in stretches if "  " in x} if self.ties_are_spaces else stretches
+        for rows, tiers in ((stretches - spaced, False), (spaced, True)):
+            rows = sorted(rows, key=len)
+            for a, b in self.merger.buckets([len(x) for x in rows]):
+                self.add(rows[a:b], base, tiers)
+
+    def add(self, part: list[str], base: int, tiers: bool) -> None:
+        symbols = self.of_character[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)]
+        flat, size = self.merger.merged(symbols, np.array([len(s) for s in part]), tiers)
+        if len(flat) and flat.max() >= base:
+            # characters that are no pieces stand for their bytes, or for the unknown id
+            spelled = [self.ids_of_symbol(x) for x in flat.tolist()]
+            many = np.fromiter(map(len, spelled), np.int64, len(spelled))
+            size = np.add.reduceat(many, np.cumsum(size) - size)
+            flat = np.fromiter(chain.from_iterable(spelled), np.int64)
+        else:
+            flat = self.ids[flat]
+        self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
+        self.flat.extend(flat.astype(np.int32).tobytes())
+        self.sizes.extend(size.astype(np.int32).tobytes())
 
     def forget(self) -> None:
         self.known, self.flat, self.sizes = {}, bytearray(), bytearray()
@@ -129,7 +136,7 @@ class Vocabulary:
         """Ids of each text of a slice, the end id last."""
         if len(self.known) > REMEMBERED or len(self.flat) > REMEMBERED_BYTES:
             self.forget()
-        cut = [self.stretch.findall(self.prefix + text.replace(" ", SPACE)) if text else [] for text in texts]
+        cut = [self.stretch.findall(self.prefix + text.replace(SPACE, " ")) if text else [] for text in texts]
         counts = [len(parts) for parts in cut]
         every = list(chain.from_iterable(cut))
         number = np.fromiter(map(self.known.get, every, repeat(-1)), np.int32, len(every))
