@@ -31,7 +31,7 @@ from .merging import Merger, list_array, slices
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches remembered in a worker, and bytes of their ids.
-REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64_000_000
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64_000_000
 SCHEMA = "doc_id long, ids array<int>, decoded string, agrees boolean"
 _loaded: dict[bytes, Vocabulary] = {}
 
