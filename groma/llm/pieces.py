@@ -179,9 +179,9 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 ids = own.encode(texts[a:b])
-                lists = [x.tolist() for x in ids]
-                agrees = [x == y for x, y in zip(lists, own.library.encode(texts[a:b], add_eos=True, num_threads=1), strict=True)]
-                decoded = [own.library.decode(x) for x in lists]
+                theirs = own.library.encode(texts[a:b], add_eos=True, num_threads=1, return_type="numpy")
+                agrees = [np.array_equal(x, y) for x, y in zip(ids, theirs, strict=True)]
+                decoded = [own.library.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), list_array(ids), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"],
