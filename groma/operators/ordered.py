@@ -26,6 +26,8 @@ from groma.sources.scratch import ordered_parts, written
 
 #: Rows of a run that one task sorts and holds without trouble.
 ROWS_IN_A_TASK = 2_000_000
+#: The column with a row's range.
+PART = "__part"
 
 
 def joined(rows: DataFrame, small: DataFrame, key: Sequence[str], how: str = "left") -> DataFrame:
@@ -43,21 +45,21 @@ class Ordered:
 
     def __init__(self, rows: DataFrame, run: Sequence[str], order: Sequence[str], spread: bool):
         self.rows, self.run, self.order, self.spread = rows, list(run), list(order), spread
-        self.key = [*self.run, "part"] if spread else self.run
+        self.key = [*self.run, PART] if spread else self.run
 
     @classmethod
     def of(cls, df: DataFrame, run: Sequence[str], order: Sequence[str]) -> Ordered:
         longest = df.groupBy(*run).count().agg(F.max("count")).first()[0] or 0
         if longest <= ROWS_IN_A_TASK:
             return cls(df, run, order, False)
-        return cls(ordered_parts(df, [*run, *order], "ordered"), run, order, True)
+        return cls(ordered_parts(df, [*run, *order], "ordered", PART), run, order, True)
 
     def having(self, rows: DataFrame) -> Ordered:
         """The same layout with other columns, or fewer rows."""
         return Ordered(rows, self.run, self.order, self.spread)
 
     def done(self) -> DataFrame:
-        return self.rows.drop("part") if self.spread else self.rows
+        return self.rows.drop(PART) if self.spread else self.rows
 
     def window(self) -> Window:
         return Window.partitionBy(*self.key).orderBy(*self.order)
@@ -65,7 +67,7 @@ class Ordered:
     def beyond(self, edge: Column, across: Callable[[Column, Window], Column], name: str) -> DataFrame:
         """rows with what the other ranges of the run tell: an aggregate of each range, and a window over these."""
         found = self.rows.groupBy(*self.key).agg(edge.alias("__edge"))
-        over = Window.partitionBy(*self.run).orderBy("part")
+        over = Window.partitionBy(*self.run).orderBy(PART)
         return joined(self.rows, found.select(*self.key, across(F.col("__edge"), over).alias(name)), self.key)
 
     def neighbours(self, *, before: Mapping[str, Column] | None = None, after: Mapping[str, Column] | None = None) -> Ordered:
@@ -125,11 +127,11 @@ class Machine(Protocol):
 def folded(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], reads: Sequence[str], machine: Callable[[], Machine], gives: str, entries: Callable[[Ordered], DataFrame] | None = None) -> DataFrame:
     """df with the columns of ``gives`` (name and type, comma-separated): a machine for each key takes its rows in order.
 
-    entries: where a range's effect on any state can be told beforehand, gives key, part and
+    entries: where a range's effect on any state can be told beforehand, gives key, PART and
     ``_entry``, the state that each range begins with, and no range is folded twice.
     """
     placed = Ordered.of(df, keys, order)
-    own = [c for c in placed.rows.columns if c != "part"]
+    own = [c for c in placed.rows.columns if c != PART]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own)
     key = list(placed.key)
     names = [x.split()[0] for x in gives.split(", ")]
@@ -174,7 +176,7 @@ def folded(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], reads: S
     ends = f"{of_key}, _entry string, _exit string"
     states = entries(placed) if entries else written(laid_out(placed.rows).mapInPandas(exits, ends), "states")
     while not entries:
-        due = F.lag("_exit").over(Window.partitionBy(*keys).orderBy("part"))
+        due = F.lag("_exit").over(Window.partitionBy(*keys).orderBy(PART))
         chained = states.withColumn("_due", due)
         wrong = written(chained.filter(~F.col("_due").eqNullSafe(F.col("_entry"))).select(*key, F.col("_due").alias("_entry")), "again")
         if wrong.isEmpty():

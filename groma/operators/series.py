@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groma.operators.ordered import Ordered, folded
+from groma.operators.ordered import PART, Ordered, folded
 
 #: A frame counts as due so many units early.
 SLACK = 0.001
@@ -249,12 +249,12 @@ def sampler_tables(clocks: np.ndarray, step: float) -> tuple[list[float], list[f
 
 
 def sampler_entries(placed: Ordered, *, step: float, run: str, clock: str) -> DataFrame:
-    """run, part, _entry: the ranges' functions, worked out in parallel, are applied one after the other to the time due. A range is one small row there."""
+    """run, PART, _entry: the ranges' functions, worked out in parallel, are applied one after the other to the time due. A range is one small row there."""
     kind = placed.rows.schema[run].dataType.simpleString()
 
     def tables(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         upto, due = sampler_tables(np.sort(frames[clock].to_numpy(np.float64)), step)
-        return pd.DataFrame({run: [key[0]], "part": [key[1]], "upto": [upto], "due": [due]})
+        return pd.DataFrame({run: [key[0]], PART: [key[1]], "upto": [upto], "due": [due]})
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, now = None, None
@@ -266,11 +266,11 @@ def sampler_entries(placed: Ordered, *, step: float, run: str, clock: str) -> Da
                 entries.append(None if now is None else json.dumps(now))
                 at = 0 if now is None else bisect_left(upto, now)
                 now = float(due[at]) if at < len(due) else now
-            yield batch[[run, "part"]].assign(_entry=entries)
+            yield batch[[run, PART]].assign(_entry=entries)
 
     # a range is at most ROWS_IN_A_TASK or its share of all rows; only its clocks are held
-    found = placed.rows.select(run, "part", clock).groupBy(run, "part").applyInPandas(tables, f"`{run}` {kind}, part int, upto array<double>, due array<double>")
-    return found.repartition(run).sortWithinPartitions(run, "part").mapInPandas(chain, f"`{run}` {kind}, part int, _entry string")
+    found = placed.rows.select(run, PART, clock).groupBy(run, PART).applyInPandas(tables, f"`{run}` {kind}, {PART} int, upto array<double>, due array<double>")
+    return found.repartition(run).sortWithinPartitions(run, PART).mapInPandas(chain, f"`{run}` {kind}, {PART} int, _entry string")
 
 
 def sampled(df: DataFrame, *, step: float, run: str = "run_id", clock: str = "clock", row: str = "id") -> DataFrame:

@@ -38,10 +38,10 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ordered_parts(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """df laid out by ranges of the order and written, with the number of each row's range in ``part``."""
+def ordered_parts(df: DataFrame, order: Sequence[str], name: str, part: str = "part") -> DataFrame:
+    """df laid out by ranges of the order and written, with the number of each row's range in a column ``part``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), name)
+    return written(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), name)
 
 
 def parts_before(placed: DataFrame, group: str, amount: Column) -> DataFrame:

@@ -22,7 +22,7 @@ def skewed(spark, n=1500):
     """Two thirds of the rows are of one run; runs and values can be null."""
     rng = random.Random(3)
     rows = [(None if rng.random() < 0.05 else "hot" if rng.random() < 0.7 else f"r{rng.randrange(9)}", float(rng.randrange(400)), i, rng.choice([None, None, None, 0, 1, 2, 3])) for i in range(n)]
-    return spark.createDataFrame(rows, "run_id string, clock double, id long, raw_count long")
+    return spark.createDataFrame(rows, "run_id string, clock double, id long, raw_count long").withColumn("part", F.lit("own"))
 
 
 def test_ordered_windows_equal_plain_ones(spark, spread):
@@ -40,15 +40,16 @@ def test_ordered_windows_equal_plain_ones(spark, spread):
         F.first("raw_count", ignorenulls=True).over(down).alias("g"),
     )
     rows = Ordered.of(df, ["run_id"], ["clock", "id"])
-    assert rows.spread and rows.rows.filter("run_id = 'hot'").select("part").distinct().count() > 2
+    assert rows.spread and rows.rows.filter("run_id = 'hot'").select(ordered.PART).distinct().count() > 2
     rows = rows.neighbours(before={"b": F.col("raw_count")}, after={"a": F.col("id")}).running(F.col("raw_count"), "s")
     got = rows.numbered("at", "n").carried(F.col("raw_count"), "f").carried(F.col("raw_count"), "g", back=True).done().select(want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.part for r in rows.done().select("part").collect()} == {"own"} and ordered.PART not in rows.done().columns
 
 
 def test_a_short_run_is_not_laid_out(spark):
     rows = Ordered.of(skewed(spark), ["run_id"], ["clock", "id"])
-    assert not rows.spread and "part" not in rows.done().columns
+    assert not rows.spread and ordered.PART not in rows.done().columns
     assert Ordered.of(skewed(spark).filter("false"), ["run_id"], ["clock", "id"]).running(F.lit(1), "n").done().count() == 0
 
 
