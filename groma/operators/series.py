@@ -260,7 +260,8 @@ def sampler_entries(placed: Ordered, *, step: float, run: str, clock: str) -> Da
         last, now = None, None
         for batch in batches:
             entries = []
-            for key, upto, due in zip(batch[run].tolist(), batch["upto"], batch["due"], strict=True):
+            keys = batch[run].astype(object).where(batch[run].notna(), None).tolist()
+            for key, upto, due in zip(keys, batch["upto"], batch["due"], strict=True):
                 if last is None or key != last[0]:
                     last, now = (key,), None
                 entries.append(None if now is None else json.dumps(now))

@@ -104,6 +104,14 @@ def test_notices_in_ranges_equal_one_fold(spark, monkeypatch):
     assert got() == plain and max(r[-1].count(",") for r in plain) == 2
 
 
+def test_a_null_run_is_one_run(spark, monkeypatch):
+    df = spark.range(900).select(F.when(F.col("id") >= 300, 1.0 * (F.col("id") % 2)).alias("run_id"), (F.col("id") * 0.4).alias("clock"), "id")
+    rows = lambda: sorted(str(tuple(r)) for r in series.sampled(df, step=7.3).collect())
+    plain = rows()
+    monkeypatch.setattr(ordered, "ROWS_IN_A_TASK", 50)
+    assert rows() == plain
+
+
 def test_a_sampler_table_is_the_sampler(spark):
     import numpy as np
 
