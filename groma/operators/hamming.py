@@ -1,19 +1,23 @@
-"""Nearest bit patterns, without comparing all of them.
+"""Nearest bit patterns, without comparing all of them one by one.
 
 Patterns are cut into bands. Two patterns that differ in d bits differ in at most d // bands
 bits of one band at least, so whoever looks up every band with 0, then 1, then 2 bits
 flipped has after the round of s met all patterns within ``bands * (s + 1) - 1`` bits. A
 pattern whose best distance lies within that is done; the others go on. Each band is about as
-wide as the logarithm of the largest group, so that a look-up meets few patterns, and where
-a round would look up more than a group holds, or the group is small, all are compared.
+wide as the logarithm of the largest group, so that a look-up meets few patterns. A look-up
+goes through a join, which costs as much as ``LOOKUP`` comparisons; where a round would cost
+more than comparing all, a group's open patterns are compared with all of it, block by block:
+a task holds two blocks, however large the group is. What is flipped is a table, not part of
+the plan, so neither plans nor the driver grow with the rounds.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, log2
+from math import log2
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groma.sources.scratch import written
@@ -21,6 +25,12 @@ from groma.sources.scratch import written
 WIDTH = 64
 #: Patterns of a group that are compared at once: looking up would not be less work.
 SMALL = 256
+#: Comparisons that take as long as looking up one pattern, or meeting one that way.
+LOOKUP = 200
+#: Pairs that one value of a band may bring about in one task.
+MOST_MET = 10_000_000
+#: Patterns of a block, and comparisons of a block that are held at once.
+BLOCK, CELLS = 16_384, 1 << 19
 
 
 def bands_of(largest: int, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -34,9 +44,54 @@ def band(bits: Column, cut: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(bits, cut[0]).bitwiseAND(F.lit((1 << (cut[1] - cut[0])) - 1))
 
 
-def flips(cut: tuple[int, int], s: int) -> list[int]:
-    """All numbers of the band's width with s bits set."""
-    return [sum(1 << i for i in chosen) for chosen in combinations(range(cut[1] - cut[0]), s)]
+def numbered_bands(bits: Column, cuts: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("band"), band(bits, c).alias("value")) for i, c in enumerate(cuts)])
+
+
+def flips(spark: SparkSession, cuts: list[tuple[int, int]], s: int) -> DataFrame:
+    """band, flip: all numbers of each band's width with s bits set."""
+    widths = [b - a for a, b in cuts]
+    numbers = spark.range(1 << max(widths)).filter(F.bit_count("id") == s)
+    own = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(1 << w).alias("_end")) for i, w in enumerate(widths)])
+    return numbers.select("id", F.inline(own)).filter("id < _end").select("band", F.col("id").alias("flip"))
+
+
+def compared(left: DataFrame, right: DataFrame, sizes: DataFrame, *, within: str) -> DataFrame:
+    """within, bits, _new (distance, to), _n: each pattern of left against all of its group in right, in pairs of blocks.
+
+    right: within, _bits, _to; sizes: within, _size (patterns of right).
+    """
+    kind, group = right.schema["_to"].dataType, right.schema[within].dataType
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    asks = left.groupBy(within).agg(F.count(F.lit(1)).alias("_asks"))
+    counts = asks.join(sizes.select(within, "_size"), within).select(within, blocks("_asks").alias("_rows"), blocks("_size").alias("_columns"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = left.select(within, "bits").join(counts, within).withColumn("_row", own("bits", "_rows")).withColumn("_column", every("_columns"))
+    there = right.join(counts, within).withColumn("_column", own("_bits", "_columns")).withColumn("_row", every("_rows"))
+    # a number of partitions that is asked for stays: the work grows with the square of what is shuffled
+    n, key = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), [within, "_row", "_column"]
+    here, there = (df.select(*key, *names).repartition(n, *key).groupBy(*key) for df, names in ((here, ["bits"]), (there, ["_bits", "_to"])))
+
+    def nearest_in_block(a: pa.Table, b: pa.Table) -> pa.Table:
+        # of equal distances the first counts, that of the least ``to``
+        b = b.sort_by("_to")
+        asked, held = (t.column(c).to_numpy().astype(np.int64).view(np.uint64) for t, c in ((a, "bits"), (b, "_bits")))
+        at, least = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int32)
+        step = max(1, CELLS // max(1, len(held)))
+        for i in range(0, len(asked) if len(held) else 0, step):
+            apart = np.bitwise_count(asked[i : i + step, None] ^ held[None, :])
+            at[i : i + step] = apart.argmin(axis=1)
+            least[i : i + step] = apart[np.arange(len(apart)), at[i : i + step]]
+        if not len(held):
+            a = a.slice(0, 0)
+            at, least = at[:0], least[:0]
+        met = np.full(len(a), len(b), np.int64)
+        return pa.table({within: a.column(within), "bits": a.column("bits"), "distance": pa.array(least), "to": b.column("_to").take(pa.array(at)), "_met": pa.array(met)})
+
+    schema = f"`{within}` {group.simpleString()}, bits long, distance int, to {kind.simpleString()}, _met long"
+    best = here.cogroup(there).applyInArrow(nearest_in_block, schema)
+    return best.groupBy(within, "bits").agg(F.min(F.struct("distance", "to")).alias("_new"), F.sum("_met").alias("_n"))
 
 
 def nearest_patterns(left: DataFrame, right: DataFrame, *, within: str) -> DataFrame:
@@ -45,30 +100,37 @@ def nearest_patterns(left: DataFrame, right: DataFrame, *, within: str) -> DataF
     left: within, bits (distinct); right: within, bits, to (distinct patterns). Groups that
     right lacks give no row. ``compared`` counts the patterns that were met on the way.
     """
-    there = right.select(within, F.col("bits").alias("_bits"), F.col("to").alias("_to"))
+    spark = left.sparkSession
+    there = written(right.select(within, F.col("bits").alias("_bits"), F.col("to").alias("_to")), "patterns")
     sizes = there.groupBy(within).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0]
-    cuts = bands_of(largest or 1)
-    number = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("_bits"), c).alias("value")) for i, c in enumerate(cuts)])
-    posted = there.withColumn("_b", F.explode(number)).select(within, F.col("_b.band").alias("band"), F.col("_b.value").alias("value"), "_bits", "_to")
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    cuts = bands_of(largest)
+    posted = there.select(within, F.inline(numbered_bands(F.col("_bits"), cuts)), "_bits", "_to")
     near = F.min(F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits"))).alias("distance"), F.col("_to").alias("to"))).alias("_new")
     nothing = F.lit(None).cast(f"struct<distance:int,to:{right.schema['to'].dataType.simpleString()}>")
     open_ = written(left.join(sizes, within).withColumn("_best", nothing).withColumn("compared", F.lit(0).cast("long")), "patterns")
-    done, s, probes = [], 0, 0
+    done, s = [], 0
     while not open_.isEmpty():
-        probes += sum(comb(b - a, s) for a, b in cuts)
-        asked = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("bits"), c).bitwiseXOR(F.lit(m)).alias("value")) for i, c in enumerate(cuts) for m in flips(c, s)]) if max(probes, SMALL) < (largest or 0) else None
-        few = F.col("_size") <= max(probes, SMALL)
-        rest = open_.filter(few)
-        met = rest.select(within, "bits").join(there, within)
-        if asked is not None:
-            looked = open_.filter(~few).withColumn("_b", F.explode(asked)).select(within, "bits", F.col("_b.band").alias("band"), F.col("_b.value").alias("value"))
-            met = met.unionByName(looked.join(posted, [within, "band", "value"]).drop("band", "value"))
-        found = met.groupBy(within, "bits").agg(near, F.count(F.lit(1)).alias("_n"))
+        probes = flips(spark, cuts, s).count() if s < max(b - a for a, b in cuts) else largest
+        found, few = None, F.lit(True)
+        if max(probes * LOOKUP, SMALL) < largest:
+            asked = open_.select(within, "bits", F.inline(numbered_bands(F.col("bits"), cuts))).join(F.broadcast(flips(spark, cuts, s)), "band").withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
+            key = [within, "band", "value"]
+            # what looking up would meet, before anything is met
+            hits = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_a")).join(posted.groupBy(*key).agg(F.count(F.lit(1)).alias("_p")), key)
+            hits = hits.groupBy(within).agg(F.sum(F.col("_a") * F.col("_p")).alias("_pairs"), F.max(F.col("_a") * F.col("_p")).alias("_most"))
+            costs = open_.groupBy(within).agg(F.count(F.lit(1)).alias("_asks"), F.first("_size").alias("_of")).join(hits, within, "left").na.fill(0, ["_pairs", "_most"])
+            dear = (F.col("_of") <= SMALL) | ((F.col("_pairs") + F.col("_asks") * probes) * LOOKUP >= F.col("_asks") * F.col("_of")) | (F.col("_most") > MOST_MET)
+            open_ = written(open_.join(costs.select(within, dear.alias("_few")), within), "patterns")
+            few = F.col("_few")
+            met = asked.join(open_.filter(~few).select(within, "bits"), [within, "bits"], "left_semi").join(posted, key)
+            found = met.groupBy(within, "bits").agg(near, F.count(F.lit(1)).alias("_n"))
+        whole = compared(open_.filter(few), there, sizes, within=within)
+        found = whole if found is None else whole.unionByName(found)
         best = F.least(F.col("_best"), F.col("_new"))
         after = open_.join(found, [within, "bits"], "left").withColumn("_best", best).withColumn("compared", F.col("compared") + F.coalesce("_n", F.lit(0)))
         proved = few | F.coalesce(F.col("_best.distance") <= len(cuts) * (s + 1) - 1, F.lit(False))
-        after = written(after.withColumn("_proved", proved).drop("_new", "_n"), "patterns")
+        after = written(after.withColumn("_proved", proved).drop("_new", "_n", "_few"), "patterns")
         done.append(after.filter("_proved"))
         open_, s = after.filter(~F.col("_proved")).drop("_proved"), s + 1
     found = [d.select(within, "bits", F.col("_best.distance").alias("distance"), F.col("_best.to").alias("to"), "compared") for d in done]

@@ -50,6 +50,22 @@ def test_few_patterns_are_compared(spark):
     assert sum(r.compared for r in got) <= 0.05 * len(held) * len(got)
 
 
+def test_far_patterns_are_compared_once_with_their_group(spark, monkeypatch):
+    """Random patterns, none of them near: after a first look-up each meets its group once, in blocks, and no further round makes work or plans."""
+    monkeypatch.setattr(hamming, "BLOCK", 700)
+    rng = np.random.default_rng(5)
+    held = {g: np.unique(rng.integers(-(2**63), 2**63, 3000)) for g in ("g", "h")}
+    asked = {g: np.unique(rng.integers(-(2**63), 2**63, 900)) for g in ("g", "h")}
+    right = spark.createDataFrame([(g, int(x), f"n{i:05}") for g in held for i, x in enumerate(held[g].tolist())], "g string, bits long, to string")
+    left = spark.createDataFrame([(g, int(x)) for g in asked for x in asked[g].tolist()], "g string, bits long")
+    got = {(r.g, r.bits): r for r in hamming.nearest_patterns(left, right, within="g").collect()}
+    for g in held:
+        apart = np.bitwise_count(asked[g].view(np.uint64)[:, None] ^ held[g].view(np.uint64)[None, :])
+        want = {(g, int(x)): (int(apart[i].min()), f"n{apart[i].argmin():05}") for i, x in enumerate(asked[g].tolist())}
+        assert want == {k: (r.distance, r.to) for k, r in got.items() if k[0] == g}
+    assert max(r.compared for r in got.values()) <= 1.1 * 3000
+
+
 def test_an_empty_side_has_no_nearest(spark):
     none = spark.createDataFrame([], "key long, camera string, bits long")
     one = spark.createDataFrame([(1, "a", 3)], "key long, camera string, bits long")
