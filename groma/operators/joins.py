@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groma.operators.ordered import Ordered
 
+#: Rows of a block of bit patterns, and comparisons of a block that are held at once.
+HAMMING_BLOCK, HAMMING_CELLS = 8192, 1 << 19
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, *, key: str, at: str, starts: str, ends: str, width: int) -> DataFrame:
     """Points with the intervals [starts, ends) that hold them, by equal keys and numbered stretches of time.
@@ -51,22 +56,50 @@ def hamming_pairs(df: DataFrame, *, key: str, bits: str, most: int, width: int =
 
     The bits are cut into most + 1 bands; such a pair is equal in one of them at least, so
     only patterns with a band in common are compared, each pair under its first common band.
-    Distinct patterns are compared, and their pairs joined with the keys that have them.
+    The rows of a band's value are dealt into blocks, and each two blocks are a group of
+    their own: a task holds two blocks, and its pairs leave it in small batches.
     """
     n = most + 1
     cuts = [width * i // n for i in range(n + 1)]
-    band = lambda c, i: F.shiftright(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    rows = df.select(F.col(key).alias("_key"), F.col(bits).alias("_bits"))
-    posted = rows.select("_bits").distinct().select("_bits", F.posexplode(F.array(*[band(F.col("_bits"), i) for i in range(n)])).alias("_band", "_value"))
-    x, y = (posted.select(F.col("_bits").alias(c), "_band", "_value") for c in ("_x", "_y"))
-    differs = F.col("_x").bitwiseXOR(F.col("_y"))
-    first = F.coalesce(*[F.when(band(differs, i) == 0, i) for i in range(n)])
-    met = x.join(y, ["_band", "_value"]).filter("_x <= _y").withColumn("distance", F.bit_count(differs))
-    near = met.filter((F.col("distance") <= most) & (F.col("_band") == first)).select("_x", "_y", "distance")
-    left, right = (rows.select(F.col("_key").alias(k), F.col("_bits").alias(c)) for k, c in (("_p", "_x"), ("_q", "_y")))
-    # of equal patterns each pair comes from both sides
-    pairs = near.join(left, "_x").join(right, "_y").filter((F.col("_p") < F.col("_q")) | (F.col("_p") > F.col("_q")) & (F.col("_x") != F.col("_y")))
-    return pairs.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "distance")
+    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    band = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("_key"), F.col(bits).alias("_bits")).filter("_key is not null and _bits is not null")
+    posted = rows.select("_key", "_bits", F.posexplode(F.array(*[band(F.col("_bits"), i) for i in range(n)])).alias("_band", "_value"))
+    blocks = posted.groupBy("_band", "_value").agg(F.ceil(F.count(F.lit(1)) / HAMMING_BLOCK).cast("int").alias("_blocks"))
+    own = posted.join(blocks, ["_band", "_value"]).withColumn("_own", F.pmod(F.xxhash64("_key", "_bits"), F.col("_blocks")).cast("int"))
+    other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    group = ["_band", "_value", "_row", "_column"]
+    placed = other.select("_band", "_value", F.least("_own", "_other").alias("_row"), F.greatest("_own", "_other").alias("_column"), "_own", "_key", "_bits")
+    # a number of partitions that is asked for stays: the work grows with the square of what is shuffled
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        at, row, column = (held.column(c)[0].as_py() for c in ("_band", "_row", "_column"))
+        there = held.column("_own").to_numpy()
+        keys, all_bits = held.column("_key").combine_chunks(), held.column("_bits").to_numpy().astype(np.int64).view(np.uint64)
+        if width <= 32:
+            all_bits = all_bits.astype(np.uint32)
+        left, right = np.flatnonzero(there == row), np.flatnonzero(there == column)
+        step = max(1, HAMMING_CELLS // max(1, len(right)))
+        for i in range(0, len(left), step):
+            some = left[i : i + step]
+            # within one block, each two rows meet once
+            rest = right[i:] if row == column else right
+            apart = np.bitwise_count(all_bits[some, None] ^ all_bits[None, rest])
+            x, y = np.nonzero(apart <= most)
+            if row == column:
+                x, y = x[y > x], y[y > x]
+            differs = all_bits[some[x]] ^ all_bits[rest[y]]
+            first = np.ones(len(x), bool)
+            for mask in masks[:at]:
+                first &= (differs & differs.dtype.type(mask)) != 0
+            x, y = x[first], y[first]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(some[x])), keys.take(pa.array(rest[y])), pa.array(apart[x, y].astype(np.int32))], ["_p", "_q", "distance"])
+
+    found = placed.repartition(parts, *group).groupBy(*group).applyInArrow(near, f"_p {kind}, _q {kind}, distance int")
+    return found.filter("_p <> _q").select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "distance")
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, *, key: str, at: str, value: str) -> DataFrame:

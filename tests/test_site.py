@@ -25,6 +25,16 @@ def test_hamming_pairs_against_brute_force(spark):
     assert got == {(a, b): d for a, x in rows for b, y in rows if a < b and (d := (x ^ y).bit_count()) <= 4}
 
 
+def test_hamming_pairs_of_one_frequent_band(spark, monkeypatch):
+    """Rows that agree in a band are spread over blocks: no group of rows holds them all, and each pair comes once."""
+    monkeypatch.setattr(joins, "HAMMING_BLOCK", 50)
+    rng = random.Random(4)
+    rows = [(i, rng.getrandbits(6) << 18) for i in range(300)] + [(300 + i, rng.getrandbits(24)) for i in range(100)]
+    found = joins.hamming_pairs(spark.createDataFrame(rows, "id long, bits long"), key="id", bits="bits", most=4, width=24)
+    got = [(r.a, r.b, r.distance) for r in found.collect()]
+    assert sorted(got) == sorted((a, b, d) for a, x in rows for b, y in rows if a < b and (d := (x ^ y).bit_count()) <= 4)
+
+
 def test_hamming_pairs_of_all_64_signs(spark):
     rng = random.Random(6)
     base = [[rng.choice([-1.0, 1.0]) for _ in range(64)] for _ in range(6)]
