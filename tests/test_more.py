@@ -66,6 +66,21 @@ def test_far_patterns_are_compared_once_with_their_group(spark, monkeypatch):
     assert max(r.compared for r in got.values()) <= 1.1 * 3000
 
 
+def test_nearest_keys_by_several_rounds_of_looking_up(spark, monkeypatch):
+    """Where looking up costs nothing, the rounds go on; what is flipped in them is read from a table, however many there are."""
+    monkeypatch.setattr(hamming, "LOOKUP", 1)
+    monkeypatch.setattr(hamming, "SMALL", 0)
+    rounds, flips = [], hamming.flips
+    monkeypatch.setattr(hamming, "flips", lambda spark, cuts, s: rounds.append(s) or flips(spark, cuts, s))
+    rng = random.Random(8)
+    held = [(1000 + i, "c", signed(rng.getrandbits(64))) for i in range(2000)]
+    asked = [(i, "c", signed((held[i][2] & (1 << 64) - 1) ^ sum(1 << b for b in rng.sample(range(64), i % 13)))) for i in range(60)]
+    schema = "key long, camera string, bits long"
+    got = {r.key: (r.distance, r.nearest) for r in hamming.nearest(spark.createDataFrame(asked, schema), spark.createDataFrame(held, schema), key="key", bits="bits", within="camera").collect()}
+    assert got == {k: min((((b ^ x) & (1 << 64) - 1).bit_count(), r) for r, _, x in held) for k, _, b in asked}
+    assert max(rounds) >= 1
+
+
 def test_an_empty_side_has_no_nearest(spark):
     none = spark.createDataFrame([], "key long, camera string, bits long")
     one = spark.createDataFrame([(1, "a", 3)], "key long, camera string, bits long")
