@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .merging import Merger, list_array, slices
+from .merging import Merger, list_array, sliced
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces remembered in a worker and their greatest length, characters of a stretch.
@@ -136,11 +136,10 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(*held.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids = own.encode(texts[a:b])
+            for a, texts in sliced(batch.column(1)):
+                ids = own.encode(texts)
                 decoded = pa.array([own.decode(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_array(ids), decoded], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), list_array(ids), decoded], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, SCHEMA)
 

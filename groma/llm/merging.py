@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cells of a matrix, and symbols of its longest row.
 CELLS, LONG = 1 << 20, 2048
@@ -187,16 +188,22 @@ def in_order(own: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(begins - (ends - size), size) + np.arange(len(flat))], size
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of slices of at most SLICE_ROWS texts and, but for a single text, SLICE_CHARS characters."""
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of at most SLICE_ROWS texts of these sizes and, but for a single text, SLICE_CHARS characters."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and (i - start >= SLICE_ROWS or size + len(text) > SLICE_CHARS):
+    for i, own in enumerate(sizes):
+        if i > start and (i - start >= SLICE_ROWS or size + own > SLICE_CHARS):
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if texts:
-        yield start, len(texts)
+        size += own
+    if sizes:
+        yield start, len(sizes)
+
+
+def sliced(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where each slice of a column of texts begins, and its texts, null as empty; only one slice is held as Python strings."""
+    for a, b in slices(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+        yield a, [x or "" for x in column.slice(a, b - a).to_pylist()]
 
 
 def list_array(lists: list) -> pa.ListArray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .merging import Merger, list_array, slices
+from .merging import Merger, list_array, sliced
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -132,9 +132,9 @@ class Vocabulary:
     def forget(self) -> None:
         self.known, self.flat, self.sizes = {}, bytearray(), bytearray()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[np.ndarray]:
         """Ids of each text of a slice, the end id last."""
-        if len(self.known) > REMEMBERED or len(self.flat) > REMEMBERED_BYTES:
+        if len(self.known) > remembered or len(self.flat) > REMEMBERED_BYTES:
             self.forget()
         cut = [self.stretch.findall(self.prefix + text.replace(SPACE, " ")) if text else [] for text in texts]
         counts = [len(parts) for parts in cut]
@@ -169,21 +169,23 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: bytes | None = None) -> DataFrame:
-    """doc_id, ids (end id last), decoded text, and whether the library gives the same ids. The model travels as bytes: executors need no file."""
+def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: bytes | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, ids (end id last), decoded text, and whether the library gives the same ids. The model travels as bytes: executors need no file.
+
+    remembered: stretches that a worker remembers between slices; fewer take less memory and more time, and change no result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model or model_bytes())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(held.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids = own.encode(texts[a:b])
-                theirs = own.library.encode(texts[a:b], add_eos=True, num_threads=1, return_type="numpy")
+            for a, texts in sliced(batch.column(1)):
+                ids = own.encode(texts, remembered)
+                theirs = own.library.encode(texts, add_eos=True, num_threads=1, return_type="numpy")
                 agrees = [np.array_equal(x, y) for x, y in zip(ids, theirs, strict=True)]
                 decoded = [own.library.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), list_array(ids), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
+                    [batch.column(0).slice(a, len(texts)), list_array(ids), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"],
                 )
 

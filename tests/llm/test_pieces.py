@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 pieces = pytest.importorskip("groma.llm.pieces")
@@ -35,3 +36,24 @@ def test_table_with_nulls_repeats_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert pieces.digests(pieces.encode(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_a_batch_becomes_strings_slice_by_slice():
+    from groma.llm import merging
+
+    texts = ["é" * (i % 7) if i % 11 else None for i in range(600)]
+    found = list(merging.sliced(pa.array(texts, pa.string())))
+    assert [a for a, _ in found] == [0, 256, 512] and max(len(x) for _, x in found) <= merging.SLICE_ROWS
+    assert [x for _, some in found for x in some] == [x or "" for x in texts]
+    assert [len(x) for _, x in merging.sliced(pa.array(["a" * merging.SLICE_CHARS, "b", None]))] == [1, 2]
+    assert list(merging.sliced(pa.array([], pa.string()))) == []
+
+
+def test_remembering_less_changes_no_ids():
+    own = pieces.vocabulary(pieces.model_bytes())
+    texts = [f"Word{i} and {i * 7} more, été  {chr(1040 + i % 30)}x" for i in range(300)]
+    whole = [x.tolist() for x in own.encode(texts)]
+    own.forget()
+    few = [x.tolist() for i in range(0, 300, 20) for x in own.encode(texts[i : i + 20], 10)]
+    assert few == whole and len(own.known) < 200
+    own.forget()
