@@ -89,12 +89,16 @@ def _repaired(placed: DataFrame, counts: DataFrame, kinds: list, splits: Sequenc
     """placed with components moved to splits that lack a class; a few rows a round, at most one move for each class and split."""
     wide = [r.kind for r in sorted(kinds, key=lambda r: (r.components, str(r.kind))) if r.components >= LEAST_COMPONENTS]
     moved: dict[object, str] = {}
+    now, held, there = placed, None, set()
     for kind in wide:
         for split in reversed(splits):
-            now = _moved(placed, moved)
-            held = counts.join(now, "component").filter("kind is not null").groupBy("kind", "split").agg(F.sum("n").alias("held"))
-            held = written(held, "held")
-            if held.filter((F.col("kind") == F.lit(kind)) & (F.col("split") == split)).head():
+            if held is None:
+                # what splits hold changes with a move alone, so it is worked out again only then
+                now = _moved(placed, moved)
+                held = counts.join(now, "component").filter("kind is not null").groupBy("kind", "split").agg(F.sum("n").alias("held"))
+                held = written(held, "held")
+                there = {(r.kind, r.split) for r in held.select("kind", "split").collect()}
+            if (kind, split) in there:
                 continue
             mine = counts.join(now, "component").join(held, ["kind", "split"])
             spare = mine.withColumn("last", (F.col("held") <= F.col("n")) & F.col("kind").isin(wide))
@@ -102,6 +106,7 @@ def _repaired(placed: DataFrame, counts: DataFrame, kinds: list, splits: Sequenc
             found = whole.filter(F.col("has") & ~F.col("last") & (F.col("split") != split)).orderBy("weight", "component").head()
             if found:
                 moved[found.component] = split
+                held = None
     return _moved(placed, moved)
 
 

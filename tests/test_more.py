@@ -88,6 +88,17 @@ def test_an_empty_side_has_no_nearest(spark):
     assert hamming.nearest(one, none, key="key", bits="bits", within="camera").count() == 0
 
 
+def test_splits_without_moves_are_counted_once(spark, monkeypatch):
+    """What splits hold of the classes is one table, not one for each class and split, as long as nothing moves."""
+    names, own = [], splits.written
+    monkeypatch.setattr(splits, "written", lambda df, name: names.append(name) or own(df, name))
+    rows = [(i, f"k{j}", 1 + (i + j) % 3, 20) for i in range(300) for j in range(4) if (i + j) % 2]
+    counts = spark.createDataFrame(rows, "component long, class_id string, n long, weight long")
+    found = splits.assigned(counts, shares=[("train", 0.75), ("val", 0.15), ("test", 0.1)]).collect()
+    assert len(found) == len({r.component for r in found}) == 300
+    assert names.count("held") == 1
+
+
 def test_every_split_has_every_class_and_its_share(spark):
     rng = random.Random(8)
     rows, sizes = [], {}
