@@ -8,7 +8,9 @@ wide as the logarithm of the largest group, so that a look-up meets few patterns
 goes through a join, which costs as much as ``LOOKUP`` comparisons; where a round would cost
 more than comparing all, a group's open patterns are compared with all of it, block by block:
 a task holds two blocks, however large the group is. What is flipped is a table, not part of
-the plan, so neither plans nor the driver grow with the rounds.
+the plan, so neither plans nor the driver grow with the rounds. Tables of patterns are joined
+by sorting: written, they look small enough to be broadcast, but take thirty times as much
+memory in the driver. What is broadcast has a row for each group or flip.
 """
 
 from __future__ import annotations
@@ -56,6 +58,11 @@ def flips(spark: SparkSession, cuts: list[tuple[int, int]], s: int) -> DataFrame
     return numbers.select("id", F.inline(own)).filter("id < _end").select("band", F.col("id").alias("flip"))
 
 
+def by_sorting(patterns: DataFrame) -> DataFrame:
+    """A table that grows with the patterns is never broadcast, however small it is thought to be."""
+    return patterns.hint("merge")
+
+
 def compared(left: DataFrame, right: DataFrame, sizes: DataFrame, *, within: str) -> DataFrame:
     """within, bits, _new (distance, to), _n: each pattern of left against all of its group in right, in pairs of blocks.
 
@@ -117,18 +124,18 @@ def nearest_patterns(left: DataFrame, right: DataFrame, *, within: str) -> DataF
             asked = open_.select(within, "bits", F.inline(numbered_bands(F.col("bits"), cuts))).join(F.broadcast(flips(spark, cuts, s)), "band").withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
             key = [within, "band", "value"]
             # what looking up would meet, before anything is met
-            hits = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_a")).join(posted.groupBy(*key).agg(F.count(F.lit(1)).alias("_p")), key)
+            hits = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_a")).join(by_sorting(posted.groupBy(*key).agg(F.count(F.lit(1)).alias("_p"))), key)
             hits = hits.groupBy(within).agg(F.sum(F.col("_a") * F.col("_p")).alias("_pairs"), F.max(F.col("_a") * F.col("_p")).alias("_most"))
             costs = open_.groupBy(within).agg(F.count(F.lit(1)).alias("_asks"), F.first("_size").alias("_of")).join(hits, within, "left").na.fill(0, ["_pairs", "_most"])
             dear = (F.col("_of") <= SMALL) | ((F.col("_pairs") + F.col("_asks") * probes) * LOOKUP >= F.col("_asks") * F.col("_of")) | (F.col("_most") > MOST_MET)
             open_ = written(open_.join(costs.select(within, dear.alias("_few")), within), "patterns")
             few = F.col("_few")
-            met = asked.join(open_.filter(~few).select(within, "bits"), [within, "bits"], "left_semi").join(posted, key)
+            met = asked.join(by_sorting(open_.filter(~few).select(within, "bits")), [within, "bits"], "left_semi").join(by_sorting(posted), key)
             found = met.groupBy(within, "bits").agg(near, F.count(F.lit(1)).alias("_n"))
         whole = compared(open_.filter(few), there, sizes, within=within)
         found = whole if found is None else whole.unionByName(found)
         best = F.least(F.col("_best"), F.col("_new"))
-        after = open_.join(found, [within, "bits"], "left").withColumn("_best", best).withColumn("compared", F.col("compared") + F.coalesce("_n", F.lit(0)))
+        after = open_.join(by_sorting(found), [within, "bits"], "left").withColumn("_best", best).withColumn("compared", F.col("compared") + F.coalesce("_n", F.lit(0)))
         proved = few | F.coalesce(F.col("_best.distance") <= len(cuts) * (s + 1) - 1, F.lit(False))
         after = written(after.withColumn("_proved", proved).drop("_new", "_n", "_few"), "patterns")
         done.append(after.filter("_proved"))
@@ -148,7 +155,7 @@ def nearest(left: DataFrame, right: DataFrame, *, key: str, bits: str, within: s
     here = left.filter(F.col(bits).isNotNull())
     found = nearest_patterns(here.select(within, F.col(bits).alias("bits")).distinct(), there, within=within)
     rows = here.select(F.col(key).alias("_key"), F.col(within).alias("_within"), F.col(bits).alias("_own"))
-    return rows.join(found, (F.col("_within") == F.col(within)) & (F.col("_own") == F.col("bits"))).select(F.col("_key").alias(key), "distance", F.col("to").alias("nearest"))
+    return rows.join(by_sorting(found), (F.col("_within") == F.col(within)) & (F.col("_own") == F.col("bits"))).select(F.col("_key").alias(key), "distance", F.col("to").alias("nearest"))
 
 
 def diagnostics(pairs: DataFrame, *, within: str, clock: str, near_clock: str, steps: dict[str, float], least: tuple[int, ...] = (0, 2, 4)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import csv
 import random
+import re
 import uuid
 
 import numpy as np
@@ -66,6 +67,22 @@ def test_far_patterns_are_compared_once_with_their_group(spark, monkeypatch):
     assert max(r.compared for r in got.values()) <= 1.1 * 3000
 
 
+def test_tables_of_patterns_are_not_broadcast(spark, monkeypatch):
+    """They grow with the input; the driver would hold them whole."""
+    monkeypatch.setattr(hamming, "LOOKUP", 1)
+    monkeypatch.setattr(hamming, "SMALL", 0)
+    plans, written = [], hamming.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(hamming, "written", lambda df, name: written(plan(df), name))
+    rng = np.random.default_rng(6)
+    held = spark.createDataFrame([(i, "c", int(x)) for i, x in enumerate(rng.integers(-(2**63), 2**63, 500))], "key long, camera string, bits long")
+    asked = held.filter("key % 50 = 0")
+    got = plan(hamming.nearest(asked, held, key="key", bits="bits", within="camera")).collect()
+    assert [(r.distance, r.nearest) for r in got] == [(0, r.key) for r in got] and len(got) == 10
+    keys = [k for p in plans for k in re.findall(r"BroadcastHashJoin \[(.*?)\], \[", p)]
+    assert keys and not [k for k in keys if re.search("bits|value|_own", k)]
+
+
 def test_nearest_keys_by_several_rounds_of_looking_up(spark, monkeypatch):
     """Where looking up costs nothing, the rounds go on; what is flipped in them is read from a table, however many there are."""
     monkeypatch.setattr(hamming, "LOOKUP", 1)
