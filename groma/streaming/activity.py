@@ -16,13 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterator, Mapping
 from dataclasses import dataclass
-from math import hypot, isfinite
+from math import ceil, hypot, isfinite
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from groma.streaming.tracks import Box, Track, Tracker, clipped, correlation, foot, iou, numbered, stretches
+from groma.streaming.tracks import Box, Track, Tracker, at_once, clipped, correlation, foot, in_order, in_stretches, iou, numbered, plain, published, stretches
 
 #: Seconds, pixels and shares of the frame.
 LONGEST_HOLD, LONGEST_MECHANISM, RECHECK_MOBILE, RECHECK_STATIONARY = 30.0, 20.0, 10.0, 30.0
@@ -65,8 +65,8 @@ class Picture:
         cells = np.asarray(grid, np.float64).reshape(-1, self.grid_width)
         across, down = self.grid_width / self.width, len(cells) / self.height
         x1, y1, x2, y2 = region
-        part = cells[int(y1 * down) : max(int(y1 * down) + 1, int(np.ceil(y2 * down))), int(x1 * across) : max(int(x1 * across) + 1, int(np.ceil(x2 * across)))]
-        return float(part.mean())
+        part = cells[int(y1 * down) : max(int(y1 * down) + 1, ceil(y2 * down)), int(x1 * across) : max(int(x1 * across) + 1, ceil(x2 * across))]
+        return float(np.add.reduce(part, axis=None) / part.size)
 
     def clear(self, region: Region) -> bool:
         return DARKEST <= self.mean(self.brightness, region) <= BRIGHTEST and self.mean(self.spread, region) >= LEAST_SPREAD
@@ -105,6 +105,17 @@ class Evidence:
     working_until: float = float("-inf")
     mechanism_until: float = float("-inf")
 
+    @classmethod
+    def anew(cls, reason: str) -> Evidence:
+        """Evidence(reason); what is not known yet is read from the class, so that nothing is set for each of many tracks."""
+        made = cls.__new__(cls)
+        made.reason = reason
+        return made
+
+    def become(self, other: Evidence) -> None:
+        self.__dict__.clear()
+        self.__dict__.update(other.__dict__)
+
     def unlinked(self) -> None:
         """A held track's region was not seen to stay quiet: no evidence goes on from here, what it did before stays."""
         self.region = self.looked = self.quiet_since = None
@@ -124,7 +135,7 @@ class Analyzer:
         self.compared = False
 
     def restart(self, reason: str) -> None:
-        self.known = {number: Evidence(reason) for number in self.known}
+        self.known = {number: Evidence.anew(reason) for number in self.known}
 
     def invalidate(self) -> None:
         """A frame that cannot be used: nothing goes on across it."""
@@ -156,13 +167,14 @@ class Analyzer:
                 track.shaken()
             return
         self.compared = True
-        self.known = {t.number: self.known.get(t.number) or Evidence() for t in tracks}
+        before, self.known = self.known, {}
         for track in tracks:
+            self.known[track.number] = e = before.get(track.number) or Evidence.anew(NO_VIDEO)
             if not track.trusted or track.missed:
-                self.look_for_lost(self.known[track.number], clock, picture)
+                self.look_for_lost(e, clock, picture)
             else:
                 others = [t.box for t in tracks if t is not track]
-                reason = self.look_at(self.known[track.number], track, others, clock, picture, VIDEO_GAP if after_gap else None)
+                reason = self.look_at(e, track, others, clock, picture, VIDEO_GAP if after_gap else None)
                 if reason:
                     self.known[track.number] = Evidence(reason) if reason != DRIVING else Evidence(DRIVING, drove_at=track.clock, working_until=clock + self.hold)
 
@@ -202,12 +214,12 @@ class Analyzer:
             else:
                 begin = Evidence(ELSEWHERE)
         if begin is not e:
-            e.__dict__.update(begin.__dict__)
+            e.become(begin)
         if not picture.clear(region):
             return UNCLEAR
         if e.region is None or e.looked is None or clock - e.looked > self.roi_gap:
             if e.recheck_since is None:
-                e.__dict__.update(Evidence(gap or e.reason, quiet_since=clock).__dict__)
+                e.become(Evidence(gap or e.reason, quiet_since=clock))
             elif e.quiet_since is None:
                 e.quiet_since, e.unseen = clock, 0.0
             e.hits = 0
@@ -297,48 +309,49 @@ def activity(frames: DataFrame, *, sample: float, publish: float = 0.35, max_gap
     frames: the columns of ``FRAME`` and ``FOUND``, a row for each detection; a frame without
     any has one row with a null ``row``. Frames lie between those of the detector too (detects
     false): evidence is gathered on all of them. Where ``max_interframe`` is given, neither
-    tracks nor evidence go on across it, and a run's stretches are folded side by side.
+    tracks nor evidence go on across it, and a long run's stretches are folded side by side.
     """
     columns = ["run_id", "stretch", *FRAME[1:], *FOUND]
+    made = f"stretch long, {OUT}"
     groups, checkable = dict(groups or {}), frozenset(checkable)
     # evidence ends at the video's own gap, which must not be the longer one
     gap = None if max_interframe is None else max(max_interframe, Analyzer(sample=sample).frame_gap)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         camera, at, held = None, None, []
-        n = len(FRAME) + 1
+        n = len(FRAME) - 2
 
         def closed() -> list[tuple]:
             first = held[0]
-            picture = Picture(*first[5:n]) if first[4] else None
-            found = [x[n:] for x in held if not pd.isna(x[n])]
-            shown = camera.frame(at[2], picture, [(r[1], r[2], tuple(r[3:7]), r[7]) for r in found] if first[3] else None)
+            picture = Picture(*first[2:n]) if first[1] else None
+            found = [x[n:] for x in held if x[n] is not None]
+            shown = camera.frame(at[2], picture, [(r[1], r[2], tuple(r[3:7]), r[7]) for r in found] if first[0] else None)
             out = []
             for i, t, observed, what, basis in shown:
                 box = tuple(found[i][3:7]) if observed else clipped(t.ahead(at[2]))
-                out.append((at[1], at[0], at[2], int(found[i][0]) if observed else None, t.number, t.kind, found[i][2] if observed else t.score, *box, observed, t.missed, t.motion() if observed else "unknown", what, basis))
+                out.append((at[1], at[0], at[2], found[i][0] if observed else None, t.number, t.kind, found[i][2] if observed else t.score, *box, observed, t.missed, t.motion() if observed else "unknown", what, basis))
             return out
 
         for batch in batches:
             out: list[tuple] = []
-            for values in zip(*(batch[c].tolist() for c in columns), strict=True):
-                if values[:3] != at:
+            for now, *values in zip(at_once(batch, columns[:3]), *(plain(batch.column(c)) for c in columns[3:]), strict=True):
+                if now != at:
                     if at is not None:
                         out += closed()
-                    if at is None or at[:2] != values[:2]:
+                    same = at is not None and at[:2] == now[:2]
+                    if not same or (gap is not None and now[2] - at[2] > gap):
+                        before = camera.tracker.next_number if same else 1
                         analyzer = Analyzer(sample=sample, idle_after=idle_after, max_gap=max_gap, groups=groups, checkable=checkable, moved_share=moved_share)
-                        analyzer.last = None if values[1] == 0 else float("-inf")
+                        analyzer.last = None if now[1] == 0 and not same else float("-inf")
                         camera = Camera(Tracker(publish=publish, max_gap=max_gap, grace=grace, max_interframe=max_interframe), analyzer)
-                    at, held = values[:3], []
+                        camera.tracker.next_number = before
+                    at, held = now, []
                 held.append(values)
-            yield _rows(out)
+            yield published(out, made)
         if at is not None:
-            yield _rows(closed())
-
-    rows = stretches(frames.select(*FRAME, *FOUND), gap).select(*columns)
-    found = rows.repartition("run_id", "stretch").sortWithinPartitions("run_id", "stretch", "clock", "row").mapInPandas(fold, f"stretch long, {OUT}")
-    return numbered(found, gap)
-
+            yield published(closed(), made)
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["stretch", *[x.split()[0] for x in OUT.split(", ")]]).astype({"row": "Int64"})
+    side_by_side = gap if in_stretches(frames, gap) else None
+    rows = stretches(frames.select(*FRAME, *FOUND), side_by_side).select(*columns)
+    found = in_order(rows).mapInArrow(fold, made)
+    return numbered(found, side_by_side)
