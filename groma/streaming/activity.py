@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from groma.streaming.tracks import Box, Track, Tracker, at_once, clipped, correlation, foot, in_order, in_stretches, iou, numbered, plain, published, stretches
+from groma.streaming.tracks import Box, Track, Tracker, at_once, clipped, correlation, foot, in_order, in_stretches, iou, numbered, published, stretches
 
 #: Seconds, pixels and shares of the frame.
 LONGEST_HOLD, LONGEST_MECHANISM, RECHECK_MOBILE, RECHECK_STATIONARY = 30.0, 20.0, 10.0, 30.0
@@ -334,7 +334,7 @@ def activity(frames: DataFrame, *, sample: float, publish: float = 0.35, max_gap
 
         for batch in batches:
             out: list[tuple] = []
-            for now, *values in zip(at_once(batch, columns[:3]), *(plain(batch.column(c)) for c in columns[3:]), strict=True):
+            for now, values in zip(at_once(batch, columns[:3]), at_once(batch, columns[3:]), strict=True):
                 if now != at:
                     if at is not None:
                         out += closed()
