@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 
 @dataclass
@@ -18,6 +18,9 @@ class Alert:
     above: bool = False
     version: int = 0
 
+    def now(self) -> Alert:
+        return Alert(self.episode, self.first_seen, self.last_seen, self.status, self.duration, self.critical_duration, self.above, self.version)
+
     def step(self, clock: float, kind: str, above: bool, allowed: float, visible_after: float) -> list[Alert]:
         """Takes one sample; returns the states to publish (an interrupted episode, and the one that is current)."""
         live, before = self.status in ("open", "unknown"), []
@@ -26,16 +29,16 @@ class Alert:
             if live:
                 self.status = "resolved" if kind == "C" else "interrupted"
                 self.last_seen = clock if kind == "C" else self.last_seen
-            return [Alert(**asdict(self))] if live else []
+            return [self.now()] if live else []
         gap = clock - self.last_seen
         if not (live and 0 <= gap <= allowed):
             if live:
                 self.status = "interrupted"
-                before = [Alert(**asdict(self))]
+                before = [self.now()]
             self.episode, self.first_seen, self.duration, self.critical_duration = self.episode + 1, clock, 0.0, 0.0
         else:
             self.duration += gap
             self.critical_duration = self.critical_duration + gap if above and self.above else 0.0
         self.last_seen, self.above = clock, above
         self.status = "open" if self.duration >= visible_after else "unknown"
-        return [*before, Alert(**asdict(self))]
+        return [*before, self.now()]

@@ -32,11 +32,14 @@ RUN = "attempt long, first double, last double, samples long, closed boolean, ve
 RUNS = "source string, attempt long, first double, last double, samples long, closed boolean, version long"
 
 
-def sorted_samples(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's samples of one batch by clock; a batch is bounded by the source's rows per trigger."""
-    parts = [r for r in rows if len(r)]
-    whole = pd.concat(parts, ignore_index=True) if len(parts) != 1 else parts[0]
-    return whole.iloc[np.argsort(whole["clock"].to_numpy(), kind="stable")]
+def sorted_samples(rows: Iterator[pd.DataFrame], *more: str) -> list[tuple]:
+    """A key's samples of one batch by clock (clock and further columns); a batch is bounded by the source's rows per trigger."""
+    samples = [x for r in rows for x in zip(r["clock"].tolist(), *(r[c].tolist() for c in more), strict=True)]
+    return [samples[i] for i in np.argsort(np.array([x[0] for x in samples], np.float64), kind="stable").tolist()]
+
+
+def batch_of(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip((x.split()[0] for x in schema.split(", ")), zip(*rows, strict=True), strict=True)))
 
 
 class Timed(StatefulProcessor):
@@ -45,8 +48,9 @@ class Timed(StatefulProcessor):
     def __init__(self, quiet: float, keep: float):
         self.quiet, self.keep = quiet, keep
 
-    def after(self, seconds: float) -> None:
-        for at in self.handle.listTimers():
+    def after(self, seconds: float, *, first: bool = False) -> None:
+        """first: the key had no state, so there is no timer to ask the store for."""
+        for at in () if first else self.handle.listTimers():
             self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
         self.handle.registerTimer(int(np.ceil(seconds * 1000)))
 
@@ -70,18 +74,18 @@ class EpisodeProcessor(Timed):
 
     def published(self, key: tuple, alerts: list[Alert]) -> Iterator[pd.DataFrame]:
         if alerts:
-            yield pd.DataFrame([self.row(key, a) for a in alerts], columns=[x.split()[0] for x in EPISODES.split(", ")])
+            yield batch_of([self.row(key, a) for a in alerts], EPISODES)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        alert = Alert(*self.state.get()) if self.state.exists() else Alert()
+        known = self.state.exists()
+        alert = Alert(*self.state.get()) if known else Alert()
         found, last = {}, 0.0
-        samples = sorted_samples(rows)
-        for clock, kind, above in zip(samples["clock"].tolist(), samples["kind"].tolist(), samples["above"].tolist(), strict=True):
+        for clock, kind, above in sorted_samples(rows, "kind", "above"):
             last = max(last, clock)
             for a in alert.step(float(clock), kind, bool(above), self.allowed, self.visible_after):
                 found[a.first_seen] = a
         self.state.update(astuple(alert))
-        self.after(last / self.unit + self.quiet)
+        self.after(last / self.unit + self.quiet, first=not known)
         yield from self.published(key, list(found.values()))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -106,12 +110,13 @@ class RunProcessor(Timed):
         self.handle, self.state = handle, handle.getValueState("run", RUN)
 
     def published(self, key: tuple, runs: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(key[0], *r) for r in runs], columns=[x.split()[0] for x in RUNS.split(", ")])
+        yield batch_of([(key[0], *r) for r in runs], RUNS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        attempt, first, last, samples, closed, version = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0, True, 0)
+        known = self.state.exists()
+        attempt, first, last, samples, closed, version = self.state.get() if known else (0, 0.0, 0.0, 0, True, 0)
         out = []
-        for clock in sorted_samples(rows)["clock"].tolist():
+        for (clock,) in sorted_samples(rows):
             if samples and not closed and clock - last > self.quiet * self.unit:
                 out.append((attempt, first, last, samples, True, version + 1))
                 closed, version = True, version + 1
@@ -121,7 +126,7 @@ class RunProcessor(Timed):
         version += 1
         now = (attempt, first, last, samples, closed, version)
         self.state.update(now)
-        self.after(last / self.unit + self.quiet)
+        self.after(last / self.unit + self.quiet, first=not known)
         yield from self.published(key, [*out, now])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

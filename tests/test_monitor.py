@@ -88,3 +88,37 @@ def test_projects_tick_at_their_own_intervals(spark, tmp_path, mind):
     finally:
         for query in found.values():
             query.stop()
+
+
+def test_a_new_key_asks_the_store_for_no_timers():
+    """Each call goes through a socket; a key without state has no timer that could be listed."""
+    import pandas as pd
+
+    class Store:
+        """A handle and its one value."""
+
+        def __init__(self):
+            self.value, self.timers, self.listed = None, [], 0
+
+        getValueState = lambda self, name, schema: self  # noqa: E731, N815
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        deleteTimer = lambda self, at: self.timers.remove(at)  # noqa: E731, N815
+        registerTimer = lambda self, at: self.timers.append(at)  # noqa: E731, N815
+
+        def update(self, value):
+            self.value = value
+
+        def listTimers(self):  # noqa: N802
+            self.listed += 1
+            return list(self.timers)
+
+    store = Store()
+    processor = monitor.EpisodeProcessor(allowed=20, visible_after=5, critical_after=15, quiet=60, keep=600, unit=1.0)
+    processor.init(store)
+    parts = [pd.DataFrame({"clock": [10.0, 0.0], "kind": ["F", "F"], "above": [True, True]}), pd.DataFrame({"clock": [], "kind": [], "above": []}), pd.DataFrame({"clock": [20.0], "kind": ["C"], "above": [False]})]
+    (got,) = processor.handleInputRows(("a",), iter(parts), None)
+    assert got[["first_seen", "last_seen", "status"]].values.tolist() == [[0.0, 20.0, "resolved"]]
+    assert (store.listed, store.timers) == (0, [80_000])
+    list(processor.handleInputRows(("a",), iter(parts[2:]), None))
+    assert (store.listed, store.timers) == (1, [80_000])
