@@ -2,7 +2,8 @@
 
 ``index`` reads whole texts once and gives a row for each shard: its documents, their
 numbers of terms, and for each term the documents that hold it and how often. A shard is
-full at ``SHARD_POSTINGS`` postings, so its size follows neither texts nor tasks. ``search``
+full at ``SHARD_POSTINGS`` postings, so its size follows neither texts nor tasks. ``stored``
+writes them, few to a file, so that a task holds few shards however many it reads. ``search``
 takes the items in blocks of bounded size. For a block, the document frequencies of its
 terms are summed over all shards; then each shard is searched by MaxScore: a term's list has
 an upper bound (its greatest score in the shard), lists are sorted by it, and those whose
@@ -38,6 +39,8 @@ from .terms import LETTERS_AND_DIGITS, arrow_texts, term_lists
 TOP, SLOPE = 50, 50
 #: Postings and documents in a shard; characters of items in a block.
 SHARD_POSTINGS, SHARD_DOCS, BLOCK_CHARS = 500_000, 100_000, 1_000_000
+#: Shards in a file.
+FILE_SHARDS = 4
 SHARD = "n_docs long, n_terms long, doc_ids array<long>, lengths array<long>, terms array<binary>, starts array<int>, places array<int>, counts array<int>"
 BEST = "item int, doc_id long, score long"
 LAST = np.int64(2**63 - 1)
@@ -60,6 +63,11 @@ def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, SHARD)
 
 
+def stored(shards: DataFrame) -> DataFrame:
+    """An index, written. Spark's reader holds the rows of a file together, so a file has few."""
+    return scratch(shards, "shards", FILE_SHARDS)
+
+
 class Shard:
     """Postings in the order of documents, until they are laid out by term. Documents without terms are left out."""
 
@@ -247,7 +255,7 @@ def search(shards: DataFrame, items: DataFrame, *, item_id: str = "item_id", tex
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = scratch(index(table(spark, sf_dir, "documents")), "shards")
+    shards = stored(index(table(spark, sf_dir, "documents")))
     return search(shards, table(spark, sf_dir, "benchmark"))
 
 

@@ -22,10 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written there and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, rows_in_file: int = 0) -> DataFrame:
+    """df written there and read again: cuts the lineage and survives lost executors.
+
+    rows_in_file: at most so many rows in a file, 0 for no limit. Spark's reader holds up to 4096 rows of a file
+    at once, so rows of megabytes need a limit.
+    """
     path = f"{shared_folder(df.sparkSession)}/groma-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_in_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

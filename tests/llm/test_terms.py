@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 divergence = pytest.importorskip("groma.llm.divergence")
 lexical = pytest.importorskip("groma.llm.lexical")
@@ -91,6 +92,20 @@ def test_search_of_awkward_rows_and_items(spark, awkward, nothing, tmp_path, mon
     assert lexical.search(lexical.index(awkward), items.filter("false")).count() == 0
 
 
+def test_files_of_an_index_hold_few_shards(spark, tmp_path, monkeypatch):
+    """Spark's reader holds a file's rows together: a task that wrote many shards leaves many files."""
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", 40)
+    whole, found = lexical.search, []
+    monkeypatch.setattr(lexical, "search", lambda shards, items: found.append(shards) or whole(shards, items))
+    docs = spark.createDataFrame([(i, f"fox w{i} w{i % 7} harbour") for i in range(400)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "w3 w250"), (2, "fox")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = by_spark(lexical.query(spark, str(tmp_path)), *RANKED)
+    assert got and got == by_sql(lexical.SQL, documents=f"{tmp_path}/documents.parquet/*.parquet", benchmark=f"{tmp_path}/benchmark.parquet/*.parquet")
+    files = [r["count"] for r in found[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 4 * lexical.FILE_SHARDS and max(files) <= lexical.FILE_SHARDS
+
+
 def test_max_score_leaves_most_postings_alone_and_loses_nothing(spark):
     """Frequent terms become non-essential, and only documents that can still qualify are probed in their lists."""
     rng = random.Random(4)
