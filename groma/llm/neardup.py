@@ -62,6 +62,12 @@ SEED = 5
 BROADCAST_ROWS = 1_000_000
 
 
+def by_sorting(rows: DataFrame) -> DataFrame:
+    """A table that grows with the documents is never broadcast: Spark goes by the bytes of its files, and rows that repeat a class or a token take many times that."""
+    return rows.hint("merge")
+
+
+
 class Shingler:
     """Hashed shingle sets and their signatures. Hashes of words are remembered up to a bound."""
 
@@ -199,7 +205,7 @@ def posted(lists: DataFrame) -> DataFrame:
     # written: a list that a third of all classes have is then a skewed join, which Spark splits
     lengths = scratch(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lengths")
     own = Window.partitionBy("cls")
-    shared = lists.join(lengths, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("n").over(own))
+    shared = lists.join(by_sorting(lengths), "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("n").over(own))
     placed = shared.withColumn("place", F.row_number().over(own.orderBy("n", "token")))
     return placed.filter(F.col("place") <= F.col("k") - MATCHES + 1).select("cls", "token", "pop")
 
@@ -208,7 +214,7 @@ def starred(lists: DataFrame) -> DataFrame:
     """cls, token, pop, hub: the most central class of each list of two or more. Lists and hubs are written, so that long lists are split in the join."""
     lists = scratch(lists, "lists")
     hubs = scratch(lists.groupBy("token").agg(F.max(F.struct("pop", "cls"))["cls"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "hubs")
-    stars = scratch(lists.join(hubs, "token").select("cls", "token", "pop", "hub"), "stars")
+    stars = scratch(lists.join(by_sorting(hubs), "token").select("cls", "token", "pop", "hub"), "stars")
     forget(lists, hubs)
     return stars
 
@@ -225,7 +231,7 @@ def banded(classes: DataFrame, sets: DataFrame) -> DataFrame:
     some = sets.select("cls", "s").join(classes, "cls", "left_semi")
     lists = scratch(some.mapInArrow(work, "cls long, tokens array<long>").select("cls", F.explode("tokens").alias("token")), "bands")
     lengths = scratch(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lengths")
-    return lists.join(lengths, "token").withColumn("pop", F.sum("n").over(Window.partitionBy("cls"))).select("cls", "token", "pop")
+    return lists.join(by_sorting(lengths), "token").withColumn("pop", F.sum("n").over(Window.partitionBy("cls"))).select("cls", "token", "pop")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,7 +266,7 @@ def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
     # a token of a neighbourhood and a member are one number each
     tokens = member.select("member", "hub", F.explode("delta").alias("t")).select("member", F.xxhash64("hub", "t").alias("token"))
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(counted, "token")
+    shared = tokens.join(by_sorting(counted), "token")
     width = F.greatest(F.lit(1), F.ceil(F.col("np") * BAND)).cast("int")
     facts = member.select("member", "hub", "cls", "sig", "na", "np", "d", "far", width.alias("w")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # tokens that no other member has are the rarest and fill the prefix first: places count from the end
@@ -284,7 +290,7 @@ def completed(near: DataFrame, roots: DataFrame) -> DataFrame:
     once = (F.col("lower") < F.col("upper")) | (F.col("x_cls") < F.col("y_cls"))
     apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_far") | F.col("y_far"))
     sized = (F.least("x_na", "y_na") * 100 >= F.greatest("x_na", "y_na") * PERCENT) & (need <= F.least("x_left", "y_left"))
-    met = x.join(y, ["token", "lower", "upper"]).filter(apart & once & sized & (agreeing("x_sig", "y_sig") >= MATCHES))
+    met = x.join(by_sorting(y), ["token", "lower", "upper"]).filter(apart & once & sized & (agreeing("x_sig", "y_sig") >= MATCHES))
     pairs = met.groupBy(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).agg(F.min("x_hub").alias("hub"))
     side = lambda n: member.select("hub", F.col("cls").alias(n), F.col("na").alias(f"n{n}"), F.col("delta").alias(f"d{n}"))
     both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
@@ -308,7 +314,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         found = scratch(confirmed(stars.filter("cls != hub").select("cls", "hub").distinct(), sets), "confirmed")
         near = found if near is None else near.unionByName(found)
         deep = found.filter(F.col("both") >= (F.col("na") + F.col("np") - F.col("both")) * DEEP).select("cls", "hub")
-        rest = stars.filter("cls != hub").join(deep, ["cls", "hub"], "left_anti").select("cls", "token", "pop")
+        rest = stars.filter("cls != hub").join(by_sorting(deep), ["cls", "hub"], "left_anti").select("cls", "token", "pop")
         before, stars = stars, starred(rest)
         forget(before)
         if rounds == ROUNDS and not stars.isEmpty():
@@ -320,10 +326,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     else:
         roots = components(near.filter(linked(F.col("both"), F.col("na"), F.col("np"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
         tops = components(renamed(completed(near, roots), roots))
-        rooted = followed(followed(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")), roots), tops).withColumnRenamed("node", "cls").join(members, "cls")
+        rooted = followed(followed(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")), roots), tops).withColumnRenamed("node", "cls").join(by_sorting(members), "cls")
         least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        names = rooted.join(least, "root").select("cls", "component_id")
-    joined = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(names, "cls", "left")
+        names = rooted.join(by_sorting(least), "root").select("cls", "component_id")
+    joined = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(by_sorting(names), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", kept)

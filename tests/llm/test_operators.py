@@ -514,6 +514,23 @@ def test_rules_of_awkward_rows(awkward):
     assert (got[7][0].n_words, got[7][0].word_chars) == (1, 60_000) and got[8][0].n_repeat_words == 18_000 and got[8][0].base_failed
 
 
+def test_tables_of_tokens_are_not_broadcast(spark, monkeypatch):
+    """They grow with the documents, and rows take many times the bytes of their files; the driver would hold them whole."""
+    plans, scratch = [], neardup.scratch
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(neardup, "scratch", lambda df, name: scratch(plan(df), name))
+    rng = random.Random(12)
+    stock = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    # a passage that grows: neighbours in it are linked, those far apart are not
+    docs = [(i, " ".join(stock[: 60 + 5 * i])) for i in range(60)] + [(100 + i, " ".join(stock[: 60 + 5 * i])) for i in range(60)]
+    got = plan(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_by_hand(docs)
+    keys = [k for p in plans for k in re.findall(r"(?:BroadcastHashJoin|SortMergeJoin) \[(.*?)\], \[", p)]
+    sent = [k for p in plans for k in re.findall(r"BroadcastHashJoin \[(.*?)\], \[", p)]
+    assert [k for k in keys if re.match(r"token#\d+L, lower#", k)] and not [k for k in sent if "token#" in k]
+    assert not [k for k in re.findall(r"BroadcastHashJoin \[(.*?)\], \[", plans[-1]) if re.match(r"cls#\d+L$", k)]
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
